@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from siltstone.llm.mixing import op6_mixing
+from siltstone.llm.packing import op1_packing
 from siltstone.llm.quality import op10_quality
+from siltstone.llm.urls import OP9_SQL, op9_urls
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op6_mixing": op6_mixing,
+    "op9_urls": op9_urls,
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op9_urls": OP9_SQL,
+}
