@@ -9,12 +9,14 @@ from siltstone.llm.simhash import op3_simhash
 from siltstone.llm.substrings import op2_substrings
 from siltstone.llm.toxicity import op4_toxicity
 from siltstone.llm.urls import OP9_SQL, op9_urls
+from siltstone.llm.vectors import op5_vectors
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_substrings": op2_substrings,
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
+    "op5_vectors": op5_vectors,
     "op6_mixing": op6_mixing,
     "op9_urls": op9_urls,
     "op10_quality": op10_quality,
