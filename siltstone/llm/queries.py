@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from siltstone.llm.language import op8_language
 from siltstone.llm.mixing import op6_mixing
 from siltstone.llm.packing import op1_packing
+from siltstone.llm.pii import op7_pii
 from siltstone.llm.quality import op10_quality
 from siltstone.llm.simhash import op3_simhash
 from siltstone.llm.substrings import op2_substrings
@@ -18,6 +20,8 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_vectors": op5_vectors,
     "op6_mixing": op6_mixing,
+    "op7_pii": op7_pii,
+    "op8_language": op8_language,
     "op9_urls": op9_urls,
     "op10_quality": op10_quality,
 }
