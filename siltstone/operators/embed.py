@@ -1,10 +1,10 @@
 """Embedding plug-ins, applied once to each distinct text."""
 
-from __future__ import annotations
-
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,17 +34,29 @@ class Embedder:
         return F.pandas_udf(run, "array<float>")(text)
 
 
-def hashing_column(text: Column, dimension: int = 64) -> Column:
+def hashing(dimension: int = 64) -> Embedder:
     """Signed token hashing, normalised: a deterministic stand-in, not a semantic model."""
-    t = tokens(text)
-    h = F.transform(t, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint"))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(F.filter(h, lambda x: (x / 2).cast("bigint") % dimension == i), F.lit(0.0), lambda s, x: s + F.when(x % 2 == 0, 1.0).otherwise(-1.0)))
-    size = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(sums, lambda x: F.when(size > 0, x / size).otherwise(0.0)).cast("array<float>")
 
-
-def hashing(dimension: int = 64) -> Embedder:
-    return Embedder(dimension, column=lambda c: hashing_column(c, dimension))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, int] = {}
+
+        def vector(own) -> list[float]:  # noqa: ANN001
+            v = np.zeros(dimension)
+            for t in own:
+                h = known.get(t)
+                if h is None:
+                    h = int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
+                    if len(known) < 1_000_000:
+                        known[t] = h
+                v[h // 2 % dimension] += 1.0 - 2.0 * (h % 2)
+            size = float(np.sqrt(v @ v))
+            return (v / size if size > 0 else v).tolist()
+
+        for s in batches:
+            yield s.map(vector)
+
+    each = F.pandas_udf(run, "array<float>")
+    return Embedder(dimension, column=lambda c: each(tokens(c)))
 
 
 _PROVIDERS: dict[str, Callable[[int], Embedder]] = {"hashing": hashing}

@@ -1,8 +1,6 @@
 """Reranking of a candidate pool: pluggable scorers (query, text) -> score."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,16 +21,12 @@ def lexical(query: Column, text: Column) -> Column:
 def model(load: Callable[[], Callable[[list[str], list[str]], list[float]]]) -> Scorer:
     """A scorer from a model that is loaded once for each task and scores pairs in batches."""
 
-    @F.pandas_udf("double")
-    def score(pairs):  # noqa: ANN001
-        run = load()
+    def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        score = load()
         for q, t in pairs:
-            yield pd.Series(run(q.tolist(), t.tolist()), dtype="float64")
-
-    from collections.abc import Iterator
+            yield pd.Series(score(q.tolist(), t.tolist()), dtype="float64")
 
-    score.func.__annotations__ = {"pairs": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    return score
+    return F.pandas_udf(run, "double")
 
 
 _SCORERS: dict[str, Scorer] = {"lexical": lexical}

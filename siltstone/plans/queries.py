@@ -553,10 +553,10 @@ def failed_ranges(spark: SparkSession, sf: str) -> DataFrame:
 _HASH = "CAST('0x' || substr(md5(t), 1, 8) AS BIGINT)"
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_TOK.format('text')} AS toks FROM documents), h AS (SELECT doc_id, list_transform(toks, lambda t: {_HASH}) AS h FROM d),
-s AS (SELECT doc_id, list_transform(range(0, 64), lambda i: coalesce(list_sum(list_transform(list_filter(h, lambda x: (x // 2) % 64 = i), lambda x: CASE WHEN x % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)), 0)) AS v FROM h),
-u AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS z FROM s)
-SELECT doc_id, round(CASE WHEN z > 0 THEN (v[1] / z)::FLOAT ELSE 0 END, 4) AS first, round(CASE WHEN z > 0 THEN (v[64] / z)::FLOAT ELSE 0 END, 4) AS last FROM u""")
+@query(f"""WITH t AS (SELECT doc_id, unnest({_TOK.format('text')}) AS t FROM documents), h AS (SELECT doc_id, {_HASH} AS h FROM t),
+b AS (SELECT doc_id, (h // 2) % 64 AS i, sum(CASE WHEN h % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v FROM h GROUP BY ALL),
+z AS (SELECT doc_id, sqrt(sum(v * v)) AS z, coalesce(sum(v) FILTER (WHERE i = 0), 0) AS a, coalesce(sum(v) FILTER (WHERE i = 63), 0) AS b FROM b GROUP BY doc_id)
+SELECT doc_id, round(coalesce(CASE WHEN z > 0 THEN (a / z)::FLOAT::DOUBLE END, 0), 4) AS first, round(coalesce(CASE WHEN z > 0 THEN (b / z)::FLOAT::DOUBLE END, 0), 4) AS last FROM documents LEFT JOIN z USING (doc_id)""")
 def hashing_embedding(spark: SparkSession, sf: str) -> DataFrame:
     """Each distinct text is embedded once."""
     d = embed.embedded(read(spark, sf, "documents").select("doc_id", "text"), embed.hashing())
