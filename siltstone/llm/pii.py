@@ -245,7 +245,7 @@ def _gold(lat: Lattice, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
     return path
 
 
-def fit(regions: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = 8, rate: float = 0.1, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit(regions: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = 20, rate: float = 0.1, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """(weights, transitions) by AdaGrad on the likelihood of labelled regions."""
     w, trans = np.zeros((_T, N_FEATURES)), np.zeros((_T, _T))
     w[1:, 0] = -2.0
@@ -317,7 +317,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, each: int = SHAPE) -> tuple[np.
             spans = [x for x in base_spans(region)]
             spans = [x for i, x in enumerate(spans) if not any(x[0] < y[2] and y[0] < x[2] for y in spans[:i])]
             rows.append((region, spans))
-            rows += _rewritten(region, spans)[: 4 if seen[shape] <= 2 else 0]
+            rows += _rewritten(region, spans)[: 4 if seen[shape] <= 3 else 0]
     return fit(rows[: 4 * sample])
 
 
