@@ -174,7 +174,8 @@ def grouped(spark: SparkSession, docs: DataFrame, bucket: int = BUCKET) -> DataF
         nodes = s.table(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
         posts = _postings(nodes)
         keys = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        met = s.table(posts.join(keys, "key").select("key", "fp", "n"))
+        # Both sides grow with the corpus: a merge join, whatever the estimates say.
+        met = s.table(posts.join(keys.hint("merge"), "key").select("key", "fp", "n"))
         links = _bucket_links(met.where(F.col("n") <= bucket).select("key", "fp"), BITS)
         links = links.union(_ball_links(met.where(F.col("n") > bucket).select("fp").distinct()))
         roots = s.table(components(s, s.table(links)))
