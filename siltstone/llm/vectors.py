@@ -6,12 +6,15 @@ neighbours and reverse neighbours with one another (neighbours of neighbours), k
 each, until few lists change. Blocks and lists over ``block`` rows are split by hash, so that no task holds
 a dense group or a hub.
 
-Edges at or above the threshold give components. Lists may be saturated (all their neighbours are
-linked, so that more may be): they are enlarged to the whole component, which is gone through exactly
-in pairs of blocks of ``block`` nodes. Links lie within components, so the number of links is exact for
-the components that were found, and what is left to audit is whether the graph has missed any link between
-components: a sample of nodes is held against all nodes, and below the target recall another set of
-hyperplanes and another round follow.
+Links (pairs at or above the threshold) do not go through the lists: whatever pairs a block computes, trees
+of its links leave it, fewer than it has rows, so that nothing computed is lost from the components, however
+full the lists are. A list holds the nearest node of each of the ``k`` nearest other components, so that a
+dense group does not fill its own lists: when components merge, the places of what is now within are free
+for those farther off, and rounds follow until no link between components is met and few lists change.
+Components are then gone through exactly in pairs of blocks of ``block`` nodes. Links lie within components,
+so the number of links is exact for the components that were found, and what is left to audit is whether the
+graph has missed any link between components: a sample of nodes is held against all nodes, and below the
+target recall another set of hyperplanes and more rounds follow.
 """
 
 from __future__ import annotations
@@ -24,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, map_rows, read
+from siltstone.llm.common import Scratch, join_small, map_rows, read
 from siltstone.llm.components import components
 
 THRESHOLD = 0.9
 SEED = 11
-_EDGES = "u long, v long, sim double"
+#: ``g``: the component of v; ``link``: a tree edge at or above the threshold, not a place in a list.
+_EDGES = "u long, v long, g long, sim double, link boolean"
 
 
 def _unit(vectors) -> np.ndarray:
@@ -37,54 +41,86 @@ def _unit(vectors) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _best(nid: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best others of each row, by cosine."""
-    n = len(nid)
-    k = min(k, n - 1)
-    if k < 1:
-        return pd.DataFrame({"u": [], "v": [], "sim": []}).astype({"u": "int64", "v": "int64", "sim": "float64"})
+def _trees(near: np.ndarray) -> tuple[list[int], list[int]]:
+    """Tree edges that join the rows that ``near`` joins, fewer than there are rows."""
+    seen, a, b = ~near.any(axis=1), [], []
+    for root in np.flatnonzero(~seen).tolist():
+        if seen[root]:
+            continue
+        seen[root], front = True, [root]
+        while front:
+            i = front.pop()
+            new = np.flatnonzero(near[i] & ~seen)
+            seen[new] = True
+            a += [i] * len(new)
+            b += new.tolist()
+            front += new.tolist()
+    return a, b
+
+
+def _best(nid: np.ndarray, g: np.ndarray, x: np.ndarray, k: int, threshold: float) -> list[np.ndarray]:
+    """The columns of _EDGES: the k best of each row in other components, and trees of the links between components."""
     s = x @ x.T
-    np.fill_diagonal(s, -2.0)
+    other = g[:, None] != g[None, :]
+    near = s >= threshold
+    np.fill_diagonal(near, False)
+    a, b = np.array(_trees(near), np.int64) if near.any() else np.empty((2, 0), np.int64)
+    new = g[a] != g[b]  # trees stay trees: what is left out is joined already
+    a, b = a[new], b[new]
+    s[~other] = -2.0
+    k = min(k, len(nid) - 1)
     at = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    return pd.DataFrame({"u": np.repeat(nid, k), "v": nid[at].ravel(), "sim": np.take_along_axis(s, at, axis=1).ravel()})
+    sim = np.take_along_axis(s, at, axis=1).ravel()
+    fine, at = sim > -2.0, at.ravel()
+    u, at, sim = np.repeat(nid, k)[fine], at[fine], sim[fine]
+    link = np.repeat([False, True], [len(u), len(a)])
+    return [np.concatenate(c) for c in ((u, nid[a]), (nid[at], nid[b]), (g[at], g[b]), (sim, np.ones(len(a))))] + [link]
 
 
-def _joined(members: DataFrame, nodes: DataFrame, k: int, block: int) -> DataFrame:
-    """Edges within groups of (key, nid): each group's members, in blocks, with their vectors."""
+def _joined(members: DataFrame, nodes: DataFrame, k: int, block: int, threshold: float) -> DataFrame:
+    """_EDGES within groups of (key, nid): each group's members, in blocks, with their vectors and components."""
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / block).cast("long")
     dealt = members.join(sizes, "key").select("key", "nid", F.pmod(F.xxhash64(F.lit(SEED), "nid", "key"), parts).alias("part"))
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _best(pdf["nid"].to_numpy(), _unit(pdf["vec"]), k)
-
     def runs(batches):
         """Groups lie side by side; many small ones make one task's work."""
         held = None
         for b in batches:
-            t = b.to_pandas()
-            t = t if held is None else pd.concat([held, t], ignore_index=True)
-            last = (t["key"] == t["key"].iloc[-1]) & (t["part"] == t["part"].iloc[-1])
-            held, t = t[last], t[~last]
-            yield from each(t)
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            cuts = starts(t)
+            held, t = t.slice(cuts[-1]), t.slice(0, cuts[-1])
+            yield from each(t, cuts)
         if held is not None:
-            yield from each(held)
+            yield from each(held, [*starts(held), held.num_rows])
 
-    def each(t):
-        if not len(t):
+    def starts(t):
+        key, part = np.asarray(t.column("key")), np.asarray(t.column("part"))
+        return [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1).tolist()]
+
+    def each(t, cuts):
+        if not t.num_rows:
             return
-        key, part = t["key"].to_numpy(), t["part"].to_numpy()
-        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(t)]
-        found = [work(t.iloc[a:z]) for a, z in zip(cuts, cuts[1:], strict=False) if z - a > 1]
+        nid, g, vec = np.asarray(t.column("nid")), np.asarray(t.column("g")), t.column("vec").combine_chunks()
+        at, values = np.concatenate([[0], np.cumsum(np.asarray(vec.value_lengths()))]), np.asarray(vec.flatten())
+        found = []
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            if z - a > 1:
+                x = values[at[a] : at[z]].reshape(z - a, -1).astype(np.float64)
+                found.append(_best(nid[a:z], g[a:z], x / np.sqrt((x * x).sum(axis=1, keepdims=True)), k, threshold))
         if found:
-            yield pa.RecordBatch.from_pandas(pd.concat(found), preserve_index=False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["u", "v", "g", "sim", "link"])
 
-    rows = dealt.join(nodes.select("nid", "vec"), "nid").select("key", "part", "nid", "vec")
+    rows = dealt.join(nodes.select("nid", "g", "vec"), "nid").select("key", "part", "nid", "g", "vec")
     return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(runs, _EDGES)
 
 
 def _top(edges: DataFrame, k: int) -> DataFrame:
-    once = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    """The lists: of each u the k best components, each by its nearest node."""
+    once = edges.groupBy("u", "g").agg(F.max(F.struct("sim", "v")).alias("best")).select("u", "best.v", "g", "best.sim")
     w = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
     return once.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
@@ -105,11 +141,50 @@ def _sides(nodes: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
     return map_rows(nodes.select("nid", "vec"), run, "key long, nid long")
 
 
-def _descend(scratch: Scratch, graph: DataFrame, nodes: DataFrame, k: int, block: int) -> DataFrame:
-    """One round: neighbours and reverse neighbours of a node are joined with one another."""
-    both = graph.select(F.col("u").alias("key"), F.col("v").alias("nid")).union(graph.select(F.col("v").alias("key"), F.col("u").alias("nid")))
-    members = both.union(nodes.select(F.col("nid").alias("key"), "nid")).distinct()
-    return scratch.table(_top(_joined(members, nodes, max(2, k // 2), block).union(graph), k))
+class Graph:
+    """The lists (u, v, g, sim) of the nearest in other components, and the components (node, root) found so far."""
+
+    def __init__(self, scratch: Scratch, nodes: DataFrame, k: int, block: int, threshold: float):
+        self.s, self.nodes, self.k, self.block, self.threshold = scratch, nodes, k, block, threshold
+        spark = nodes.sparkSession
+        self.lists = spark.createDataFrame([], "u long, v long, g long, sim double")
+        self.roots = spark.createDataFrame([], "node long, root long")
+
+    def grow(self, members: DataFrame, k: int) -> tuple[int, int]:
+        """Joins groups of (key, nid); the number of links between components met, and of new places in lists."""
+        grouped = self._of(self.nodes.select("nid", "vec"), "nid", "g")
+        found = self.s.table(_joined(members, grouped, k, self.block, self.threshold))
+        links = found.where("link").select(F.col("u").alias("a"), F.col("v").alias("b"))
+        met = links.count()
+        new = self.s.table(_top(found.where("not link").drop("link").union(self.lists), self.k))
+        changed = new.join(self.lists, ["u", "v"], "left_anti").count()
+        if met:
+            roots = self.s.table(components(self.s, links.union(self.roots.select("node", "root"))))
+            self.s.drop(self.roots)
+            self.roots = roots
+        self.s.drop(found)
+        self.s.drop(self.lists)
+        self.lists = new
+        if met:  # places of what is now in the same component are free
+            self.lists = self.s.table(self._of(self._of(new.drop("g"), "u", "gu"), "v", "g").where("gu <> g").select("u", "v", "g", "sim"))
+            self.s.drop(new)
+        return met, changed
+
+    def _of(self, rows: DataFrame, node: str, name: str) -> DataFrame:
+        """``rows`` with the component of ``node``."""
+        roots = self.roots.select(F.col("node").alias(node), F.col("root").alias("__root"))
+        return join_small(rows, roots, [node]).withColumn(name, F.coalesce("__root", node)).drop("__root")
+
+    def descend(self) -> None:
+        """Rounds that join neighbours and reverse neighbours of a node with one another, until no list is to grow."""
+        least = 0.02 * self.nodes.count() * self.k
+        while True:
+            one, other = F.col("u"), F.col("v")
+            both = self.lists.select(one.alias("key"), other.alias("nid")).union(self.lists.select(other.alias("key"), one.alias("nid")))
+            members = both.union(self.nodes.select(F.col("nid").alias("key"), "nid")).distinct()
+            met, changed = self.grow(members, max(2, self.k // 2))
+            if not met and changed <= least:
+                return
 
 
 def _audit(spark: SparkSession, nodes: DataFrame, roots: DataFrame, threshold: float, sample: int) -> float:
@@ -193,19 +268,14 @@ def linked(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD
         nodes = s.table(rows.where("nid is not null").groupBy("nid").agg(F.min("vec_id").alias("first"), F.count("*").alias("mult"), F.any_value("vec").alias("vec")))
         n = nodes.count()
         bits = max(0, min(40, math.ceil(math.log2(max(n, 1) / (block / 2)))))
-        graph = s.table(_top(_joined(_sides(nodes, tables, bits, SEED), nodes, k, block), k))
+        graph = Graph(s, nodes, k, block, threshold)
+        graph.grow(_sides(nodes, tables, bits, SEED), k)
         for attempt in range(rounds):
-            new = _descend(s, graph, nodes, k, block)
-            changed = new.join(graph, ["u", "v"], "left_anti").count()
-            s.drop(graph)
-            graph = new
-            settled = changed <= 0.02 * max(n, 1) * k
-            if not settled and attempt + 1 < rounds and attempt < 1:
-                continue
-            roots = s.table(components(s, graph.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))))
+            graph.descend()
+            roots = graph.roots
             if _audit(spark, nodes, roots, threshold, sample) >= recall:
                 break
-            graph = s.table(_top(graph.union(_joined(_sides(nodes, tables, bits, SEED + 1 + attempt), nodes, k, block)), k))
+            graph.grow(_sides(nodes, tables, bits, SEED + 1 + attempt), k)
         members = s.table(nodes.join(roots, nodes["nid"] == roots["node"]).select("root", "nid", "first", "mult", "vec"))
         links = _counts(members, threshold, block * 2)
         first = members.groupBy("root").agg(F.min("first").alias("component"))

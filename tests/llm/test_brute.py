@@ -190,6 +190,25 @@ def test_vectors(spark):
     assert got == {i: (int(near[i].sum()), want[i], want[i] == i) for i in range(len(x))} | {i: (0, i, True) for i in range(900, 904)}
 
 
+def test_vectors_dense_groups_that_link(spark):
+    """Two groups of 40 at 0.99 within and 0.93 across: every list is full of a node's own group."""
+    r = np.random.RandomState(3)
+    axes = np.linalg.qr(r.standard_normal((64, 64)))[0]
+    centre = [axes[0], 0.937 * axes[0] + np.sqrt(1 - 0.937**2) * axes[1]]
+    noise = r.standard_normal((80, 62))
+    noise = 0.07 * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    x = np.array([centre[i // 40] + noise[i] @ axes[2:] for i in range(80)])
+    x = np.concatenate([x, r.standard_normal((200, 64))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert near[:40, 40:80].all() and (u[:40] @ u[:40].T).min() > 0.985
+    assert not np.isin(np.argsort(-u[:40] @ u[:80].T, axis=1)[:, :11], range(40, 80)).any()
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.linked(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (79, 0, i == 0) if i < 80 else (0, i, True) for i in range(280)}
+
+
 PII = "a.b@c.org, x@y 10.0.0.1 300.1.1.1 1.2.3.4.5.6.7.8 4111 1111 1111 1111 4111-1111-1111-1112 +1 (017) 555-7713 +12 a@b.c@d.e é q%@z-.x.y"
 
 
