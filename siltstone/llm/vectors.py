@@ -13,8 +13,10 @@ dense group does not fill its own lists: when components merge, the places of wh
 for those farther off, and rounds follow until no link between components is met and few lists change.
 Components are then gone through exactly in pairs of blocks of ``block`` nodes. Links lie within components,
 so the number of links is exact for the components that were found, and what is left to audit is whether the
-graph has missed any link between components: a sample of nodes is held against all nodes, and below the
-target recall another set of hyperplanes and more rounds follow.
+graph has missed any link between components: a sample of nodes is held against all nodes. There are as many
+sets of hyperplanes as it takes for a pair at the threshold to meet with the target recall, a number that
+grows with the nodes. Below the target, by links or by nodes, twice as many more sets and rounds follow; it
+is an error if the target is not reached in the end.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.errors import SiltstoneError
 from siltstone.llm.common import Scratch, join_small, map_rows, read
 from siltstone.llm.components import components
 
@@ -188,7 +191,11 @@ class Graph:
 
 
 def _audit(spark: SparkSession, nodes: DataFrame, roots: DataFrame, threshold: float, sample: int) -> float:
-    """The share of the true links of a sample of nodes that lie within found components (1 if there are none)."""
+    """The share of the true links of a sample of nodes that lie within found components (1 if there are none).
+
+    The lesser of that of all links and the mean of the nodes' own shares, in which a large group does not
+    outweigh pairs.
+    """
     picked = nodes.orderBy(F.xxhash64(F.lit(SEED), "nid")).limit(sample).select("nid", "vec").toPandas()
     if not len(picked):
         return 1.0
@@ -207,8 +214,15 @@ def _audit(spark: SparkSession, nodes: DataFrame, roots: DataFrame, threshold: f
     true = map_rows(nodes.select("nid", "vec"), run, "u long, v long")
     a = roots.select(F.col("node").alias("u"), F.col("root").alias("ru"))
     z = roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-    total, met = true.join(a, "u", "left").join(z, "v", "left").agg(F.count("*"), F.count(F.when(F.col("ru") == F.col("rv"), 1))).first()
-    return met / total if total else 1.0
+    each = true.join(a, "u", "left").join(z, "v", "left").groupBy("u").agg(F.count("*").alias("n"), F.count(F.when(F.col("ru") == F.col("rv"), 1)).alias("met"))
+    total, met, mean = each.agg(F.sum("n"), F.sum("met"), F.avg(F.col("met") / F.col("n"))).first()
+    return min(met / total, mean) if total else 1.0
+
+
+def _tables(bits: int, threshold: float, recall: float, least: int) -> int:
+    """Sets of ``bits`` hyperplanes in one of which a pair at the threshold lies on the same sides with probability ``recall``."""
+    same = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
+    return max(least, math.ceil(math.log(1 - min(recall, 0.999)) / math.log1p(-same))) if 0 < same < 1 else least
 
 
 def _counts(members: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -269,13 +283,19 @@ def linked(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD
         n = nodes.count()
         bits = max(0, min(40, math.ceil(math.log2(max(n, 1) / (block / 2)))))
         graph = Graph(s, nodes, k, block, threshold)
-        graph.grow(_sides(nodes, tables, bits, SEED), k)
-        for attempt in range(rounds):
+        wanted, seed = _tables(bits, threshold, recall, tables), SEED
+        for _ in range(rounds):
+            for _ in range(0, wanted, tables):  # a few sets at a time, so that the disk holds the blocks of those only
+                graph.grow(_sides(nodes, tables, bits, seed), k)
+                seed += 1
             graph.descend()
             roots = graph.roots
-            if _audit(spark, nodes, roots, threshold, sample) >= recall:
+            met = _audit(spark, nodes, roots, threshold, sample)
+            if met >= recall:
                 break
-            graph.grow(_sides(nodes, tables, bits, SEED + 1 + attempt), k)
+            wanted *= 2
+        else:
+            raise SiltstoneError(f"near-duplicates of vectors: {met:.4f} of the audited links are found after {(seed - SEED) * tables} sets of hyperplanes, below {recall}")
         members = s.table(nodes.join(roots, nodes["nid"] == roots["node"]).select("root", "nid", "first", "mult", "vec"))
         links = _counts(members, threshold, block * 2)
         first = members.groupBy("root").agg(F.min("first").alias("component"))

@@ -1,6 +1,7 @@
 """The operators against plain versions on small tables."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from siltstone.errors import SiltstoneError
 from siltstone.llm import language, mixing, packing, pii, quality, simhash, substrings, toxicity, urls, vectors
 from siltstone.llm.common import word_hashes
 
@@ -209,6 +211,24 @@ def test_vectors_dense_groups_that_link(spark):
     assert got == {i: (79, 0, i == 0) if i < 80 else (0, i, True) for i in range(280)}
 
 
+def test_vectors_audit(spark):
+    """A large group does not hide lost pairs, and a recall that is not reached is an error."""
+    axes = np.linalg.qr(np.random.RandomState(4).standard_normal((16, 16)))[0]
+    x = [*[axes[0]] * 30, *[axes[1]] * 2, *[axes[2]] * 2]
+    v = spark.createDataFrame([(i, (a + 1e-3 * axes[3] * i).tolist()) for i, a in enumerate(x)], "nid long, vec array<double>")
+    roots = spark.createDataFrame([(i, 0) for i in range(30)], "node long, root long")
+    assert vectors._audit(spark, v, roots, 0.9, 400) == pytest.approx(30 / 34)
+    with pytest.raises(SiltstoneError):
+        vectors.linked(spark, v.withColumnsRenamed({"nid": "vec_id", "vec": "embedding"}), recall=1.01, rounds=1)
+
+
+def test_vectors_search_grows_with_the_nodes():
+    for n in (2_000, 100_000, 10_000_000):
+        bits = math.ceil(math.log2(n / 64))
+        tables = vectors._tables(bits, 0.9, 0.98, 6)
+        assert 1 - (1 - (1 - math.acos(0.9) / math.pi) ** bits) ** tables >= 0.98
+
+
 PII = "a.b@c.org, x@y 10.0.0.1 300.1.1.1 1.2.3.4.5.6.7.8 4111 1111 1111 1111 4111-1111-1111-1112 +1 (017) 555-7713 +12 a@b.c@d.e é q%@z-.x.y"
 
 
