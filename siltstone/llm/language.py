@@ -32,14 +32,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import Scratch, map_rows, mix, read, word_hashes
 
 FOLDS = 10
-SYMBOLS, ORDER = 40, 3
-BURN, KEEP = 0, 2
+SYMBOLS, ORDER = 48, 3
+BURN, KEEP = 1, 2
 FREQUENT, CLASSES = 512, 8
 #: Text bytes of a chunk, about.
 CHUNK_BYTES = 8 << 20
@@ -308,6 +309,13 @@ class State:
         self.tables, self.customers = np.asarray(tables, float), np.asarray(customers, float)
         self.root_tables, self.root_customers, self.logp = float(root_tables), float(root_customers), logp
 
+    def __getstate__(self):
+        """Unseen contexts predict what their parents do, so that the spelling packs well for a broadcast."""
+        return self.__dict__ | {"logp": (pa.compress(self.logp.tobytes(), "zstd", asbytes=True), self.logp.nbytes)}
+
+    def __setstate__(self, packed):
+        self.__dict__.update(packed, logp=np.frombuffer(pa.decompress(packed["logp"][0], packed["logp"][1], "zstd", asbytes=True), np.float32))
+
     def root(self, cp, t, base):
         return (np.maximum(cp - self.root_d * t, 0) + (ROOT_STRENGTH + self.root_d * self.root_tables) * base) / (ROOT_STRENGTH + self.root_customers)
 
@@ -355,13 +363,12 @@ def _first(own: DataFrame) -> DataFrame:
     return map_rows(own, run, _BASIC)
 
 
-def _sweep(vocabulary: DataFrame, table: np.ndarray, rare: int, state: State, salt: int, keep: int | None) -> DataFrame:
+def _sweep(vocabulary: DataFrame, held: Broadcast, rare: int, salt: int, keep: int | None) -> DataFrame:
     """Seats every dish of every context and of the root.
 
+    ``held``: the symbols of bytes and the state.
     ``keep``: where to note what the state of the sweep before predicts from.
     """
-    held = vocabulary.sparkSession.sparkContext.broadcast((table, state))
-
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         tab, st = held.value
         words = b.column("word").to_pylist()
@@ -383,12 +390,12 @@ def _sweep(vocabulary: DataFrame, table: np.ndarray, rare: int, state: State, sa
     return map_rows(vocabulary, run, _BASIC + _NOTED)
 
 
-def _priced(vocabulary: DataFrame, table: np.ndarray, rare: int, states: list[State]) -> DataFrame:
+def _priced(vocabulary: DataFrame, held: Broadcast, rare: int) -> DataFrame:
     """(word, c, zs, lps, root0 ...): averaged log10 P in each context that knows the word, and log10 P of the root.
 
-    States that are not noted in the rows predict from the rows' own seats.
+    ``held``: the symbols of bytes and the states, KEEP of them. States that are not noted in the rows predict
+    from the rows' own seats.
     """
-    held = vocabulary.sparkSession.sparkContext.broadcast((table, states))
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         tab, sts = held.value
@@ -408,7 +415,7 @@ def _priced(vocabulary: DataFrame, table: np.ndarray, rare: int, states: list[St
         lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (z.astype(np.int8), np.log10(p).astype(np.float32))]
         yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), *lists, *roots], names=["word", "c", "zs", "lps", *[f"root{i}" for i in range(len(roots))]])
 
-    return map_rows(vocabulary, run, "word binary, c long, zs array<byte>, lps array<float>" + "".join(f", root{i} float" for i in range(len(states))))
+    return map_rows(vocabulary, run, "word binary, c long, zs array<byte>, lps array<float>" + "".join(f", root{i} float" for i in range(KEEP)))
 
 
 def _gathered(vocabulary: DataFrame, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, float]]:
@@ -477,12 +484,15 @@ def scored(spark: SparkSession, docs: DataFrame) -> DataFrame:
             if keep >= 0:
                 kept.append(state)
             if keep < KEEP - 1:
-                new = s.table(_sweep(known, table, rare, state, 7919 * sweep, keep if keep >= 0 else None))
+                held = spark.sparkContext.broadcast((table, state))
+                new = s.table(_sweep(known, held, rare, 7919 * sweep, keep if keep >= 0 else None))
+                held.destroy()  # every executor has a copy on its disk
                 s.drop(known)
                 known = new
         levels = None
         log_n = float(np.log10(total + 0.1 * (distinct + 1)))
-        priced = _priced(known, table, rare, kept).unionByName(_priced(words.where(c <= 1), table, rare, kept))
+        held = spark.sparkContext.broadcast((table, kept))
+        priced = _priced(known, held, rare).unionByName(_priced(words.where(c <= 1), held, rare))
         # Of the one context that is asked for; contexts without the word have no tables of it, and ask the root.
         at, z = F.array_position("zs", F.col("z").cast("byte")).cast("int"), F.col("z")
         top = F.greatest(*[F.col(f"root{i}") for i in range(KEEP)], F.lit(-1e30)).cast("double")
@@ -492,6 +502,7 @@ def scored(spark: SparkSession, docs: DataFrame) -> DataFrame:
             new = new + share * F.pow(F.lit(10.0), F.col(f"root{i}") - top)
         lp = F.when(at > 0, F.element_at("lps", F.when(at > 0, at)).cast("double")).otherwise(top + F.log10(new)).cast("float")
         answers = s.table(asked.select("word", "z", "chunk").join(priced, "word").select("chunk", "word", "z", "c", lp.alias("lp")))
+        held.destroy()
         for used in (asked, words):
             s.drop(used)
 

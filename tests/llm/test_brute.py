@@ -229,6 +229,14 @@ def test_vectors_search_grows_with_the_nodes():
         assert 1 - (1 - (1 - math.acos(0.9) / math.pi) ** bits) ** tables >= 0.98
 
 
+def test_language_burns_in_and_spells_rarer_letters():
+    """The first state that is averaged is not the one next to the start, and 46 bytes have symbols of their own."""
+    assert language.BURN >= 1 and language.KEEP >= 2
+    counts = np.zeros(256)
+    counts[97:143] = np.arange(46, 0, -1)
+    assert len(set(language.symbols_of(counts)[97:143])) == 46 and language.SYMBOLS - 1 not in language.symbols_of(counts)[97:143]
+
+
 PII = "a.b@c.org, x@y 10.0.0.1 300.1.1.1 1.2.3.4.5.6.7.8 4111 1111 1111 1111 4111-1111-1111-1112 +1 (017) 555-7713 +12 a@b.c@d.e é q%@z-.x.y"
 
 
