@@ -1,20 +1,26 @@
 """What the operators of this package share: words, word hashes, scratch tables and small joins.
 
 Words are runs of anything but ASCII white space (``[^\\x20\\x09-\\x0D]+``); on UTF-8 bytes that is
-exactly what ``bytes.split()`` returns.
+exactly what ``bytes.split()`` and Arrow's ``ascii_split_whitespace`` return.
 """
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.errors import SiltstoneError
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side of a join is broadcast only if it has been counted and has at most so many (narrow) rows.
 BROADCAST_ROWS = 100_000
@@ -26,9 +32,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it names none."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    One of our own only where it names none and all tasks run on this machine: a cluster has to name a shared one.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise SiltstoneError("spark.checkpoint.dir has to name a folder that all executors share")
         known = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -48,17 +59,22 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def table(self, df: DataFrame, keep: bool = False) -> DataFrame:
+    def table(self, df: DataFrame, keep: bool = False, settings: dict[str, str] | None = None, block: int | None = None) -> DataFrame:
+        """``df``, written and read again. ``settings`` of the session hold while it is written; ``block``: bytes of a row group."""
         path = f"{shared_dir(self.spark)}/{uuid.uuid4().hex}"
-        before = self.spark.conf.get(_CLEAN, None)
-        self.spark.conf.set(_CLEAN, "true")
+        settings = {_CLEAN: "true", **(settings or {})}
+        before = {k: self.spark.conf.get(k, None) for k in settings}
+        for k, v in settings.items():
+            self.spark.conf.set(k, v)
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            w = df.write.option("compression", "zstd")
+            (w.option("parquet.block.size", block) if block else w).parquet(path)
         finally:
-            if before is None:
-                self.spark.conf.unset(_CLEAN)
-            else:
-                self.spark.conf.set(_CLEAN, before)
+            for k, v in before.items():
+                if v is None:
+                    self.spark.conf.unset(k)
+                else:
+                    self.spark.conf.set(k, v)
         if keep:
             self._fs(path)[0].deleteOnExit(self._fs(path)[1])
         else:
@@ -124,28 +140,89 @@ def texts(column: pa.Array) -> Iterator[bytes]:
         yield v.to_pybytes() if v is not None else b""
 
 
-# ---- hashes of words, vectorised -------------------------------------------------------------
+# ---- tokens, a bounded run of texts at a time --------------------------------------------------
 
-_RNG = np.random.RandomState(20240229)
-#: A random 64-bit value for each byte, and an odd base: a word's hash is the polynomial of its bytes' values.
-_BYTE = _RNG.randint(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + _RNG.randint(0, 2, 256).astype(np.uint64)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-#: Odd multipliers for runs of words.
-MULTIPLIERS = _RNG.randint(0, 2**62, 64, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_PIECE = 1 << 20
+#: Text bytes that are split at once, about; a longer text is a run of its own.
+RUN_BYTES = 2 << 20
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
+@dataclass(frozen=True)
+class Tokens:
+    """The words of a run of texts: the distinct ones, the number of each word in order, and how many each text has."""
+
+    words: pa.Array
+    ids: np.ndarray
+    lens: np.ndarray
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        return np.cumsum(self.lens)
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return self.ends - self.lens
+
+    @cached_property
+    def text(self) -> np.ndarray:
+        """The text of each word."""
+        return np.repeat(np.arange(len(self.lens)), self.lens)
+
+    def runs_of(self, k: int) -> np.ndarray:
+        """The places where ``k`` words of one text begin."""
+        at = np.arange(max(0, len(self.ids) - k + 1))
+        return at[at + k <= self.ends[self.text[at]]]
+
+    @cached_property
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit hashes of each distinct word: the halves of a BLAKE2b digest of its bytes."""
+        raw = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in self.words.to_pylist())
+        both = np.frombuffer(raw, "<u8").reshape(-1, 2)
+        return both[:, 0].copy(), both[:, 1].copy()
+
+
+def filled(column: pa.Array) -> pa.Array:
+    """The texts with nulls as empty ones."""
+    return pc.fill_null(column if pa.types.is_large_string(column.type) else column.cast(pa.string()), "")
 
 
-_POW, _INV = _powers(_BASE, 4096), _powers(_INVERSE, 4096)
+def tokenized(column: pa.Array, lower: bool = False) -> Tokens:
+    column = filled(column)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
+    lens = np.asarray(lists.value_lengths()).astype(np.int64)
+    flat = lists.flatten()
+    flat = flat.cast(pa.large_binary() if pa.types.is_large_string(flat.type) else pa.binary())
+    real = np.asarray(pc.binary_length(flat)) > 0  # white space at either end of a text leaves an empty word
+    of = np.repeat(np.arange(len(lens)), lens)[real]
+    own = flat.filter(pa.array(real)).dictionary_encode()
+    return Tokens(own.dictionary, np.asarray(own.indices).astype(np.int64), np.bincount(of, minlength=len(lens)))
+
+
+def byte_runs(column: pa.Array, most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of runs of at most about ``most`` text bytes."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
+    at, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > at and total + n > most:
+            yield at, i - at
+            at, total = i, 0
+        total += n
+    if at < len(sizes):
+        yield at, len(sizes) - at
+
+
+def map_runs(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, text: str = "text") -> DataFrame:
+    """``map_rows``, a run of texts at a time: what a task holds is bounded by bytes, not by rows."""
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at, n in byte_runs(b.column(text)):
+            yield from f(b.slice(at, n))
+
+    return map_rows(df, run, schema)
+
+
+_RNG = np.random.RandomState(20240229)
+#: Odd multipliers for runs of words.
+MULTIPLIERS = _RNG.randint(0, 2**62, 64, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -156,38 +233,6 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _piece_hashes(data: bytes) -> np.ndarray:
-    global _POW, _INV
-    a = np.frombuffer(data, np.uint8)
-    if len(a) + 1 > len(_POW):
-        n = 2 * len(a) + 2
-        _POW, _INV = _powers(_BASE, n), _powers(_INVERSE, n)
-    inside = np.empty(len(a) + 2, np.int8)
-    inside[0] = inside[-1] = 0
-    inside[1:-1] = ~_SPACE[a]
-    step = np.diff(inside)
-    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum(_BYTE[a] * _POW[: len(a)], out=total[1:])
-        h = (total[end] - total[start]) * _INV[start]
-        return mix(h + (end - start).astype(np.uint64))
-
-
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, in order."""
-    if len(data) <= 2 * _PIECE:
-        return _piece_hashes(data) if data else np.empty(0, np.uint64)
-    parts, at = [], 0
-    while at < len(data):  # pieces end at white space
-        end = min(at + _PIECE, len(data))
-        while end < len(data) and not _SPACE[data[end]]:
-            end += 1
-        parts.append(_piece_hashes(data[at:end]))
-        at = end
-    return np.concatenate(parts)
-
-
 def gram_hashes(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """A 64-bit hash of each run of k words, from the words' hashes."""
     n = len(h) - k + 1

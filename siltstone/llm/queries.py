@@ -6,7 +6,7 @@ from siltstone.llm.language import op8_language
 from siltstone.llm.mixing import op6_mixing
 from siltstone.llm.packing import op1_packing
 from siltstone.llm.pii import op7_pii
-from siltstone.llm.quality import op10_quality
+from siltstone.llm.quality import OP10_SQL, op10_quality
 from siltstone.llm.simhash import op3_simhash
 from siltstone.llm.substrings import op2_substrings
 from siltstone.llm.toxicity import op4_toxicity
@@ -28,4 +28,5 @@ QUERIES = {
 
 ORACLES = {
     "op9_urls": OP9_SQL,
+    "op10_quality": OP10_SQL,
 }
