@@ -8,7 +8,7 @@ from siltstone.llm.packing import op1_packing
 from siltstone.llm.pii import op7_pii
 from siltstone.llm.quality import OP10_SQL, op10_quality
 from siltstone.llm.simhash import op3_simhash
-from siltstone.llm.substrings import op2_substrings
+from siltstone.llm.substrings import OP2_SQL, op2_substrings
 from siltstone.llm.toxicity import op4_toxicity
 from siltstone.llm.urls import OP9_SQL, op9_urls
 from siltstone.llm.vectors import op5_vectors
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_substrings": OP2_SQL,
     "op9_urls": OP9_SQL,
     "op10_quality": OP10_SQL,
 }

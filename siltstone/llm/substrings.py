@@ -4,9 +4,9 @@ Seeds: of every ``window`` consecutive words (13) the least hash of the ``anchor
 them is an anchor, so that two documents with a common window have a common anchor inside it, at the same
 place. Documents are joined on anchors: an anchor that occurs in one document only is dropped, and with it
 most of the corpus. Extension: an anchor that is left is extended both ways to the windows that it stands
-for (up to ten, those of which it is the least run); a window is matched by its content, its 64-bit hash
-beside the 64-bit hash of its anchor, and the smallest doc_id that has it is known after one combined
-aggregation. Overlapping and adjacent matched windows join to maximal repeats, all at least ``window``
+for (up to ten, those of which it is the least run); a window is matched by its words, a 64-bit hash of one
+half of their BLAKE2b digests beside the 64-bit hash of its anchor by the other half, so that words which
+share one do not share the other, and the smallest doc_id that has it is known after one combined aggregation. Overlapping and adjacent matched windows join to maximal repeats, all at least ``window``
 words long, and these are removed.
 
 No pair of documents is formed: a group of n occurrences costs n rows, and minima are combined before
@@ -24,84 +24,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, gram_hashes, map_rows, read, texts, word_hashes
+from siltstone.llm.common import Scratch, Tokens, gram_hashes, map_rows, map_runs, read, texts, tokenized
 
 WINDOW, ANCHOR = 13, 4
 
 
-def anchors(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hashes, place of the anchor of each window, anchors' places): of equal runs the last counts."""
-    g = gram_hashes(h, anchor, salt=1)
-    width = window - anchor + 1
-    n = len(g) - width + 1
-    if n <= 0:
-        return g, np.empty(0, np.int64), np.empty(0, np.int64)
+def anchors(t: Tokens, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash at every place, places where windows begin, place of each window's anchor): of equal runs the last counts."""
+    h = t.hashes[0][t.ids]
+    g, starts, width = gram_hashes(h, anchor, salt=1), t.runs_of(window), window - anchor + 1
+    n = max(0, len(g) - width + 1)
     least, at = g[:n].copy(), np.arange(n)
     for j in range(1, width):
         other = g[j : j + n]
         take = other <= least
         least = np.where(take, other, least)
         at = np.where(take, np.arange(j, j + n), at)
-    return g, at, np.unique(at)
+    return g, starts, at[starts]
 
 
 def _seeds(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """(a, doc_id, place): the anchors of each document."""
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, hs, ps, lens, total = [], [], [], [], 0
-        names = ["a", "doc_id", "place"]
-
-        def out():
-            of = np.repeat(np.array(ids), lens)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(of), pa.array(np.concatenate(ps).astype(np.int32))], names=names)
-
-        for i, t in zip(b.column("doc_id").to_pylist(), texts(b.column("text")), strict=True):
-            g, _, places = anchors(word_hashes(t), window, anchor)
-            if len(places):
-                ids.append(i)
-                hs.append(g[places])
-                ps.append(places)
-                lens.append(len(places))
-                total += len(places)
-            if total > 200_000:
-                yield out()
-                ids, hs, ps, lens, total = [], [], [], [], 0
-        if total:
-            yield out()
-
-    return map_rows(docs.select("doc_id", "text"), run, "a long, doc_id long, place int")
+        t = tokenized(b.column("text"))
+        g, _, at = anchors(t, window, anchor)
+        at = np.unique(at)
+        of = t.text[at]
+        yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), b.column("doc_id").take(pa.array(of)), pa.array((at - t.starts[of]).astype(np.int32))], names=["a", "doc_id", "place"])
+
+    return map_runs(docs.select("doc_id", "text"), run, "a long, doc_id long, place int")
 
 
 def _windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(a, w, doc_id, th, place): the windows of the anchors at each document's ``places``."""
+    """(a, w, doc_id, th, place): the windows of the anchors at each document's ``places``.
+
+    A window is known by 128 bits: its anchor's hash of one half of the words' digests, its own hash of the other half.
+    """
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        parts, total = [], 0
-
-        def out():
-            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "w", "doc_id", "th", "place"])
-
-        for i, th, places, t in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), b.column("places"), texts(b.column("text")), strict=True):
-            h = word_hashes(t)
-            g, at, _ = anchors(h, window, anchor)
-            if not len(at):
-                continue
-            wanted = np.zeros(len(g), bool)
-            p = np.asarray(places.values)
-            wanted[p[p < len(g)]] = True
-            own = np.flatnonzero(wanted[at])
-            w = gram_hashes(h, window, salt=2)[own]
-            parts.append((g[at[own]].view(np.int64), w.view(np.int64), np.full(len(own), i, np.int64), np.full(len(own), th, np.int64), own.astype(np.int32)))
-            total += len(own)
-            if total > 200_000:
-                yield out()
-                parts, total = [], 0
-        if total:
-            yield out()
-
-    return map_rows(docs.select("doc_id", "th", "places", "text"), run, "a long, w long, doc_id long, th long, place int")
+        t = tokenized(b.column("text"))
+        g, starts, at = anchors(t, window, anchor)
+        lens = np.asarray(b.column("places").value_lengths())
+        wanted = np.zeros(len(t.ids) + 1, bool)
+        wanted[np.minimum(np.asarray(b.column("places").flatten()) + np.repeat(t.starts, lens), len(t.ids))] = True
+        own = wanted[at]
+        starts, at = starts[own], at[own]
+        w, of = gram_hashes(t.hashes[1][t.ids], window, salt=2)[starts], pa.array(t.text[starts])
+        cols = [pa.array(g[at].view(np.int64)), pa.array(w.view(np.int64)), b.column("doc_id").take(of), b.column("th").take(of), pa.array((starts - t.starts[t.text[starts]]).astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(cols, names=["a", "w", "doc_id", "th", "place"])
+
+    return map_runs(docs.select("doc_id", "th", "places", "text"), run, "a long, w long, doc_id long, th long, place int")
 
 
 def repeats(scratch: Scratch, docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -160,7 +133,8 @@ def removed(spark: SparkSession, docs: DataFrame, window: int = WINDOW, anchor:
 
     ``repeats``: the maximal repeats, as structs of first word and word after the last. Null texts have no
     words; rows without a doc_id neither lose nor lend words; of rows that share a doc_id none is smaller
-    than another; an empty table gives none; other columns are ignored.
+    than another; of windows that tie (the same words in several documents) the smallest doc_id keeps them; very
+    long texts are taken whole; an empty table gives none; other columns are ignored, whatever their names.
     """
     with Scratch(spark) as s:
         marks = repeats(s, docs, window, anchor)
@@ -187,4 +161,17 @@ def removed(spark: SparkSession, docs: DataFrame, window: int = WINDOW, anchor:
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed(spark, read(spark, sf_dir, "documents"))
+    """The contract's columns for every document; nulls, long texts, ties and repeats as in ``removed``."""
+    return removed(spark, read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP2_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + {WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS i FROM f WHERE first < doc_id),
+n AS (SELECT doc_id, count(*) AS n, list(i) AS gone FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN n USING (doc_id)
+"""
