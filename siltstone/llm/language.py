@@ -1,75 +1,52 @@
 """LM scoring by a hierarchical Pitman-Yor model.
 
-Three tiers of restaurants share parents. A context restaurant seats the tokens of the training documents
-that follow one class of context: the class of the last frequent word before the token (``CLASSES`` of
-them, found by clustering how frequent words follow one another, and one more for the start of a text). Its
-dishes are words and the end of a text. The tables of all contexts are customers of one root restaurant,
-and a new table of the root draws its dish from the lowest tier, which spells a word byte by byte. There
-every context of 0 to ``ORDER`` bytes is a restaurant, and its parent is the context without its first byte;
-the deepest seat the spelled tables of the root, each table of a restaurant sends a customer to its parent,
-and the parent of all is uniform. Unknown words so have the probability of their spelling, and the score is
-a probability of the very text.
-
-Seating is sampled by Gibbs sweeps, each dish of a restaurant anew given the tables of all others as the
-sweep before left them; after ``BURN`` sweeps the predictive probabilities of ``KEEP`` more are averaged.
-Random numbers come from hashes of dish and sweep, so that tasks may be run again with the same result.
+Every word that comes before another one in the training documents has a restaurant of its own (and so has the start
+of a text), whose customers are the tokens that follow it; dishes are words and the end of a text. The tables of all
+these restaurants are customers of one root restaurant, their common parent, and a new table of the root draws its
+dish from all V known words and one unknown word alike, the same events as those of the base score.
 
-Word restaurants live in a table, a row for each word, that every sweep goes through in parallel. What is
-held by every task has a fixed size, whatever the corpus: words that make up at least one in ``FREQUENT``
-tokens are at most ``FREQUENT``, and bytes are one of ``SYMBOLS`` (the most frequent ones, the rest share
-one), so that the spelling tables have SYMBOLS ** (ORDER + 1) cells.
+Seating is sampled by Gibbs sweeps: customers of a dish come anew one after another, given the tables of all other
+dishes as the sweep before left them. After ``BURN`` sweeps the predictive probabilities of ``KEEP`` more are averaged.
+Random numbers come from hashes of dish and sweep, so that tasks may be run again with the same result.
 
-Documents meet the words' probabilities without a shuffle of tokens: documents are dealt into chunks of
-bounded size, a chunk asks once for each of its distinct words in a context, and is joined to its answers.
+Nothing is held whole by a task or the driver. A narrow pass encodes the texts in chunks of bounded bytes, dealt by
+their place in the input: a chunk has its distinct words, and its tokens by number. Its distinct pairs of neighbouring
+words go to buckets by hash of the pair, packed, so that no word makes a bucket larger than another. A bucket adds up
+its pairs. A pair that occurs once has one table whatever is sampled, so only pairs that occur twice or more are rows
+that the sweeps go through, joined by hash to what the state knows of their two words; with c(w) customers in all, a
+word's tables are c(w) less the customers beyond each dish's tables in those rows. In the end a bucket answers the
+chunks in the order of their questions, words answer theirs, and a chunk adds up the scores of its documents.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, map_rows, mix, read, word_hashes
+from siltstone.llm.common import Scratch, Tokens, byte_runs, join_small, map_rows, mix, read, tokenized
 
 FOLDS = 10
-SYMBOLS, ORDER = 48, 3
 BURN, KEEP = 1, 2
-FREQUENT, CLASSES = 512, 8
-#: Text bytes of a chunk, about.
-CHUNK_BYTES = 8 << 20
-#: Strength and discount of spelling contexts; strengths of the root and of a word context.
-SPELL_STRENGTH, SPELL_DISCOUNT, ROOT_STRENGTH, STRENGTH = 4.0, 0.5, 10.0, 10.0
-_END = b""  # the end of a text, as a dish: the empty spelling
-_PAD = 0  # the symbol before a word's first byte and after its last
+#: Text bytes of a chunk, and tokens for each bucket of pairs, about.
+CHUNK_BYTES, BUCKET_TOKENS = 4 << 20, 600_000
+#: Strengths of the restaurants of preceding words and of the root.
+STRENGTH, ROOT_STRENGTH = 2.0, 10.0
+#: The end of a text as a dish, its start as a context: neither can be a word.
+_END, _START = b"", b" "
+#: Rows of encoded chunks are megabytes: few at a time.
+_FEW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}
+_BLOCK = 32 << 20
 
 
 def training(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % FOLDS != 0
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
-def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The tokens of all texts one after another, and how many each text has."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
-    words, of = lists.flatten().view(pa.binary()), np.repeat(np.arange(len(texts)), np.asarray(lists.value_lengths()))
-    real = np.asarray(pc.binary_length(words)) > 0  # white space at either end leaves an empty one
-    return words.filter(pa.array(real)), np.bincount(of[real], minlength=len(texts))
-
-
-def _whole(column) -> pa.Array:
-    return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
-
-
 # ---- seating ----------------------------------------------------------------------------------
 
 
@@ -78,451 +55,329 @@ def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
         return ((mix(h ^ np.uint64((salt * 0x9E3779B97F4A7C15) % 2**64)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
+def binomial(n: np.ndarray, p: np.ndarray, keys: np.ndarray, salt: int) -> np.ndarray:
+    """Successes of n draws: by the distribution function where they are few, else by its normal limit."""
+    u, mean, deviation = _uniform(keys, salt), n * p, np.sqrt(n * p * (1 - p))
+    normal = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * _uniform(keys, salt + 1))
+    out = np.clip(np.rint(mean + deviation * normal), 0, n)
+    few = np.flatnonzero((mean < 9) & (p < 1))
+    if len(few):
+        odds, left = p[few] / (1 - p[few]), n[few].astype(np.float64)
+        term = np.exp(left * np.log1p(-p[few]))
+        below, k = term.copy(), np.zeros(len(few))
+        for i in range(1, 64):
+            more = u[few] > below
+            if not more.any():
+                break
+            term = term * odds * np.maximum(left - i + 1, 0) / i
+            below += term
+            k += more
+        out[few] = k
+    return np.where(p >= 1, n, out)
+
+
 def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, keys: np.ndarray, salt: int) -> np.ndarray:
     """Tables of each dish after its customers came one by one.
 
     ``fresh``: weight of a new table, (strength + discount * tables of the restaurant) * parent's probability
     of the dish; an old table's weight is its customers less the discount. Each of the first 32 customers is
-    drawn; later ones in blocks of a fifth of those before, as a block's expected new tables rounded at random.
+    drawn; later ones in blocks of a sixteenth of those before, at the chance of a new table in the block's middle.
     """
     t = np.minimum(customers, 1).astype(np.float64)
     live = np.flatnonzero(customers > 1)
     done, step = 1, 0
     while len(live):
-        size = np.minimum(1 if done < 32 else max(1, done // 5), customers[live] - done)
-        p = fresh[live] / np.maximum(done + (size - 1) / 2 - discount * t[live] + fresh[live], 1e-12)
-        new = np.floor(size * p + _uniform(keys[live], salt + 977 * step))
-        t[live] = np.minimum(t[live] + np.minimum(new, size), customers[live])
-        done += 1 if done < 32 else max(1, done // 5)
+        block = 1 if done < 32 else done // 16
+        size = np.minimum(block, customers[live] - done)
+        p = np.clip(fresh[live] / np.maximum(done + (size - 1) / 2 - discount * t[live] + fresh[live], 1e-300), 0.0, 1.0)
+        salted = salt + 977 * step
+        new = (_uniform(keys[live], salted) < p) if block == 1 else binomial(size, p, keys[live], salted)
+        t[live] = np.minimum(t[live] + new, customers[live])
+        done += block
         step += 1
         live = live[customers[live] > done]
     return t
 
 
-# ---- spelling ---------------------------------------------------------------------------------
+def discount(once: int, twice: int) -> float:
+    """The usual estimate from the counts of counts."""
+    return min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
 
 
-def symbols_of(counts: np.ndarray) -> np.ndarray:
-    """byte -> symbol: the most frequent bytes have their own, from 1; the others share the last."""
-    out = np.full(256, SYMBOLS - 1, np.int64)
-    top = [b for b in np.argsort(-counts, kind="stable") if counts[b] > 0][: SYMBOLS - 2]
-    out[top] = np.arange(1, len(top) + 1)
-    return out
+# ---- chunks -----------------------------------------------------------------------------------
 
 
-def spelled(words: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cell, word, is the shared symbol) of every byte of the words and of the end of each.
+def _encoded(docs: DataFrame) -> DataFrame:
+    """A row for each chunk: its documents, their tokens by number, its distinct words (the end last) and how often training has them."""
+    src = docs.select("doc_id", "text")
 
-    A cell is the number of the context of ORDER symbols and the symbol after it.
-    """
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.frombuffer(b"".join(words), np.uint8)
-    starts = np.concatenate([[0], np.cumsum(lens + ORDER + 1)])
-    s = np.zeros(int(starts[-1]), np.int64)  # each word: ORDER pads, its symbols, the end
-    at = np.repeat(starts[:-1] + ORDER, lens) + (np.arange(len(flat)) - np.repeat(np.concatenate([[0], np.cumsum(lens)])[:-1], lens))
-    s[at] = table[flat]
-    word = np.repeat(np.arange(len(words)), lens + 1)
-    place = np.arange(len(word)) + ORDER * (word + 1)
-    cell = np.zeros(len(place), np.int64)
-    for k in range(ORDER, -1, -1):
-        cell = cell * SYMBOLS + s[place - k]
-    return cell, word, s[place] == SYMBOLS - 1
-
-
-def spelling_model(cells: np.ndarray, counts: np.ndarray, tables: list[np.ndarray] | None, salt: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(log10 P of each cell, tables of each context by order), from the customers of the deepest restaurants.
-
-    ``tables``: those of the sweep before. Seats from the deepest restaurants up, given the parents'
-    probabilities of that sweep, then predicts from the top down.
-    """
-    size = SYMBOLS ** (ORDER + 1)
-    c = np.bincount(cells, counts, minlength=size)
-    levels, flow = [], c
-    shape = [SYMBOLS ** (k + 1) for k in range(ORDER, -1, -1)]
-    parents = _predict_parents(tables) if tables else None
-    for level, n in enumerate(shape):
-        busy = np.flatnonzero(flow)
-        t = np.zeros(n)
-        base = parents[level][busy % (n // SYMBOLS) if level < ORDER else slice(None)] if parents and level < ORDER else np.full(len(busy), 1.0 / SYMBOLS)
-        of = tables[level]["t"].reshape(-1, SYMBOLS).sum(axis=1)[busy // SYMBOLS] if tables else np.ones(len(busy))
-        t[busy] = seat(flow[busy].astype(np.int64), (SPELL_STRENGTH + SPELL_DISCOUNT * of) * base, SPELL_DISCOUNT, busy.astype(np.uint64), salt + 31 * level)
-        levels.append({"c": flow, "t": t})
-        flow = t.reshape(SYMBOLS, -1).sum(axis=0) if level < ORDER else flow  # the first symbol of the context goes
-    p = _predict(levels)
-    return np.log10(p).astype(np.float32), levels
-
-
-def _predict_levels(levels) -> list[np.ndarray]:
-    """P of each cell, by order, from the shortest context."""
-    p, out = np.full(SYMBOLS, 1.0 / SYMBOLS), []
-    for lv in reversed(levels):
-        c, t = lv["c"].reshape(-1, SYMBOLS), lv["t"].reshape(-1, SYMBOLS)
-        total, new = c.sum(axis=1, keepdims=True), t.sum(axis=1, keepdims=True)
-        parent = np.broadcast_to(p.reshape(1, -1, SYMBOLS) if len(c) > 1 else p.reshape(1, 1, SYMBOLS), (max(1, len(c) // max(1, p.size // SYMBOLS)), max(1, p.size // SYMBOLS), SYMBOLS)).reshape(-1, SYMBOLS)
-        p = (np.maximum(c - SPELL_DISCOUNT * t, 0) + (SPELL_STRENGTH + SPELL_DISCOUNT * new) * parent) / (SPELL_STRENGTH + total)
-        p = p.ravel()
-        out.append(p)
-    return out
-
-
-def _predict(levels) -> np.ndarray:
-    return _predict_levels(levels)[-1]
-
-
-def _predict_parents(levels) -> list[np.ndarray]:
-    """The parent's P for each level, from the deepest: that of the next shorter context."""
-    by = _predict_levels(levels)
-    return [by[ORDER - 1 - level] for level in range(ORDER)]
-
-
-# ---- the corpus -------------------------------------------------------------------------------
-
-
-def _chunked(docs: DataFrame) -> DataFrame:
-    """(doc_id, text as bytes, chunk): a chunk's size does not depend on the corpus."""
-    d = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    total = d.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = max(1, -(-int(total) // CHUNK_BYTES))
-    return d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n)).cast("int"))
-
-
-def _frequent(docs: DataFrame) -> list[bytes]:
-    """The words that make up at least one in FREQUENT training tokens, by a mergeable summary of each task."""
-
-    def run(batches):
-        n, total = Counter(), 0
-        for b in batches:
-            words, _ = split(b.column("text").filter(pa.array([training(i) for i in b.column("doc_id").to_pylist()], pa.bool_())))
-            total += len(words)
-            own = words.dictionary_encode()
-            c = np.bincount(np.asarray(own.indices), minlength=len(own.dictionary))
-            held = np.flatnonzero(c * 16 * FREQUENT >= len(words))  # what is far below the share in a batch can be let go
-            n.update(dict(zip(own.dictionary.take(pa.array(held)).to_pylist(), c[held].tolist(), strict=True)))
-        held = [(w, c) for w, c in n.items() if c * 8 * FREQUENT >= total]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in held] + [None], pa.binary()), pa.array([c for _, c in held] + [total], pa.int64())], names=["word", "n"])
-
-    sums = docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = sums.where("word is null").agg(F.sum("n")).first()[0] or 0
-    rows = sums.where(F.col("word").isNotNull() & (F.col("n") * FREQUENT >= total)).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    return [bytes(r["word"]) for r in rows]
-
-
-def _classes(docs: DataFrame, frequent: list[bytes]) -> dict[bytes, int]:
-    """The class of each frequent word: words that follow, and are followed by, the same ones are together."""
-    k = len(frequent)
-    if k <= CLASSES:
-        return {w: i for i, w in enumerate(frequent)}
-
-    def run(batches):
-        m = np.zeros(k * k, np.int64)
-        for b in batches:
-            words, lens = split(b.column("text").filter(pa.array([training(i) for i in b.column("doc_id").to_pylist()], pa.bool_())))
-            own = np.asarray(pc.fill_null(pc.index_in(words, value_set=pa.array(frequent, pa.binary())), -1)).astype(np.int64)
-            own, of = own[own >= 0], np.repeat(np.arange(len(lens)), lens)[own >= 0]
-            m += np.bincount((own[:-1] * k + own[1:])[of[1:] == of[:-1]], minlength=k * k)
-        at = np.flatnonzero(m)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m[at])], names=["pair", "n"])
-
-    got = docs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).orderBy("pair").toArrow()
-    m = np.zeros(k * k)
-    m[np.asarray(got.column("pair"))] = np.asarray(got.column("n"))
-    m = m.reshape(k, k)
-    m = m + m.T + 1e-3
-    gain = np.log(np.maximum(m * m.sum() / np.outer(m.sum(0), m.sum(1)), 1.0))
-    u, sv, _ = np.linalg.svd(gain)
-    x = u[:, : CLASSES] * sv[: CLASSES]
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    centres = [x[0]]
-    while len(centres) < CLASSES:  # the farthest first, then means
-        centres.append(x[np.argmin(np.max(x @ np.array(centres).T, axis=1))])
-    c = np.array(centres)
-    for _ in range(20):
-        of = np.argmax(x @ c.T, axis=1)
-        for j in range(CLASSES):
-            if (of == j).any():
-                c[j] = x[of == j].mean(axis=0)
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-    return {w: int(j) for w, j in zip(frequent, of, strict=True)}
-
-
-def _numbered(texts: pa.Array, classes: dict[bytes, int]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct words, the end last; number of the word, context and text of each token), all texts in one run."""
-    flat, lens = split(texts)
-    own = flat.dictionary_encode()
-    words = pa.concat_arrays([own.dictionary, pa.array([_END], pa.binary())])
-    of = np.repeat(np.arange(len(lens)), lens + 1)
-    ends = np.cumsum(lens + 1)
-    ids = np.full(len(of), len(own.dictionary), np.int64)
-    word = np.ones(len(of), bool)
-    word[ends - 1] = False
-    ids[word] = np.asarray(own.indices)
-    at = np.asarray(pc.fill_null(pc.index_in(words, value_set=pa.array(list(classes), pa.binary())), -1))
-    kind = np.where(at >= 0, np.array([*classes.values(), -1])[at], -1)[ids]
-    last = np.maximum.accumulate(np.where(kind >= 0, np.arange(len(ids)), -1))
-    before = np.concatenate([[-1], last[:-1]])[: len(ids)]
-    return words, ids, np.where(before >= (ends - lens - 1)[of], kind[before], CLASSES), of
-
-
-def _word_counts(chunked: DataFrame, classes: dict[bytes, int]) -> DataFrame:
-    """(word, z, chunk, n): the distinct words in contexts of each chunk, and how often its training documents have them."""
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at, n in byte_runs(b.column("text"), CHUNK_BYTES):
+            ids, t = b.column("doc_id").slice(at, n), tokenized(b.column("text").slice(at, n), lower=True)
+            train = np.array([training(i) for i in ids.to_pylist()], bool)
+            counts = np.append(np.bincount(t.ids, train[t.text], minlength=len(t.words)), train.sum()).astype(np.int64)
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            words = pa.concat_arrays([t.words, pa.array([_END], t.words.type)]).cast(pa.binary())
+            cols = [one(ids), one(pa.array(t.lens)), pa.array([t.ids.astype(np.int32).tobytes()]), one(words), one(pa.array(counts))]
+            yield pa.RecordBatch.from_arrays(cols, names=["ids", "lens", "tokens", "words", "n"])
+
+    kind = src.schema["doc_id"].dataType.simpleString()
+    out = map_rows(src, run, f"ids array<{kind}>, lens array<long>, tokens binary, words array<binary>, n array<long>")
+    return out.withColumn("chunk", F.monotonically_increasing_id())
+
+
+class Chunk:
+    """The distinct (context, word) pairs of a chunk, ordered by bucket, and which one each token (or end) is."""
+
+    def __init__(self, row, buckets: int):
+        self.words, self.lens = pa.array(row["words"], pa.binary()), np.array(row["lens"], np.int64)
+        self.end, self.start = len(self.words) - 1, len(self.words)
+        ids, ends = np.frombuffer(row["tokens"], np.int32), np.cumsum(self.lens + 1)
+        self.text = np.repeat(np.arange(len(self.lens)), self.lens + 1)
+        word = np.full(len(self.text), self.end, np.int64)
+        inner = np.ones(len(word), bool)
+        inner[ends - 1] = False
+        word[inner] = ids
+        before = np.concatenate([[self.start], word[:-1]])[: len(word)]
+        before[(ends - self.lens - 1)] = self.start
+        pair, of = np.unique(before * (self.start + 1) + word, return_inverse=True)
+        u, w = pair // (self.start + 1), pair % (self.start + 1)
+        h = Tokens(pa.concat_arrays([self.words, pa.array([_START], pa.binary())]), np.empty(0, np.int64), np.empty(0, np.int64)).hashes[0]
+        bucket = (_pair(h[u], h[w]) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.bucket, self.u, self.w, self.pair = bucket[order], u[order], w[order], place[of]
+        self.hu, self.hw = h[self.u], h[self.w]
+
+
+def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(u * np.uint64(0x9E3779B97F4A7C15) + w)
 
-    def work(t: pa.Table) -> pa.Table:
-        words, ids, z, of = _numbered(_whole(t.column("text")), classes)
-        train = np.array([training(i) for i in t.column("doc_id").to_pylist()])
-        key, at = np.unique(ids * (CLASSES + 1) + z, return_inverse=True)
-        n = np.bincount(at, train[of], minlength=len(key)).astype(np.int64)
-        z = pa.array((key % (CLASSES + 1)).astype(np.int32))
-        return pa.table({"word": words.take(pa.array(key // (CLASSES + 1))), "z": z, "chunk": pa.array(np.full(len(key), t.column("chunk")[0].as_py(), np.int32)), "n": pa.array(n)})
 
-    return chunked.groupBy("chunk").applyInArrow(work, "word binary, z int, chunk int, n long")
+def _hash(word: bytes) -> int:
+    return int(Tokens(pa.array([word]), np.empty(0, np.int64), np.empty(0, np.int64)).hashes[0].view(np.int64)[0])
 
 
-def _byte_counts(vocabulary: DataFrame) -> np.ndarray:
+def _asked(chunks: DataFrame, buckets: int) -> DataFrame:
+    """(p, chunk, u, w, n): the pairs that a chunk has in a bucket, as hashes, and how often its training documents have them."""
+
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        c = np.bincount(np.frombuffer(b"".join(b.column("word").to_pylist()), np.uint8), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(c)], names=["byte", "n"])
+        for row in b.to_pylist():
+            c = Chunk(row, buckets)
+            train = np.array([training(i) for i in row["ids"]], bool)
+            n = np.bincount(c.pair, train[c.text], minlength=len(c.u)).astype(np.int32)
+            cuts = np.flatnonzero(np.diff(c.bucket, prepend=-1))
+            each = lambda x: pa.array([x[a:z].tobytes() for a, z in zip(cuts, [*cuts[1:], len(x)], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c.bucket[cuts]), pa.array(np.full(len(cuts), row["chunk"])), each(c.hu), each(c.hw), each(n)], names=["p", "chunk", "u", "w", "n"])
+
+    return map_rows(chunks.select("chunk", "ids", "lens", "tokens", "words"), run, "p long, chunk long, u binary, w binary, n binary")
 
-    out = np.zeros(256)
-    for byte, n in map_rows(vocabulary.select("word"), run, "byte long, n long").groupBy("byte").agg(F.sum("n")).collect():
-        out[byte] = n
-    return out
 
+def _joined(column, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
-def _keys(words: list[bytes]) -> np.ndarray:
-    """A hash of each word; words have no white space, so that they can be joined by it."""
-    out = np.zeros(len(words), np.uint64)
-    full = [i for i, w in enumerate(words) if w]
-    out[full] = word_hashes(b" ".join(words[i] for i in full))
-    return out
 
+def _added(asked: DataFrame) -> DataFrame:
+    """(p, chunk, refs, u, w, n): for each question the places of its pairs among those that the bucket has twice or
+    more (-1: once, -2: never), and a row without chunk with these pairs and their counts."""
 
-def _log_spelling(words: list[bytes], table: np.ndarray, logp: np.ndarray, rare: int) -> np.ndarray:
-    cell, word, shared = spelled(words, table)
-    return np.bincount(word, logp[cell] - shared * np.log10(max(rare, 1)), minlength=len(words))
+    def work(t: pa.Table) -> pa.Table:
+        u, w, n = _joined(t.column("u"), np.uint64), _joined(t.column("w"), np.uint64), _joined(t.column("n"), np.int32)
+        _, first, of = np.unique(_pair(u, w), return_index=True, return_inverse=True)
+        total = np.bincount(of, n, minlength=len(first)).astype(np.int64)
+        often = total > 1
+        ref = np.where(often, np.cumsum(often) - 1, np.where(total == 1, -1, -2)).astype(np.int32)[of]
+        ends = np.cumsum([len(x) // 8 for x in t.column("u").to_pylist()])
+        refs = [x.tobytes() for x in np.split(ref, ends[:-1])]
+        p, at = t.column("p")[0].as_py(), first[often]
+        return pa.table({
+            "p": pa.array([p] * (len(refs) + 1), pa.int64()), "chunk": pa.array([*t.column("chunk").to_pylist(), None], pa.int64()), "refs": pa.array([*refs, None], pa.binary()),
+            **{k: pa.array([None] * len(refs) + [x.tobytes()], pa.binary()) for k, x in (("u", u[at]), ("w", w[at]), ("n", total[often]))},
+        })
 
+    return asked.groupBy("p").applyInArrow(work, "p long, chunk long, refs binary, u binary, w binary, n binary")
 
-class State:
-    """The totals that a sweep leaves: tables and customers of each context, of the root, and the spelling."""
 
-    def __init__(self, discounts, tables, customers, root_tables, root_customers, logp):
-        self.d, self.root_d = discounts
-        self.tables, self.customers = np.asarray(tables, float), np.asarray(customers, float)
-        self.root_tables, self.root_customers, self.logp = float(root_tables), float(root_customers), logp
+def _often(added: DataFrame) -> DataFrame:
+    """(p, k, u, w, n, t, m): a row for each pair that occurs twice or more; t tables, one at first; m: what is averaged."""
 
-    def __getstate__(self):
-        """Unseen contexts predict what their parents do, so that the spelling packs well for a broadcast."""
-        return self.__dict__ | {"logp": (pa.compress(self.logp.tobytes(), "zstd", asbytes=True), self.logp.nbytes)}
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for row in b.to_pylist():
+            u, w, n = (np.frombuffer(row[c], np.int64) for c in ("u", "w", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), row["p"])), *map(pa.array, (np.arange(len(u), dtype=np.int32), u, w, n, np.ones(len(u), np.int64), np.zeros(len(u))))], names=["p", "k", "u", "w", "n", "t", "m"])
 
-    def __setstate__(self, packed):
-        self.__dict__.update(packed, logp=np.frombuffer(pa.decompress(packed["logp"][0], packed["logp"][1], "zstd", asbytes=True), np.float32))
+    return map_rows(added.where("chunk is null").select("p", "u", "w", "n"), run, _ROW)
 
-    def root(self, cp, t, base):
-        return (np.maximum(cp - self.root_d * t, 0) + (ROOT_STRENGTH + self.root_d * self.root_tables) * base) / (ROOT_STRENGTH + self.root_customers)
 
-    def fresh(self):
-        return STRENGTH + self.d * self.tables
+_ROW = "p long, k int, u long, w long, n long, t long, m double"
 
 
-#: A word's contexts, customers and tables in each (packed), its customers, customers and tables of the root, and
-#: for each state that is averaged but the last the root's log10 probability and the tables.
-_BASIC = "word binary, zs binary, ns binary, tz binary, c long, cp double, t double"
-_NOTED = "".join(f", root{i} float, tz{i} binary" for i in range(KEEP - 1))
+# ---- the state --------------------------------------------------------------------------------
 
 
-def _packed(values: np.ndarray, lens: np.ndarray) -> pa.Array:
-    """The bytes of a run of numbers for each row."""
-    ends = np.concatenate([[0], np.cumsum(lens)]) * values.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+def _words(chunks: DataFrame) -> DataFrame:
+    """(word, h, c): every word of the chunks, its hash and training count."""
+    sums = chunks.select(F.explode(F.arrays_zip("words", "n")).alias("x")).groupBy("x.words").agg(F.sum("x.n").alias("c")).withColumnRenamed("words", "word")
 
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        h = Tokens(b.column("word"), np.empty(0, np.int64), np.empty(0, np.int64)).hashes[0]
+        yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(h.view(np.int64)), b.column("c")], names=["word", "h", "c"])
 
-def _unpacked(column: pa.Array, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+    return map_rows(sums, run, "word binary, h long, c long")
 
 
-def _cells(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, context, customers, tables) of each dish of a context."""
-    lens = np.asarray(pc.binary_length(b.column("zs")))
-    return np.repeat(np.arange(len(lens)), lens), _unpacked(b.column("zs"), np.uint8).astype(np.int64), _unpacked(b.column("ns"), np.int64), _unpacked(b.column("tz"), np.int32)
+class Numbers:
+    """The few numbers of a state that every task needs."""
 
+    def __init__(self, words: int, d: float, root_d: float, customers: int, tables: int):
+        self.base, self.d, self.root_d, self.customers, self.tables = 1.0 / (words + 1), d, root_d, customers, tables
 
-def _first(own: DataFrame) -> DataFrame:
-    """A row for each word, from its (z, n): every dish of a context that has customers has one table."""
+    @property
+    def fresh(self) -> float:
+        return (ROOT_STRENGTH + self.root_d * self.tables) * self.base
 
-    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        cells = b.column("own").flatten()
-        z, n = (np.asarray(x) for x in cells.flatten())
-        of = np.repeat(np.arange(b.num_rows), np.asarray(b.column("own").value_lengths()))
-        order = np.lexsort((z, of))
-        order = order[n[order] > 0]
-        of, z, n = of[order], z[order], n[order]
-        lens = np.bincount(of, minlength=b.num_rows)
-        c = np.bincount(of, n, minlength=b.num_rows).astype(np.int64)
-        ones = _packed(np.ones(len(of), np.int32), lens)
-        yield pa.RecordBatch.from_arrays([b.column("word"), _packed(z.astype(np.uint8), lens), _packed(n.astype(np.int64), lens), ones, pa.array(c), pa.array(lens.astype(float)), pa.array(np.minimum(c, 1).astype(float))], names=["word", "zs", "ns", "tz", "c", "cp", "t"])
+    def root(self, customers, tables):
+        """Probability of a dish of the root (columns or numbers)."""
+        return (customers - self.root_d * tables + self.fresh) / (ROOT_STRENGTH + self.customers)
 
-    return map_rows(own, run, _BASIC)
 
+def _restaurants(known: DataFrame, rows: DataFrame) -> DataFrame:
+    """(h, c, seats, cp, tables): of each word its customers at the root, and the tables of its own restaurant."""
+    less = (F.col("n") - F.col("t")).alias("less")
+    each = rows.select(F.col("u").alias("h"), less, F.lit(0).alias("side")).union(rows.select(F.col("w").alias("h"), less, F.lit(1).alias("side"))).where("less > 0")
+    at = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("less"))), F.lit(0))
+    sums = each.groupBy("h").agg(at(0).alias("own"), at(1).alias("root"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return known.join(sums, "h", "left").select("h", "c", "seats", (F.col("c") - zero("root")).alias("cp"), (F.col("seats") - zero("own")).alias("tables"))
 
-def _sweep(vocabulary: DataFrame, held: Broadcast, rare: int, salt: int, keep: int | None) -> DataFrame:
-    """Seats every dish of every context and of the root.
 
-    ``held``: the symbols of bytes and the state.
-    ``keep``: where to note what the state of the sweep before predicts from.
-    """
+def _seated_root(states: DataFrame, numbers: Numbers, salt: int) -> DataFrame:
+    """(h, c, seats, cp, tables, t): with the root's tables of each word."""
+    fresh, d = numbers.fresh, numbers.root_d
+
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        tab, st = held.value
-        words = b.column("word").to_pylist()
-        of, z, n, _ = _cells(b)
-        base = 10.0 ** _log_spelling(words, tab, st.logp, rare)
-        root = st.root(np.asarray(b.column("cp")), np.asarray(b.column("t")), base)
-        new = {}
-        if keep is not None:
-            new = {f"root{keep}": pa.array(np.log10(root).astype(np.float32)), f"tz{keep}": b.column("tz")}
-        keys = _keys(words)
-        with np.errstate(over="ignore"):
-            cells = keys[of] + (z.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        tz = seat(n, st.fresh()[z] * root[of], st.d, cells, salt)
-        cp = np.bincount(of, tz, minlength=len(words))
-        t = seat(cp.astype(np.int64), (ROOT_STRENGTH + st.root_d * st.root_tables) * base, st.root_d, keys, salt + 1)
-        new |= {"tz": _packed(tz.astype(np.int32), np.bincount(of, minlength=len(words))), "cp": pa.array(cp), "t": pa.array(t)}
-        yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in b.schema.names], names=b.schema.names)
-
-    return map_rows(vocabulary, run, _BASIC + _NOTED)
-
-
-def _priced(vocabulary: DataFrame, held: Broadcast, rare: int) -> DataFrame:
-    """(word, c, zs, lps, root0 ...): averaged log10 P in each context that knows the word, and log10 P of the root.
-
-    ``held``: the symbols of bytes and the states, KEEP of them. States that are not noted in the rows predict
-    from the rows' own seats.
-    """
+        cp = np.asarray(b.column("cp"))
+        t = seat(cp, np.full(len(cp), fresh), d, np.asarray(b.column("h")).view(np.uint64), salt)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t.astype(np.int64))], names=[*b.schema.names, "t"])
+
+    return map_rows(states, run, "h long, c long, seats long, cp long, tables long, t long")
+
+
+def _sweep(rows: DataFrame, state: DataFrame, numbers: Numbers, salt: int, keep: bool) -> DataFrame:
+    """``rows`` seated anew, with ``ll``, the log-likelihood of their customers before that; ``m`` adds up what is kept."""
+    d = numbers.d
+    own = state.select(F.col("h").alias("u"), "seats", "tables")
+    dish = state.select(F.col("h").alias("w"), numbers.root(F.col("cp"), F.col("t")).alias("q"))
+    src = join_small(join_small(rows, own, ["u"], "inner"), dish, ["w"], "inner").select("p", "k", "u", "w", "n", "t", "m", "seats", "tables", "q")
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        tab, sts = held.value
-        words, cp, t = b.column("word").to_pylist(), np.asarray(b.column("cp")), np.asarray(b.column("t"))
-        of, z, n, tz = _cells(b)
-        p, roots = np.zeros(len(z)), []
-        for i, st in enumerate(sts):
-            seats = tz
-            if f"root{i}" in b.schema.names:
-                seats, log_root = _unpacked(b.column(f"tz{i}"), np.int32), np.asarray(b.column(f"root{i}")).astype(float)
-            else:  # long new words are below what a double holds
-                spelling = _log_spelling(words, tab, st.logp, rare)
-                log_root = np.where(cp > 0, np.log10(np.maximum(st.root(cp, t, 10.0**spelling), 1e-300)), spelling + np.log10(st.root(0.0, 0.0, 1.0)))
-            p += (np.maximum(n - st.d * seats, 0) + st.fresh()[z] * 10.0 ** log_root[of]) / (STRENGTH + st.customers[z]) / len(sts)
-            roots.append(pa.array(log_root.astype(np.float32)))
-        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(words)))]), pa.int32())
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (z.astype(np.int8), np.log10(p).astype(np.float32))]
-        yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), *lists, *roots], names=["word", "c", "zs", "lps", *[f"root{i}" for i in range(len(roots))]])
-
-    return map_rows(vocabulary, run, "word binary, c long, zs array<byte>, lps array<float>" + "".join(f", root{i} float" for i in range(KEEP)))
-
-
-def _gathered(vocabulary: DataFrame, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, float]]:
-    """(cells, customers) of the deepest spelling restaurants, and sums under negative numbers.
-
-    -1: tables of the root, -2: its customers, -3 and -4: customers of contexts that are 1 or 2, -5 and -6: of the
-    root; -10 - z: tables of context z, -100 - z: its customers. At most SYMBOLS ** (ORDER + 1) + 206 rows,
-    whatever the corpus.
-    """
+        n, t, m, seats, tables, q = (np.asarray(b.column(c)) for c in ("n", "t", "m", "seats", "tables", "q"))
+        fresh = (STRENGTH + d * tables) * q
+        ll = n * np.log10((n - d * t + fresh) / (STRENGTH + seats))
+        keys = _pair(np.asarray(b.column("u")).view(np.uint64), np.asarray(b.column("w")).view(np.uint64))
+        t = seat(n, fresh, d, keys, salt)
+        m = m + (n - d * t) if keep else m
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("p", "k", "u", "w", "n")), pa.array(t.astype(np.int64)), pa.array(m), pa.array(ll)], names=["p", "k", "u", "w", "n", "t", "m", "ll"])
 
-    def run(batches):
-        cells, counts = np.empty(0, np.int64), np.empty(0)
-        for b in batches:  # added up before the shuffle
-            t, cp = np.asarray(b.column("t")), np.asarray(b.column("cp"))
-            _, z, n, tz = _cells(b)
-            cell, word, _ = spelled(b.column("word").to_pylist(), table)
-            each = np.arange(CLASSES + 1)
-            more = np.concatenate([-np.arange(1, 7), -10 - each, -100 - each])
-            sums = np.concatenate([[t.sum(), cp.sum(), (n == 1).sum(), (n == 2).sum(), (cp == 1).sum(), (cp == 2).sum()], np.bincount(z, tz, minlength=CLASSES + 1), np.bincount(z, n, minlength=CLASSES + 1)])
-            cells, at = np.unique(np.concatenate([cells, cell, more]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, t[word], sums]), minlength=len(cells))
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], names=["cell", "n"])
-
-    got = vocabulary.select("word", "zs", "ns", "tz", "cp", "t").mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toArrow()
-    cell, n = np.asarray(got.column("cell")), np.asarray(got.column("n"))
-    return cell[cell >= 0], np.round(n[cell >= 0]).astype(np.int64), dict(zip(cell[cell < 0].tolist(), n[cell < 0].tolist(), strict=True))
-
-
-def _discount(once: int, twice: int) -> float:
-    """The usual estimate from the counts of counts."""
-    return min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
+    return map_rows(src, run, _ROW + ", ll double")
+
+
+def _answers(added: DataFrame, rows: DataFrame, once: float) -> DataFrame:
+    """(chunk, at, m): for each question, by bucket, what its pairs have beyond their parent's share, as packed floats."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = np.zeros(right.num_rows + 2, np.float32)  # the last two: never and once
+        own[np.asarray(right.column("k"))] = np.asarray(right.column("m"))
+        own[-1] = once
+        m = [own[np.frombuffer(x, np.int32)].tobytes() for x in left.column("refs").to_pylist()]
+        return pa.table({"chunk": left.column("chunk"), "at": left.column("p"), "m": pa.array(m, pa.binary())})
+
+    asked = added.where("chunk is not null").select("p", "chunk", "refs")
+    return asked.groupBy("p").cogroup(rows.select("p", "k", "m").groupBy("p")).applyInArrow(work, "chunk long, at long, m binary")
 
 
-def scored(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def scored(spark: SparkSession, docs: DataFrame, trace: list[float] | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity), a row for each row of ``docs``.
 
-    Null texts count as empty (one token, the end); a null doc_id as the empty text; repeated rows are
-    counted and scored each; an empty table gives none; other columns are ignored. ``perplexity`` is of
-    the averaged predictive probabilities, per token.
+    Null texts count as empty (one token, the end); a null doc_id as the empty text; very long texts are chunks of
+    their own; repeated rows are counted and scored each; equal texts score alike (ties); an empty table gives none;
+    other columns are ignored, whatever their names. ``perplexity`` is of the averaged predictive probabilities, per
+    token. ``trace`` is told the mean log-likelihood of what is sampled, sweep by sweep.
     """
     with Scratch(spark) as s:
-        chunked = _chunked(docs)
-        plain = chunked.select("doc_id", "text")
-        classes = _classes(plain, _frequent(plain))
-        asked = s.table(_word_counts(chunked, classes))
-        # One shuffle by word serves both groupings; a word has at most as many rows as chunks and contexts.
-        sums = asked.select("word", "z", "n").repartition("word").groupBy("word", "z").agg(F.sum("n").alias("n"))
-        own = sums.groupBy("word").agg(F.collect_list(F.struct("z", "n")).alias("own"))
-        words, c = s.table(_first(own)), F.col("c")
-        # Words that occur once have one table whatever is sampled: only the others go through the sweeps.
-        blank = [x for i in range(KEEP - 1) for x in (F.lit(None).cast("float").alias(f"root{i}"), F.lit(None).cast("binary").alias(f"tz{i}"))]
-        known = s.table(words.where(c > 1).select("*", *blank))
-        table, rare = symbols_of(_byte_counts(words.where(c > 0))), 256 - (SYMBOLS - 2)
-        still = _gathered(words.where(c == 1), table)
-        levels, kept, discounts, total, distinct = None, [], None, 0, words.where(c > 0).count()
+        chunks = s.table(_encoded(docs), block=_BLOCK)
+        size = chunks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+        buckets = max(1, -(-size // 4 // BUCKET_TOKENS))
+        words = s.table(_words(chunks))
+        total, distinct, once, ends = words.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.max(F.when(F.col("word") == F.lit(_END), F.col("c")))).first()
+        total, ends = total or 0, ends or 0
+        asked = s.table(_asked(chunks, buckets), settings=_FEW)
+        added = s.table(_added(asked))
+        s.drop(asked)
+        rows = s.table(_often(added), settings=_FEW)
+        # Words that occur once have one table each; the start of a text is a context that is no dish.
+        seats = F.when(F.col("word") == F.lit(_END), 0).otherwise(F.col("c")).alias("seats")
+        known = words.where("c > 1").select("h", "c", seats)
+        known = s.table(known.unionByName(spark.range(1).select(F.lit(_hash(_START)).alias("h"), F.lit(0).cast("long").alias("c"), F.lit(ends).cast("long").alias("seats"))))
+        often, twice = rows.agg(F.sum("n"), F.count_if(F.col("n") == 2)).first()
+        d, numbers, values, kept = discount(total - (often or 0), twice), None, None, []
         for sweep in range(BURN + KEEP + 1):  # the first state seats one table for each dish of a restaurant
-            cells, counts, g = _gathered(known, table)
-            cells, counts = np.concatenate([cells, still[0]]), np.concatenate([counts, still[1]])
-            g = {k: g.get(k, 0.0) + still[2].get(k, 0.0) for k in {*g, *still[2]}}
-            of = lambda k: [g.get(k - z, 0.0) for z in range(CLASSES + 1)]
-            if discounts is None:
-                discounts, total = (_discount(g.get(-3, 0), g.get(-4, 0)), _discount(g.get(-5, 0), g.get(-6, 0))), int(sum(of(-100)))
-            logp, levels = spelling_model(cells, counts, levels, 104_729 * (sweep + 1))
-            state = State(discounts, of(-10), of(-100), g.get(-1, 0.0), g.get(-2, 0.0), logp)
-            keep = sweep - BURN - 1
-            if keep >= 0:
-                kept.append(state)
-            if keep < KEEP - 1:
-                held = spark.sparkContext.broadcast((table, state))
-                new = s.table(_sweep(known, held, rare, 7919 * sweep, keep if keep >= 0 else None))
-                held.destroy()  # every executor has a copy on its disk
-                s.drop(known)
-                known = new
-        levels = None
+            states = s.table(_restaurants(known, rows))
+            customers, one, two = states.agg(F.sum("cp"), F.count_if(F.col("cp") == 1), F.count_if(F.col("cp") == 2)).first()
+            if numbers is None:
+                numbers = Numbers(distinct, d, discount(once + one, two), (customers or 0) + once, distinct)
+            else:
+                numbers = Numbers(distinct, d, numbers.root_d, (customers or 0) + once, numbers.tables)
+            state = s.table(_seated_root(states, numbers, 7919 * sweep))
+            s.drop(states)
+            numbers = Numbers(distinct, d, numbers.root_d, numbers.customers, (state.agg(F.sum("t")).first()[0] or 0) + once)
+            if sweep > BURN:  # this state's seats are averaged
+                i = len(kept)
+                kept.append(numbers)
+                own = state.select("h", numbers.root(F.col("cp"), F.col("t")).cast("float").alias(f"q{i}"), ((STRENGTH + d * F.col("tables")) / (STRENGTH + F.col("seats"))).cast("float").alias(f"b{i}"))
+                values = s.table(own if values is None else values.join(own, "h"))
+            if len(kept) < KEEP:
+                new = s.table(_sweep(rows, state, numbers, 104_729 * (sweep + 1), sweep >= BURN))
+                if trace is not None and often:
+                    trace.append(new.agg(F.sum("ll")).first()[0] / often)
+                s.drop(rows)
+                rows = new.drop("ll")
+            s.drop(state)
+        begin = values.where(F.col("h") == _hash(_START)).first()
+        start = np.array([begin[f"b{i}"] for i in range(KEEP)])
+        answers = s.table(_answers(added, rows, KEEP * (1 - d)))
+        q = lambda i: F.coalesce(f"q{i}", F.when(F.col("c") == 1, kept[i].root(1, 1)).otherwise(kept[i].root(0, 0))).cast("float").alias(f"q{i}")
+        b = lambda i: F.coalesce(f"b{i}", F.when(F.col("c") == 1, (STRENGTH + d) / (STRENGTH + 1)).otherwise(1.0)).cast("float").alias(f"b{i}")
+        valued = s.table(words.join(values, "h", "left").select("word", "c", *map(q, range(KEEP)), *map(b, range(KEEP))))
+        places = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
+        told = places.join(valued, "word").select(F.col("chunk").alias("of"), F.col("at").cast("long").alias("at"), F.lit(None).cast("binary").alias("m"), *valued.columns[1:])
+        told = told.unionByName(answers.withColumnRenamed("chunk", "of"), allowMissingColumns=True)
         log_n = float(np.log10(total + 0.1 * (distinct + 1)))
-        held = spark.sparkContext.broadcast((table, kept))
-        priced = _priced(known, held, rare).unionByName(_priced(words.where(c <= 1), held, rare))
-        # Of the one context that is asked for; contexts without the word have no tables of it, and ask the root.
-        at, z = F.array_position("zs", F.col("z").cast("byte")).cast("int"), F.col("z")
-        top = F.greatest(*[F.col(f"root{i}") for i in range(KEEP)], F.lit(-1e30)).cast("double")
-        new = F.lit(0.0)
-        for i, st in enumerate(kept):
-            share = F.array(*map(F.lit, (st.fresh() / (STRENGTH + st.customers) / KEEP).tolist()))[z]
-            new = new + share * F.pow(F.lit(10.0), F.col(f"root{i}") - top)
-        lp = F.when(at > 0, F.element_at("lps", F.when(at > 0, at)).cast("double")).otherwise(top + F.log10(new)).cast("float")
-        answers = s.table(asked.select("word", "z", "chunk").join(priced, "word").select("chunk", "word", "z", "c", lp.alias("lp")))
-        held.destroy()
-        for used in (asked, words):
-            s.drop(used)
 
         def score(left: pa.Table, right: pa.Table) -> pa.Table:
-            ids = left.column("doc_id").to_pylist()
-            own = _whole(right.column("word")).dictionary_encode()
-            row = np.zeros((CLASSES + 1) * max(1, len(own.dictionary)), np.int64)
-            row[np.asarray(own.indices).astype(np.int64) * (CLASSES + 1) + np.asarray(right.column("z"))] = np.arange(len(own))
-            words, w, z, of = _numbered(_whole(left.column("text")), classes)
-            at = row[np.asarray(pc.index_in(words, value_set=own.dictionary)).astype(np.int64)[w] * (CLASSES + 1) + z]
-            c, lp = np.asarray(right.column("c")), np.asarray(right.column("lp")).astype(np.float64)
-            add = lambda x: np.bincount(of, x[at], minlength=len(ids))
-            n_all = np.bincount(of, minlength=len(ids))
-            columns = {"n_tokens": n_all, "n_known": add(c > 0).astype(np.int64), "train_tokens": np.full(len(ids), total), "base_score": add(np.log10(c + 0.1)) - n_all * log_n, "score": add(lp)}
-            return pa.table({"doc_id": left.column("doc_id"), "held_out": pa.array([not training(i) for i in ids], pa.bool_()), **{k: pa.array(v) for k, v in columns.items()}})
+            row = left.to_pylist()[0]
+            c, ids = Chunk(row, buckets), row["ids"]
+            of_word = np.asarray(right.column("m").is_null())
+            w, pairs = right.filter(pa.array(of_word)).sort_by("at"), right.filter(pa.array(~of_word)).sort_by("at")
+            count = np.append(np.asarray(w.column("c")), ends)
+            own = _joined(pairs.column("m"), np.float32).astype(np.float64) / (STRENGTH + count[c.u])
+            for i in range(KEEP):
+                back = np.append(np.asarray(w.column(f"b{i}")).astype(np.float64), start[i])
+                own += back[c.u] * np.append(np.asarray(w.column(f"q{i}")).astype(np.float64), 0.0)[c.w]
+            lp, known, plain = np.log10(own / KEEP), count[c.w] > 0, np.log10(count[c.w] + 0.1)
+            add = lambda x: np.bincount(c.text, x[c.pair], minlength=len(ids))
+            n_all = c.lens + 1
+            columns = {"n_tokens": n_all, "n_known": add(known).astype(np.int64), "train_tokens": np.full(len(ids), total), "base_score": add(plain) - n_all * log_n, "score": add(lp)}
+            return pa.table({"doc_id": left.column("ids").chunk(0).flatten(), "held_out": pa.array([not training(i) for i in ids], pa.bool_()), **{k: pa.array(v) for k, v in columns.items()}})
 
         kind = docs.schema["doc_id"].dataType.simpleString()
-        out = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        src = chunks.select("chunk", "ids", "lens", "tokens", "words")
+        out = src.groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
         return s.table(out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))), keep=True)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of every document; nulls, long texts, ties and repeats as in ``scored``."""
     return scored(spark, read(spark, sf_dir, "documents"))
