@@ -10,12 +10,12 @@ dishes as the sweep before left them. After ``BURN`` sweeps the predictive proba
 Random numbers come from hashes of dish and sweep, so that tasks may be run again with the same result.
 
 Nothing is held whole by a task or the driver. A narrow pass encodes the texts in chunks of bounded bytes, dealt by
-their place in the input: a chunk has its distinct words, and its tokens by number. Its distinct pairs of neighbouring
-words go to buckets by hash of the pair, packed, so that no word makes a bucket larger than another. A bucket adds up
-its pairs. A pair that occurs once has one table whatever is sampled, so only pairs that occur twice or more are rows
-that the sweeps go through, joined by hash to what the state knows of their two words; with c(w) customers in all, a
-word's tables are c(w) less the customers beyond each dish's tables in those rows. In the end a bucket answers the
-chunks in the order of their questions, words answer theirs, and a chunk adds up the scores of its documents.
+their place in the input: a chunk has its distinct words, and its tokens by number. Its distinct words, and its
+distinct pairs of neighbouring words, go to buckets by hash, packed, so that no word makes a bucket larger than another,
+and a bucket adds them up. A pair that occurs once has one table whatever is sampled, so only pairs that occur twice or
+more are rows that the sweeps go through, joined by hash to what the state knows of their two words; with c(w)
+customers in all, a word's tables are c(w) less the customers beyond each dish's tables in those rows. In the end the
+buckets answer the chunks in the order of their questions, and a chunk adds up the scores of its documents.
 """
 
 from __future__ import annotations
@@ -25,15 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, Tokens, byte_runs, join_small, map_rows, mix, read, tokenized
+from siltstone.llm.common import Scratch, byte_runs, map_rows, mix, read, tokenized
 
 FOLDS = 10
 BURN, KEEP = 1, 2
-#: Text bytes of a chunk, and tokens for each bucket of pairs, about.
-CHUNK_BYTES, BUCKET_TOKENS = 4 << 20, 600_000
+#: Text bytes of a chunk, and for each bucket of pairs and of words, about.
+CHUNK_BYTES, BUCKET_BYTES, WORD_BUCKET_BYTES = 6 << 20, 4 << 20, 12 << 20
 #: Strengths of the restaurants of preceding words and of the root.
 STRENGTH, ROOT_STRENGTH = 2.0, 10.0
 #: The end of a text as a dish, its start as a context: neither can be a word.
@@ -107,22 +109,61 @@ def discount(once: int, twice: int) -> float:
 # ---- chunks -----------------------------------------------------------------------------------
 
 
-def _encoded(docs: DataFrame) -> DataFrame:
-    """A row for each chunk: its documents, their tokens by number, its distinct words (the end last) and how often training has them."""
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _hash(word: bytes) -> int:
+    return int(_hashes([word]).view(np.int64)[0])
+
+
+def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(u * np.uint64(0x9E3779B97F4A7C15) + w)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, all first bytes first: small ones pack well."""
+    return x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _whole(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel().astype(np.int64)
+
+
+def _runs(bucket: np.ndarray) -> list[tuple[int, int]]:
+    """[start, end) of equal values."""
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    return list(zip(cuts, [*cuts[1:], len(bucket)], strict=True))
+
+
+def _encoded(docs: DataFrame, buckets: int) -> DataFrame:
+    """A row for each chunk: its documents, their tokens by number, and its distinct words (the end of a text is one of
+    them) with their counts, in parts, one for each bucket of words. Words have no spaces, so that a part is a text.
+
+    Tokens are numbered by how frequent their word is in the chunk, of equal ones by the place in the parts.
+    """
     src = docs.select("doc_id", "text")
+    counts = "words: binary, n: binary, held: binary"
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at, n in byte_runs(b.column("text"), CHUNK_BYTES):
             ids, t = b.column("doc_id").slice(at, n), tokenized(b.column("text").slice(at, n), lower=True)
             train = np.array([training(i) for i in ids.to_pylist()], bool)
-            counts = np.append(np.bincount(t.ids, train[t.text], minlength=len(t.words)), train.sum()).astype(np.int64)
+            n_all = np.append(np.bincount(t.ids, minlength=len(t.words)), len(ids))
+            n_train = np.append(np.bincount(t.ids[train[t.text]], minlength=len(t.words)), train.sum())
+            words = [*t.words.to_pylist(), _END]
+            bucket = (_hashes(words) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order[np.argsort(-n_all[order], kind="stable")]] = np.arange(len(order))
+            parts = [{"p": int(bucket[order[a]]), "words": b" ".join([words[i] for i in order[a:z]]), "n": _planes(n_train[order[a:z]]), "held": _planes((n_all - n_train)[order[a:z]])} for a, z in _runs(bucket[order])]
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            words = pa.concat_arrays([t.words, pa.array([_END], t.words.type)]).cast(pa.binary())
-            cols = [one(ids), one(pa.array(t.lens)), pa.array([t.ids.astype(np.int32).tobytes()]), one(words), one(pa.array(counts))]
-            yield pa.RecordBatch.from_arrays(cols, names=["ids", "lens", "tokens", "words", "n"])
+            cols = [one(ids), one(pa.array(t.lens)), pa.array([_planes(rank[t.ids])]), one(pa.array(parts, pa.struct([("p", pa.int64()), ("words", pa.binary()), ("n", pa.binary()), ("held", pa.binary())])))]
+            yield pa.RecordBatch.from_arrays(cols, names=["ids", "lens", "tokens", "parts"])
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    out = map_rows(src, run, f"ids array<{kind}>, lens array<long>, tokens binary, words array<binary>, n array<long>")
+    out = map_rows(src, run, f"ids array<{kind}>, lens array<long>, tokens binary, parts array<struct<p: long, {counts}>>")
     return out.withColumn("chunk", F.monotonically_increasing_id())
 
 
@@ -130,19 +171,21 @@ class Chunk:
     """The distinct (context, word) pairs of a chunk, ordered by bucket, and which one each token (or end) is."""
 
     def __init__(self, row, buckets: int):
-        self.words, self.lens = pa.array(row["words"], pa.binary()), np.array(row["lens"], np.int64)
-        self.end, self.start = len(self.words) - 1, len(self.words)
-        ids, ends = np.frombuffer(row["tokens"], np.int32), np.cumsum(self.lens + 1)
+        self.lens = np.array(row["lens"], np.int64)
+        words = [w for x in row["parts"] for w in x["words"].split(b" ")]
+        n = np.concatenate([_whole(x["n"]) + _whole(x["held"]) for x in row["parts"]])
+        by_rank, self.start = np.argsort(-n, kind="stable"), len(words)
+        ends = np.cumsum(self.lens + 1)
         self.text = np.repeat(np.arange(len(self.lens)), self.lens + 1)
-        word = np.full(len(self.text), self.end, np.int64)
+        word = np.full(len(self.text), words.index(_END), np.int64)
         inner = np.ones(len(word), bool)
         inner[ends - 1] = False
-        word[inner] = ids
+        word[inner] = by_rank[_whole(row["tokens"])]
         before = np.concatenate([[self.start], word[:-1]])[: len(word)]
-        before[(ends - self.lens - 1)] = self.start
+        before[ends - self.lens - 1] = self.start
         pair, of = np.unique(before * (self.start + 1) + word, return_inverse=True)
         u, w = pair // (self.start + 1), pair % (self.start + 1)
-        h = Tokens(pa.concat_arrays([self.words, pa.array([_START], pa.binary())]), np.empty(0, np.int64), np.empty(0, np.int64)).hashes[0]
+        h = _hashes([*words, _START])
         bucket = (_pair(h[u], h[w]) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         place = np.empty(len(order), np.int64)
@@ -151,81 +194,93 @@ class Chunk:
         self.hu, self.hw = h[self.u], h[self.w]
 
 
-def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(u * np.uint64(0x9E3779B97F4A7C15) + w)
+def _asked_words(chunks: DataFrame) -> DataFrame:
+    """(p, chunk, words, n): the words that a chunk has in a bucket, and how often its training documents have them."""
+    return chunks.select("chunk", F.explode("parts").alias("part")).select("part.p", "chunk", "part.words", "part.n")
 
 
-def _hash(word: bytes) -> int:
-    return int(Tokens(pa.array([word]), np.empty(0, np.int64), np.empty(0, np.int64)).hashes[0].view(np.int64)[0])
-
-
-def _asked(chunks: DataFrame, buckets: int) -> DataFrame:
+def _asked_pairs(chunks: DataFrame, buckets: int) -> DataFrame:
     """(p, chunk, u, w, n): the pairs that a chunk has in a bucket, as hashes, and how often its training documents have them."""
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for row in b.to_pylist():
             c = Chunk(row, buckets)
             train = np.array([training(i) for i in row["ids"]], bool)
-            n = np.bincount(c.pair, train[c.text], minlength=len(c.u)).astype(np.int32)
-            cuts = np.flatnonzero(np.diff(c.bucket, prepend=-1))
-            each = lambda x: pa.array([x[a:z].tobytes() for a, z in zip(cuts, [*cuts[1:], len(x)], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c.bucket[cuts]), pa.array(np.full(len(cuts), row["chunk"])), each(c.hu), each(c.hw), each(n)], names=["p", "chunk", "u", "w", "n"])
+            n, runs = np.bincount(c.pair, train[c.text], minlength=len(c.u)), _runs(c.bucket)
+            each = lambda x: pa.array([x[a:z].tobytes() for a, z in runs], pa.binary())
+            counts = pa.array([_planes(n[a:z]) for a, z in runs], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c.bucket[[a for a, _ in runs]]), pa.array([row["chunk"]] * len(runs)), each(c.hu), each(c.hw), counts], names=["p", "chunk", "u", "w", "n"])
 
-    return map_rows(chunks.select("chunk", "ids", "lens", "tokens", "words"), run, "p long, chunk long, u binary, w binary, n binary")
+    return map_rows(chunks.select("chunk", "ids", "lens", "tokens", "parts"), run, "p long, chunk long, u binary, w binary, n binary")
 
 
 def _joined(column, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _added(asked: DataFrame) -> DataFrame:
-    """(p, chunk, refs, u, w, n): for each question the places of its pairs among those that the bucket has twice or
-    more (-1: once, -2: never), and a row without chunk with these pairs and their counts."""
+def _counts(t: pa.Table) -> np.ndarray:
+    return np.concatenate([_whole(x) for x in t.column("n").to_pylist()])
+
+
+def _places(total: np.ndarray) -> np.ndarray:
+    """The place of each word or pair among those of the bucket that occur twice or more; -1: once, -2: never."""
+    often = total > 1
+    return np.where(often, np.cumsum(often) - 1, np.where(total == 1, -1, -2)).astype(np.int32)
+
+
+def _replied(t: pa.Table, ref: np.ndarray, sizes: list[int], **found) -> pa.Table:
+    """The references of each question, and a row without chunk of what the bucket has found."""
+    refs = [x.tobytes() for x in np.split(ref, np.cumsum(sizes)[:-1])]
+    rows = {"p": [t.column("p")[0].as_py()] * (len(refs) + 1), "chunk": [*t.column("chunk").to_pylist(), None]}
+    out = {k: pa.array(v, pa.int64()) for k, v in rows.items()} | {"refs": pa.array([*refs, None], pa.binary())}
+    return pa.table(out | {k: pa.array([None] * len(refs) + [v], pa.int64() if isinstance(v, int) else pa.binary()) for k, v in found.items()})
+
+
+def _added_words(asked: DataFrame) -> DataFrame:
+    """(p, chunk, refs, h, c, once): the answers' references; of the bucket's words that occur twice or more the hashes and
+    counts, and how many occur once."""
 
     def work(t: pa.Table) -> pa.Table:
-        u, w, n = _joined(t.column("u"), np.uint64), _joined(t.column("w"), np.uint64), _joined(t.column("n"), np.int32)
-        _, first, of = np.unique(_pair(u, w), return_index=True, return_inverse=True)
-        total = np.bincount(of, n, minlength=len(first)).astype(np.int64)
+        parts = [x.split(b" ") for x in t.column("words").to_pylist()]
+        own = pa.array([w for x in parts for w in x], pa.binary()).dictionary_encode()
+        of = np.asarray(own.indices)
+        total = np.bincount(of, _counts(t), minlength=len(own.dictionary)).astype(np.int64)
         often = total > 1
-        ref = np.where(often, np.cumsum(often) - 1, np.where(total == 1, -1, -2)).astype(np.int32)[of]
-        ends = np.cumsum([len(x) // 8 for x in t.column("u").to_pylist()])
-        refs = [x.tobytes() for x in np.split(ref, ends[:-1])]
-        p, at = t.column("p")[0].as_py(), first[often]
-        return pa.table({
-            "p": pa.array([p] * (len(refs) + 1), pa.int64()), "chunk": pa.array([*t.column("chunk").to_pylist(), None], pa.int64()), "refs": pa.array([*refs, None], pa.binary()),
-            **{k: pa.array([None] * len(refs) + [x.tobytes()], pa.binary()) for k, x in (("u", u[at]), ("w", w[at]), ("n", total[often]))},
-        })
+        h = _hashes(own.dictionary.filter(pa.array(often)).to_pylist())
+        return _replied(t, _places(total)[of], list(map(len, parts)), h=h.tobytes(), c=total[often].tobytes(), once=int((total == 1).sum()))
 
-    return asked.groupBy("p").applyInArrow(work, "p long, chunk long, refs binary, u binary, w binary, n binary")
+    return asked.groupBy("p").applyInArrow(work, "p long, chunk long, refs binary, h binary, c binary, once long")
 
 
-def _often(added: DataFrame) -> DataFrame:
-    """(p, k, u, w, n, t, m): a row for each pair that occurs twice or more; t tables, one at first; m: what is averaged."""
+def _added_pairs(asked: DataFrame) -> DataFrame:
+    """(p, chunk, refs, u, w, n): the answers' references; of the bucket's pairs that occur twice or more the words and counts."""
 
-    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for row in b.to_pylist():
-            u, w, n = (np.frombuffer(row[c], np.int64) for c in ("u", "w", "n"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), row["p"])), *map(pa.array, (np.arange(len(u), dtype=np.int32), u, w, n, np.ones(len(u), np.int64), np.zeros(len(u))))], names=["p", "k", "u", "w", "n", "t", "m"])
+    def work(t: pa.Table) -> pa.Table:
+        u, w = _joined(t.column("u"), np.uint64), _joined(t.column("w"), np.uint64)
+        _, first, of = np.unique(_pair(u, w), return_index=True, return_inverse=True)
+        total = np.bincount(of, _counts(t), minlength=len(first)).astype(np.int64)
+        often = first[total > 1]
+        return _replied(t, _places(total)[of], [len(x) // 8 for x in t.column("u").to_pylist()], u=u[often].tobytes(), w=w[often].tobytes(), n=total[total > 1].tobytes())
 
-    return map_rows(added.where("chunk is null").select("p", "u", "w", "n"), run, _ROW)
+    return asked.groupBy("p").applyInArrow(work, "p long, chunk long, refs binary, u binary, w binary, n binary")
 
 
-_ROW = "p long, k int, u long, w long, n long, t long, m double"
+def _spread(added: DataFrame, columns: list[str]) -> DataFrame:
+    """(p, k, columns ...): a row for each word or pair that occurs twice or more."""
 
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for row in b.to_pylist():
+            own = [np.frombuffer(row[c], np.int64) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own[0]), row["p"])), pa.array(np.arange(len(own[0]), dtype=np.int32)), *map(pa.array, own)], names=["p", "k", *columns])
 
-# ---- the state --------------------------------------------------------------------------------
+    return map_rows(added.where("chunk is null").select("p", *columns), run, "p long, k int" + "".join(f", {c} long" for c in columns))
 
 
-def _words(chunks: DataFrame) -> DataFrame:
-    """(word, h, c): every word of the chunks, its hash and training count."""
-    sums = chunks.select(F.explode(F.arrays_zip("words", "n")).alias("x")).groupBy("x.words").agg(F.sum("x.n").alias("c")).withColumnRenamed("words", "word")
+#: A pair: its words, customers, tables (one at first), and the tables of the states that are averaged, added up.
+_ROW = "u long, w long, n long, t long, kept long"
 
-    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        h = Tokens(b.column("word"), np.empty(0, np.int64), np.empty(0, np.int64)).hashes[0]
-        yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(h.view(np.int64)), b.column("c")], names=["word", "h", "c"])
 
-    return map_rows(sums, run, "word binary, h long, c long")
+# ---- the state --------------------------------------------------------------------------------
 
 
 class Numbers:
@@ -244,17 +299,17 @@ class Numbers:
 
 
 def _restaurants(known: DataFrame, rows: DataFrame) -> DataFrame:
-    """(h, c, seats, cp, tables): of each word its customers at the root, and the tables of its own restaurant."""
+    """(p, k, h, c, seats, cp, tables): of each word its customers at the root, and the tables of its own restaurant."""
     less = (F.col("n") - F.col("t")).alias("less")
     each = rows.select(F.col("u").alias("h"), less, F.lit(0).alias("side")).union(rows.select(F.col("w").alias("h"), less, F.lit(1).alias("side"))).where("less > 0")
     at = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("less"))), F.lit(0))
     sums = each.groupBy("h").agg(at(0).alias("own"), at(1).alias("root"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return known.join(sums, "h", "left").select("h", "c", "seats", (F.col("c") - zero("root")).alias("cp"), (F.col("seats") - zero("own")).alias("tables"))
+    return known.join(sums, "h", "left").select("p", "k", "h", "c", "seats", (F.col("c") - zero("root")).alias("cp"), (F.col("seats") - zero("own")).alias("tables"))
 
 
 def _seated_root(states: DataFrame, numbers: Numbers, salt: int) -> DataFrame:
-    """(h, c, seats, cp, tables, t): with the root's tables of each word."""
+    """``states`` with t, the root's tables of each word."""
     fresh, d = numbers.fresh, numbers.root_d
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -262,40 +317,59 @@ def _seated_root(states: DataFrame, numbers: Numbers, salt: int) -> DataFrame:
         t = seat(cp, np.full(len(cp), fresh), d, np.asarray(b.column("h")).view(np.uint64), salt)
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t.astype(np.int64))], names=[*b.schema.names, "t"])
 
-    return map_rows(states, run, "h long, c long, seats long, cp long, tables long, t long")
+    return map_rows(states, run, "p long, k int, h long, c long, seats long, cp long, tables long, t long")
 
 
-def _sweep(rows: DataFrame, state: DataFrame, numbers: Numbers, salt: int, keep: bool) -> DataFrame:
-    """``rows`` seated anew, with ``ll``, the log-likelihood of their customers before that; ``m`` adds up what is kept."""
-    d = numbers.d
-    own = state.select(F.col("h").alias("u"), "seats", "tables")
+def _likely(rows: DataFrame, state: DataFrame, numbers: Numbers) -> DataFrame:
+    """``rows`` with f, the weight of a new table, and ll, the log-likelihood of their customers."""
+    own = state.select(F.col("h").alias("u"), "seats", (STRENGTH + numbers.d * F.col("tables")).alias("new"))
     dish = state.select(F.col("h").alias("w"), numbers.root(F.col("cp"), F.col("t")).alias("q"))
-    src = join_small(join_small(rows, own, ["u"], "inner"), dish, ["w"], "inner").select("p", "k", "u", "w", "n", "t", "m", "seats", "tables", "q")
+    # A partition of the state is small, so that the rows need not be sorted; hot words are split by adaptive execution.
+    out = rows.join(own.hint("shuffle_hash"), "u").join(dish.hint("shuffle_hash"), "w").withColumn("f", F.col("new") * F.col("q"))
+    return out.withColumn("ll", F.col("n") * F.log10((F.col("n") - numbers.d * F.col("t") + F.col("f")) / (STRENGTH + F.col("seats"))))
+
+
+def _sweep(rows: DataFrame, state: DataFrame, numbers: Numbers, salt: int, keep: bool) -> DataFrame:
+    """``rows`` seated anew; the tables that they had are added to what is kept, or not."""
+    src = _likely(rows, state, numbers).select("u", "w", "n", "f", (F.col("kept") + (F.col("t") if keep else 0)).alias("kept"))
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n, t, m, seats, tables, q = (np.asarray(b.column(c)) for c in ("n", "t", "m", "seats", "tables", "q"))
-        fresh = (STRENGTH + d * tables) * q
-        ll = n * np.log10((n - d * t + fresh) / (STRENGTH + seats))
-        keys = _pair(np.asarray(b.column("u")).view(np.uint64), np.asarray(b.column("w")).view(np.uint64))
-        t = seat(n, fresh, d, keys, salt)
-        m = m + (n - d * t) if keep else m
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("p", "k", "u", "w", "n")), pa.array(t.astype(np.int64)), pa.array(m), pa.array(ll)], names=["p", "k", "u", "w", "n", "t", "m", "ll"])
+        u, w, n, f = (np.asarray(b.column(c)) for c in ("u", "w", "n", "f"))
+        t = seat(n, f, numbers.d, _pair(u.view(np.uint64), w.view(np.uint64)), salt)
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("u", "w", "n")), pa.array(t.astype(np.int64)), b.column("kept")], names=["u", "w", "n", "t", "kept"])
 
-    return map_rows(src, run, _ROW + ", ll double")
+    return map_rows(src, run, _ROW)
 
 
-def _answers(added: DataFrame, rows: DataFrame, once: float) -> DataFrame:
-    """(chunk, at, m): for each question, by bucket, what its pairs have beyond their parent's share, as packed floats."""
+def _answers(added: DataFrame, rows: DataFrame, values: list[str], once: list[float], never: list[float], kind: str) -> DataFrame:
+    """(of, kind, at, m): for each question, by bucket, the ``values`` of what it asks for, as packed floats.
+
+    ``rows``: (p, k ...), k the place in the bucket, or its order.
+    """
+    rest = np.array([never, once], np.float32)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = np.zeros(right.num_rows + 2, np.float32)  # the last two: never and once
-        own[np.asarray(right.column("k"))] = np.asarray(right.column("m"))
-        own[-1] = once
+        own = np.zeros((right.num_rows + 2, len(values)), np.float32)
+        own[-2:] = rest
+        right = right.sort_by("k")
+        for i, v in enumerate(values):
+            own[:-2, i] = np.asarray(right.column(v))
         m = [own[np.frombuffer(x, np.int32)].tobytes() for x in left.column("refs").to_pylist()]
-        return pa.table({"chunk": left.column("chunk"), "at": left.column("p"), "m": pa.array(m, pa.binary())})
+        return pa.table({"of": left.column("chunk"), "kind": pa.array([kind] * len(m), pa.string()), "at": left.column("p"), "m": pa.array(m, pa.binary())})
 
     asked = added.where("chunk is not null").select("p", "chunk", "refs")
-    return asked.groupBy("p").cogroup(rows.select("p", "k", "m").groupBy("p")).applyInArrow(work, "chunk long, at long, m binary")
+    return asked.groupBy("p").cogroup(rows.select("p", "k", *values).groupBy("p")).applyInArrow(work, "of long, kind string, at long, m binary")
+
+
+def _placed(rows: DataFrame, d: float, buckets: int) -> DataFrame:
+    """(p, k, m): the bucket of each pair, its order there, and what it has beyond its parent's share in all kept states."""
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key = _pair(np.asarray(b.column("u")).view(np.uint64), np.asarray(b.column("w")).view(np.uint64))
+        m = KEEP * np.asarray(b.column("n")) - d * (np.asarray(b.column("kept")) + np.asarray(b.column("t")))
+        yield pa.RecordBatch.from_arrays([pa.array((key % np.uint64(buckets)).astype(np.int64)), pa.array((key ^ np.uint64(1 << 63)).view(np.int64)), pa.array(m.astype(np.float32))], names=["p", "k", "m"])
+
+    return map_rows(rows, run, "p long, k long, m float")
 
 
 def scored(spark: SparkSession, docs: DataFrame, trace: list[float] | None = None) -> DataFrame:
@@ -307,65 +381,71 @@ def scored(spark: SparkSession, docs: DataFrame, trace: list[float] | None = Non
     token. ``trace`` is told the mean log-likelihood of what is sampled, sweep by sweep.
     """
     with Scratch(spark) as s:
-        chunks = s.table(_encoded(docs), block=_BLOCK)
-        size = chunks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
-        buckets = max(1, -(-size // 4 // BUCKET_TOKENS))
-        words = s.table(_words(chunks))
-        total, distinct, once, ends = words.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.max(F.when(F.col("word") == F.lit(_END), F.col("c")))).first()
-        total, ends = total or 0, ends or 0
-        asked = s.table(_asked(chunks, buckets), settings=_FEW)
-        added = s.table(_added(asked))
-        s.drop(asked)
-        rows = s.table(_often(added), settings=_FEW)
+        size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+        buckets, word_buckets = max(1, -(-size // BUCKET_BYTES)), max(1, -(-size // WORD_BUCKET_BYTES))
+        chunks = s.table(_encoded(docs, word_buckets), block=_BLOCK)
+        pairs = s.table(_added_pairs(_asked_pairs(chunks, buckets)), settings=_FEW)
+        rows = s.table(_spread(pairs, ["u", "w", "n"]).select("u", "w", "n", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("kept")), settings=_FEW)
+        words = s.table(_added_words(_asked_words(chunks)))
         # Words that occur once have one table each; the start of a text is a context that is no dish.
-        seats = F.when(F.col("word") == F.lit(_END), 0).otherwise(F.col("c")).alias("seats")
-        known = words.where("c > 1").select("h", "c", seats)
-        known = s.table(known.unionByName(spark.range(1).select(F.lit(_hash(_START)).alias("h"), F.lit(0).cast("long").alias("c"), F.lit(ends).cast("long").alias("seats"))))
+        known = _spread(words, ["h", "c"]).select("*", F.when(F.col("h") == _hash(_END), 0).otherwise(F.col("c")).alias("seats"))
+        known = s.table(known, settings=_FEW)
+        once = words.agg(F.sum("once")).first()[0] or 0
+        # One training document ends once, and is not among the known words then.
+        n, customers, ends = known.agg(F.count("*"), F.sum("c"), F.max(F.when(F.col("h") == _hash(_END), F.col("c")))).first()
+        total, distinct = (customers or 0) + once, n + once
+        ends = ends or int(total > 0)
+        begin = spark.range(1).select(F.lit(-1).cast("long").alias("p"), F.lit(0).alias("k"), F.lit(_hash(_START)).alias("h"), F.lit(0).cast("long").alias("c"), F.lit(ends).cast("long").alias("seats"))
+        known = known.unionByName(begin)
         often, twice = rows.agg(F.sum("n"), F.count_if(F.col("n") == 2)).first()
-        d, numbers, values, kept = discount(total - (often or 0), twice), None, None, []
-        for sweep in range(BURN + KEEP + 1):  # the first state seats one table for each dish of a restaurant
-            states = s.table(_restaurants(known, rows))
-            customers, one, two = states.agg(F.sum("cp"), F.count_if(F.col("cp") == 1), F.count_if(F.col("cp") == 2)).first()
-            if numbers is None:
-                numbers = Numbers(distinct, d, discount(once + one, two), (customers or 0) + once, distinct)
-            else:
-                numbers = Numbers(distinct, d, numbers.root_d, (customers or 0) + once, numbers.tables)
-            state = s.table(_seated_root(states, numbers, 7919 * sweep))
-            s.drop(states)
-            numbers = Numbers(distinct, d, numbers.root_d, numbers.customers, (state.agg(F.sum("t")).first()[0] or 0) + once)
+        d, values, kept = discount(total - (often or 0), twice), None, []
+        # The first state seats one table for each dish of a restaurant; it tells the root's discount.
+        states = s.table(_restaurants(known, rows))
+        one, two = states.agg(F.count_if(F.col("cp") == 1), F.count_if(F.col("cp") == 2)).first()
+        numbers = Numbers(distinct, d, discount(once + one, two), 0, distinct)
+        for sweep in range(BURN + KEEP + 1):
+            state = s.table(_seated_root(_restaurants(known, rows) if sweep else states, numbers, 7919 * sweep))
+            customers, tables = state.agg(F.sum("cp"), F.sum("t")).first()
+            numbers = Numbers(distinct, d, numbers.root_d, (customers or 0) + once, (tables or 0) + once)
+            if trace is not None and often:
+                trace.append(_likely(rows, state, numbers).agg(F.sum("ll")).first()[0] / often)
             if sweep > BURN:  # this state's seats are averaged
                 i = len(kept)
                 kept.append(numbers)
-                own = state.select("h", numbers.root(F.col("cp"), F.col("t")).cast("float").alias(f"q{i}"), ((STRENGTH + d * F.col("tables")) / (STRENGTH + F.col("seats"))).cast("float").alias(f"b{i}"))
-                values = s.table(own if values is None else values.join(own, "h"))
+                own = state.select("h", numbers.root(F.col("cp"), F.col("t")).alias(f"q{i}"), ((STRENGTH + d * F.col("tables")) / (STRENGTH + F.col("seats"))).alias(f"b{i}"))
+                new = s.table(state.select("p", "k", "h", "c").join(own, "h") if values is None else values.join(own, "h"))
+                if values is not None:
+                    s.drop(values)
+                values = new
             if len(kept) < KEEP:
-                new = s.table(_sweep(rows, state, numbers, 104_729 * (sweep + 1), sweep >= BURN))
-                if trace is not None and often:
-                    trace.append(new.agg(F.sum("ll")).first()[0] / often)
+                new = s.table(_sweep(rows, state, numbers, 104_729 * (sweep + 1), sweep > BURN))
                 s.drop(rows)
-                rows = new.drop("ll")
+                rows = new
             s.drop(state)
-        begin = values.where(F.col("h") == _hash(_START)).first()
-        start = np.array([begin[f"b{i}"] for i in range(KEEP)])
-        answers = s.table(_answers(added, rows, KEEP * (1 - d)))
-        q = lambda i: F.coalesce(f"q{i}", F.when(F.col("c") == 1, kept[i].root(1, 1)).otherwise(kept[i].root(0, 0))).cast("float").alias(f"q{i}")
-        b = lambda i: F.coalesce(f"b{i}", F.when(F.col("c") == 1, (STRENGTH + d) / (STRENGTH + 1)).otherwise(1.0)).cast("float").alias(f"b{i}")
-        valued = s.table(words.join(values, "h", "left").select("word", "c", *map(q, range(KEEP)), *map(b, range(KEEP))))
-        places = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
-        told = places.join(valued, "word").select(F.col("chunk").alias("of"), F.col("at").cast("long").alias("at"), F.lit(None).cast("binary").alias("m"), *valued.columns[1:])
-        told = told.unionByName(answers.withColumnRenamed("chunk", "of"), allowMissingColumns=True)
+        each = range(KEEP)
+        begin = values.where("p = -1").first()
+        start = np.array([ends, *(x for i in each for x in (0.0, begin[f"b{i}"]))])
+        names = [*(x for i in each for x in (f"q{i}", f"b{i}"))]
+        seen = [x for i in each for x in (kept[i].root(1, 1), (STRENGTH + d) / (STRENGTH + 1))]
+        new = [x for i in each for x in (kept[i].root(0, 0), 1.0)]
+        # Counts are whole numbers, in two parts that floats hold exactly.
+        low, high = F.col("c").bitwiseAND(F.lit(0xFFFFFF)).alias("low"), F.shiftright("c", 24).alias("high")
+        told = _answers(words, values.where("p >= 0").select("p", "k", low, high, *names), ["low", "high", *names], [1.0, 0.0, *seen], [0.0, 0.0, *new], "word")
+        told = s.table(told.union(_answers(pairs, _placed(rows, d, buckets), ["m"], [KEEP * (1 - d)], [0.0], "pair")))
+        for used in (words, pairs, rows, values):
+            s.drop(used)
         log_n = float(np.log10(total + 0.1 * (distinct + 1)))
 
         def score(left: pa.Table, right: pa.Table) -> pa.Table:
             row = left.to_pylist()[0]
-            c, ids = Chunk(row, buckets), row["ids"]
-            of_word = np.asarray(right.column("m").is_null())
-            w, pairs = right.filter(pa.array(of_word)).sort_by("at"), right.filter(pa.array(~of_word)).sort_by("at")
-            count = np.append(np.asarray(w.column("c")), ends)
-            own = _joined(pairs.column("m"), np.float32).astype(np.float64) / (STRENGTH + count[c.u])
+            c, ids, right = Chunk(row, buckets), row["ids"], right.sort_by("at")
+            blob = {k: _joined(right.filter(pa.compute.equal(right.column("kind"), k)).column("m"), np.float32).astype(np.float64) for k in ("word", "pair")}
+            v = blob["word"].reshape(-1, len(start) + 1)
+            v = np.concatenate([np.column_stack([v[:, 0] + 2.0**24 * v[:, 1], v[:, 2:]]), start[None, :]])  # the start is the last one
+            count = v[:, 0]
+            own = blob["pair"] / (STRENGTH + count[c.u])
             for i in range(KEEP):
-                back = np.append(np.asarray(w.column(f"b{i}")).astype(np.float64), start[i])
-                own += back[c.u] * np.append(np.asarray(w.column(f"q{i}")).astype(np.float64), 0.0)[c.w]
+                own += v[c.u, 2 * i + 2] * v[c.w, 2 * i + 1]
             lp, known, plain = np.log10(own / KEEP), count[c.w] > 0, np.log10(count[c.w] + 0.1)
             add = lambda x: np.bincount(c.text, x[c.pair], minlength=len(ids))
             n_all = c.lens + 1
@@ -373,7 +453,7 @@ def scored(spark: SparkSession, docs: DataFrame, trace: list[float] | None = Non
             return pa.table({"doc_id": left.column("ids").chunk(0).flatten(), "held_out": pa.array([not training(i) for i in ids], pa.bool_()), **{k: pa.array(v) for k, v in columns.items()}})
 
         kind = docs.schema["doc_id"].dataType.simpleString()
-        src = chunks.select("chunk", "ids", "lens", "tokens", "words")
+        src = chunks.select("chunk", "ids", "lens", "tokens", "parts")
         out = src.groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
         return s.table(out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))), keep=True)
 
