@@ -110,7 +110,18 @@ def discount(once: int, twice: int) -> float:
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    """56 bits of each word's hash, by which pairs know their words; counts of words are of the words themselves."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(8)
+
+
+def _seven(h: np.ndarray) -> bytes:
+    """The seven bytes of each hash."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _eight(column) -> np.ndarray:
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 7)
+    return np.pad(raw, ((0, 0), (0, 1))).view("<u8").ravel()
 
 
 def _hash(word: bytes) -> int:
@@ -207,7 +218,7 @@ def _asked_pairs(chunks: DataFrame, buckets: int) -> DataFrame:
             c = Chunk(row, buckets)
             train = np.array([training(i) for i in row["ids"]], bool)
             n, runs = np.bincount(c.pair, train[c.text], minlength=len(c.u)), _runs(c.bucket)
-            each = lambda x: pa.array([x[a:z].tobytes() for a, z in runs], pa.binary())
+            each = lambda x: pa.array([_seven(x[a:z]) for a, z in runs], pa.binary())
             counts = pa.array([_planes(n[a:z]) for a, z in runs], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c.bucket[[a for a, _ in runs]]), pa.array([row["chunk"]] * len(runs)), each(c.hu), each(c.hw), counts], names=["p", "chunk", "u", "w", "n"])
 
@@ -247,6 +258,10 @@ def _added_words(asked: DataFrame) -> DataFrame:
         total = np.bincount(of, _counts(t), minlength=len(own.dictionary)).astype(np.int64)
         often = total > 1
         h = _hashes(own.dictionary.filter(pa.array(often)).to_pylist())
+        # Of words that share a hash, pairs know the first; the others have numbers that no hash is.
+        again = np.ones(len(h), bool)
+        again[np.unique(h, return_index=True)[1]] = False
+        h[again] |= np.uint64(1 << 60)
         return _replied(t, _places(total)[of], list(map(len, parts)), h=h.tobytes(), c=total[often].tobytes(), once=int((total == 1).sum()))
 
     return asked.groupBy("p").applyInArrow(work, "p long, chunk long, refs binary, h binary, c binary, once long")
@@ -256,11 +271,11 @@ def _added_pairs(asked: DataFrame) -> DataFrame:
     """(p, chunk, refs, u, w, n): the answers' references; of the bucket's pairs that occur twice or more the words and counts."""
 
     def work(t: pa.Table) -> pa.Table:
-        u, w = _joined(t.column("u"), np.uint64), _joined(t.column("w"), np.uint64)
+        u, w = _eight(t.column("u")), _eight(t.column("w"))
         _, first, of = np.unique(_pair(u, w), return_index=True, return_inverse=True)
         total = np.bincount(of, _counts(t), minlength=len(first)).astype(np.int64)
         often = first[total > 1]
-        return _replied(t, _places(total)[of], [len(x) // 8 for x in t.column("u").to_pylist()], u=u[often].tobytes(), w=w[often].tobytes(), n=total[total > 1].tobytes())
+        return _replied(t, _places(total)[of], [len(x) // 7 for x in t.column("u").to_pylist()], u=u[often].tobytes(), w=w[often].tobytes(), n=total[total > 1].tobytes())
 
     return asked.groupBy("p").applyInArrow(work, "p long, chunk long, refs binary, u binary, w binary, n binary")
 
@@ -305,7 +320,9 @@ def _restaurants(known: DataFrame, rows: DataFrame) -> DataFrame:
     at = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("less"))), F.lit(0))
     sums = each.groupBy("h").agg(at(0).alias("own"), at(1).alias("root"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return known.join(sums, "h", "left").select("p", "k", "h", "c", "seats", (F.col("c") - zero("root")).alias("cp"), (F.col("seats") - zero("own")).alias("tables"))
+    # No word has fewer than one customer or table: hashes that words share are bounded so.
+    left = lambda c, less: F.greatest(F.least(F.col(c), F.lit(1)), F.col(c) - zero(less))
+    return known.join(sums, "h", "left").select("p", "k", "h", "c", "seats", left("c", "root").alias("cp"), left("seats", "own").alias("tables"))
 
 
 def _seated_root(states: DataFrame, numbers: Numbers, salt: int) -> DataFrame:

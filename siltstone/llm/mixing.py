@@ -120,8 +120,8 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEI
     """(doc_id, size, source_size, target, taken, source, copies), a row for each row of ``docs``.
 
     Null texts and texts of white space have size 0 and take 0 words; null is a source of its own, the
-    last one; rows repeated in full are taken together; an empty table gives none; other columns are
-    ignored.
+    last one; very long texts count whole; rows that tie in rank, as rows repeated in full do, are taken together; an
+    empty table gives none; other columns are ignored, whatever their names.
     """
     with Scratch(spark) as s:
         sized = s.table(_sized(docs), keep=True)
@@ -132,7 +132,10 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEI
 
 
 def repeated(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it (documents without words never)."""
+    """The rows of ``docs``, each as often as the mix takes it (documents without words, and null texts, never).
+
+    Long texts, ties, repeated rows and empty tables as in ``mixed``; columns may have any names.
+    """
     with Scratch(spark) as s:
         p = plan(s, s.table(_sized(docs)), weights, most)
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
@@ -142,4 +145,5 @@ def repeated(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] =
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents; nulls, long texts, ties and repeats as in ``mixed``."""
     return mixed(spark, read(spark, sf_dir, "documents"))

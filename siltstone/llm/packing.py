@@ -74,8 +74,9 @@ def packed(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, sourc
 
     ``start`` and ``length`` count words; ``bin_id`` is shard * 2**24 + number. Null texts and texts
     without words have no row; null sources share one bit, null clusters (of a given ``cluster`` column)
-    another; repeated rows are copies of one cluster, and so lie in different bins; an empty table gives
-    none; other columns are ignored.
+    another; repeated rows are copies of one cluster, and so lie in different bins; very long texts are cut into pieces;
+    of pieces of one length (ties) that with the earlier place goes first; an empty table gives none; other columns are
+    ignored. Shards, and so bins, follow from how rows lie in the files: the same files give the same bins.
     """
     with Scratch(spark) as s:
         items = s.table(pieces(docs, capacity, cluster).withColumn("uid", F.monotonically_increasing_id()))
@@ -101,7 +102,7 @@ def packed(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, sourc
 def sequences(packs: DataFrame, docs: DataFrame) -> DataFrame:
     """(bin_id, text): the words of each bin's pieces, joined by one space; a bin is at most its capacity.
 
-    Needs doc_id to be unique in ``docs``.
+    Needs doc_id to be unique in ``docs``; pieces of null ids and texts are left out; other columns are ignored.
     """
     words = F.regexp_extract_all(docs["text"], F.lit(r"([^\x20\x09-\x0D]+)"))
     d = packs.join(docs.select("doc_id", words.alias("words")), "doc_id")
@@ -110,4 +111,5 @@ def sequences(packs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bins of all documents; nulls, long texts, ties and repeats as in ``packed``."""
     return packed(spark, read(spark, sf_dir, "documents"))

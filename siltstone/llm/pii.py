@@ -40,7 +40,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
-_REGION = re.compile(r"[^\s0-9@]*+[0-9@]\S*(?:\x20[^\s0-9@]*+[0-9@]\S*)*")
+# A region starts where a word does, so that words without a digit are gone through once.
+_REGION = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*(?:\x20[^\s0-9@]*+[0-9@]\S*)*")
 _ATOM = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
 
 
@@ -135,25 +136,45 @@ def _features(s: str, left: str, right: str) -> np.ndarray:
     return f
 
 
+def _atoms(region: str) -> tuple[list[int], np.ndarray]:
+    """Where atoms start (the region's end last), and a row for each: may start an entity, may end one, letters, digits, ``@``."""
+    cuts, flags = [], []
+    for m in _ATOM.finditer(region):
+        s = m.group()
+        word = s[0].isalnum()
+        cuts.append(m.start())
+        flags.append((word or s in "+(", word or s == ")", s[0].isalpha(), _ANY.match(s) is not None, s == "@"))
+    return [*cuts, len(region)], np.array(flags, np.int64).reshape(-1, 5)
+
+
 class Lattice:
-    """The segments of a region: (first atom, after the last atom), features, and which may be entities."""
+    """The segments of a region that end after atoms ``lo`` to ``hi``: (first atom, after the last atom), features, and
+    which may be entities: those with a digit or an ``@``, over five characters, with letters only beside an ``@``."""
 
-    def __init__(self, region: str):
-        self.cuts = [m.start() for m in _ATOM.finditer(region)] + [len(region)]
+    def __init__(self, region: str, atoms: tuple[list[int], np.ndarray] | None = None, lo: int = 0, hi: int | None = None):
+        self.cuts, flags = atoms or _atoms(region)
         self.n = len(self.cuts) - 1
-        segs, rows = [], []
-        for i in range(self.n):
-            for j in range(i + 1, min(self.n, i + MOST_ATOMS) + 1):
-                a, z = self.cuts[i], self.cuts[j]
-                s = region[a:z]
-                entity = (s[0].isalnum() or s[0] in "+(") and (s[-1].isalnum() or s[-1] == ")") and len(s) > 5 and _ANY.search(s) is not None
-                if j == i + 1 or entity:
-                    segs.append((i, j, entity))
-                    rows.append(_features(s, region[a - 1 : a], region[z : z + 1]))
-        self.segs = segs
+        lo, hi = lo, self.n if hi is None else min(hi, self.n)
+        low = max(0, lo - MOST_ATOMS)
+        sums = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(flags[low:hi], axis=0)])
+        place = np.asarray(self.cuts)
+        found = [(j - 1, j, False) for j in range(lo + 1, hi + 1)]
+        for k in range(1, MOST_ATOMS + 1):
+            i = np.arange(max(low, lo + 1 - k), hi - k + 1)
+            if not len(i):
+                continue
+            of = sums[i + k - low] - sums[i - low]
+            ok = (flags[i, 0] > 0) & (flags[i + k - 1, 1] > 0) & (place[i + k] - place[i] > 5) & ((of[:, 4] > 0) | ((of[:, 2] == 0) & (of[:, 3] > 0)))
+            if k == 1:
+                for at in i[ok].tolist():
+                    found[at - lo] = (at, at + 1, True)
+            else:
+                found += [(at, at + k, True) for at in i[ok].tolist()]
+        self.segs = sorted(found)
+        rows = [_features(region[(a := self.cuts[i]) : (z := self.cuts[j])], region[a - 1 : a] if a else "", region[z : z + 1]) for i, j, _ in self.segs]
         self.x = np.array(rows).reshape(-1, N_FEATURES)
-        self.ending: list[list[int]] = [[] for _ in range(self.n + 1)]
-        for k, (_, j, _) in enumerate(segs):
+        self.ending: dict[int, list[int]] = {j: [] for j in range(lo + 1, hi + 1)}
+        for k, (_, j, _) in enumerate(self.segs):
             self.ending[j].append(k)
 
 
@@ -199,28 +220,35 @@ def _marginals(lat: Lattice, w: np.ndarray, trans: np.ndarray) -> tuple[np.ndarr
     return np.nan_to_num(p), np.nan_to_num(moves)
 
 
+#: Atoms that a lattice spans at a time when a region is decoded: what is held does not grow with the region but by a few numbers an atom.
+STRIDE = 512
+
+
 def decode(region: str, w: np.ndarray, trans: np.ndarray, margin: float = MARGIN) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the best segmentation's entities."""
-    lat = Lattice(region)
-    s = _scores(lat, w)
-    s[:, 1:] -= margin
-    best = np.full((lat.n + 1, _T), -np.inf)
+    """(start, kind, end) of the best segmentation's entities, over the whole region however long; of ties the first met."""
+    atoms = _atoms(region)
+    n = len(atoms[0]) - 1
+    best = np.full((n + 1, _T), -np.inf)
     best[0, 0] = 0.0
-    back: dict[tuple[int, int], tuple[int, int]] = {}
-    for j in range(1, lat.n + 1):
-        for k in lat.ending[j]:
-            i = lat.segs[k][0]
-            v = best[i][:, None] + trans
-            frm = v.argmax(axis=0)
-            tot = v[frm, np.arange(_T)] + s[k]
-            for t in np.flatnonzero(tot > best[j]):
-                best[j, t] = tot[t]
-                back[(j, int(t))] = (i, int(frm[t]))
-    out, j, t = [], lat.n, int(best[lat.n].argmax())
+    back = np.zeros((n + 1, _T, 2), np.int32)  # where the segment starts, and the kind before
+    for lo in range(0, n, STRIDE):
+        lat = Lattice(region, atoms, lo, lo + STRIDE)
+        s = _scores(lat, w)
+        s[:, 1:] -= margin
+        for j, ending in lat.ending.items():
+            for k in ending:
+                i = lat.segs[k][0]
+                v = best[i][:, None] + trans
+                frm = v.argmax(axis=0)
+                tot = v[frm, np.arange(_T)] + s[k]
+                for t in np.flatnonzero(tot > best[j]):
+                    best[j, t] = tot[t]
+                    back[j, t] = i, frm[t]
+    out, j, t = [], n, int(best[n].argmax())
     while j > 0:
-        i, before = back[(j, t)]
+        i, before = back[j, t].tolist()
         if t:
-            out.append((lat.cuts[i], t - 1, lat.cuts[j]))
+            out.append((atoms[0][i], t - 1, atoms[0][j]))
         j, t = i, before
     return out[::-1]
 
@@ -301,16 +329,22 @@ _OTHERS = ("2024-01-31", "12:30:05", "3.14159", "1,234,567.89", "v2.10.3", "10-2
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, each: int = SHAPE) -> tuple[np.ndarray, np.ndarray]:
-    """A model of the regions of at most ``sample`` documents, by hash of doc_id; what is gathered is as bounded."""
-    src = docs.where("text rlike '[0-9@]'").select("doc_id", "text").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample)
+    """A model of the regions of about ``sample`` documents, by hash of id and text; what is gathered is as bounded.
+
+    The hashes are ranked first, which are a number a row; texts are read of the documents under the last hash.
+    """
+    rank = F.xxhash64(F.lit(SEED), "doc_id", F.xxhash64("text"))
+    src = docs.where("text rlike '[0-9@]'").select(rank.alias("rank"), "text")
+    last = src.select("rank").orderBy("rank").limit(sample).agg(F.max("rank")).first()[0]
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = [m.group() for t in b.column("text").to_pylist() for m in _REGION.finditer(t) if len(m.group()) <= 120]
-        yield pa.RecordBatch.from_arrays([pa.array(rows[:20_000], pa.string())], names=["region"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["region"])
 
-    found = map_rows(src.select("text"), run, "region string").distinct().orderBy(F.xxhash64("region"), "region").limit(20 * sample).toArrow()
+    picked = src.where(F.col("rank") <= F.lit(last)).select("text")
+    found = map_rows(picked, run, "region string").distinct().orderBy(F.xxhash64("region"), "region").limit(20 * sample).toArrow()
     rows, seen = [], {}
-    for region in [*found.column("region").to_pylist(), *_OTHERS]:
+    for region in [*_OTHERS, *found.column("region").to_pylist()]:
         shape = _shape(region)
         if seen.setdefault(shape, 0) < each:
             seen[shape] += 1
@@ -322,24 +356,26 @@ def train(docs: DataFrame, sample: int = SAMPLE, each: int = SHAPE) -> tuple[np.
 
 
 def all_spans(text: str, base: list[tuple[int, int, int]], w: np.ndarray, trans: np.ndarray, known: dict | None = None) -> list[tuple[int, int, int]]:
-    """The base spans and those that the model adds, in order."""
+    """The base spans and those that the model adds, in order.
+
+    Regions without ``@``, separators and seven digits are not decoded: they are too short for any kind.
+    """
     out = list(base)
     for m in _REGION.finditer(text) if _ANY.search(text) else ():
         a, z = m.span()
         region = text[a:z]
         if not any(c in region for c in "@.-+() ") and sum("0" <= c <= "9" for c in region) < 7:
             continue
-        for at in range(0, len(region), 2000):  # a longer run is decoded in stretches
-            piece = region[at : at + 2000]
-            got = known.get(piece) if known is not None else None
-            if got is None:
-                got = decode(piece, w, trans)
-                if known is not None and len(known) < 20_000:
-                    known[piece] = got
-            for s, kind, e in got:
-                s, e = a + at + s, a + at + e
-                if not any(s < y and x < e for x, _, y in base):
-                    out.append((s, kind, e))
+        got = known.get(region) if known is not None else None
+        if got is None:
+            got = decode(region, w, trans)
+            if known is not None and len(known) < 20_000 and len(region) <= 200:
+                known[region] = got
+        own = [x for x in base if x[0] < z and a < x[2]]
+        for s, kind, e in got:
+            s, e = a + s, a + e
+            if not any(s < y and x < e for x, _, y in own):
+                out.append((s, kind, e))
     return sorted(out)
 
 
@@ -354,8 +390,9 @@ def _model(spark: SparkSession, docs: DataFrame):
 def found(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), a row for each row of ``docs``.
 
-    The counts and the digest are of the base spans, ``spans`` is of all. Null texts count as empty;
-    repeated rows are treated alike; an empty table gives none; other columns are ignored.
+    The counts and the digest are of the base spans, ``spans`` is of all. Null and empty texts have none; very long
+    texts and words are taken whole, in time linear in their length; of segmentations that tie the first met holds;
+    repeated rows are treated alike; an empty table gives none; other columns are ignored, whatever their names.
     """
     model = _model(spark, docs)
     src = docs.select("doc_id", "text")
@@ -385,7 +422,10 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redacted(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with personal data masked in ``text`` (null stays null); n_chars, if there, follows."""
+    """The rows of ``docs`` with personal data masked in ``text`` (null stays null); n_chars, if there, follows.
+
+    Long texts, ties, repeated rows and empty tables as in ``found``; other columns stay, whatever their names.
+    """
     model = _model(spark, docs)
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
 
@@ -401,4 +441,5 @@ def redacted(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of all documents; nulls, long texts, ties and repeats as in ``found``."""
     return found(spark, read(spark, sf_dir, "documents"))

@@ -11,7 +11,7 @@ from siltstone.llm.simhash import op3_simhash
 from siltstone.llm.substrings import OP2_SQL, op2_substrings
 from siltstone.llm.toxicity import op4_toxicity
 from siltstone.llm.urls import OP9_SQL, op9_urls
-from siltstone.llm.vectors import op5_vectors
+from siltstone.llm.vectors import OP5_SQL, op5_vectors
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -28,6 +28,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_substrings": OP2_SQL,
+    "op5_vectors": OP5_SQL,
     "op9_urls": OP9_SQL,
     "op10_quality": OP10_SQL,
 }

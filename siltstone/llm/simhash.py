@@ -1,18 +1,18 @@
 """SimHash near-duplicates by an inverted index of byte positions with count filtering.
 
 Two 64-bit fingerprints that differ in at most four bits agree in at least four of their eight bytes, in
-place. The index posts a fingerprint under (position, byte) terms; a pair is a candidate if it shares at
-least four of them. So that the lists of single bytes (each a 256th of all) are never paired with
-themselves, the tally is done by the index key: a fingerprint is posted under each of the C(8, 4) = 70
-choices of four positions with the bytes there, and exactly the pairs with four or more shared positional
-bytes meet under some key. Candidates are then verified by their differing bits.
-
-Fingerprints are unique in the index (copies are one row with the smallest doc_id). Keys with one
-fingerprint are dropped after a combined count. A key with up to ``bucket`` fingerprints is verified in
-one task, in which linked fingerprints are joined to trees, so that a group of n gives at most n - 1
-links. For larger keys there is an exact way that never pairs a group: fingerprints at most four bits
-apart have a common neighbour at most two bits from both, so each emits its 2,081 neighbours (itself, one
-and two bits changed) and links to the smallest fingerprint that emitted the same one.
+place. Lists of one positional byte would hold a 256th of everything, so the index posts a fingerprint under three
+positions with their bytes at once, in each of the C(8, 3) = 56 ways: a pair that shares four positional bytes meets
+in some list. In a list the positional bytes that a pair shares are tallied, pairs that reach the guaranteed minimum
+of four are retained, and these are verified by their differing bits.
+
+Fingerprints are unique in the index (copies are one row with the smallest doc_id). Lists of one fingerprint are
+dropped after a combined count. A list of up to ``bucket`` fingerprints is tallied in one task, in which linked
+fingerprints are joined to trees, so that a group of n gives at most n - 1 links. A longer list is posted again under
+each fourth position with its byte, in which its pairs have to meet if they reach the minimum. What is still longer
+than ``bucket`` shares four bytes throughout, so that the tally tells nothing more; an exact way that never pairs a
+group links it: fingerprints at most four bits apart have a common neighbour at most two bits from both, so each emits
+its 2,081 neighbours (itself, one and two bits changed) and links to the smallest fingerprint that emitted the same one.
 """
 
 from __future__ import annotations
@@ -31,7 +31,9 @@ from siltstone.llm.components import components
 
 SHINGLE, BITS, SEED = 4, 4, 42
 BUCKET = 1024
-_CHOICES = list(combinations(range(8), 8 - BITS))
+#: Positional bytes that a pair shares at least, and the positions of a list.
+LEAST = 8 - BITS
+_LISTS = list(combinations(range(8), LEAST - 1))
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
@@ -54,32 +56,55 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp as a signed 64-bit integer."""
-    src = docs.select("doc_id", "text")
+    """(doc_id, th, fp): th, a hash of the text; fp as a signed 64-bit integer."""
+    src = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         fp = np.array([fingerprint(t) for t in texts(b.column("text"))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fp)], names=["doc_id", "th", "fp"])
 
-    return map_rows(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_rows(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, th long, fp long")
+
+
+def _bytes_at(fp: np.ndarray, place: int) -> np.ndarray:
+    return (fp >> np.uint64(8 * place)) & np.uint64(255)
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
-    """(choice, key, fp): 70 rows a fingerprint."""
+    """(key, fp): a fingerprint under each three positions with their bytes, 56 rows."""
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         fp = np.asarray(b.column("fp")).view(np.uint64)
-        own = [(fp >> np.uint64(8 * p)) & np.uint64(255) for p in range(8)]
-        for c, places in enumerate(_CHOICES):
-            key = np.zeros(len(fp), np.uint64)
+        own = [_bytes_at(fp, p) for p in range(8)]
+        for c, places in enumerate(_LISTS):
+            key = np.full(len(fp), c, np.uint64)
             for p in places:
                 key = (key << np.uint64(8)) | own[p]
-            # Choice and key in one number: 70 << 32 and what lies under it.
-            yield pa.RecordBatch.from_arrays([pa.array((key | np.uint64(c << 32)).view(np.int64)), b.column("fp")], names=["key", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("fp")], names=["key", "fp"])
 
     return map_rows(nodes.select("fp"), run, "key long, fp long")
 
 
+def _refined(long: DataFrame) -> DataFrame:
+    """(key, fp): the fingerprints of long lists (key, fp) under each position that the list does not have, too."""
+    width = 8 * (LEAST - 1)
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key, fp = (np.asarray(b.column(c)).view(np.uint64) for c in ("key", "fp"))
+        choice = key >> np.uint64(width)
+        for p in range(8):
+            other = np.array([p not in places for places in _LISTS])[choice]
+            new = ((_bytes_at(fp, p) | np.uint64((p + 1) << 8)) << np.uint64(32)) | key
+            yield pa.RecordBatch.from_arrays([pa.array(new[other].view(np.int64)), pa.array(fp[other].view(np.int64))], names=["key", "fp"])
+
+    return map_rows(long.select("key", "fp"), run, "key long, fp long")
+
+
+def matches(one: np.uint64, others: np.ndarray) -> np.ndarray:
+    """The tally: how many bytes each of ``others`` has in the same place as ``one``."""
+    return ((others ^ one).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+
+
 def _trees(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join fingerprints at most ``bits`` apart, fewer than there are fingerprints."""
     n = len(fp)
@@ -94,6 +119,7 @@ def _trees(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
             rest = np.flatnonzero(~seen)
             if not len(rest):
                 break
+            rest = rest[matches(fp[i], fp[rest]) >= 8 - bits]
             near = rest[np.bitwise_count(fp[rest] ^ fp[i]) <= bits]
             seen[near] = True
             a += [i] * len(near)
@@ -162,42 +188,67 @@ def _ball_links(hot: DataFrame) -> DataFrame:
     return spread.join(least, "point").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
 
-def grouped(spark: SparkSession, docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fingerprint, component_id), a row for each row of ``docs``.
+def _lists(s: Scratch, posts: DataFrame) -> DataFrame:
+    """A written table of (key, fp, n): the lists of two or more."""
+    keys = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # Both sides grow with the corpus: a merge join, whatever the estimates say.
+    return s.table(posts.join(keys.hint("merge"), "key").select("key", "fp", "n"))
 
-    Null and empty texts have fingerprint zero and are linked like any other; a null doc_id gets the
-    smallest known id of its component (null if there is none); repeated rows are copies; an empty table
-    gives none; other columns are ignored.
-    """
+
+def _links(s: Scratch, nodes: DataFrame, bucket: int) -> DataFrame:
+    """(a, b): a written table of links between the fingerprints of ``nodes``."""
+    met = _lists(s, _postings(nodes))
+    links = _bucket_links(met.where(F.col("n") <= bucket).select("key", "fp"), BITS)
+    long = _lists(s, _refined(met.where(F.col("n") > bucket)))
+    links = links.union(_bucket_links(long.where(F.col("n") <= bucket).select("key", "fp"), BITS))
+    return s.table(links.union(_ball_links(long.where(F.col("n") > bucket).select("fp").distinct())))
+
+
+def _components(spark: SparkSession, docs: DataFrame, bucket: int) -> DataFrame:
+    """(doc_id, th, fp, root, component_id): th, a hash of the text; root, a name of the component."""
     with Scratch(spark) as s:
         fps = s.table(fingerprints(docs), keep=True)
         nodes = s.table(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-        posts = _postings(nodes)
-        keys = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        # Both sides grow with the corpus: a merge join, whatever the estimates say.
-        met = s.table(posts.join(keys.hint("merge"), "key").select("key", "fp", "n"))
-        links = _bucket_links(met.where(F.col("n") <= bucket).select("key", "fp"), BITS)
-        links = links.union(_ball_links(met.where(F.col("n") > bucket).select("fp").distinct()))
-        roots = s.table(components(s, s.table(links)))
+        roots = s.table(components(s, _links(s, nodes, bucket)))
         first = nodes.join(roots, nodes["fp"] == roots["node"]).groupBy("root").agg(F.min("first").alias("component"))
         # Fingerprints with links get the smallest id of their component, others that of their copies.
-        linked = roots.join(first, "root").select(F.col("node").alias("fp"), "component")
-        named = s.table(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id")), keep=True)
-    out = fps.join(named, "fp")
+        linked = roots.join(first, "root").select(F.col("node").alias("fp"), "root", "component")
+        named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "first").alias("component_id"))
+        named = s.table(named, keep=True)
+    return fps.join(named, "fp")
+
+
+def grouped(spark: SparkSession, docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, fingerprint, component_id), a row for each row of ``docs``.
+
+    Null and empty texts have fingerprint zero and are linked like any other; very long texts are taken whole; a bit
+    set in exactly half the hashes (a tie) is 0; a null doc_id gets the smallest known id of its component (null if
+    there is none); repeated rows are copies; an empty table gives none; other columns are ignored.
+    """
+    out = _components(spark, docs, bucket)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest, one row of each id; rows without an id stay."""
+    """One row of each component: of the rows with its smallest doc_id that with the smallest hash of its text.
+
+    Rows without an id stay; rows that share an id and are in different components stay both; of rows repeated in full
+    one stays. Nulls, empty and very long texts and empty tables as in ``grouped``; columns may have any names.
+    """
+    id, th = "__doc_id", "__text"
     with Scratch(spark) as s:
-        gone = s.table(grouped(spark, docs).where("doc_id <> component_id").select("doc_id").distinct(), keep=True)
+        found = _components(spark, docs.where("doc_id is not null"), BUCKET).select("doc_id", "th", "root")
+        best = found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("best"))
+        gone = found.join(best, "root").where((F.col("doc_id") != F.col("best.doc_id")) | (F.col("th") != F.col("best.th")))
+        gone = s.table(gone.select(F.col("doc_id").alias(id), F.col("th").alias(th)).distinct(), keep=True)
     # Rows without an id are spread over all tasks and never dropped.
     some, none = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    left = some.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith("map")]))
-    left = left.withColumn("__row", F.row_number().over(w)).where("__row = 1").drop("__row")
+    left = some.withColumns({id: F.col("doc_id"), th: F.xxhash64("text")}).join(gone, [id, th], "left_anti")
+    w = Window.partitionBy(id, th).orderBy(F.lit(0))
+    left = left.withColumn("__row", F.row_number().over(w)).where("__row = 1").select(*docs.columns)
     return left.unionByName(none)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of all documents; nulls, long texts, ties and repeats as in ``grouped``."""
     return grouped(spark, read(spark, sf_dir, "documents"))

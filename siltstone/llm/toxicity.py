@@ -65,7 +65,9 @@ def _labelled(documents: DataFrame, labels: DataFrame, sample: int) -> list[tupl
     """At most ``sample`` (features, toxic): those with the smallest hash of their id, chosen before texts are read."""
     ids = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64(F.lit(SEED), "doc_id")).limit(sample)
-    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"])
+    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
+    # Of texts that share an id the one with the smallest hash, so that reruns agree.
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found = [features(t).astype(np.int32) for t in texts(b.column("text"))]
@@ -106,35 +108,36 @@ def grades(found: list[np.ndarray], toxic: np.ndarray, bits: int = BITS, levels:
     return out
 
 
+def likelihood(w: np.ndarray, raw: np.ndarray, rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, weight: np.ndarray, l2: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """(negative log-likelihood of the cumulative links, its slopes by weights and by ``raw``): t_1, then the gaps' logs."""
+    n, levels, at = len(grade), len(raw) + 1, np.arange(len(grade))
+    gaps = np.exp(raw[1:])
+    t = raw[0] + np.concatenate([[0.0], np.cumsum(gaps)])
+    z = np.bincount(rows, w[cols], minlength=n)
+    s = 1 / (1 + np.exp(np.clip(t[None, :] - z[:, None], -30, 30)))  # P(grade > j)
+    p = np.concatenate([np.ones((n, 1)), s, np.zeros((n, 1))], axis=1)
+    own = np.maximum(p[at, grade] - p[at, grade + 1], 1e-9)
+    slope = np.concatenate([np.zeros((n, 1)), s * (1 - s), np.zeros((n, 1))], axis=1)
+    low, high = slope[at, grade] / own * weight / n, slope[at, grade + 1] / own * weight / n
+    gt = np.bincount(grade, low, minlength=levels)[1:] - np.bincount(grade, high, minlength=levels)[:-1]
+    tail = np.cumsum(gt[::-1])[::-1]
+    gw = np.bincount(cols, (high - low)[rows], minlength=len(w)) + l2 * w
+    return float(-(weight * np.log(own)).sum() / n + l2 * (w @ w) / 2), gw, np.concatenate([[tail[0]], tail[1:] * gaps])
+
+
 def fit(found: list[np.ndarray], grade: np.ndarray, bits: int = BITS, levels: int = GRADES, rounds: int = 300, rate: float = 0.05, l2: float = 3e-4) -> Model:
     """Maximum likelihood by Adam over the whole sample, in compressed rows; thresholds stay in order."""
     size = 1 << bits
     used, cols = np.unique(np.concatenate(found) if found else np.empty(0, np.int64), return_inverse=True)
     rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    w, raw = np.zeros(len(used)), np.concatenate([[2.0], np.zeros(levels - 2)])  # t_1, then log gaps
-    df = np.bincount(cols, minlength=len(used))
-    live = df >= 3  # a feature of fewer documents says nothing about others
+    w, raw = np.zeros(len(used)), np.concatenate([[2.0], np.zeros(levels - 2)])
+    live = np.bincount(cols, minlength=len(used)) >= 3  # a feature of fewer documents says nothing about others
     weight = np.where(grade > 0, max(1.0, np.sqrt((grade == 0).sum() / max(1, (grade > 0).sum()))), 1.0)
     m = [np.zeros_like(w), np.zeros_like(raw)]
     v = [np.zeros_like(w), np.zeros_like(raw)]
     for step in range(1, rounds + 1 if len(found) else 1):
-        gaps = np.exp(raw[1:])
-        t = raw[0] + np.concatenate([[0.0], np.cumsum(gaps)])
-        z = np.bincount(rows, w[cols], minlength=len(found))
-        s = 1 / (1 + np.exp(np.clip(t[None, :] - z[:, None], -30, 30)))  # P(grade > j)
-        p = np.concatenate([np.ones((len(z), 1)), s, np.zeros((len(z), 1))], axis=1)
-        own = np.maximum(p[np.arange(len(z)), grade] - p[np.arange(len(z)), grade + 1], 1e-9)
-        slope = s * (1 - s)
-        lo = np.where(grade > 0, slope[np.arange(len(z)), np.maximum(grade - 1, 0)], 0.0)
-        hi = np.where(grade < levels - 1, slope[np.arange(len(z)), np.minimum(grade, levels - 2)], 0.0)
-        gz = -(lo - hi) / own * weight / len(z)
-        gt = np.zeros(levels - 1)
-        np.add.at(gt, np.maximum(grade - 1, 0), np.where(grade > 0, lo / own, 0.0) * weight / len(z))
-        np.add.at(gt, np.minimum(grade, levels - 2), np.where(grade < levels - 1, -hi / own, 0.0) * weight / len(z))
-        gw = np.bincount(cols, gz[rows], minlength=len(used)) * live + l2 * w
-        tail = np.cumsum(gt[::-1])[::-1]
-        graw = np.concatenate([[tail[0]], tail[1:] * gaps])
-        for k, (x, g) in enumerate(((w, gw), (raw, graw))):
+        _, gw, graw = likelihood(w, raw, rows, cols, grade, weight, l2)
+        for k, (x, g) in enumerate(((w, np.where(live, gw, 0.0)), (raw, graw))):
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
             x -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
@@ -157,8 +160,9 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model, toxic_from: float
     """(doc_id, severity, grade, toxic), a row for each row of ``docs``, in one narrow pass.
 
     severity: expected grade; grade: the nearest one; toxic: severity >= ``toxic_from``. Null and empty
-    texts have no features and get the severity of such; repeated rows score alike; an empty table gives
-    none; other columns are ignored. The model is 2**20 floats, whatever the input.
+    texts have no features and get the severity of such; very long texts are taken whole; a severity that ties with
+    ``toxic_from`` is toxic; repeated rows score alike; an empty table gives none; other columns are ignored, whatever
+    their names. The model is 2**20 floats, whatever the input.
     """
     held = spark.sparkContext.broadcast(model)
     src = docs.select("doc_id", "text")
@@ -173,5 +177,6 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model, toxic_from: float
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The severity of all documents; nulls, long texts, ties and repeats as in ``scored``."""
     docs = read(spark, sf_dir, "documents")
     return scored(spark, docs, train(docs, read(spark, sf_dir, "labels")))

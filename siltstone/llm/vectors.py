@@ -272,7 +272,8 @@ def linked(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without a vec_id,
     link with nothing (component_id is their own vec_id); vectors of different lengths do not link; equal
-    vectors link as they are (cosine 1); an empty table gives none; other columns are ignored.
+    vectors link as they are (cosine 1), and a cosine that ties with the threshold links; very long vectors are taken
+    whole; an empty table gives none; other columns are ignored, whatever their names.
     """
     with Scratch(spark) as s:
         e = F.col("embedding")
@@ -307,4 +308,15 @@ def linked(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD
 
 
 def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links and components of all vectors; nulls, ties and repeats as in ``linked``."""
     return linked(spark, read(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS c FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = c.a
+"""
