@@ -135,9 +135,9 @@ def thresholds(scratch: Scratch, measured: DataFrame) -> DataFrame:
     lang = _blended(quantiles(add(["lang"]), ["lang"]), every, ["measure"]).select("lang", "measure", *_Q)
     own = _blended(quantiles(fine, ["lang", "source"]), lang, ["lang", "measure"])
     spread = F.create_map(*[F.lit(x) for m, (_, k) in FENCES.items() for x in (m, k)])[F.col("measure")]
-    # A group of copies has no spread of its own: half of its language's is the least.
-    high = F.col("mid") + spread * F.greatest(F.col("high") - F.col("mid"), (F.col("w_high") - F.col("w_mid")) / 2)
-    low = F.col("mid") - spread * F.greatest(F.col("mid") - F.col("low"), (F.col("w_mid") - F.col("w_low")) / 2)
+    # A group of copies has no spread of its own: a quarter of its language's is the least.
+    high = F.col("mid") + spread * F.greatest(F.col("high") - F.col("mid"), (F.col("w_high") - F.col("w_mid")) / 4)
+    low = F.col("mid") - spread * F.greatest(F.col("mid") - F.col("low"), (F.col("w_mid") - F.col("w_low")) / 4)
     own = own.select("lang", "source", "measure", high.alias("high"), low.alias("low"))
     of = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
     out = own.groupBy("lang", "source").agg(*[of(m, "high").alias(f"high_{m}") for m in FENCES], of("mean_word", "low").alias("low_mean_word"))
@@ -218,7 +218,7 @@ ls AS (SELECT lang, measure, bucket, sum(n) AS n FROM fine GROUP BY ALL), es AS
 e AS ({quant('es', '')}), l0 AS ({quant('ls', 'lang,')}), s0 AS ({quant('fine', 'lang, source,')}),
 lb AS (SELECT l0.lang, measure, {blend('l0', 'e')} FROM l0 JOIN e USING (measure)),
 sb AS (SELECT s0.lang, s0.source, s0.measure, {blend('s0', 'lb')}, lb.mid AS w_mid, lb.high AS w_high, lb.low AS w_low FROM s0 JOIN lb ON s0.measure = lb.measure AND s0.lang IS NOT DISTINCT FROM lb.lang),
-f AS (SELECT lang, source, measure, mid + ({pick(1)}) * greatest(high - mid, (w_high - w_mid) / 2) AS high, mid - ({pick(1)}) * greatest(mid - low, (w_mid - w_low) / 2) AS low FROM sb),
+f AS (SELECT lang, source, measure, mid + ({pick(1)}) * greatest(high - mid, (w_high - w_mid) / 4) AS high, mid - ({pick(1)}) * greatest(mid - low, (w_mid - w_low) / 4) AS low FROM sb),
 t AS (SELECT lang, source, {limits}, max(low) FILTER (WHERE measure = 'mean_word') AS low_mean_word FROM f GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {sure}
   AND mean_word - 1.5 * mean_word / sqrt(greatest(n_words, 1)) <= high_mean_word AND mean_word + 1.5 * mean_word / sqrt(greatest(n_words, 1)) >= low_mean_word AS kept
