@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -16,34 +17,37 @@ Complete = Callable[[str, str], str]
 SYSTEM = "Do the task that follows on the text of the document. Answer with JSON alone, an array or an object in the shape that the task asks for: no other words and no code fence."
 
 
+_FENCE = re.compile(r"\s*```(?:json)?(?P<inner>.*?)(?:```)?\s*", re.I | re.S)
+
+
 def unfenced(answer: str) -> str:
-    t = answer.strip()
-    if not t.startswith("```"):
-        return t
-    t = t.removeprefix("```")
-    t = t[4:] if t[:4].lower() == "json" else t
-    return t.removesuffix("```").strip()
+    """An answer without white space around it and, if it begins with one, without its code fence."""
+    m = _FENCE.fullmatch(answer)
+    return (m["inner"] if m else answer).strip()
 
 
 def records(answer: str | None) -> list[dict[str, Any]]:
     """An array's objects; of an object the first value that is an array, its objects; else the object itself."""
     try:
-        got = json.loads(unfenced(answer if answer is not None else ""))
+        got = json.loads(unfenced(answer or ""))
     except ValueError as e:
         raise CompletionError(f"not JSON: {e}") from e
-    if isinstance(got, dict):
-        got = next((v for v in got.values() if isinstance(v, list)), [got])
-    if not isinstance(got, list):
-        raise CompletionError(f"neither an array nor an object but {type(got).__name__}")
-    return [r for r in got if isinstance(r, dict)]
+    match got:
+        case list():
+            rows = got
+        case dict():
+            rows = next(filter(lambda v: isinstance(v, list), got.values()), [got])
+        case _:
+            raise CompletionError(f"neither an array nor an object but {type(got).__name__}")
+    return [r for r in rows if isinstance(r, dict)]
 
 
 def chunk_of(record: dict[str, Any]) -> tuple[str, dict[str, Any]]:
     """(text, metadata): its text and the rest, or all of it as JSON and as metadata."""
-    text = record.get("text")
-    if isinstance(text, str) and text.strip():
-        return text.strip(), {k: v for k, v in record.items() if k != "text"}
-    return json.dumps(record, ensure_ascii=False), record
+    rest = dict(record)
+    text = rest.pop("text", None)
+    own = text.strip() if isinstance(text, str) else ""
+    return (own, rest) if own else (json.dumps(record, ensure_ascii=False), record)
 
 
 _SCHEMA = "answer_index int, text string, metadata string, error string"

@@ -6,16 +6,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_HTML_ELEMENT = r"(?is)<(h[1-6]|p|li|table)\b[^>]*>(.*?)</\1>"
+from siltstone.functions.text import squeezed
+
+#: Tags that end a run of text, and named characters.
+_BLOCK = "address|article|aside|blockquote|body|br|caption|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|head|header|hgroup|hr|html|li|main|nav|ol|option|p|pre|search|section|select|summary|td|th|title|tr|ul"
+_NAMED = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+_CUT = "\u001f"
 
 
 def html_elements(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
-    """(id, pos, kind, text): headings, paragraphs, list items and tables of HTML pages, in order."""
-    found = F.regexp_extract_all(html, F.lit(_HTML_ELEMENT), F.lit(0))
-    e = pages.select(id, F.posexplode(found).alias("pos", "raw"))
-    tag = F.lower(F.regexp_extract("raw", r"^<([A-Za-z0-9]+)", 1))
-    kind = F.when(tag.rlike("^h[1-6]$"), "title").when(tag == "table", "table").otherwise("text")
-    text = F.trim(F.regexp_replace(F.regexp_replace("raw", r"<[^>]*>", " "), r"\s+", " "))
+    """(id, pos, kind, text): headings, tables and runs of text of HTML pages, in order; nothing that is shown is left out.
+
+    Scripts, styles and comments are not text; tables stay as HTML; tags of blocks end a run of text.
+    """
+    clean = F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>", " ")
+    for whole in (r"(?is)(<table\b.*?</table\s*>)", r"(?is)(<h[1-6]\b[^>]*>.*?</h[1-6]\s*>)"):
+        clean = F.regexp_replace(clean, whole, f"{_CUT}$1{_CUT}")
+    parts = F.transform(F.split(clean, _CUT), lambda x: F.when(x.rlike(r"(?i)^<(table|h[1-6])\b"), F.array(x)).otherwise(F.split(x, rf"(?i)</?(?:{_BLOCK})\b[^>]*>")))
+    e = pages.select(id, F.posexplode(F.flatten(parts)).alias("pos", "raw"))
+    kind = F.when(F.col("raw").rlike(r"(?i)^<h[1-6]\b"), "title").when(F.col("raw").rlike(r"(?i)^<table\b"), "table").otherwise("text")
+    text = F.regexp_replace("raw", r"<[^>]*>", " ")
+    for name, char in _NAMED.items():
+        text = F.replace(text, F.lit(name), F.lit(char))
+    text = squeezed(text)
     return e.select(id, "pos", kind.alias("kind"), F.when(kind == "table", F.col("raw")).otherwise(text).alias("text")).where("text <> ''")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import html as markup
+import re
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,79 +13,40 @@ from pyspark.sql import functions as F
 #: Fixed value: the longest text of a cell that may be a header.
 MAX_HEADER = 80
 
-
-class _Grid(HTMLParser):
-    """Rows of (is header, cells). A row that another starts inside is lost, as is a cell that another starts inside."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.rows: list[tuple[bool, list[str]]] = []
-        self.cells: list[str] | None = None
-        self.head = False
-        self.text: str | None = None
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "tr":
-            self.cells, self.head = [], False
-        elif tag in ("td", "th"):
-            self.cells = [] if self.cells is None else self.cells
-            self.head |= tag == "th"
-            self.text = ""
-
-    def handle_data(self, data):
-        if self.text is not None:
-            self.text += data
-
-    def handle_endtag(self, tag):
+_PART = re.compile(r"(?is)<!--.*?-->|<(tr|td|th|/tr|/td|/th|/table)\b[^>]*>")
+_NUMBER = re.compile(r"-?\d*\.?\d+-?")
+
+
+def cells(table: str) -> pd.DataFrame:
+    """(row, head, text) of a table's cells in order. A cell or a row that is not closed ends where the next one starts."""
+    found, row, at = [], 0, None
+    for m in _PART.finditer(table + "</table>"):
+        tag = (m[1] or "").lower()
+        if at is not None and tag:
+            kind, start = at
+            text = markup.unescape(re.sub(r"(?s)<[^>]*>", "", table[start : m.start()]))
+            found.append((row, kind == "th", " ".join(text.split())))
+            at = None
+        row += tag == "tr"
         if tag in ("td", "th"):
-            self._cell()
-        elif tag == "tr":
-            self._row()
-
-    def _cell(self):
-        if self.text is not None:
-            if self.cells is None:
-                raise ValueError("a cell ends after its row")
-            self.cells.append(" ".join(self.text.split()))
-            self.text = None
-
-    def _row(self):
-        if self.cells is not None:
-            if any(self.cells):
-                self.rows.append((self.head, self.cells))
-            self.cells = None
-
-    def close(self):
-        super().close()
-        self._cell()
-        self._row()
-
-
-def _heading(cells: list[str]) -> bool:
-    number = lambda c: c.replace(".", "", 1).replace("-", "", 1).isdigit()
-    return all(c and len(c) <= MAX_HEADER and not number(c) for c in cells)
+            at = (tag, m.end())
+    return pd.DataFrame(found, columns=["row", "head", "text"])
 
 
 def linear(html: str | None) -> str:
-    """The lines of a table; '' for what has no cells or cannot be read."""
-    grid = _Grid()
-    try:
-        grid.feed(html or "")
-        grid.close()
-    except Exception:  # markup that no table can be read from adds no text
-        return ""
-    rows = [cells for _, cells in grid.rows]
-    top = next((i for i, (head, _) in enumerate(grid.rows) if head), None)
-    if top is None and len(rows) > 1 and _heading(rows[0]):
-        top = 0
-    if top is None:
-        return "\n".join(" | ".join(filter(None, cells)) for cells in rows)
-    names = rows[top]
-    lines = [" | ".join(filter(None, names))]
-    for cells in rows[top + 1 :]:
-        labels = names + [""] * (len(cells) - len(names))
-        lines.append(" | ".join(f"{n}: {c}" if n else c for n, c in zip(labels, cells, strict=False) if c))
-    return "\n".join(lines)
+    """The lines of a table; '' for what has no cells.
+
+    The header is the first row with a ``th``, else a first row of texts that no number is among; rows before it
+    are left out, as are rows and cells without text.
+    """
+    rows = [(r["head"].any(), r["text"].tolist()) for _, r in cells(html or "").groupby("row") if r["text"].any()]
+    named = [i for i, (head, _) in enumerate(rows) if head]
+    likely = len(rows) > 1 and all(t and len(t) <= MAX_HEADER and not _NUMBER.fullmatch(t) for t in rows[0][1])
+    top = named[0] if named else 0 if likely else None
+    names = [] if top is None else rows[top][1]
+    label = lambda name, text: f"{name}: {text}" if name and text else text or ""
+    body = [[label(n, t) for n, t in zip_longest(names, texts)] for _, texts in rows[0 if top is None else top + 1 :]]
+    return "\n".join(" | ".join(filter(None, line)) for line in ([names] if names else []) + body)
 
 
 def linearized(html: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -14,8 +15,8 @@ from siltstone.functions import vectors as V
 from siltstone.operators.filters import filtered
 from siltstone.plans.joins import first_k, top_k
 
-#: Queries that one job holds on every executor; more are taken in several jobs.
-MAX_QUERIES = 4096
+#: Queries that one pass holds on every executor, about.
+MAX_QUERIES = 2048
 #: Scores are rounded to so many places, so that equal rows tie however their sums were added.
 DIGITS = 9
 
@@ -35,13 +36,15 @@ def search(rows: DataFrame, query: list[float], k: int = 10, filters: Mapping[st
 def search_batch(rows: DataFrame, queries: DataFrame, k: int = 10, id: str = "id", vector: str = "embedding", qid: str = "qid", query: str = "embedding") -> DataFrame:
     """(qid, id, score, rank): the k nearest rows of every query.
 
-    The queries, a stated and bounded set, go to every task as one matrix; a task multiplies its rows with
-    it block by block and passes on its k best for each query, so that no pair of row and query is shuffled
-    that could not be in the result.
+    The queries go to every task as a matrix, in blocks of at most about ``MAX_QUERIES``, a pass over the rows for
+    each; a task multiplies its rows with it batch by batch and passes on its k best for each query at its end, so
+    that no pair of row and query is shuffled that could not be in the result.
     """
-    n = queries.limit(MAX_QUERIES + 1).count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; take them in several calls")
+    blocks = -(-queries.count() // MAX_QUERIES)
+    if blocks > 1:
+        of = F.pmod(F.xxhash64(qid), F.lit(blocks))
+        parts = [search_batch(rows, queries.where(of == i), k, id, vector, qid, query) for i in range(blocks)]
+        return reduce(DataFrame.unionByName, parts)
     held = queries.where(F.col(query).isNotNull()).select(F.col(qid).alias("qid"), F.col(query).cast("array<double>").alias("q")).orderBy("qid").toArrow()
     q_ids = held.column("qid").combine_chunks()
     q = np.array(held.column("q").to_pylist(), np.float64).reshape(len(held), -1)
@@ -51,6 +54,7 @@ def search_batch(rows: DataFrame, queries: DataFrame, k: int = 10, id: str = "id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, ids = shared.value
+        held: list[pa.Table] = []  # of each query k rows or more, cut to k from time to time
         for b in batches:
             if not b.num_rows or not len(unit):
                 continue
@@ -70,7 +74,19 @@ def search_batch(rows: DataFrame, queries: DataFrame, k: int = 10, id: str = "id
             else:
                 take = np.ones_like(s, bool)
             q_at, r_at = np.nonzero(take)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q_at)), own.take(pa.array(r_at)), pa.array(s[q_at, r_at])], names=["qid", "id", "score"])
+            held.append(pa.table({"q": pa.array(q_at), "id": own.take(pa.array(r_at)), "score": pa.array(s[q_at, r_at])}))
+            if len(held) >= 16:
+                held = [cut(held)]
+        if held:
+            best = cut(held)
+            yield from pa.table({"qid": ids.take(best.column("q").combine_chunks()), "id": best.column("id"), "score": best.column("score")}).combine_chunks().to_batches()
+
+    def cut(held: list[pa.Table]) -> pa.Table:
+        t = pa.concat_tables(held).sort_by([("q", "ascending"), ("score", "descending"), ("id", "ascending")])
+        at = np.asarray(t.column("q"))
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        place = np.arange(len(at)) - np.repeat(first, np.diff([*first, len(at)]))
+        return t.filter(pa.array(place < k)).combine_chunks()
 
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     found = src.mapInArrow(run, f"qid {kind(queries, qid)}, id {kind(src, 'id')}, score double")

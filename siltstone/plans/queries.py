@@ -18,7 +18,7 @@ from siltstone.functions import vectors as V
 from siltstone.operators import bm25, dense, embed, evaluate, fusion, hybrid, quantize, rerank
 from siltstone.operators.filters import filtered
 from siltstone.plans.scratch import folder
-from siltstone.sources import ingest
+from siltstone.sources import golden, ingest
 from siltstone.sources.collections import Store
 from siltstone.streaming import ingest as streaming
 
@@ -246,6 +246,29 @@ def hybrid_texts(spark: SparkSession, sf: str) -> DataFrame:
     return hybrid.with_text(hybrid.search(d, questions(spark, sf).where("qid = 0")), d).select("rank", "text")
 
 
+@query(f"WITH {_legs('(SELECT d.* FROM documents d JOIN embeddings ON doc_id = vec_id WHERE trim(text) <> $$$$)')}, {_fuse()} SELECT qid, id::VARCHAR AS id, rank, round(rrf, 6) AS rrf FROM fr WHERE rank <= 10")
+def hybrid_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Over a collection, the keyword leg from the index of its current version."""
+    store = _collection(spark, sf)
+    d = store.table("docs").select(F.col("id").cast("long").alias("id"), "text", "embedding")
+    index = bm25.index_of(store, "docs", "long")
+    return _out(hybrid.search(d, questions(spark, sf), index=index)).select("qid", F.col("id").cast("string").alias("id"), "rank", "rrf")
+
+
+@query("SELECT '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\",\"ts\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '\"}' AS json FROM events")
+def rows_as_json(spark: SparkSession, sf: str) -> DataFrame:
+    return golden.as_json(read(spark, sf, "events").select("event_id", "event_type", "ts"))
+
+
+@query("""SELECT source AS content_hash, doc_id AS picture, chunk_index FROM (SELECT source, doc_id, lang || doc_id % 5 AS caption FROM documents)
+LEFT JOIN (SELECT source, lang || doc_id % 3 AS caption, min(doc_id) AS chunk_index FROM documents GROUP BY ALL) USING (source, caption)""")
+def picture_captions(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of a source stand for its chunks and pictures; made-up captions join them."""
+    d = read(spark, sf, "documents").withColumnRenamed("source", "content_hash")
+    chunks = d.select("content_hash", F.col("doc_id").alias("chunk_index"), F.array(F.concat("lang", F.col("doc_id") % 3)).alias("refs"))
+    return ingest.captioned(chunks, d.select("content_hash", F.col("doc_id").alias("picture"), F.concat("lang", F.col("doc_id") % 5).alias("caption")))
+
+
 # ---- codes --------------------------------------------------------------------------------------
 
 _CODEC = quantize.Codec(64)
@@ -314,13 +337,9 @@ pq AS (SELECT qid, CASE WHEN f IS NULL THEN 0 ELSE 1 END::DOUBLE AS hit, coalesc
 
 
 def _truth(spark: SparkSession, sf: str) -> DataFrame:
-    """(qid, item): the documents that contain a passage; null for passages in none.
-
-    The passages are a stated query set of bounded size against all documents.
-    """
+    """(qid, item): the documents that contain a passage; null for passages in none."""
     b = read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("item"), "text")
-    hits = docs.join(F.broadcast(b.limit(dense.MAX_QUERIES)), F.contains("text", "passage")).select("qid", "item")
+    hits = evaluate.containing(read(spark, sf, "documents").select(F.col("doc_id").alias("item"), "text"), b)
     return b.select("qid").join(hits, "qid", "left")
 
 
@@ -574,7 +593,8 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     at = folder(spark)
     store = Store(spark, f"{at}/store")
     d = read(spark, sf, "documents")
-    stream = spark.readStream.schema(d.schema).parquet(f"{sf}/documents.parquet*" if not sf.startswith("viewfs") else f"{sf}/documents.parquet")
+    d.write.parquet(f"{at}/landing")
+    stream = spark.readStream.schema(d.schema).parquet(f"{at}/landing")
     rows = stream.where("trim(text) <> ''").select("text", F.to_json(F.struct("lang")).alias("metadata"))
     streaming.start(rows, store, "docs", embed.Embedder(2, column=lambda c: F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>")), f"{at}/progress").awaitTermination()
     return store.table("docs").select("id")

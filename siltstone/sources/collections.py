@@ -1,7 +1,8 @@
 """Collections: named tables of documents on shared storage, in versions.
 
-A version is a directory of Parquet files; a small pointer file names the current one, and is replaced
-last, so that readers see the old version or the new one whole and never a path that is being written.
+A version is a directory of Parquet files and a small numbered head file that names what makes it up. A head is written
+under another name and renamed last, and the highest number is the current one, so that readers see the old version or
+the new one whole; a head is never replaced, and of two writers at once the second fails.
 Appends add files to a new version by reference (a version lists the directories that make it up); deletes,
 updates and replacements rewrite. Metadata is a VARIANT column; what the library relies on (content hash,
 chunk index, document id) are columns of their own, which no caller's metadata can overwrite.
@@ -49,48 +50,52 @@ class Store:
 
     # ---- files -----------------------------------------------------------------------------
 
-    def _fs(self, path: str):
+    def file(self, path: str):
+        """(file system, path) for a path."""
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _read(self, path: str) -> dict[str, Any] | None:
-        fs, p = self._fs(path)
+    def _heads(self, name: str) -> list[str]:
+        fs, p = self.file(f"{self.path}/{name}/heads")
         if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+            return []
+        return sorted(n for s in fs.listStatus(p) if (n := s.getPath().getName()).startswith("head-"))
 
-    def _write(self, path: str, value: dict[str, Any]) -> None:
-        fs, p = self._fs(path)
-        _, new = self._fs(f"{path}.{uuid.uuid4().hex}")
-        stream = fs.create(new, True)
+    def _write(self, name: str, value: dict[str, Any]) -> None:
+        at = f"{self.path}/{name}/heads"
+        fs, new = self.file(f"{at}/new-{uuid.uuid4().hex}")
+        stream = fs.create(new, False)
         try:
             stream.write(json.dumps(value).encode())
         finally:
             stream.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(new, p)
+        _, p = self.file(f"{at}/head-{value['version']:012d}")
+        if fs.exists(p) or not fs.rename(new, p):
+            fs.delete(new, False)
+            raise errors.StorageError(f"version {value['version']} of {name!r} was written by another writer")
 
     def _head(self, name: str) -> dict[str, Any]:
-        head = self._read(f"{self.path}/{name}/current.json")
-        if head is None:
+        heads = self._heads(name)
+        if not heads:
             raise errors.CollectionNotFound(f"no collection {name!r}")
-        return head
+        fs, p = self.file(f"{self.path}/{name}/heads/{heads[-1]}")
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
 
     # ---- definition ------------------------------------------------------------------------
 
     def create(self, name: str, dimension: int, metadata: Mapping[str, Any] | None = None) -> None:
         """A new collection; cosine is its space if ``metadata`` (key ``space``) names no other."""
         validate.check_name(name)
+        validate.check_metadata(metadata)
         if not isinstance(dimension, int) or isinstance(dimension, bool) or dimension <= 0:
             raise errors.ValidationError("the dimension must be a positive whole number")
         if self.exists(name):
             raise errors.CollectionExists(f"collection {name!r} is there already")
-        self._write(f"{self.path}/{name}/current.json", {"name": name, "dimension": dimension, "metadata": {"space": "cosine"} | dict(metadata or {}), "version": 0, "parts": [], "next_seq": 0})
+        self._write(name, {"name": name, "dimension": dimension, "metadata": {"space": "cosine"} | dict(metadata or {}), "version": 0, "parts": [], "next_seq": 0})
 
     def ensure(self, name: str, dimension: int) -> None:
         if not self.exists(name):
@@ -98,14 +103,14 @@ class Store:
 
     def drop(self, name: str) -> None:
         self._head(name)
-        fs, p = self._fs(f"{self.path}/{name}")
+        fs, p = self.file(f"{self.path}/{name}")
         fs.delete(p, True)
 
     def exists(self, name: str) -> bool:
-        return self._read(f"{self.path}/{name}/current.json") is not None
+        return bool(self._heads(name))
 
     def names(self) -> list[str]:
-        fs, p = self._fs(self.path)
+        fs, p = self.file(self.path)
         if not fs.exists(p):
             return []
         return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and self.exists(s.getPath().getName()))
@@ -158,15 +163,21 @@ class Store:
         have["seq"] = F.coalesce(have["seq"], F.monotonically_increasing_id() + start)
         return rows.select(*[have[f.name].alias(f.name) for f in SCHEMA])
 
+    def _check(self, rows: DataFrame, dimension: int, needed: bool = True) -> None:
+        vector = F.col("embedding") if "embedding" in rows.columns else F.lit(None).cast("array<float>")
+        wrong = F.coalesce(F.size(vector) != dimension, F.lit(False)) & vector.isNotNull()
+        text = F.col("text").isNotNull() if needed else F.col("text").isNotNull() & (F.col("text") != "")
+        bad = F.col("id").isNull() | wrong | (vector.isNull() if needed else F.lit(False)) | ~F.coalesce(validate.valid_text(F.col("text"), 2**31 - 1) if needed else text | F.col("text").isNull(), F.lit(False))
+        if rows.where(bad).limit(1).count():
+            raise errors.ValidationError(f"every row needs an id, a text and an embedding of {dimension} components")
+
     def append(self, name: str, rows: DataFrame) -> int:
         """Adds rows (id, text, embedding ...); rows whose id is there already, or earlier in ``rows``, are not added.
 
         Returns the new version.
         """
         head = self._head(name)
-        bad = rows.where(~validate.valid_text(F.col("text"), 2**31 - 1) | F.col("embedding").isNull() | (F.size("embedding") != head["dimension"]) | F.col("id").isNull())
-        if bad.limit(1).count():
-            raise errors.ValidationError(f"every row needs an id, a text and an embedding of {head['dimension']} components")
+        self._check(rows, head["dimension"])
         new = rows.dropDuplicates(["id"]).join(self.table(name).select("id"), "id", "left_anti")
         part = f"v{head['version'] + 1}-{uuid.uuid4().hex[:8]}"
         self._shaped(new, head["next_seq"]).write.parquet(f"{self.path}/{name}/{part}")
@@ -182,7 +193,7 @@ class Store:
 
     def _commit(self, name: str, head: dict[str, Any], parts: list[str], top: int | None) -> int:
         head = head | {"version": head["version"] + 1, "parts": parts, "next_seq": max(head["next_seq"], (top or 0) + 1)}
-        self._write(f"{self.path}/{name}/current.json", head)
+        self._write(name, head)
         return head["version"]
 
     def delete(self, name: str, ids: DataFrame) -> int:
@@ -191,8 +202,9 @@ class Store:
 
     def update(self, name: str, rows: DataFrame) -> int:
         """Replaces text and metadata, and embeddings where given, of rows (id, text, metadata, embedding); codes of
-        changed embeddings are dropped, to be made anew."""
-        new = rows.select("id", F.col("text").alias("t"), (F.col("embedding") if "embedding" in rows.columns else F.lit(None)).cast("array<float>").alias("e"), (F.col("metadata") if "metadata" in rows.columns else F.lit(None).cast("string")).alias("m"))
+        changed embeddings are dropped, to be made anew. Of rows that share an id one counts."""
+        self._check(rows, self._head(name)["dimension"], needed=False)
+        new = rows.dropDuplicates(["id"]).select("id", F.col("text").alias("t"), (F.col("embedding") if "embedding" in rows.columns else F.lit(None)).cast("array<float>").alias("e"), (F.col("metadata") if "metadata" in rows.columns else F.lit(None).cast("string")).alias("m"))
         old = self.table(name)
         d = old.join(new.withColumn("hit", F.lit(True)), "id", "left")
         m = F.parse_json("m") if new.schema["m"].dataType == T.StringType() else F.col("m")
@@ -206,14 +218,16 @@ class Store:
 
     def replace(self, name: str, content_hashes: DataFrame, rows: DataFrame) -> int:
         """One step for force replacement: rows with these content hashes go, ``rows`` come; a failure changes nothing."""
+        self._check(rows, self._head(name)["dimension"])
+        rows = rows.dropDuplicates(["id"])
         kept = self.table(name).join(content_hashes.select("content_hash").distinct(), "content_hash", "left_anti").select(*[f.name for f in SCHEMA])
         return self._rewrite(name, kept.unionByName(self._shaped(rows, self._head(name)["next_seq"])))
 
     def vacuum(self, name: str) -> int:
-        """Removes directories that the current version does not name; returns how many."""
+        """Removes directories that the current version does not name, and older heads; returns how many directories."""
         head = self._head(name)
-        fs, p = self._fs(f"{self.path}/{name}")
-        gone = [s.getPath() for s in fs.listStatus(p) if s.isDirectory() and s.getPath().getName() not in head["parts"]]
-        for g in gone:
+        fs, p = self.file(f"{self.path}/{name}")
+        gone = [s.getPath() for s in fs.listStatus(p) if s.isDirectory() and s.getPath().getName() not in (*head["parts"], "heads", f"index-{head['version']}")]
+        for g in [*gone, *(self.file(f"{self.path}/{name}/heads/{h}")[1] for h in self._heads(name)[:-1])]:
             fs.delete(g, True)
         return len(gone)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from siltstone.errors import UnsupportedDocument
 from siltstone.functions.text import basename, extension
-from siltstone.functions.validate import EXTENSIONS
+from siltstone.functions.validate import EXTENSIONS, valid_file
 
 #: (content, first page, last page) -> (kind, text, page, image as base64 or None); kinds: title, text, table, image
 Parser = Callable[[bytes, int, int], list[tuple[str, str, int, str | None]]]
@@ -108,30 +108,33 @@ def register(ext: str, parser: Parser, pages: PageCount | None = None) -> None:
     PARSERS[ext] = (parser, pages)
 
 
-def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(path, length, content, content_hash, source_filename, file_type) of supported files under a path."""
+def files(spark: SparkSession, path: str, glob: str | None = None, max_mb: float = 20.0) -> DataFrame:
+    """(path, length, content, content_hash, source_filename, file_type) of supported files of at most ``max_mb`` under a path."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     d = (r.option("pathGlobFilter", glob) if glob else r).load(path)
-    return d.where(extension(F.col("path")).isin(*EXTENSIONS)).select("path", "length", "content", F.sha2("content", 256).alias("content_hash"), basename(F.col("path")).alias("source_filename"), extension(F.col("path")).alias("file_type"))
+    return d.where(valid_file(F.col("path"), F.col("length"), max_mb)).select("path", "length", "content", F.sha2("content", 256).alias("content_hash"), basename(F.col("path")).alias("source_filename"), extension(F.col("path")).alias("file_type"))
 
 
 def ranges(found: DataFrame, per_range: int = 25, whole_under: int = 30) -> DataFrame:
     """Files with (range_no, first_page, last_page): one range of all pages (0: unknown), or several of ``per_range``."""
     counts = {e: p for e, (_, p) in PARSERS.items() if p is not None}
 
-    @F.udf("array<struct<range_no:int,first_page:int,last_page:int>>")
-    def cut(content, ext):  # noqa: ANN001
-        if ext not in counts:
-            return [(0, 1, 0)]
+    def cut(content: bytes, ext: str) -> list[dict[str, int]]:
         try:
-            n = counts[ext](bytes(content))
+            n = counts[ext](content) if ext in counts else 0
         except Exception:  # what cannot be counted is tried as a whole, and told of there
-            return [(0, 1, 0)]
-        if n < whole_under:
-            return [(0, 1, n)]
-        return [(i, a, min(a + per_range - 1, n)) for i, a in enumerate(range(1, n + 1, per_range))]
-
-    return found.withColumn("r", F.explode(cut("content", "file_type"))).select(*found.columns, "r.*")
+            n = 0
+        starts = range(1, n + 1, per_range) if n >= whole_under else [1]
+        return [{"range_no": i, "first_page": a, "last_page": min(a + per_range - 1, n) if n >= whole_under else n} for i, a in enumerate(starts)]
+
+    @F.pandas_udf("array<struct<range_no:int,first_page:int,last_page:int>>")
+    def each(content: pd.Series, ext: pd.Series) -> pd.Series:
+        return pd.Series([cut(bytes(c), e) for c, e in zip(content, ext, strict=True)])
+
+    # Only files that have pages to count are sent to be counted.
+    whole = F.array(F.struct(F.lit(0).alias("range_no"), F.lit(1).alias("first_page"), F.lit(0).alias("last_page")))
+    r = F.when(F.col("file_type").isin(*counts), each("content", "file_type")).otherwise(whole) if counts else whole
+    return found.withColumn("r", F.explode(r)).select(*found.columns, "r.*")
 
 
 _ELEMENTS = "content_hash string, source_filename string, file_type string, range_no int, first_page int, last_page int, pos int, kind string, text string, page int, image string, error string"

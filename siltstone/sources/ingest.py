@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from siltstone.chunking.budget import Count, fit, words
 from siltstone.chunking.tables import linear
+from siltstone.errors import ValidationError
+from siltstone.functions import validate
 from siltstone.operators import embed, quantize
+from siltstone.plans.scratch import written
 from siltstone.sources import files
 from siltstone.sources.collections import Store
 
@@ -50,6 +53,17 @@ def chunks(elements: DataFrame, budget: int = 256, least: int = 20, overlap: int
     return elements.where("error is null").groupBy("content_hash").applyInPandas(one, "content_hash string, chunk_index int, total_chunks int, text string, tables array<string>, images array<string>")
 
 
+def captioned(chunked: DataFrame, pictures: DataFrame) -> DataFrame:
+    """(picture, chunk_index): each picture (content_hash, picture, caption) with the first chunk that holds its caption.
+
+    chunked: (content_hash, chunk_index, refs), refs the element ids that a chunk was made of; a picture whose caption
+    is in no chunk has a null chunk_index.
+    """
+    refs = chunked.select("content_hash", "chunk_index", F.explode("refs").alias("caption"))
+    first = refs.groupBy("content_hash", "caption").agg(F.min("chunk_index").alias("chunk_index"))
+    return pictures.join(first, ["content_hash", "caption"], "left").select("content_hash", "picture", "chunk_index")
+
+
 def modality_counts(chunked: DataFrame) -> DataFrame:
     """One row: n_text, n_table, n_image; a chunk may count in each."""
     return chunked.agg(F.count_if(F.trim("text") != "").alias("n_text"), F.count_if(F.size("tables") > 0).alias("n_table"), F.count_if(F.size("images") > 0).alias("n_image"))
@@ -88,26 +102,23 @@ def ingest(store: Store, name: str, found: DataFrame, embedder: embed.Embedder,
     store.ensure(name, embedder.dimension)
     known = store.table(name).where("content_hash is not null").groupBy("content_hash").agg(F.count("*").alias("existing"))
     fresh = found.dropDuplicates(["content_hash"]) if force else new_only(found, known)
-    parsed = files.elements(files.ranges(fresh)).persist()
-    made = chunks(parsed, budget).persist()
-    try:
-        rows = rows_of(made, found, embedder, codec)
-        before = known.persist()
-        report = found.select("source_filename", "content_hash").join(before, "content_hash", "left").join(made.groupBy("content_hash").agg(F.count("*").alias("chunks")), "content_hash", "left").join(failures(parsed), "content_hash", "left")
-        n = F.coalesce("chunks", F.lit(0))
-        report = report.select("source_filename", "content_hash", n.alias("chunks"), status(F.coalesce("existing", F.lit(0)), n, F.col("failed"), force).alias("status"))
-        told = report.sparkSession.createDataFrame(report.toArrow())
-        if force:
-            store.replace(name, made.select("content_hash"), rows)
-        else:
-            store.append(name, rows)
-        return told
-    finally:
-        parsed.unpersist()
-        made.unpersist()
+    parsed = written(files.elements(files.ranges(fresh)))
+    made = written(chunks(parsed, budget))
+    # The report is written before the rows are, and is of what was there until then.
+    report = found.select("source_filename", "content_hash").join(known, "content_hash", "left").join(made.groupBy("content_hash").agg(F.count("*").alias("chunks")), "content_hash", "left").join(failures(parsed), "content_hash", "left")
+    n = F.coalesce("chunks", F.lit(0))
+    report = written(report.select("source_filename", "content_hash", n.alias("chunks"), status(F.coalesce("existing", F.lit(0)), n, F.col("failed"), force).alias("status")))
+    rows = rows_of(made, found, embedder, codec)
+    if force:
+        store.replace(name, made.select("content_hash"), rows)
+    else:
+        store.append(name, rows)
+    return report
 
 
 def texts(store: Store, name: str, rows: DataFrame, embedder: embed.Embedder) -> int:
     """Stores inline texts (id, text, metadata); the collection is made if it is not there."""
     store.ensure(name, embedder.dimension)
+    if rows.where(~validate.valid_text(F.col("text"))).limit(1).count():
+        raise ValidationError("every text must have from 1 to 100000 characters that are not all white space")
     return store.append(name, embed.embedded(rows, embedder))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from siltstone import errors
 from siltstone.config import from_environment
-from siltstone.operators import embed
-from siltstone.sources import files, ingest
+from siltstone.operators import bm25, embed, evaluate
+from siltstone.sources import files, golden, ingest
 from siltstone.sources.collections import Store
 
 MARKDOWN = b"# Title\n\nSome words of a paragraph.\n\n| Name | Score |\n|---|---|\n| Alice | 92 |\n"
@@ -73,3 +73,66 @@ def test_ingest_is_idempotent_and_shows_failures(spark, tmp_path):
 def test_settings():
     s = from_environment({"SILTSTONE_SEARCH_TOP_K": "5", "SILTSTONE_CODEC_ENABLED": "true"})
     assert s.search.top_k == 5 and s.codec.active and s.search.candidates() == 50
+
+
+def test_heads_are_never_replaced(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}")
+    s.create("a", 1)
+    head = s._head("a")
+    s.append("a", spark.createDataFrame([("1", "x", [1.0])], "id string, text string, embedding array<float>"))
+    with pytest.raises(errors.StorageError):  # a writer that began from the version before
+        s._write("a", head | {"version": head["version"] + 1})
+    assert s.version("a") == 1 and s.count("a") == 1
+    with pytest.raises(errors.ValidationError):
+        s.create("b", 1, {"text": 1})
+
+
+def test_updates_are_checked_and_unique(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}")
+    s.create("a", 1)
+    s.append("a", spark.createDataFrame([("1", "x", [1.0]), ("2", "y", [2.0])], "id string, text string, embedding array<float>"))
+    s.update("a", spark.createDataFrame([("1", "new"), ("1", "new")], "id string, text string"))
+    assert sorted(r["text"] for r in s.table("a").collect()) == ["new", "y"]
+    with pytest.raises(errors.ValidationError):
+        s.update("a", spark.createDataFrame([("1", "z", [1.0, 2.0])], "id string, text string, embedding array<float>"))
+    with pytest.raises(errors.ValidationError):
+        s.replace("a", spark.createDataFrame([("h",)], "content_hash string"), spark.createDataFrame([("3", None, [1.0])], "id string, text string, embedding array<float>"))
+
+
+def test_an_index_follows_its_collection(spark, tmp_path):
+    """As many rows before and after an update, and other words in them."""
+    s, q = Store(spark, f"file://{tmp_path}"), spark.createDataFrame([(1, "apple"), (2, "plum")], "qid int, query string")
+    s.create("a", 1)
+    s.append("a", spark.createDataFrame([("1", "apple pie", [1.0])], "id string, text string, embedding array<float>"))
+    assert [r["qid"] for r in bm25.index_of(s, "a").search(q).collect()] == [1]
+    s.update("a", spark.createDataFrame([("1", "plum pie")], "id string, text string"))
+    assert [r["qid"] for r in bm25.index_of(s, "a").search(q).collect()] == [2]
+
+
+def test_pages_are_parsed_in_ranges(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"x" * 60)
+    (tmp_path / "b.md").write_bytes(MARKDOWN)
+    files.register(".pdf", lambda c, first, last: [("text", f"{first}-{last}", first, None)], pages=len)
+    try:
+        got = files.elements(files.ranges(files.files(spark, str(tmp_path)))).collect()
+    finally:
+        del files.PARSERS[".pdf"]
+    assert sorted(r["text"] for r in got if r["file_type"] == ".pdf") == ["1-25", "26-50", "51-60"]
+    assert {r["range_no"] for r in got if r["file_type"] == ".md"} == {0}
+
+
+def test_golden_questions_and_reports(spark, tmp_path):
+    (tmp_path / "q.jsonl").write_text('{"id": "q1", "question": "a?", "ground_truth_chunk_indices": [2, 3], "metadata": {"difficulty": "easy"}}\n\n{"id": "q2", "question": "b?", "ground_truth_chunk_indices": []}\n')
+    g = golden.questions(spark, str(tmp_path / "q.jsonl"))
+    assert sorted(map(tuple, golden.truth(g).collect()), key=str) == [("q1", 2), ("q1", 3), ("q2", None)]
+    got = spark.createDataFrame([("q1", 3, 1), ("q2", 9, 1)], "qid string, item int, rank int")
+    scores = evaluate.per_query(got, golden.truth(g))
+    at = golden.report(scores, evaluate.overall(scores), f"file://{tmp_path}/out")
+    assert spark.read.json(f"{at}/queries").count() == 2
+    assert "| hit_rate | 0.5000 |" in [r["value"] for r in spark.read.text(f"{at}/summary").collect()]
+
+
+def test_passages_are_found_where_they_are_contained(spark):
+    d = spark.createDataFrame([(1, "x a b c d e f g h i j k"), (2, "xa b c d e f g h i jz"), (3, "q a b"), (4, None), (5, "")], "item int, text string")
+    p = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b"), (3, "zz"), (4, " b c ")], "qid int, passage string")
+    assert sorted(map(tuple, evaluate.containing(d, p).collect())) == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (4, 1), (4, 2)]

@@ -86,3 +86,18 @@ def test_guards():
     for f, bad in ((validate.check_text, "  "), (validate.check_name, "-a"), (validate.check_name, "a" * 64), (validate.check_metadata, {"text": 1}), (validate.check_metadata, {"x": object()}), (validate.check_top_k, 0), (validate.check_top_k, True), (validate.check_vector, [1.0, float("nan")])):
         with pytest.raises(validate.ValidationError):
             f(bad)
+
+
+def test_queries_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(90)], "id long, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([(i, [float(i), 2.0, 1.0]) for i in range(9)], "qid int, embedding array<float>")
+    whole = sorted(map(tuple, dense.search_batch(rows, q, 5).collect()))
+    monkeypatch.setattr(dense, "MAX_QUERIES", 4)
+    assert sorted(map(tuple, dense.search_batch(rows, q, 5).collect())) == whole and len(whole) == 45
+
+
+def test_top_k_is_checked(spark):
+    d = spark.createDataFrame([(1, "x", [1.0])], "id int, text string, embedding array<float>")
+    for k in (0, 101, True):
+        with pytest.raises(validate.ValidationError):
+            hybrid.search(d, d.select(F.col("id").alias("qid"), F.col("text").alias("query"), "embedding"), k)
