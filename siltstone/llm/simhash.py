@@ -13,10 +13,14 @@ each fourth position with its byte, in which its pairs have to meet if they reac
 than ``bucket`` shares four bytes throughout, so that the tally tells nothing more; an exact way that never pairs a
 group links it: fingerprints at most four bits apart have a common neighbour at most two bits from both, so each emits
 its 2,081 neighbours (itself, one and two bits changed) and links to the smallest fingerprint that emitted the same one.
+
+``similar`` and ``deduplicated`` take texts of which 0.8 or more of the five-word shingles are common, by the same
+index over four words of a longer fingerprint.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, map_rows, read, texts
+from siltstone.llm.common import Scratch, gram_hashes, map_rows, map_runs, mix, read, texts, tokenized
 from siltstone.llm.components import components
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -34,6 +38,9 @@ BUCKET = 1024
 #: Positional bytes that a pair shares at least, and the positions of a list.
 LEAST = 8 - BITS
 _LISTS = list(combinations(range(8), LEAST - 1))
+#: For similar texts: words of 64 bits and those that are posted, words of a shingle, Jaccard similarity, and fingerprints
+#: in all parts of a long list.
+WORDS, POSTED, SIMILAR_SHINGLE, SIMILARITY, PIVOTS = 8, 4, 5, 0.8, 32
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
@@ -229,15 +236,147 @@ def grouped(spark: SparkSession, docs: DataFrame, bucket: int = BUCKET) -> DataF
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row of each component: of the rows with its smallest doc_id that with the smallest hash of its text.
+# ---- similar texts: longer fingerprints of longer shingles ---------------------------------------
+
+
+def differing(similarity: float, bits: int = 64 * WORDS) -> int:
+    """Bits in which fingerprints of texts with this Jaccard similarity of shingles differ, and half a standard deviation more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(p * bits + math.sqrt(p * (1 - p) * bits) / 2)
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """(doc_id, th, f0 ...): WORDS words of 64 bits of the majority of the hashes of a text's shingles, repeats counted."""
+    src = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    names = [f"f{k}" for k in range(WORDS)]
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        t = tokenized(b.column("text"), lower=True)
+        h, at = t.hashes[0][t.ids], t.runs_of(shingle)
+        grams, of = gram_hashes(h, shingle)[at], t.text[at]
+        short = np.flatnonzero((t.lens > 0) & (t.lens < shingle))  # the whole sequence
+        more = [int(gram_hashes(h[t.starts[i] : t.ends[i]], int(t.lens[i]))[0]) for i in short]
+        grams, of = np.concatenate([grams, np.array(more, np.uint64)]), np.concatenate([of, short])
+        order = np.argsort(of, kind="stable")
+        grams, of = grams[order], of[order]
+        n, cols = np.bincount(of, minlength=b.num_rows), []
+        for k in range(WORDS):
+            ones = np.zeros((b.num_rows, 64), np.int64)
+            for lo in range(0, len(grams), 1 << 19):
+                own, first = np.unique(of[lo : lo + (1 << 19)], return_index=True)
+                ends = [*first[1:], min(len(of) - lo, 1 << 19)]
+                bits = np.unpackbits(mix(grams[lo : lo + (1 << 19)] ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                ones[own] += np.stack([bits[a:z].sum(axis=0, dtype=np.int32) for a, z in zip(first, ends, strict=True)])
+            cols.append(pa.array(np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.int64).ravel()))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), *cols], names=["doc_id", "th", *names])
+
+    return map_runs(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, th long" + "".join(f", {f} long" for f in names))
+
+
+def _wide_postings(nodes: DataFrame) -> DataFrame:
+    """(key, nid): a fingerprint under each three positions, with their bytes, of each of the words that are posted."""
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for k in range(POSTED):
+            fp = np.asarray(b.column(f"f{k}")).view(np.uint64)
+            own = [_bytes_at(fp, p) for p in range(8)]
+            for c, places in enumerate(_LISTS):
+                key = np.full(len(fp), k * len(_LISTS) + c, np.uint64)
+                for p in places:
+                    key = (key << np.uint64(8)) | own[p]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("nid")], names=["key", "nid"])
+
+    return map_rows(nodes, run, "key long, nid long")
+
+
+def _wide_trees(fp: np.ndarray, least: int, most: int) -> tuple[list[int], list[int]]:
+    """Trees of the rows that share ``least`` positional bytes or more and differ in at most ``most`` bits."""
+    seen, a, b = np.zeros(len(fp), bool), [], []
+    for root in range(len(fp)):
+        front = [] if seen[root] else [root]
+        seen[root] = True
+        while front:
+            i = front.pop()
+            rest = np.flatnonzero(~seen)
+            other = fp[rest] ^ fp[i]
+            met = (other.view(np.uint8).reshape(len(rest), 8 * fp.shape[1]) == 0).sum(axis=1) >= least  # the tally
+            near = rest[met][np.bitwise_count(other[met]).sum(axis=1) <= most]
+            seen[near] = True
+            a += [i] * len(near)
+            b += near.tolist()
+            front += near.tolist()
+    return a, b
+
+
+def _wide_links(rows: DataFrame, least: int, most: int) -> DataFrame:
+    """(a, b): links within the parts of lists, from (key, part, nid, f0 ...)."""
 
-    Rows without an id stay; rows that share an id and are in different components stay both; of rows repeated in full
-    one stays. Nulls, empty and very long texts and empty tables as in ``grouped``; columns may have any names.
+    def runs(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            cuts = starts(t)
+            held, t = t.slice(cuts[-1]), t.slice(0, cuts[-1])
+            yield from links(t, cuts)
+        if held is not None:
+            yield from links(held, [*starts(held), held.num_rows])
+
+    def starts(t):
+        key, part = np.asarray(t.column("key")), np.asarray(t.column("part"))
+        return [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1).tolist()]
+
+    def links(t, cuts):
+        if not t.num_rows:
+            return
+        nid, fp = np.asarray(t.column("nid")), np.stack([np.asarray(t.column(f"f{k}")).view(np.uint64) for k in range(WORDS)], axis=1)
+        a, b = [], []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            x, y = _wide_trees(np.ascontiguousarray(fp[lo:hi]), least, most)
+            a += [lo + i for i in x]
+            b += [lo + i for i in y]
+        yield pa.RecordBatch.from_arrays([pa.array(nid[a]), pa.array(nid[b])], names=["a", "b"])
+
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(runs, "a long, b long").where("a <> b")
+
+
+def similar(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, th, root): groups of texts whose five-word shingles are alike, as told by 512 bits; root names a group.
+
+    A pair meets if it shares three positional bytes of one of four words, which nearly all pairs well above the
+    similarity do; a longer list than ``bucket`` is dealt into parts that all hold the list's first ``PIVOTS``
+    fingerprints, so that a large group meets through them. Nulls, empty and very long texts and empty tables as in
+    ``grouped``: texts without words are one group.
+    """
+    names = [f"f{k}" for k in range(WORDS)]
+    with Scratch(spark) as s:
+        fps = s.table(wide_fingerprints(docs))
+        nodes = s.table(fps.select(*names).distinct().withColumn("nid", F.monotonically_increasing_id()))
+        posts = _wide_postings(nodes)
+        keys = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        met = s.table(posts.join(keys.hint("merge"), "key").select("key", "nid", F.ceil(F.col("n") / bucket).cast("int").alias("parts")))
+        own = met.withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
+        w = Window.partitionBy("key").orderBy(F.xxhash64("nid"), "nid")
+        pivots = met.where("parts > 1").withColumn("r", F.row_number().over(w)).where(F.col("r") <= PIVOTS)
+        pivots = pivots.select("key", "nid", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        members = own.select("key", "part", "nid").union(pivots.select("key", "part", "nid")).distinct()
+        links = s.table(_wide_links(members.join(nodes, "nid"), LEAST - 1, differing(similarity)).distinct())
+        roots = s.table(components(s, links))
+        named = s.table(nodes.join(roots, nodes["nid"] == roots["node"], "left").select(*names, F.coalesce("root", "nid").alias("root")))
+        return s.table(fps.join(named, names).select("doc_id", "th", "root"), keep=True)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of ``similar``: of the rows with its smallest doc_id that with the smallest hash of its text.
+
+    Rows without an id stay; rows that share an id and are in different groups stay both; of rows repeated in full
+    one stays. Nulls, empty and very long texts and empty tables as in ``similar``; columns may have any names.
     """
     id, th = "__doc_id", "__text"
     with Scratch(spark) as s:
-        found = _components(spark, docs.where("doc_id is not null"), BUCKET).select("doc_id", "th", "root")
+        found = similar(spark, docs.where("doc_id is not null"), similarity)
         best = found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("best"))
         gone = found.join(best, "root").where((F.col("doc_id") != F.col("best.doc_id")) | (F.col("th") != F.col("best.th")))
         gone = s.table(gone.select(F.col("doc_id").alias(id), F.col("th").alias(th)).distinct(), keep=True)

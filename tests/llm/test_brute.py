@@ -140,6 +140,30 @@ def test_simhash_keeps_one_row_of_each_component(spark):
     assert sorted(got, key=str) == sorted([(1, 0), (1, 1), (2, 2), (4, 3), (None, 3), (None, 3)], key=str)
 
 
+def test_similar_texts(spark):
+    """Groups of five-word shingles against plain sets, in short lists and in long ones dealt into parts."""
+    r = random.Random(17)
+    docs = []
+    for g in range(30):
+        words = [f"w{r.randrange(3000)}" for _ in range(300)]
+        for k in range(1 + g % 4):
+            own = list(words)
+            for _ in range(k):
+                own[r.randrange(300)] = f"n{r.randrange(3000)}"
+            docs.append(own)
+    words = [f"w{r.randrange(3000)}" for _ in range(300)]
+    for _ in range(150):  # a large group
+        docs.append([*words[:100], f"m{len(docs)}", *words[101:]])
+    docs += [[], [], ["a", "b"], ["a", "b"], ["a", "c"]]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in docs]
+    want = components(range(len(docs)), [(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    for bucket in (1024, 64):
+        got = {x["doc_id"]: x["root"] for x in simhash.similar(spark, d, bucket=bucket).collect()}
+        assert len({(want[i], got[i]) for i in got}) == len(set(want.values())) == len(set(got.values()))
+    assert {x["doc_id"] for x in simhash.deduplicated(spark, d).collect()} == set(want.values())
+
+
 def test_quality_measures():
     rows, want = [t + " # a $b" for _, t, *_ in corpus(60)], []
     for t in rows:
