@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, gram_hashes, map_rows, map_runs, mix, read, texts, tokenized
+from siltstone.llm.common import Scratch, gram_hashes, join_small, map_rows, map_runs, mix, read, texts, tokenized
 from siltstone.llm.components import components
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -73,6 +73,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_rows(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, th long, fp long")
 
 
+def _spread(nodes: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A written table of fingerprints over as many tasks as their postings need: each has dozens."""
+    return nodes.repartition(max(1, -(-nodes.count() // rows)))
+
+
 def _bytes_at(fp: np.ndarray, place: int) -> np.ndarray:
     return (fp >> np.uint64(8 * place)) & np.uint64(255)
 
@@ -204,7 +209,7 @@ def _lists(s: Scratch, posts: DataFrame) -> DataFrame:
 
 def _links(s: Scratch, nodes: DataFrame, bucket: int) -> DataFrame:
     """(a, b): a written table of links between the fingerprints of ``nodes``."""
-    met = _lists(s, _postings(nodes))
+    met = _lists(s, _postings(_spread(nodes)))
     links = _bucket_links(met.where(F.col("n") <= bucket).select("key", "fp"), BITS)
     long = _lists(s, _refined(met.where(F.col("n") > bucket)))
     links = links.union(_bucket_links(long.where(F.col("n") <= bucket).select("key", "fp"), BITS))
@@ -354,7 +359,7 @@ def similar(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
     with Scratch(spark) as s:
         fps = s.table(wide_fingerprints(docs))
         nodes = s.table(fps.select(*names).distinct().withColumn("nid", F.monotonically_increasing_id()))
-        posts = _wide_postings(nodes)
+        posts = _wide_postings(_spread(nodes, 20_000))
         keys = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         met = s.table(posts.join(keys.hint("merge"), "key").select("key", "nid", F.ceil(F.col("n") / bucket).cast("int").alias("parts")))
         own = met.withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
@@ -377,8 +382,8 @@ def deduplicated(spark: SparkSession, docs: DataFrame, similarity: float = SIMIL
     id, th = "__doc_id", "__text"
     with Scratch(spark) as s:
         found = similar(spark, docs.where("doc_id is not null"), similarity)
-        best = found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("best"))
-        gone = found.join(best, "root").where((F.col("doc_id") != F.col("best.doc_id")) | (F.col("th") != F.col("best.th")))
+        best = found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("best"), F.count("*").alias("n")).where("n > 1")
+        gone = join_small(found, s.table(best), ["root"], "inner").where((F.col("doc_id") != F.col("best.doc_id")) | (F.col("th") != F.col("best.th")))
         gone = s.table(gone.select(F.col("doc_id").alias(id), F.col("th").alias(th)).distinct(), keep=True)
     # Rows without an id are spread over all tasks and never dropped.
     some, none = docs.where("doc_id is not null"), docs.where("doc_id is null")
