@@ -74,8 +74,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _spread(nodes: DataFrame, rows: int = 50_000) -> DataFrame:
-    """A written table of fingerprints over as many tasks as their postings need: each has dozens."""
-    return nodes.repartition(max(1, -(-nodes.count() // rows)))
+    """A written table of fingerprints over as many tasks as their postings need, each has dozens; small ones over all cores."""
+    cores = nodes.sparkSession.sparkContext.defaultParallelism
+    return nodes.repartition(max(2, cores, -(-nodes.count() // rows)))
 
 
 def _bytes_at(fp: np.ndarray, place: int) -> np.ndarray:
