@@ -203,7 +203,8 @@ def _ball_links(hot: DataFrame) -> DataFrame:
 
 def _lists(s: Scratch, posts: DataFrame) -> DataFrame:
     """A written table of (key, fp, n): the lists of two or more."""
-    keys = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # Counts are written, so that the join has a plain shuffle on both sides and adaptive execution splits a hot key.
+    keys = s.table(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     # Both sides grow with the corpus: a merge join, whatever the estimates say.
     return s.table(posts.join(keys.hint("merge"), "key").select("key", "fp", "n"))
 
@@ -361,7 +362,7 @@ def similar(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
         fps = s.table(wide_fingerprints(docs))
         nodes = s.table(fps.select(*names).distinct().withColumn("nid", F.monotonically_increasing_id()))
         posts = _wide_postings(_spread(nodes, 20_000))
-        keys = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        keys = s.table(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))  # as in _lists
         met = s.table(posts.join(keys.hint("merge"), "key").select("key", "nid", F.ceil(F.col("n") / bucket).cast("int").alias("parts")))
         own = met.withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
         w = Window.partitionBy("key").orderBy(F.xxhash64("nid"), "nid")
