@@ -86,16 +86,19 @@ def repeats(scratch: Scratch, docs: DataFrame, window: int = WINDOW, anchor: int
     known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     th = F.xxhash64("text").alias("th")
     rows = scratch.table(known.select("doc_id", th, F.unhex(F.md5("text")).alias("digest")))
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    # Minima are written before they are joined back: with a plain shuffle on both sides, adaptive execution splits
+    # the join of a hot text, anchor or window.
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
+    first = scratch.table(first.select("digest", "first"))
     copies = scratch.table(rows.join(first, "digest").where("doc_id > first").select("doc_id", "th").distinct())
     once = known.withColumn("th", F.xxhash64("text")).join(copies, ["doc_id", "th"], "left_anti")
     seeds = _seeds(once, window, anchor)
     shared = seeds.groupBy("a").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("a")
-    found = scratch.table(seeds.join(shared, "a").select("doc_id", "place"))
+    found = scratch.table(seeds.join(scratch.table(shared), "a").select("doc_id", "place"))
     places = found.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     spread = scratch.table(_windows(once.join(places, "doc_id"), window, anchor))
     least = spread.groupBy("a", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("a", "w", "first")
-    hit = scratch.table(spread.join(least, ["a", "w"]).where("doc_id > first").select("doc_id", "th", "place"))
+    hit = scratch.table(spread.join(scratch.table(least), ["a", "w"]).where("doc_id > first").select("doc_id", "th", "place"))
     scratch.drop(spread)
     starts = hit.groupBy("doc_id", "th").agg(F.collect_set("place").alias("starts")).withColumn("whole", F.lit(False))
     every = copies.select("doc_id", "th", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("whole"))
