@@ -15,7 +15,7 @@ group links it: fingerprints at most four bits apart have a common neighbour at
 its 2,081 neighbours (itself, one and two bits changed) and links to the smallest fingerprint that emitted the same one.
 
 ``similar`` and ``deduplicated`` take texts of which 0.8 or more of the five-word shingles are common, by the same
-index over four words of a longer fingerprint.
+index over six words of a longer fingerprint.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ LEAST = 8 - BITS
 _LISTS = list(combinations(range(8), LEAST - 1))
 #: For similar texts: words of 64 bits and those that are posted, words of a shingle, Jaccard similarity, and fingerprints
 #: in all parts of a long list.
-WORDS, POSTED, SIMILAR_SHINGLE, SIMILARITY, PIVOTS = 8, 4, 5, 0.8, 32
+WORDS, POSTED, SIMILAR_SHINGLE, SIMILARITY, PIVOTS = 16, 6, 5, 0.8, 32
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
@@ -350,9 +350,9 @@ def _wide_links(rows: DataFrame, least: int, most: int) -> DataFrame:
 
 
 def similar(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, th, root): groups of texts whose five-word shingles are alike, as told by 512 bits; root names a group.
+    """(doc_id, th, root): groups of texts whose five-word shingles are alike, as told by 1,024 bits; root names a group.
 
-    A pair meets if it shares three positional bytes of one of four words, which nearly all pairs well above the
+    A pair meets if it shares three positional bytes of one of six words, which nearly all pairs well above the
     similarity do; a longer list than ``bucket`` is dealt into parts that all hold the list's first ``PIVOTS``
     fingerprints, so that a large group meets through them. Nulls, empty and very long texts and empty tables as in
     ``grouped``: texts without words are one group.
