@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from siltstone.llm.audit import OP13_SQL, op13_filter_audit
+from siltstone.llm.compression import OP11_SQL, op11_vector_codes
+from siltstone.llm.concatenation import op12_concatenation
 from siltstone.llm.language import op8_language
 from siltstone.llm.mixing import op6_mixing
 from siltstone.llm.packing import op1_packing
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_urls": op9_urls,
     "op10_quality": op10_quality,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_concatenation": op12_concatenation,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES = {
@@ -31,4 +37,6 @@ ORACLES = {
     "op5_vectors": OP5_SQL,
     "op9_urls": OP9_SQL,
     "op10_quality": OP10_SQL,
+    "op11_vector_codes": OP11_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
