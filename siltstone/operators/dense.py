@@ -1,4 +1,8 @@
-"""Dense top-k by cosine: exact, for one query or for a table of queries."""
+"""Dense top-k by cosine: exact, for one query or for a table of queries.
+
+Vectors that are null, empty or hold null or non-finite components are left out, and so are those of another length than
+the query's.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +12,11 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import vectors as V
+from siltstone.functions.validate import check_top_k, check_vector
 from siltstone.operators.filters import filtered
 from siltstone.plans.joins import first_k, top_k
 
@@ -19,14 +24,26 @@ from siltstone.plans.joins import first_k, top_k
 MAX_QUERIES = 2048
 #: Scores are rounded to so many places, so that equal rows tie however their sums were added.
 DIGITS = 9
+#: The most rows that a search may ask for.
+MAX_K = 10_000
+#: Products of a query and a row that a task holds at once, about.
+MAX_PRODUCTS = 4_000_000
+
+
+def finite(vector: Column) -> Column:
+    """Whether a vector is there, not empty, and of finite components."""
+    own = F.forall(vector.cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & own, F.lit(False))
 
 
 def search(rows: DataFrame, query: list[float], k: int = 10, filters: Mapping[str, Any] | None = None, min_score: float | None = None, id: str = "id", vector: str = "embedding", metadata: str | None = None) -> DataFrame:
     """(id, score, distance, rank) of the k rows nearest to one query; ``min_score`` applies after the cut.
 
-    Filters apply before scoring; ties go to the smaller id; rows without a vector are left out.
+    Filters apply before scoring; ties go to the smaller id.
     """
-    d = filtered(rows, filters, metadata).where(F.col(vector).isNotNull())
+    check_top_k(k, MAX_K)
+    query = check_vector(list(query))
+    d = filtered(rows, filters, metadata).where(finite(F.col(vector)) & (F.size(vector) == len(query)))
     scored = d.select(F.col(id).alias("id"), F.round(V.cosine(F.col(vector), V.literal(query)), DIGITS).alias("score"))
     out = first_k(scored, k, [F.desc("score"), F.col("id")])
     out = out.select("id", "score", (1.0 - F.col("score")).alias("distance"), "rank")
@@ -40,23 +57,30 @@ def search_batch(rows: DataFrame, queries: DataFrame, k: int = 10, id: str = "id
     each; a task multiplies its rows with it batch by batch and passes on its k best for each query at its end, so
     that no pair of row and query is shuffled that could not be in the result.
     """
+    check_top_k(k, MAX_K)
+    queries = queries.where(finite(F.col(query)))
+    lengths = [r[0] for r in queries.select(F.size(query)).distinct().orderBy(F.size(query)).collect()]
+    if len(lengths) > 1:
+        parts = [search_batch(rows, queries.where(F.size(query) == n), k, id, vector, qid, query) for n in lengths]
+        return reduce(DataFrame.unionByName, parts)
     blocks = -(-queries.count() // MAX_QUERIES)
     if blocks > 1:
         of = F.pmod(F.xxhash64(qid), F.lit(blocks))
         parts = [search_batch(rows, queries.where(of == i), k, id, vector, qid, query) for i in range(blocks)]
         return reduce(DataFrame.unionByName, parts)
-    held = queries.where(F.col(query).isNotNull()).select(F.col(qid).alias("qid"), F.col(query).cast("array<double>").alias("q")).orderBy("qid").toArrow()
+    held = queries.select(F.col(qid).alias("qid"), F.col(query).cast("array<double>").alias("q")).orderBy("qid").toArrow()
     q_ids = held.column("qid").combine_chunks()
-    q = np.array(held.column("q").to_pylist(), np.float64).reshape(len(held), -1)
+    q = np.array(held.column("q").to_pylist(), np.float64).reshape(len(held), lengths[0] if lengths else 1)
     size = np.sqrt((q * q).sum(axis=1, keepdims=True))
     shared = rows.sparkSession.sparkContext.broadcast((q / np.where(size > 0, size, 1.0), q_ids))
-    src = rows.where(F.col(vector).isNotNull()).select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    src = rows.where(finite(F.col(vector)) & (F.size(vector) == (lengths[0] if lengths else 0))).select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, ids = shared.value
         held: list[pa.Table] = []  # of each query k rows or more, cut to k from time to time
-        for b in batches:
-            if not b.num_rows or not len(unit):
+        step = max(1, MAX_PRODUCTS // max(1, len(unit)))
+        for b in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
+            if not len(unit):
                 continue
             x = np.asarray(b.column("v").flatten()).reshape(b.num_rows, -1)
             n = np.sqrt((x * x).sum(axis=1))

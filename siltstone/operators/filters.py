@@ -31,6 +31,11 @@ _COMPARE: dict[str, Callable[[Column, Any], Column]] = {
 _TYPES = {bool: "boolean", int: "bigint", float: "double", str: "string"}
 
 
+def kind_of(value: Any) -> str:
+    """The type in which a key is looked up for a filter's value; of a list that of its first."""
+    return _TYPES.get(type(value[0] if isinstance(value, (list, tuple)) and value else value), "string")
+
+
 def columns_of(df: DataFrame, metadata: str | None = None) -> Lookup:
     """Looks a key up among a table's columns, and else in a variant column of metadata."""
 
@@ -39,8 +44,7 @@ def columns_of(df: DataFrame, metadata: str | None = None) -> Lookup:
             return df[key]
         if metadata is None:
             raise ValidationError(f"no column {key!r}")
-        kind = _TYPES.get(type(value[0] if isinstance(value, (list, tuple)) and value else value), "string")
-        return F.try_variant_get(df[metadata], f"$['{key}']", kind)
+        return F.try_variant_get(df[metadata], f"$['{key}']", kind_of(value))
 
     return find
 
@@ -65,5 +69,34 @@ def compiled(filters: Mapping[str, Any] | None, find: Lookup) -> Column:
     return reduce(lambda a, b: a & b, parts)
 
 
+_ZONES: dict[str, Callable[[Column, Column, Any], Column]] = {
+    "$eq": lambda lo, hi, v: (lo <= v) & (hi >= v),
+    "$gt": lambda lo, hi, v: hi > v,
+    "$gte": lambda lo, hi, v: hi >= v,
+    "$lt": lambda lo, hi, v: lo < v,
+    "$lte": lambda lo, hi, v: lo <= v,
+    "$in": lambda lo, hi, v: reduce(lambda a, b: a | b, [(lo <= x) & (hi >= x) for x in v], F.lit(False)),
+}
+
+
+def may_match(filters: Mapping[str, Any] | None, zone: Callable[[str, Any], tuple[Column, Column] | None]) -> Column:
+    """Whether a file may hold a row for which ``filters`` hold; ``zone`` gives the columns of a key's least and greatest value, or None.
+
+    Keys without a zone, ``$ne`` and ``$nin`` (which missing keys pass) rule nothing out; a file in which a key is always missing
+    has null bounds and no row that passes the other operators.
+    """
+    parts = [F.lit(True)]
+    for key, value in (filters or {}).items():
+        if key in ("$and", "$or"):
+            inner = [may_match(f, zone) for f in value]
+            parts.append(reduce((lambda a, b: a & b) if key == "$and" else (lambda a, b: a | b), inner))
+            continue
+        for op, v in (value if isinstance(value, Mapping) else {"$eq": value}).items():
+            known = zone(key, v)
+            if known is not None and op in _ZONES:
+                parts.append(F.coalesce(_ZONES[op](*known, v), F.lit(False)))
+    return reduce(lambda a, b: a & b, parts)
+
+
 def filtered(df: DataFrame, filters: Mapping[str, Any] | None, metadata: str | None = None) -> DataFrame:
     return df.where(compiled(filters, columns_of(df, metadata))) if filters else df

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.config import SearchConfig
 from siltstone.functions.validate import check_top_k
-from siltstone.operators import bm25, dense, fusion, rerank
+from siltstone.operators import bm25, dense, fusion, postings, rerank
 from siltstone.operators.filters import filtered
 
 
@@ -22,7 +22,7 @@ def floor(fused: DataFrame, min_score: float) -> DataFrame:
     return fused.withColumn("b_best", best).where(ok).drop("b_best")
 
 
-def search(docs: DataFrame, queries: DataFrame, top_k: int = 10, filters: Mapping[str, Any] | None = None, min_score: float | None = None, config: SearchConfig | None = None, scorer: rerank.Scorer | None = None, metadata: str | None = None, index: bm25.Index | None = None) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, top_k: int = 10, filters: Mapping[str, Any] | None = None, min_score: float | None = None, config: SearchConfig | None = None, scorer: rerank.Scorer | None = None, metadata: str | None = None, index: postings.Index | None = None) -> DataFrame:
     """(qid, id, rank, rrf, v_rank, b_rank, v_score, b_score [, rerank]): the ``top_k`` best of every query.
 
     docs: (id, text, embedding ...); documents without an embedding take part in the keyword leg. queries:

@@ -15,7 +15,7 @@ from siltstone.chunking import budget, records, sections, tables
 from siltstone.functions import text as T
 from siltstone.functions import validate
 from siltstone.functions import vectors as V
-from siltstone.operators import bm25, dense, embed, evaluate, fusion, hybrid, quantize, rerank
+from siltstone.operators import bm25, dense, embed, evaluate, fusion, hybrid, ivf, postings, quantize, rerank
 from siltstone.operators.filters import filtered
 from siltstone.plans.scratch import folder
 from siltstone.sources import golden, ingest
@@ -96,6 +96,28 @@ def similarity_batch(spark: SparkSession, sf: str) -> DataFrame:
     return shown(dense.search_batch(vectors(spark, sf), questions(spark, sf), 10), "score")
 
 
+def _cells(spark: SparkSession, sf: str) -> ivf.Index:
+    return _once(spark, sf, "cells", lambda: ivf.Index(folder(spark), spark).build(vectors(spark, sf), keep=("label",)))
+
+
+@query(f"SELECT qid, id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM ({_VBATCH})) WHERE rank <= 10")
+def similarity_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """From the cells of the index, all of them probed, which gives the exact result."""
+    index = _cells(spark, sf)
+    return shown(index.search_batch(questions(spark, sf), 10, probes=ivf.MAX_CELLS), "score")
+
+
+@query()
+def index_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """For several numbers of probes, the index's own among them (``chosen``): how many files a question reads, and the share
+    of the questions' exact ten best that is found."""
+    index, q = _cells(spark, sf), questions(spark, sf)
+    cells, exact, own = len(index.centroids), dense.search_batch(vectors(spark, sf), q, 10), index.probes_for()
+    tried = sorted({1, own, max(1, cells // 2), cells})
+    rows = [(n, n == own, cells, index.files(one_vector(spark, sf), n), ivf.overlap_of(exact, index.search_batch(q, 10, n))) for n in tried]
+    return spark.createDataFrame(rows, "probes int, chosen boolean, cells int, files int, recall double")
+
+
 @query(f"""SELECT id, space, round(CASE space WHEN 'l2' THEN 1 - d / 2 WHEN 'ip' THEN d ELSE 1 - d END, 6) AS score
 FROM (SELECT id, 1 - s AS d FROM ({_ONE})), (SELECT unnest(['cosine', 'l2', 'ip']) AS space)""")
 def distance_to_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,9 +182,41 @@ def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_bm25()}{_SHOW_BM}")
 def bm25_index(spark: SparkSession, sf: str) -> DataFrame:
-    """The same from an index on disk, which keeps the postings of every term."""
-    index = bm25.Index(folder(spark)).build(read(spark, sf, "documents"))
-    return shown(index.search(questions(spark, sf)), "score")
+    """The same from a stored index, which skips what cannot be among the best."""
+    return shown(_postings(spark, sf).search(questions(spark, sf)), "score")
+
+
+@query(f"WITH {_bm25(queries=_ONE_Q)}{_SHOW_BM}")
+def bm25_indexed_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """One question to the stored index: its terms' directories are read only."""
+    return shown(_postings(spark, sf).search(questions(spark, sf).where("qid = 0")), "score")
+
+
+@query()
+def bm25_skipped(spark: SparkSession, sf: str) -> DataFrame:
+    """How many shards of documents each question has terms in, and how many of them were scored."""
+    _, report = _postings(spark, sf).plan(questions(spark, sf))
+    return report.groupBy("qid").agg(F.count("*").alias("shards"), F.count_if("opened").alias("opened"))
+
+
+_BUILT: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark: SparkSession, sf: str, what: str, make: Callable[[], object]):
+    """A stored index of a folder's tables, built when a session first asks for it, as an index of a collection's version is."""
+    key = (spark.sparkContext.applicationId, sf, what)
+    if key not in _BUILT:
+        _BUILT[key] = make()
+    return _BUILT[key]
+
+
+def _postings(spark: SparkSession, sf: str) -> postings.Index:
+    def make() -> postings.Index:
+        path = folder(spark)
+        postings.build(read(spark, sf, "documents"), path, id="doc_id")
+        return postings.Index(spark, {"documents": path})
+
+    return _once(spark, sf, "postings", make)
 
 
 # ---- fusion and hybrid search -------------------------------------------------------------------
@@ -249,9 +303,9 @@ def hybrid_texts(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_legs('(SELECT d.* FROM documents d JOIN embeddings ON doc_id = vec_id WHERE trim(text) <> $$$$)')}, {_fuse()} SELECT qid, id::VARCHAR AS id, rank, round(rrf, 6) AS rrf FROM fr WHERE rank <= 10")
 def hybrid_indexed(spark: SparkSession, sf: str) -> DataFrame:
     """Over a collection, the keyword leg from the index of its current version."""
-    store = _collection(spark, sf)
+    store = _once(spark, sf, "collection", lambda: _collection(spark, sf))
     d = store.table("docs").select(F.col("id").cast("long").alias("id"), "text", "embedding")
-    index = bm25.index_of(store, "docs", "long")
+    index = postings.index_of(store, "docs", "long")
     return _out(hybrid.search(d, questions(spark, sf), index=index)).select("qid", F.col("id").cast("string").alias("id"), "rank", "rrf")
 
 
@@ -470,7 +524,7 @@ def ingest_new(spark: SparkSession, sf: str) -> DataFrame:
 
 def _collection(spark: SparkSession, sf: str) -> Store:
     store = Store(spark, folder(spark))
-    store.create("docs", 64)
+    store.create("docs", 64, hot={"lang": "string", "source": "string"}, rows_per_file=256)
     d = documents(spark, sf).where("embedding is not null")
     meta = F.to_json(F.struct("lang", "source", F.col("id").alias("number")))
     store.append("docs", d.select(F.col("id").cast("string").alias("id"), "text", "embedding", meta.alias("metadata"), F.sha2("text", 256).alias("content_hash")))

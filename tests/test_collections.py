@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone import errors
 from siltstone.config import from_environment
-from siltstone.operators import bm25, embed, evaluate
+from siltstone.operators import embed, evaluate, postings
 from siltstone.sources import files, golden, ingest
 from siltstone.sources.collections import Store
 
@@ -27,6 +27,7 @@ def test_collection_life(spark, tmp_path):
         s.append("a", rows.withColumn("embedding", F.array(F.lit(1.0))))
     s.delete("a", spark.createDataFrame([("1",)], "id string"))
     assert s.get("a", "1").count() == 0 and s.count("a") == 1
+    s.compact("a")
     assert s.vacuum("a") > 0 and s.count("a") == 1
     s.drop("a")
     assert not s.exists("a") and s.table("a", missing_is_empty=True).count() == 0
@@ -104,9 +105,9 @@ def test_an_index_follows_its_collection(spark, tmp_path):
     s, q = Store(spark, f"file://{tmp_path}"), spark.createDataFrame([(1, "apple"), (2, "plum")], "qid int, query string")
     s.create("a", 1)
     s.append("a", spark.createDataFrame([("1", "apple pie", [1.0])], "id string, text string, embedding array<float>"))
-    assert [r["qid"] for r in bm25.index_of(s, "a").search(q).collect()] == [1]
+    assert [r["qid"] for r in postings.index_of(s, "a").search(q).collect()] == [1]
     s.update("a", spark.createDataFrame([("1", "plum pie")], "id string, text string"))
-    assert [r["qid"] for r in bm25.index_of(s, "a").search(q).collect()] == [2]
+    assert [r["qid"] for r in postings.index_of(s, "a").search(q).collect()] == [2]
 
 
 def test_pages_are_parsed_in_ranges(spark, tmp_path):
