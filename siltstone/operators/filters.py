@@ -18,15 +18,16 @@ from siltstone.errors import ValidationError
 
 Lookup = Callable[[str, Any], Column]
 
+# Conditions of a where: null is as good as false there, and what is not wrapped is pushed into the scan.
 _COMPARE: dict[str, Callable[[Column, Any], Column]] = {
-    "$eq": lambda c, v: F.coalesce(c == v, F.lit(False)),
-    "$ne": lambda c, v: F.coalesce(c != v, F.lit(True)),
-    "$gt": lambda c, v: F.coalesce(c > v, F.lit(False)),
-    "$gte": lambda c, v: F.coalesce(c >= v, F.lit(False)),
-    "$lt": lambda c, v: F.coalesce(c < v, F.lit(False)),
-    "$lte": lambda c, v: F.coalesce(c <= v, F.lit(False)),
-    "$in": lambda c, v: F.coalesce(c.isin(*v), F.lit(False)),
-    "$nin": lambda c, v: F.coalesce(~c.isin(*v), F.lit(True)),
+    "$eq": lambda c, v: c == v,
+    "$ne": lambda c, v: c.isNull() | (c != v),
+    "$gt": lambda c, v: c > v,
+    "$gte": lambda c, v: c >= v,
+    "$lt": lambda c, v: c < v,
+    "$lte": lambda c, v: c <= v,
+    "$in": lambda c, v: c.isin(*v),
+    "$nin": lambda c, v: c.isNull() | ~c.isin(*v),
 }
 _TYPES = {bool: "boolean", int: "bigint", float: "double", str: "string"}
 
