@@ -14,8 +14,9 @@ than ``bucket`` shares four bytes throughout, so that the tally tells nothing mo
 group links it: fingerprints at most four bits apart have a common neighbour at most two bits from both, so each emits
 its 2,081 neighbours (itself, one and two bits changed) and links to the smallest fingerprint that emitted the same one.
 
-``similar`` and ``deduplicated`` take texts of which 0.8 or more of the five-word shingles are common, by the same
-index over six words of a longer fingerprint.
+``similar`` and ``deduplicated`` take texts of which 0.8 or more of the five-word shingles are common. The same index over
+six words of a longer fingerprint tells which texts may be near each other; texts that hang together by it are then held
+against each other by their shingles, and only pairs that truly reach the similarity are links.
 """
 
 from __future__ import annotations
@@ -38,9 +39,8 @@ BUCKET = 1024
 #: Positional bytes that a pair shares at least, and the positions of a list.
 LEAST = 8 - BITS
 _LISTS = list(combinations(range(8), LEAST - 1))
-#: For similar texts: words of 64 bits and those that are posted, words of a shingle, Jaccard similarity, and fingerprints
-#: in all parts of a long list.
-WORDS, POSTED, SIMILAR_SHINGLE, SIMILARITY, PIVOTS = 16, 6, 5, 0.8, 32
+#: For similar texts: words of 64 bits and those that are posted, words of a shingle, Jaccard similarity.
+WORDS, POSTED, SIMILAR_SHINGLE, SIMILARITY = 16, 6, 5, 0.8
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
@@ -247,13 +247,14 @@ def grouped(spark: SparkSession, docs: DataFrame, bucket: int = BUCKET) -> DataF
 
 
 def differing(similarity: float, bits: int = 64 * WORDS) -> int:
-    """Bits in which fingerprints of texts with this Jaccard similarity of shingles differ, and half a standard deviation more."""
+    """Bits in which fingerprints of texts with this Jaccard similarity of shingles differ, and two standard deviations more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(p * bits + math.sqrt(p * (1 - p) * bits) / 2)
+    return math.floor(p * bits + 2 * math.sqrt(p * (1 - p) * bits))
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """(doc_id, th, f0 ...): WORDS words of 64 bits of the majority of the hashes of a text's shingles, repeats counted."""
+    """(doc_id, th, f0 ..., shingles): WORDS words of 64 bits of the majority of the hashes of a text's shingles, repeats
+    counted; the different shingles as sorted 32-bit hashes."""
     src = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     names = [f"f{k}" for k in range(WORDS)]
 
@@ -275,9 +276,11 @@ def wide_fingerprints(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFr
                 bits = np.unpackbits(mix(grams[lo : lo + (1 << 19)] ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 ones[own] += np.stack([bits[a:z].sum(axis=0, dtype=np.int32) for a, z in zip(first, ends, strict=True)])
             cols.append(pa.array(np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.int64).ravel()))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), *cols], names=["doc_id", "th", *names])
+        ends = np.cumsum(n)
+        sets = [np.unique((grams[z - k : z] >> np.uint64(32)).astype("<u4")).tobytes() for z, k in zip(ends.tolist(), n.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), *cols, pa.array(sets, pa.binary())], names=["doc_id", "th", *names, "shingles"])
 
-    return map_runs(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, th long" + "".join(f", {f} long" for f in names))
+    return map_runs(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, th long" + "".join(f", {f} long" for f in names) + ", shingles binary")
 
 
 def _wide_postings(nodes: DataFrame) -> DataFrame:
@@ -315,29 +318,36 @@ def _wide_trees(fp: np.ndarray, least: int, most: int) -> tuple[list[int], list[
     return a, b
 
 
-def _wide_links(rows: DataFrame, least: int, most: int) -> DataFrame:
-    """(a, b): links within the parts of lists, from (key, part, nid, f0 ...)."""
+def _parts(rows: DataFrame, keys: list[str], links, schema: str) -> DataFrame:  # noqa: ANN001
+    """``links(table, cuts)`` of tables of whole parts, a part being the rows with the same ``keys``; cuts are where parts begin, and the end."""
 
-    def runs(batches):
+    def starts(t: pa.Table) -> list[int]:
+        new = np.zeros(max(0, t.num_rows - 1), bool)
+        for k in keys:
+            v = np.asarray(t.column(k))
+            new |= v[1:] != v[:-1]
+        return [0, *(np.flatnonzero(new) + 1).tolist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            cuts = starts(t)
-            held, t = t.slice(cuts[-1]), t.slice(0, cuts[-1])
-            yield from links(t, cuts)
+            if batch.num_rows:
+                t = pa.Table.from_batches([batch])
+                t = t if held is None else pa.concat_tables([held, t])
+                cuts = starts(t)
+                held, t = t.slice(cuts[-1]), t.slice(0, cuts[-1])
+                if t.num_rows:
+                    yield from links(t, cuts)
         if held is not None:
             yield from links(held, [*starts(held), held.num_rows])
 
-    def starts(t):
-        key, part = np.asarray(t.column("key")), np.asarray(t.column("part"))
-        return [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1).tolist()]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
 
-    def links(t, cuts):
-        if not t.num_rows:
-            return
+def _wide_links(rows: DataFrame, least: int, most: int) -> DataFrame:
+    """(a, b): links within the parts of lists, from (key, i, j, nid, f0 ...)."""
+
+    def links(t: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
         nid, fp = np.asarray(t.column("nid")), np.stack([np.asarray(t.column(f"f{k}")).view(np.uint64) for k in range(WORDS)], axis=1)
         a, b = [], []
         for lo, hi in zip(cuts, cuts[1:], strict=False):
@@ -346,30 +356,83 @@ def _wide_links(rows: DataFrame, least: int, most: int) -> DataFrame:
             b += [lo + i for i in y]
         yield pa.RecordBatch.from_arrays([pa.array(nid[a]), pa.array(nid[b])], names=["a", "b"])
 
-    return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(runs, "a long, b long").where("a <> b")
+    return _parts(rows, ["key", "i", "j"], links, "a long, b long").where("a <> b")
 
 
-def similar(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, th, root): groups of texts whose five-word shingles are alike, as told by 1,024 bits; root names a group.
+def jaccard_trees(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Trees of the sets of hashes whose Jaccard similarity is at least ``similarity``: each that is reached is held against
+    all that are not yet."""
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    words, of = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint32), return_inverse=True)
+    seen, mark, a, b = np.zeros(len(sets), bool), np.zeros(len(words) + 1, np.int64), [], []
+    for root in range(len(sets)):
+        front = [] if seen[root] else [root]
+        seen[root] = True
+        while front:
+            i = front.pop()
+            rest = np.flatnonzero(~seen)
+            fits = (np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i])) & (sizes[rest] > 0)
+            rest = rest[fits]
+            if not len(rest):
+                continue
+            mark[:] = 0
+            mark[of[starts[i] : starts[i] + sizes[i]]] = 1
+            at = np.arange(sizes[rest].sum()) + np.repeat(starts[rest] - (np.cumsum(sizes[rest]) - sizes[rest]), sizes[rest])
+            both = np.add.reduceat(mark[of[at]], np.cumsum(sizes[rest]) - sizes[rest])
+            near = rest[both >= similarity * (sizes[rest] + sizes[i] - both)]
+            seen[near] = True
+            a += [i] * len(near)
+            b += near.tolist()
+            front += near.tolist()
+    return a, b
+
+
+def _true_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links of texts that reach the similarity, within parts of groups, from (root, i, j, nid, shingles)."""
+
+    def links(t: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        nid, raw = np.asarray(t.column("nid")), t.column("shingles")
+        a, b = [], []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            x, y = jaccard_trees([np.frombuffer(v.as_py(), "<u4") for v in raw.slice(lo, hi - lo)], similarity)
+            a += [lo + i for i in x]
+            b += [lo + i for i in y]
+        yield pa.RecordBatch.from_arrays([pa.array(nid[a]), pa.array(nid[b])], names=["a", "b"])
+
+    return _parts(rows, ["root", "i", "j"], links, "a long, b long").where("a <> b")
 
-    A pair meets if it shares three positional bytes of one of six words, which nearly all pairs well above the
-    similarity do; a longer list than ``bucket`` is dealt into parts that all hold the list's first ``PIVOTS``
-    fingerprints, so that a large group meets through them. Nulls, empty and very long texts and empty tables as in
-    ``grouped``: texts without words are one group.
+
+def _in_pairs(members: DataFrame, parts: str) -> DataFrame:
+    """Members (nid, ``parts`` ...) once for each pair (i, j) of blocks that theirs is in, so that any two of a list meet in one part."""
+    own = F.pmod(F.xxhash64("nid"), F.col(parts)).cast("int")
+    d = members.withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
+    return d.withColumns({"i": F.least("__own", "__other"), "j": F.greatest("__own", "__other")}).drop("__own", "__other", parts)
+
+
+def similar(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, th, root): groups of texts linked by pairs whose five-word shingles have this Jaccard similarity; root names a group.
+
+    Texts may be near each other if their fingerprints share three positional bytes of one of six words and differ in no more
+    bits than two standard deviations above what is expected at the similarity; nearly all pairs that reach it do. What hangs
+    together so is held against each other by shingles. Lists and groups longer than ``bucket`` are dealt into blocks and
+    each pair of blocks is a part of its own, so that no pair is missed: that is quadratic in the length, but no part holds
+    more than two blocks. Nulls, empty and very long texts and empty tables as in ``grouped``: texts without words are one
+    group.
     """
     names = [f"f{k}" for k in range(WORDS)]
+    parts = lambda n: F.ceil(F.col(n) / bucket).cast("int").alias("parts")
     with Scratch(spark) as s:
-        fps = s.table(wide_fingerprints(docs))
-        nodes = s.table(fps.select(*names).distinct().withColumn("nid", F.monotonically_increasing_id()))
+        fps = s.table(wide_fingerprints(docs).withColumn("uid", F.monotonically_increasing_id()))
+        nodes = s.table(fps.groupBy(*names).agg(F.min("uid").alias("nid")))
         posts = _wide_postings(_spread(nodes, 20_000))
         keys = s.table(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))  # as in _lists
-        met = s.table(posts.join(keys.hint("merge"), "key").select("key", "nid", F.ceil(F.col("n") / bucket).cast("int").alias("parts")))
-        own = met.withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
-        w = Window.partitionBy("key").orderBy(F.xxhash64("nid"), "nid")
-        pivots = met.where("parts > 1").withColumn("r", F.row_number().over(w)).where(F.col("r") <= PIVOTS)
-        pivots = pivots.select("key", "nid", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        members = own.select("key", "part", "nid").union(pivots.select("key", "part", "nid")).distinct()
-        links = s.table(_wide_links(members.join(nodes, "nid"), LEAST - 1, differing(similarity)).distinct())
+        met = s.table(posts.join(keys.hint("merge"), "key").select("key", "nid", parts("n")))
+        loose = s.table(components(s, s.table(_wide_links(_in_pairs(met, "parts").join(nodes, "nid"), LEAST - 1, differing(similarity)).distinct())))
+        sizes = s.table(loose.groupBy("root").agg(F.count("*").alias("n")))
+        members = s.table(join_small(loose, sizes, ["root"], "inner").select("root", F.col("node").alias("nid"), parts("n")))
+        sets = join_small(fps.select(F.col("uid").alias("nid"), "shingles"), members, ["nid"], "inner")
+        links = s.table(_true_links(_in_pairs(sets, "parts"), similarity).distinct())
         roots = s.table(components(s, links))
         named = s.table(nodes.join(roots, nodes["nid"] == roots["node"], "left").select(*names, F.coalesce("root", "nid").alias("root")))
         return s.table(fps.join(named, names).select("doc_id", "th", "root"), keep=True)

@@ -189,7 +189,7 @@ def test_quality_thresholds_follow_groups(spark):
     odd = [(9000, spotted(7, 1500, 3, 0), "en", "a"), (9001, spotted(8, 2, 40, 0), "en", "a"), (9002, spotted(9, 2, 3, 30), "en", "a"), (9003, spotted(9, 601, 23, 16), "en", "b")]
     d = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string")
     with Scratch(spark) as s:
-        t = {r["source"]: r for r in quality.thresholds(s, quality.with_measures(d).select("row.lang", "row.source", *quality.FENCES)).collect()}
+        t = {r["source"]: r for r in quality.thresholds(s, quality.with_measures(d).select("row.lang", "row.source", "base_failed", *quality.FENCES)).collect()}
     for m in ("symbol_ratio", "dup_line_ratio", "mean_word"):
         assert t["a"][f"high_{m}"] < t["b"][f"high_{m}"]
     got = {r["doc_id"]: r["kept"] for r in quality.quality(spark, d).collect()}
@@ -200,7 +200,7 @@ def test_quality_thresholds_follow_groups(spark):
 def test_quality_quantiles_are_near_the_exact_ones(spark):
     r = np.random.RandomState(4)
     x = np.exp(r.standard_normal(4000))
-    m = spark.createDataFrame([("en", "a", *[float(v)] * 4) for v in x], "lang string, source string, " + ", ".join(f"{k} double" for k in quality.FENCES))
+    m = spark.createDataFrame([("en", "a", False, *[float(v)] * 4) for v in x], "lang string, source string, base_failed boolean, " + ", ".join(f"{k} double" for k in quality.FENCES))
     for q in quality.quantiles(quality.sketches(m, ["lang"]), ["lang"]).collect():
         p = quality.FENCES[q["measure"]][0]
         for name, level in (("mid", 0.5), ("high", p), ("low", 1 - p)):
