@@ -41,6 +41,8 @@ LEAST = 8 - BITS
 _LISTS = list(combinations(range(8), LEAST - 1))
 #: For similar texts: words of 64 bits and those that are posted, words of a shingle, Jaccard similarity.
 WORDS, POSTED, SIMILAR_SHINGLE, SIMILARITY = 16, 6, 5, 0.8
+#: Rows with texts or sets of shingles go to Python a thousand at a time.
+_SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
@@ -423,7 +425,7 @@ def similar(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
     names = [f"f{k}" for k in range(WORDS)]
     parts = lambda n: F.ceil(F.col(n) / bucket).cast("int").alias("parts")
     with Scratch(spark) as s:
-        fps = s.table(wide_fingerprints(docs).withColumn("uid", F.monotonically_increasing_id()))
+        fps = s.table(wide_fingerprints(docs).withColumn("uid", F.monotonically_increasing_id()), settings=_SMALL)
         nodes = s.table(fps.groupBy(*names).agg(F.min("uid").alias("nid")))
         posts = _wide_postings(_spread(nodes, 20_000))
         keys = s.table(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))  # as in _lists
@@ -432,7 +434,7 @@ def similar(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
         sizes = s.table(loose.groupBy("root").agg(F.count("*").alias("n")))
         members = s.table(join_small(loose, sizes, ["root"], "inner").select("root", F.col("node").alias("nid"), parts("n")))
         sets = join_small(fps.select(F.col("uid").alias("nid"), "shingles"), members, ["nid"], "inner")
-        links = s.table(_true_links(_in_pairs(sets, "parts"), similarity).distinct())
+        links = s.table(_true_links(_in_pairs(sets, "parts"), similarity).distinct(), settings=_SMALL)
         roots = s.table(components(s, links))
         named = s.table(nodes.join(roots, nodes["nid"] == roots["node"], "left").select(*names, F.coalesce("root", "nid").alias("root")))
         return s.table(fps.join(named, names).select("doc_id", "th", "root"), keep=True)
