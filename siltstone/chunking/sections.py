@@ -2,34 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import squeezed
-
-#: Tags that end a run of text, and named characters.
-_BLOCK = "address|article|aside|blockquote|body|br|caption|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|head|header|hgroup|hr|html|li|main|nav|ol|option|p|pre|search|section|select|summary|td|th|title|tr|ul"
-_NAMED = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
-_CUT = "\u001f"
+from siltstone.chunking import markup
 
 
 def html_elements(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
     """(id, pos, kind, text): headings, tables and runs of text of HTML pages, in order; nothing that is shown is left out.
 
-    Scripts, styles and comments are not text; tables stay as HTML; tags of blocks end a run of text.
+    Scripts, styles and comments are not text; tables stay as HTML, whole with the tables in them; tags of blocks end a run of
+    text; only real tags are taken away, and references are characters.
     """
-    clean = F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>", " ")
-    for whole in (r"(?is)(<table\b.*?</table\s*>)", r"(?is)(<h[1-6]\b[^>]*>.*?</h[1-6]\s*>)"):
-        clean = F.regexp_replace(clean, whole, f"{_CUT}$1{_CUT}")
-    parts = F.transform(F.split(clean, _CUT), lambda x: F.when(x.rlike(r"(?i)^<(table|h[1-6])\b"), F.array(x)).otherwise(F.split(x, rf"(?i)</?(?:{_BLOCK})\b[^>]*>")))
-    e = pages.select(id, F.posexplode(F.flatten(parts)).alias("pos", "raw"))
-    kind = F.when(F.col("raw").rlike(r"(?i)^<h[1-6]\b"), "title").when(F.col("raw").rlike(r"(?i)^<table\b"), "table").otherwise("text")
-    text = F.regexp_replace("raw", r"<[^>]*>", " ")
-    for name, char in _NAMED.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    text = squeezed(text)
-    return e.select(id, "pos", kind.alias("kind"), F.when(kind == "table", F.col("raw")).otherwise(text).alias("text")).where("text <> ''")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [(i, pos, kind, text) for i, page in zip(b[id], b[html], strict=True) for pos, (kind, text) in enumerate(markup.elements(page))]
+            yield pd.DataFrame(found, columns=[id, "pos", "kind", "text"])
+
+    return pages.select(id, html).mapInPandas(run, f"{id} {pages.schema[id].dataType.simpleString()}, pos int, kind string, text string")
 
 
 def numbered(elements: DataFrame, id: str = "page_id") -> DataFrame:
@@ -50,19 +44,26 @@ def _packed(texts: list[str], most: int, combine: int) -> list[str]:
     return out
 
 
+def packed_sections(parts: list[list[str]], most: int = 5000, combine: int = 0) -> list[str]:
+    """The chunks of a document's sections, given as lists of texts. With ``combine``, a section shorter than that joins the one before it, if both fit."""
+    out: list[str] = []
+    for texts in parts:
+        chunks = _packed(texts, most, combine)
+        if combine and out and len(chunks) == 1 and len(chunks[0]) < combine and len(out[-1]) + 2 + len(chunks[0]) <= most:
+            out[-1] += "\n\n" + chunks[0]
+        else:
+            out += chunks
+    return out
+
+
 def sections(elements: DataFrame, most: int = 5000, combine: int = 0, id: str = "page_id") -> DataFrame:
     """(id, chunk_index, text): chunks of at most ``most`` characters.
 
     With ``combine``, a section shorter than that joins the one before it, if both fit.
     """
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[str] = []
-        for _, part in pdf.sort_values("pos").groupby("section", sort=True):
-            chunks = _packed(part["text"].tolist(), most, combine)
-            if combine and out and len(chunks) == 1 and len(chunks[0]) < combine and len(out[-1]) + 2 + len(chunks[0]) <= most:
-                out[-1] += "\n\n" + chunks[0]
-            else:
-                out += chunks
+        out = packed_sections([part["text"].tolist() for _, part in pdf.sort_values("pos").groupby("section", sort=True)], most, combine)
         return pd.DataFrame({id: pdf[id].iloc[0], "chunk_index": range(len(out)), "text": out})
 
     kind = elements.schema[id].dataType.simpleString()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html as markup
 import re
 from itertools import zip_longest
 
@@ -10,26 +9,45 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siltstone.chunking.markup import TAG, shown
+
 #: Fixed value: the longest text of a cell that may be a header.
 MAX_HEADER = 80
 
-_PART = re.compile(r"(?is)<!--.*?-->|<(tr|td|th|/tr|/td|/th|/table)\b[^>]*>")
 _NUMBER = re.compile(r"-?\d*\.?\d+-?")
 
 
 def cells(table: str) -> pd.DataFrame:
-    """(row, head, text) of a table's cells in order. A cell or a row that is not closed ends where the next one starts."""
-    found, row, at = [], 0, None
-    for m in _PART.finditer(table + "</table>"):
-        tag = (m[1] or "").lower()
-        if at is not None and tag:
-            kind, start = at
-            text = markup.unescape(re.sub(r"(?s)<[^>]*>", "", table[start : m.start()]))
-            found.append((row, kind == "th", " ".join(text.split())))
-            at = None
-        row += tag == "tr"
-        if tag in ("td", "th"):
-            at = (tag, m.end())
+    """(row, head, text) of a table's cells in order. A cell or a row that is not closed ends where the next one starts;
+    a table in a cell is text of that cell."""
+    found, row, depth, at = [], 0, 0, 0
+    kind: str | None = None
+    held: list[str] = []
+
+    def close() -> None:
+        nonlocal kind
+        if kind is not None:
+            found.append((row, kind == "th", shown("".join(held))))
+        kind = None
+        held.clear()
+
+    for m in TAG.finditer(table):
+        held.append(table[at : m.start()])
+        at, name, end = m.end(), (m["name"] or "").lower(), bool(m["end"])
+        if name == "table":
+            depth = max(0, depth + (-1 if end else 1))
+            if depth == 0:
+                close()
+            held.append(" ")
+        elif depth > 1:
+            held.append(" " if name in ("tr", "td", "th", "br", "p", "div", "li") else "")
+        elif name in ("tr", "td", "th"):
+            close()
+            if not end:
+                row += name == "tr"
+                kind = name if name != "tr" else None
+    held.append(table[at:])
+    close()
     return pd.DataFrame(found, columns=["row", "head", "text"])
 
 
