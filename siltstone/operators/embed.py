@@ -73,14 +73,18 @@ def provider(name: str, dimension: int = 64) -> Embedder:
 
 
 def embedded(rows: DataFrame, embedder: Embedder, known: DataFrame | None = None) -> DataFrame:
-    """``rows`` with ``embedding``: every distinct text is embedded once; ``known`` (text, embedding) is not embedded again."""
-    distinct = rows.select("text").distinct()
-    if known is not None:
-        distinct = distinct.join(known.select("text"), "text", "left_anti")
-    fresh = distinct.select("text", embedder.apply(F.col("text")).alias("embedding"))
+    """``rows`` with ``embedding``: every distinct text is embedded once; ``known`` (text, embedding) is not embedded again.
+
+    Texts are joined by their SHA-256; a null text has a null embedding.
+    """
+    digest = F.unhex(F.sha2("text", 256))
+    d = rows.withColumn("__digest", digest)
+    own = d.where("__digest is not null").groupBy("__digest").agg(F.any_value("text").alias("text"))
     if known is not None:
-        fresh = fresh.unionByName(known.select("text", F.col("embedding").cast("array<float>").alias("embedding")))
-    return rows.join(fresh, "text")
+        known = known.where("text is not null").select(digest.alias("__digest"), F.col("embedding").cast("array<float>").alias("embedding")).dropDuplicates(["__digest"])
+        own = own.join(known.select("__digest"), "__digest", "left_anti")
+    fresh = own.select("__digest", embedder.apply(F.col("text")).alias("embedding"))
+    return d.join(fresh if known is None else fresh.unionByName(known), "__digest", "left").drop("__digest")
 
 
 def truncations(rows: DataFrame, limit: int) -> DataFrame:

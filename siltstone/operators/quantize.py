@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.config import CodecConfig
+from siltstone.operators import dense
 from siltstone.operators.dense import DIGITS
 from siltstone.plans.joins import first_k
 
@@ -105,6 +107,20 @@ def scan(codes: DataFrame, codec: Codec, query: list[float], n: int = 200) -> Da
     return first_k(scored, n, [F.desc("score"), F.col("id")])
 
 
+def search(rows: DataFrame, query: list[float], k: int = 10, config: CodecConfig | None = None) -> DataFrame:
+    """(id, score, distance, rank) as ``dense.search``, in two phases if the settings ask for codes.
+
+    First the codes (id, codes, vmin, scale) are scanned for a pool of ``config.pool`` rows, which reads no vectors; then the pool's
+    vectors are scored exactly. Rows without codes are scored by their vectors, so that none is missed.
+    """
+    cfg = config or CodecConfig()
+    if not cfg.enabled:
+        return dense.search(rows, query, k)
+    pool = scan(rows, Codec(len(query), cfg.bits, cfg.seed), query, max(k, cfg.pool)).select("id")
+    found = rows.where("codes is not null").join(F.broadcast(pool), "id", "left_semi")
+    return dense.search(found.select("id", "embedding").unionByName(rows.where("codes is null").select("id", "embedding")), query, k)
+
+
 def exported(codes: DataFrame) -> DataFrame:
     """Codes as base64 text."""
     return codes.withColumn("codes", F.base64("codes"))

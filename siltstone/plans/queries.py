@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.chunking import budget, records, sections, tables
+from siltstone.config import CodecConfig
 from siltstone.functions import text as T
 from siltstone.functions import validate
 from siltstone.functions import vectors as V
@@ -364,6 +365,14 @@ def codec_scan(spark: SparkSession, sf: str) -> DataFrame:
     return shown(quantize.scan(quantize.encoded(vectors(spark, sf), _CODEC), _CODEC, one_vector(spark, sf), 200), "score")
 
 
+@query(f"SELECT id, round(s, 6) AS score, rank FROM ({_TOP10.format(_ONE)})")
+def codec_two_phase(spark: SparkSession, sf: str) -> DataFrame:
+    """The codes' 200 best, scored again by their vectors: here the ten best are the exact ones."""
+    v = vectors(spark, sf)
+    coded = v.join(quantize.encoded(v, _CODEC), "id", "left")
+    return shown(quantize.search(coded, one_vector(spark, sf), 10, CodecConfig(enabled=True)), "score").drop("distance")
+
+
 @query(f"""WITH {_legs(queries='WHERE item_id = 7')}, {_fuse()}, {_CODES}, qv AS (SELECT y AS qy FROM rot WHERE id = 7),
 cs AS (SELECT id, round(list_cosine_similarity(list_transform(codes, lambda c: c * sc + lo), qy), 9) AS s FROM cd, qv WHERE id IN (SELECT doc_id FROM documents)),
 cr AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS rank FROM cs QUALIFY rank <= 200),

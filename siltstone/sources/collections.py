@@ -381,9 +381,9 @@ class Store:
         blooms.select(F.lit(part).alias("part"), "*").write.parquet(f"{at}/blooms")
         return part, max(head["next_seq"], (files.agg(F.max("seq")).first()[0] or 0) + 1)
 
-    def _commit(self, head: dict[str, Any], rows: DataFrame | None = None, gone: DataFrame | None = None) -> int:
-        """A new version: ``rows`` come as a part, ``gone`` (__part, __file, __row) go as bitmaps. Returns its number."""
-        new = head | {"version": head["version"] + 1}
+    def _commit(self, head: dict[str, Any], rows: DataFrame | None = None, gone: DataFrame | None = None, more: dict[str, Any] | None = None) -> int:
+        """A new version: ``rows`` come as a part, ``gone`` (__part, __file, __row) go as bitmaps; ``more`` goes into its head. Returns its number."""
+        new = head | {"version": head["version"] + 1} | (more or {})
         if rows is not None:
             part, new["next_seq"] = self._part(head, rows)
             new["parts"] = [*head["parts"], part]
@@ -411,6 +411,18 @@ class Store:
         self._check(rows, head["dimension"])
         return self._commit(head, rows.dropDuplicates(["id"]).join(self._read(head).select("id"), "id", "left_anti"))
 
+    def append_batch(self, name: str, rows: DataFrame, source: str, batch: int) -> int:
+        """Adds a batch of a source that numbers its batches, and whose ids no other batch has: the rows that are there are not read.
+
+        The number goes into the head with the rows, so that a batch that is brought again adds nothing.
+        """
+        head = self._head(name)
+        done = head.get("streams", {})
+        if done.get(source, -1) >= batch:
+            return head["version"]
+        self._check(rows, head["dimension"])
+        return self._commit(head, rows, more={"streams": done | {source: batch}})
+
     def delete(self, name: str, ids: DataFrame) -> int:
         """Removes the rows of ``ids`` (id): a bitmap is written, no rows are."""
         head = self._head(name)

@@ -115,6 +115,14 @@ def files(spark: SparkSession, path: str, glob: str | None = None, max_mb: float
     return d.where(valid_file(F.col("path"), F.col("length"), max_mb)).select("path", "length", "content", F.sha2("content", 256).alias("content_hash"), basename(F.col("path")).alias("source_filename"), extension(F.col("path")).alias("file_type"))
 
 
+def refused(spark: SparkSession, path: str, max_mb: float = 20.0) -> DataFrame:
+    """(path, source_filename, length, reason) of the files under a path that ``files`` leaves out; no contents are read."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    kind = extension(F.col("path"))
+    reason = F.when(~kind.isin(*EXTENSIONS), F.concat(F.lit("its type is not one of "), F.lit(", ".join(EXTENSIONS)))).otherwise(F.concat(F.lit("it is larger than "), F.lit(f"{max_mb:g} MB")))
+    return d.where(~valid_file(F.col("path"), F.col("length"), max_mb)).select("path", basename(F.col("path")).alias("source_filename"), "length", reason.alias("reason"))
+
+
 def ranges(found: DataFrame, per_range: int = 25, whole_under: int = 30) -> DataFrame:
     """Files with (range_no, first_page, last_page): one range of all pages (0: unknown), or several of ``per_range``."""
     counts = {e: p for e, (_, p) in PARSERS.items() if p is not None}

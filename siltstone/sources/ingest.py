@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.chunking.budget import Count, fit, words
 from siltstone.chunking.tables import linear
+from siltstone.config import CodecConfig
 from siltstone.errors import ValidationError
 from siltstone.functions import validate
 from siltstone.operators import embed, quantize
@@ -94,10 +97,10 @@ def rows_of(chunked: DataFrame, info: DataFrame, embedder: embed.Embedder, codec
     return d if codec is None else d.join(quantize.encoded(d, codec), "id")
 
 
-def ingest(store: Store, name: str, found: DataFrame, embedder: embed.Embedder, force: bool = False, budget: int = 256, codec: quantize.Codec | None = None) -> DataFrame:
+def ingest(store: Store, name: str, found: DataFrame, embedder: embed.Embedder, force: bool = False, budget: int = 256, codec: quantize.Codec | None = None, refused: DataFrame | None = None) -> DataFrame:
     """Ingests files (``files.files``) into a collection; returns (source_filename, content_hash, chunks, status).
 
-    Content that is there is not parsed again, unless ``force``: then its rows are replaced in one step.
+    ``refused`` (``files.refused``): files that were left out, which are told of in the report. Content that is there is not parsed again, unless ``force``: then its rows are replaced in one step.
     """
     store.ensure(name, embedder.dimension)
     known = store.table(name).where("content_hash is not null").groupBy("content_hash").agg(F.count("*").alias("existing"))
@@ -107,7 +110,10 @@ def ingest(store: Store, name: str, found: DataFrame, embedder: embed.Embedder,
     # The report is written before the rows are, and is of what was there until then.
     report = found.select("source_filename", "content_hash").join(known, "content_hash", "left").join(made.groupBy("content_hash").agg(F.count("*").alias("chunks")), "content_hash", "left").join(failures(parsed), "content_hash", "left")
     n = F.coalesce("chunks", F.lit(0))
-    report = written(report.select("source_filename", "content_hash", n.alias("chunks"), status(F.coalesce("existing", F.lit(0)), n, F.col("failed"), force).alias("status")))
+    report = report.select("source_filename", "content_hash", n.alias("chunks"), status(F.coalesce("existing", F.lit(0)), n, F.col("failed"), force).alias("status"))
+    if refused is not None:
+        report = report.unionByName(refused.select("source_filename", F.lit(None).cast("string").alias("content_hash"), F.lit(0).cast("long").alias("chunks"), F.concat(F.lit("Refused: "), "reason").alias("status")))
+    report = written(report)
     rows = rows_of(made, found, embedder, codec)
     if force:
         store.replace(name, made.select("content_hash"), rows)
@@ -121,4 +127,17 @@ def texts(store: Store, name: str, rows: DataFrame, embedder: embed.Embedder) ->
     store.ensure(name, embedder.dimension)
     if rows.where(~validate.valid_text(F.col("text"))).limit(1).count():
         raise ValidationError("every text must have from 1 to 100000 characters that are not all white space")
-    return store.append(name, embed.embedded(rows, embedder))
+    return store.guarded().append(name, embed.embedded(rows, embedder))
+
+
+def content_id(text: str) -> str:
+    """The content hash of a text, as rows have it."""
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def with_codes(store: Store, name: str, rows: DataFrame, config: CodecConfig) -> int:
+    """Appends rows (id, text, embedding ...), with codes of their vectors if the settings ask for them."""
+    if not config.active:
+        return store.append(name, rows)
+    codec = quantize.Codec(store.info(name)["dimension"], config.bits, config.seed)
+    return store.append(name, rows.join(quantize.encoded(rows, codec), "id", "left"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,15 +14,20 @@ from siltstone.sources.ingest import new_only
 
 
 def start(stream: DataFrame, store: Store, name: str, embedder: embed.Embedder, checkpoint: str) -> StreamingQuery:
-    """Appends each micro-batch's new texts (text, metadata): repeats in a batch and contents that are there do not count.
+    """Appends the new texts of a stream (text, metadata): each content once.
 
-    A batch that is run again after a failure finds its rows there and adds none.
+    Which contents have come is the query's state, by content hash, so that a batch costs what it brings, however large the
+    collection is; only the first batch is held against what the collection had before. The number of the last batch is
+    in the collection's head: a batch that is run again after a failure adds nothing. Contents that other writers add
+    after the first batch are not known to the state.
     """
     store.ensure(name, embedder.dimension)
+    source = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
-    def write(batch: DataFrame, _: int) -> None:
-        rows = batch.withColumn("content_hash", F.sha2("text", 256)).withColumn("id", F.col("content_hash"))
-        fresh = new_only(rows, store.table(name).where("content_hash is not null"))
-        store.append(name, embed.embedded(fresh, embedder))
+    def write(batch: DataFrame, number: int) -> None:
+        if source not in store._head(name).get("streams", {}):
+            batch = new_only(batch, store.table(name).where("content_hash is not null"))
+        store.append_batch(name, embed.embedded(batch.withColumn("id", F.col("content_hash")), embedder), source, number)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = stream.withColumn("content_hash", F.sha2("text", 256)).dropDuplicates(["content_hash"])
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
