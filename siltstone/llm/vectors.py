@@ -13,15 +13,18 @@ dense group does not fill its own lists: when components merge, the places of wh
 for those farther off, and rounds follow until no link between components is met and few lists change.
 Components are then gone through exactly in pairs of blocks of ``block`` nodes. Links lie within components,
 so the number of links is exact for the components that were found, and what is left to audit is whether the
-graph has missed any link between components: a sample of nodes is held against all nodes. There are as many
-sets of hyperplanes as it takes for a pair at the threshold to meet with the target recall, a number that
-grows with the nodes. Below the target, by links or by nodes, twice as many more sets and rounds follow; it
-is an error if the target is not reached in the end.
+graph has missed any link between components: sampled nodes are held against all nodes, a slice after another,
+until enough of them have links, or all nodes have been sampled. There are as many sets of hyperplanes as it
+takes for a pair at the threshold to meet with the target recall, a number that grows with the nodes. Below the
+target, by links or by nodes, twice as many more sets and rounds follow; it is an error if the target is not
+reached in the end. What was measured, and on how many links, is logged.
 """
 
 from __future__ import annotations
 
+import logging
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,15 +38,23 @@ from siltstone.llm.components import components
 
 THRESHOLD = 0.9
 SEED = 11
+#: Low bits of a node's number, which tell vectors with one hash apart.
+SLOTS = 8
+_log = logging.getLogger(__name__)
 #: ``g``: the component of v; ``link``: a tree edge at or above the threshold, not a place in a list.
 _EDGES = "u long, v long, g long, sim double, link boolean"
 
 
-def _unit(vectors) -> np.ndarray:
-    x = np.stack([np.asarray(v, np.float64) for v in vectors])
+def _normed(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; they are first scaled by powers of two, so that no square over- or underflows."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _unit(vectors) -> np.ndarray:
+    return _normed(np.stack([np.asarray(v, np.float64) for v in vectors]))
+
+
 def _trees(near: np.ndarray) -> tuple[list[int], list[int]]:
     """Tree edges that join the rows that ``near`` joins, fewer than there are rows."""
     seen, a, b = ~near.any(axis=1), [], []
@@ -113,7 +124,7 @@ def _joined(members: DataFrame, nodes: DataFrame, k: int, block: int, threshold:
         for a, z in zip(cuts, cuts[1:], strict=False):
             if z - a > 1:
                 x = values[at[a] : at[z]].reshape(z - a, -1).astype(np.float64)
-                found.append(_best(nid[a:z], g[a:z], x / np.sqrt((x * x).sum(axis=1, keepdims=True)), k, threshold))
+                found.append(_best(nid[a:z], g[a:z], _normed(x), k, threshold))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["u", "v", "g", "sim", "link"])
 
@@ -190,33 +201,60 @@ class Graph:
                 return
 
 
-def _audit(spark: SparkSession, nodes: DataFrame, roots: DataFrame, threshold: float, sample: int) -> float:
-    """The share of the true links of a sample of nodes that lie within found components (1 if there are none).
+@dataclass(frozen=True)
+class Audit:
+    """What sampled nodes tell of recall: the share of their true links that lie within found components, and the mean of the
+    nodes' own shares, in which a large group does not outweigh pairs; ``recall`` is the lesser (1 if there are no links)."""
 
-    The lesser of that of all links and the mean of the nodes' own shares, in which a large group does not
-    outweigh pairs.
-    """
-    picked = nodes.orderBy(F.xxhash64(F.lit(SEED), "nid")).limit(sample).select("nid", "vec").toPandas()
-    if not len(picked):
-        return 1.0
-    held = spark.sparkContext.broadcast({int(d): (p["nid"].to_numpy(), _unit(p["vec"])) for d, p in picked.groupby(picked["vec"].str.len())})
+    nodes: int
+    linked: int
+    links: int
+    recall: float
+    whole: bool  #: all nodes were sampled
 
-    def run(b: pa.RecordBatch):
-        t = b.to_pandas()
-        for dim, part in t.groupby(t["vec"].str.len()):
-            if int(dim) in held.value:
-                ids, x = held.value[int(dim)]
-                a, z = np.nonzero(_unit(part["vec"]) @ x.T >= threshold)
-                own = part["nid"].to_numpy()[a]
-                keep = own != ids[z]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[z][keep]), pa.array(own[keep])], names=["u", "v"])
 
-    true = map_rows(nodes.select("nid", "vec"), run, "u long, v long")
-    a = roots.select(F.col("node").alias("u"), F.col("root").alias("ru"))
-    z = roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-    each = true.join(a, "u", "left").join(z, "v", "left").groupBy("u").agg(F.count("*").alias("n"), F.count(F.when(F.col("ru") == F.col("rv"), 1)).alias("met"))
-    total, met, mean = each.agg(F.sum("n"), F.sum("met"), F.avg(F.col("met") / F.col("n"))).first()
-    return min(met / total, mean) if total else 1.0
+def _audit(spark: SparkSession, nodes: DataFrame, roots: DataFrame, threshold: float, sample: int, enough: int = 200, most: int = 65_536, held_bytes: int = 32 << 20) -> Audit:
+    """Sampled nodes against all: about ``sample`` of them, then four times as many and so on, until ``enough`` have links.
+
+    That is all nodes in the end, where there are no more than ``most``; beyond that links of fewer than one node in
+    some hundreds are measured on those that ``most`` nodes have. What is broadcast at once is at most about ``held_bytes``
+    of vectors; nodes are sampled by hash.
+    """
+    named = nodes.join(roots.select(F.col("node").alias("nid"), "root"), "nid", "left").select("nid", "vec", F.coalesce("root", "nid").alias("root"))
+    n, dim = nodes.agg(F.count("*"), F.max(F.size("vec"))).first()
+    if not n:
+        return Audit(0, 0, 0, 1.0, True)
+    wanted = min(n, most)
+    step = max(1, min(wanted, held_bytes // (8 * dim)))
+    place = F.pmod(F.xxhash64(F.lit(SEED), "nid"), F.lit(1 << 40)) / (1 << 40)
+    done, size, seen, linked, links, met, shares = 0, min(sample, step, wanted), 0, 0, 0, 0, 0.0
+    while done < wanted and linked < enough:
+        end = min(wanted, done + size)
+        picked = named.where((place >= done / n) & (place < (end / n if end < n else 2.0))).toPandas()
+        seen, done, size = seen + len(picked), end, min(4 * size, step)
+        if not len(picked):
+            continue
+        held = spark.sparkContext.broadcast({int(d): (p["nid"].to_numpy(), p["root"].to_numpy(), _unit(p["vec"])) for d, p in picked.groupby(picked["vec"].str.len())})
+
+        def run(b: pa.RecordBatch, held=held):  # noqa: ANN001
+            t = b.to_pandas()
+            for dim, part in t.groupby(t["vec"].str.len()):
+                if int(dim) not in held.value:
+                    continue
+                ids, root, x = held.value[int(dim)]
+                own, of, y = part["nid"].to_numpy(), part["root"].to_numpy(), _unit(part["vec"])
+                for lo in range(0, len(ids), 512):
+                    cut = slice(lo, lo + 512)
+                    near = (y @ x[cut].T >= threshold) & (own[:, None] != ids[None, cut])
+                    count, both = near.sum(axis=0), (near & (of[:, None] == root[None, cut])).sum(axis=0)
+                    some = np.flatnonzero(count)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[cut][some]), pa.array(count[some]), pa.array(both[some])], names=["u", "n", "met"])
+
+        each = map_rows(named, run, "u long, n long, met long").groupBy("u").agg(F.sum("n").alias("n"), F.sum("met").alias("met"))
+        one = each.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("met"), F.lit(0)), F.coalesce(F.sum(F.col("met") / F.col("n")), F.lit(0.0))).first()
+        linked, links, met, shares = linked + one[0], links + one[1], met + one[2], shares + one[3]
+        held.destroy()
+    return Audit(seen, linked, links, min(met / links, shares / linked) if links else 1.0, done >= n)
 
 
 def _tables(bits: int, threshold: float, recall: float, least: int) -> int:
@@ -267,6 +305,27 @@ def _counts(members: DataFrame, threshold: float, block: int) -> DataFrame:
     return rows.mapInArrow(runs, "nid long, links long").groupBy("nid").agg(F.sum("links").alias("links"))
 
 
+def _nodes(s: Scratch, rows: DataFrame, key=lambda v: F.xxhash64(v)) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+    """``rows`` (vec_id, vec) with ``nid``, null where vec is, and the nodes (nid, first, mult, vec): one for each vector.
+
+    A node's number is the hash of its vector but for the low bits, which tell those vectors apart that share a hash.
+    """
+    h = key(F.col("vec")).bitwiseAND(F.lit(-(1 << SLOTS)))
+    rows = s.table(rows.withColumn("nid", F.when(F.col("vec").isNotNull(), h)))
+    some = rows.where("nid is not null")
+    nodes = s.table(some.groupBy("nid").agg(F.min("vec_id").alias("first"), F.count("*").alias("mult"), F.min("vec").alias("vec"), F.max("vec").alias("other")))
+    shared = s.table(nodes.where("vec <> other").select("nid"))
+    if shared.limit(1).count():
+        each = join_small(some, shared, ["nid"], "inner").groupBy("nid", "vec").agg(F.min("vec_id").alias("first"), F.count("*").alias("mult"))
+        slot = F.row_number().over(Window.partitionBy("nid").orderBy("vec")) - 1
+        fits = F.when(F.col("slot") < 1 << SLOTS, F.col("nid") + F.col("slot")).otherwise(F.raise_error(F.lit("too many vectors share a hash")).cast("long"))
+        each = s.table(each.withColumn("slot", slot).select("nid", "vec", "first", "mult", fits.alias("own")))
+        rows = s.table(join_small(rows, each.select("nid", "vec", "own"), ["nid", "vec"]).select("vec_id", "vec", F.coalesce("own", "nid").alias("nid")))
+        nodes = nodes.where("vec = other").drop("other").unionByName(each.select(F.col("own").alias("nid"), "first", "mult", "vec"))
+        return rows, s.table(nodes)
+    return rows, nodes.drop("other")
+
+
 def linked(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD, k: int = 10, block: int = 128, tables: int = 6, rounds: int = 4, recall: float = 0.98, sample: int = 400) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each row of ``vectors``.
 
@@ -278,9 +337,7 @@ def linked(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD
     with Scratch(spark) as s:
         e = F.col("embedding")
         fine = F.col("vec_id").isNotNull() & e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-        rows = vectors.select("vec_id", F.when(F.coalesce(fine, F.lit(False)), e).alias("vec")).withColumn("nid", F.when(F.col("vec").isNotNull(), F.xxhash64("vec")))
-        rows = s.table(rows)
-        nodes = s.table(rows.where("nid is not null").groupBy("nid").agg(F.min("vec_id").alias("first"), F.count("*").alias("mult"), F.any_value("vec").alias("vec")))
+        rows, nodes = _nodes(s, vectors.select("vec_id", F.when(F.coalesce(fine, F.lit(False)), e).alias("vec")))
         n = nodes.count()
         bits = max(0, min(40, math.ceil(math.log2(max(n, 1) / (block / 2)))))
         graph = Graph(s, nodes, k, block, threshold)
@@ -292,11 +349,12 @@ def linked(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD
             graph.descend()
             roots = graph.roots
             met = _audit(spark, nodes, roots, threshold, sample)
-            if met >= recall:
+            _log.info("recall %.4f of %d links of %d nodes, of which %d were sampled%s", met.recall, met.links, met.linked, met.nodes, " (all)" if met.whole else "")
+            if met.recall >= recall:
                 break
             wanted *= 2
         else:
-            raise SiltstoneError(f"near-duplicates of vectors: {met:.4f} of the audited links are found after {(seed - SEED) * tables} sets of hyperplanes, below {recall}")
+            raise SiltstoneError(f"near-duplicates of vectors: {met.recall:.4f} of {met.links} audited links are found after {(seed - SEED) * tables} sets of hyperplanes, below {recall}")
         members = s.table(nodes.join(roots, nodes["nid"] == roots["node"]).select("root", "nid", "first", "mult", "vec"))
         links = _counts(members, threshold, block * 2)
         first = members.groupBy("root").agg(F.min("first").alias("component"))

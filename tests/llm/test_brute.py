@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from siltstone.errors import SiltstoneError
 from siltstone.llm import language, mixing, packing, pii, quality, queries, simhash, substrings, toxicity, urls, vectors
@@ -302,11 +303,48 @@ def test_vectors_audit(spark):
     x = [*[axes[0]] * 30, *[axes[1]] * 2, *[axes[2]] * 2]
     v = spark.createDataFrame([(i, (a + 1e-3 * axes[3] * i).tolist()) for i, a in enumerate(x)], "nid long, vec array<double>")
     roots = spark.createDataFrame([(i, 0) for i in range(30)], "node long, root long")
-    assert vectors._audit(spark, v, roots, 0.9, 400) == pytest.approx(30 / 34)
+    met = vectors._audit(spark, v, roots, 0.9, 400)
+    assert met.recall == pytest.approx(30 / 34) and (met.nodes, met.linked, met.links, met.whole) == (34, 34, 30 * 29 + 4, True)
     with pytest.raises(SiltstoneError):
         vectors.linked(spark, v.withColumnsRenamed({"nid": "vec_id", "vec": "embedding"}), recall=1.01, rounds=1)
 
 
+def test_vectors_audit_of_rare_links(spark):
+    """Two pairs among 6,000: the sample grows until it has met them, and their loss is seen."""
+    x = np.random.RandomState(5).standard_normal((6000, 24))
+    x[[100, 3000]] = x[[5000, 5500]] + 1e-3
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "vec_id long, embedding array<double>")
+    nodes = v.withColumnsRenamed({"vec_id": "nid", "embedding": "vec"})
+    none = spark.createDataFrame([], "node long, root long")
+    lost = vectors._audit(spark, nodes, none, 0.9, 400)
+    assert (lost.recall, lost.nodes, lost.links, lost.whole) == (0.0, 6000, 4, True)
+    part = vectors._audit(spark, nodes, none, 0.9, 100, most=1000, held_bytes=300 * 8 * 24)
+    assert 900 < part.nodes < 1100 and not part.whole
+    got = {r["vec_id"]: r["component_id"] for r in vectors.linked(spark, v).where("n_links > 0").collect()}
+    assert got == {100: 100, 5000: 100, 3000: 3000, 5500: 3000}
+
+
+def test_vectors_that_share_a_hash(spark):
+    """Vectors are told apart by themselves: here all have one of two hashes."""
+    rows = [(i, [float(i // 3 % 7), 1.0, float(i % 2)]) for i in range(60)] + [(99, None)]
+    with vectors.Scratch(spark) as s:
+        d = spark.createDataFrame(rows, "vec_id long, vec array<float>")
+        found, nodes = vectors._nodes(s, d, lambda v: F.when(v[2] > 0, 1 << 20).otherwise(5 << 20).cast("long"))
+        own = {r["vec_id"]: r["nid"] for r in found.collect()}
+        vec = {i: tuple(v) for i, v in rows[:-1]}
+        assert all((own[i] == own[j]) == (vec[i] == vec[j]) for i in vec for j in vec) and own[99] is None
+        want = {own[i]: (min(j for j in vec if vec[j] == v), sum(w == v for w in vec.values()), v) for i, v in vec.items()}
+        assert {r["nid"]: (r["first"], r["mult"], tuple(r["vec"])) for r in nodes.collect()} == want
+        with pytest.raises(Exception, match="share a hash"):
+            vectors._nodes(s, spark.range(300).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float")).alias("vec")), lambda v: F.lit(1 << 20).cast("long"))
+
+
+def test_vectors_of_any_scale(spark):
+    rows = [(1, [1e-200, 2e-200]), (2, [1e300, 2e300]), (3, [5e-324, 1e-323]), (4, [2.0, -1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.linked(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
 def test_vectors_search_grows_with_the_nodes():
     for n in (2_000, 100_000, 10_000_000):
         bits = math.ceil(math.log2(n / 64))
