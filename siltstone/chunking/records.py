@@ -11,9 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.errors import CompletionError
+from siltstone.errors import CompletionError, UnsupportedProvider, told
 
 Complete = Callable[[str, str], str]
+#: Makes, once for each task, a completion.
+_PROVIDERS: dict[str, Callable[[], Complete]] = {}
 SYSTEM = "Do the task that follows on the text of the document. Answer with JSON alone, an array or an object in the shape that the task asks for: no other words and no code fence."
 
 
@@ -50,6 +52,17 @@ def chunk_of(record: dict[str, Any]) -> tuple[str, dict[str, Any]]:
     return (own, rest) if own else (json.dumps(record, ensure_ascii=False), record)
 
 
+def register(name: str, make: Callable[[], Complete]) -> None:
+    """A language model under a name, for ``chunked``; ``make`` runs once in each task, where a client can be opened."""
+    _PROVIDERS[name] = make
+
+
+def provider(name: str) -> Callable[[], Complete]:
+    if name not in _PROVIDERS:
+        raise UnsupportedProvider(f"unknown language model {name!r}; there are {sorted(_PROVIDERS)}")
+    return _PROVIDERS[name]
+
+
 _SCHEMA = "answer_index int, text string, metadata string, error string"
 
 
@@ -70,26 +83,39 @@ def parsed(answers: DataFrame, id: str = "id", answer: str = "answer") -> DataFr
     return answers.select(id, answer).mapInPandas(run, f"{id} {answers.schema[id].dataType.simpleString()}, {_SCHEMA}")
 
 
-def chunked(docs: DataFrame, prompt: str, complete: Complete, max_chars: int = 300_000, id: str = "doc_id", text: str = "text", sections: DataFrame | None = None) -> DataFrame:
+def checked(made: DataFrame, most: int = 5) -> DataFrame:
+    """``made`` (rows of ``parsed`` or ``chunked``, written before) if no row of it has an error, else a CompletionError."""
+    bad = made.where("error is not null")
+    first = bad.select("error").orderBy("error").limit(most).collect()
+    if first:
+        raise CompletionError(f"{bad.count()} calls failed: " + "; ".join(r["error"] for r in first))
+    return made
+
+
+def chunked(docs: DataFrame, prompt: str, complete: Complete | str, max_chars: int = 300_000, id: str = "doc_id", text: str = "text", sections: DataFrame | None = None) -> DataFrame:
     """The records that ``complete(system, user)`` makes of each text: (id, part, answer_index, text, metadata, error).
 
     A text over ``max_chars`` goes section by section if ``sections`` (id, chunk_index, text) are given, and
-    else is cut. A call that fails is a row with its error.
+    else is cut. A call that fails is a row with its error, as callers see a CompletionError. ``complete`` may be the
+    name of a registered model.
     """
     whole = docs.select(id, F.lit(0).alias("part"), F.col(text).alias("t"))
     if sections is not None:
         long = whole.where(F.char_length("t") > max_chars).select(id)
         whole = whole.where(F.char_length("t") <= max_chars).unionByName(sections.join(long, id, "left_semi").select(id, F.col("chunk_index").alias("part"), F.col("text").alias("t")))
     src = whole.withColumn("t", F.left("t", F.lit(max_chars)))
+    make = provider(complete) if isinstance(complete, str) else lambda: complete
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = None
         for b in batches:
             out = []
             for i, part, t in zip(b[id], b["part"], b["t"], strict=True):
                 try:
-                    got = _rows(complete(SYSTEM, f"{prompt}\n\nThe text:\n{t}"))
+                    call = call or make()
+                    got = _rows(call(SYSTEM, f"{prompt}\n\nThe text:\n{t}"))
                 except Exception as e:  # the service's own errors become rows
-                    got = [(None, None, None, str(e))]
+                    got = [(None, None, None, told(CompletionError(str(e))))]
                 out += [(i, part, *r) for r in got]
             yield pd.DataFrame(out, columns=[id, "part", "answer_index", "text", "metadata", "error"]).astype({"answer_index": "Int32"})
 

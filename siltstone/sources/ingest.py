@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siltstone.chunking.budget import Count, fit, words
@@ -13,6 +13,7 @@ from siltstone.chunking.tables import linear
 from siltstone.config import CodecConfig
 from siltstone.errors import ValidationError
 from siltstone.functions import validate
+from siltstone.functions.text import word_count
 from siltstone.operators import embed, quantize
 from siltstone.plans.scratch import written
 from siltstone.sources import files
@@ -97,16 +98,36 @@ def rows_of(chunked: DataFrame, info: DataFrame, embedder: embed.Embedder, codec
     return d if codec is None else d.join(quantize.encoded(d, codec), "id")
 
 
-def ingest(store: Store, name: str, found: DataFrame, embedder: embed.Embedder, force: bool = False, budget: int = 256, codec: quantize.Codec | None = None, refused: DataFrame | None = None) -> DataFrame:
+class Counts:
+    """Counters that are taken while tables are written, with no pass of their own; ``values`` has those of what was written."""
+
+    def __init__(self) -> None:
+        self._taken: list[Observation] = []
+
+    def of(self, df: DataFrame, **counters: Column) -> DataFrame:
+        """``df``, observed: it has to be written once."""
+        self._taken.append(Observation())
+        return df.observe(self._taken[-1], *(F.coalesce(c, F.lit(0)).alias(k) for k, c in counters.items()))
+
+    @property
+    def values(self) -> dict[str, int]:
+        return {k: v for o in self._taken for k, v in o.get.items()}
+
+
+def ingest(store: Store, name: str, found: DataFrame, embedder: embed.Embedder, force: bool = False, budget: int = 256, codec: quantize.Codec | None = None, refused: DataFrame | None = None, counts: Counts | None = None) -> DataFrame:
     """Ingests files (``files.files``) into a collection; returns (source_filename, content_hash, chunks, status).
 
+    ``counts`` has afterwards: elements, failed_ranges (ranges of pages that could not be parsed), chunks, and truncated (chunks
+    over the embedder's limit of tokens), counted as they were written.
     ``refused`` (``files.refused``): files that were left out, which are told of in the report. Content that is there is not parsed again, unless ``force``: then its rows are replaced in one step.
     """
     store.ensure(name, embedder.dimension)
     known = store.table(name).where("content_hash is not null").groupBy("content_hash").agg(F.count("*").alias("existing"))
     fresh = found.dropDuplicates(["content_hash"]) if force else new_only(found, known)
-    parsed = written(files.elements(files.ranges(fresh)))
-    made = written(chunks(parsed, budget))
+    counts = counts or Counts()
+    failed = F.count_if(F.col("error").isNotNull())
+    parsed = written(counts.of(files.elements(files.ranges(fresh)), elements=F.count("kind"), failed_ranges=failed))
+    made = written(counts.of(chunks(parsed, budget), chunks=F.count("*"), truncated=F.count_if(word_count(F.col("text")) > embedder.max_tokens)))
     # The report is written before the rows are, and is of what was there until then.
     report = found.select("source_filename", "content_hash").join(known, "content_hash", "left").join(made.groupBy("content_hash").agg(F.count("*").alias("chunks")), "content_hash", "left").join(failures(parsed), "content_hash", "left")
     n = F.coalesce("chunks", F.lit(0))
