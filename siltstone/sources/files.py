@@ -8,6 +8,7 @@ cannot be parsed is a row with its error, so that the rest of the file is indexe
 from __future__ import annotations
 
 import base64
+import hashlib
 import io
 import re
 import zipfile
@@ -15,10 +16,11 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.errors import UnsupportedDocument
+from siltstone.errors import ParseError, UnsupportedDocument
 from siltstone.functions.text import basename, extension
 from siltstone.functions.validate import EXTENSIONS, valid_file
 
@@ -148,23 +150,55 @@ def ranges(found: DataFrame, per_range: int = 25, whole_under: int = 30) -> Data
 _ELEMENTS = "content_hash string, source_filename string, file_type string, range_no int, first_page int, last_page int, pos int, kind string, text string, page int, image string, error string"
 
 
-def elements(ranged: DataFrame) -> DataFrame:
-    """(content_hash, source_filename, file_type, range_no, first_page, last_page, pos, kind, text, page, image, error)"""
+_KEYS = ["content_hash", "source_filename", "file_type", "range_no", "first_page", "last_page"]
+
+
+def fetched(path: str, content_hash: str) -> bytes:
+    """The bytes of a file, read where a task runs; an error if they are no longer those of the hash."""
+    where, own = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    with where.open_input_stream(own) as f:
+        content = f.read()
+    if hashlib.sha256(content).hexdigest() != content_hash:
+        raise ParseError(f"{path} has changed since it was listed")
+    return content
+
+
+def elements(ranged: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(content_hash, source_filename, file_type, range_no, first_page, last_page, pos, kind, text, page, image, error)
+
+    The ranges of a file are parsed by the task that holds it; with ``tasks``, by as many tasks as that: only names of ranges
+    are dealt, and each task reads the files of its own (by the schemes that pyarrow knows), one at a time.
+    """
     parsers = {e: p for e, (p, _) in PARSERS.items()}
-    keys = ["content_hash", "source_filename", "file_type", "range_no", "first_page", "last_page"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple[str, bytes] = ("", b"")
         for b in batches:
             out = []
             for r in b.itertuples():
-                key = tuple(getattr(r, k) for k in keys)
+                key = tuple(getattr(r, k) for k in _KEYS)
                 try:
                     if r.file_type not in parsers:
                         raise UnsupportedDocument(f"no parser for {r.file_type}")
-                    got = parsers[r.file_type](bytes(r.content), r.first_page, r.last_page)
+                    if tasks and held[0] != r.path:
+                        held = (r.path, fetched(r.path, r.content_hash))
+                    content = held[1] if tasks else bytes(r.content)
+                    got = parsers[r.file_type](content, r.first_page, r.last_page)
                     out += [(*key, i, *e, None) for i, e in enumerate(got)]
                 except Exception as e:  # a range that fails is a row, not the end of the job
                     out.append((*key, None, None, None, None, None, str(e)))
-            yield pd.DataFrame(out, columns=[*keys, "pos", "kind", "text", "page", "image", "error"]).astype({"pos": "Int32", "page": "Int32"})
+            yield pd.DataFrame(out, columns=[*_KEYS, "pos", "kind", "text", "page", "image", "error"]).astype({"pos": "Int32", "page": "Int32"})
+
+    if tasks:
+        rows = ranged.select(*_KEYS, "path").repartition(tasks, "content_hash", "range_no").sortWithinPartitions("path", "range_no")
+    else:
+        rows = ranged.select(*_KEYS, "content")
+    return rows.mapInPandas(run, _ELEMENTS)
+
 
-    return ranged.select(*keys, "content").mapInPandas(run, _ELEMENTS)
+def retried(parsed: DataFrame, ranged: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``parsed`` (elements, written before) with the ranges that failed in it parsed again; the others stay as they are."""
+    own = ["content_hash", "range_no"]
+    bad = parsed.where("error is not null").select(*own).distinct()
+    again = elements(ranged.join(bad, own, "left_semi"), tasks)
+    return parsed.where("error is null").unionByName(again)

@@ -114,11 +114,12 @@ class Counts:
         return {k: v for o in self._taken for k, v in o.get.items()}
 
 
-def ingest(store: Store, name: str, found: DataFrame, embedder: embed.Embedder, force: bool = False, budget: int = 256, codec: quantize.Codec | None = None, refused: DataFrame | None = None, counts: Counts | None = None) -> DataFrame:
+def ingest(store: Store, name: str, found: DataFrame, embedder: embed.Embedder, force: bool = False, budget: int = 256, codec: quantize.Codec | None = None, refused: DataFrame | None = None, counts: Counts | None = None, tasks: int | None = None) -> DataFrame:
     """Ingests files (``files.files``) into a collection; returns (source_filename, content_hash, chunks, status).
 
     ``counts`` has afterwards: elements, failed_ranges (ranges of pages that could not be parsed), chunks, and truncated (chunks
-    over the embedder's limit of tokens), counted as they were written.
+    over the embedder's limit of tokens), counted as they were written. ``tasks``: how many share the ranges of pages
+    (``files.elements``).
     ``refused`` (``files.refused``): files that were left out, which are told of in the report. Content that is there is not parsed again, unless ``force``: then its rows are replaced in one step.
     """
     store.ensure(name, embedder.dimension)
@@ -126,7 +127,7 @@ def ingest(store: Store, name: str, found: DataFrame, embedder: embed.Embedder,
     fresh = found.dropDuplicates(["content_hash"]) if force else new_only(found, known)
     counts = counts or Counts()
     failed = F.count_if(F.col("error").isNotNull())
-    parsed = written(counts.of(files.elements(files.ranges(fresh)), elements=F.count("kind"), failed_ranges=failed))
+    parsed = written(counts.of(files.elements(files.ranges(fresh), tasks), elements=F.count("kind"), failed_ranges=failed))
     made = written(counts.of(chunks(parsed, budget), chunks=F.count("*"), truncated=F.count_if(word_count(F.col("text")) > embedder.max_tokens)))
     # The report is written before the rows are, and is of what was there until then.
     report = found.select("source_filename", "content_hash").join(known, "content_hash", "left").join(made.groupBy("content_hash").agg(F.count("*").alias("chunks")), "content_hash", "left").join(failures(parsed), "content_hash", "left")

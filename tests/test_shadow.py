@@ -92,6 +92,49 @@ def test_counters_are_taken_while_writing(spark, tmp_path):
     assert counts.values == {"elements": 3, "failed_ranges": 2, "chunks": chunks, "truncated": 1} and chunks == 3
 
 
+def test_ranges_of_a_file_are_shared_and_retried_alone(spark, tmp_path):
+    """A file of 100 pages: each range is read by a task of its own, and only the one that failed is parsed again."""
+    calls, broken = tmp_path / "calls", tmp_path / "broken"
+    where = tmp_path / "in"
+    where.mkdir()
+    (where / "a.pdf").write_bytes(b"%PDF one")
+    broken.write_text("")
+
+    def parser(content, first, last):
+        from pyspark import TaskContext
+
+        with open(calls, "a") as f:
+            f.write(f"{first} {TaskContext.get().partitionId()}\n")
+        if first == 26 and broken.exists():
+            raise ValueError("torn page")
+        return [("text", content.decode(), first, None)]
+
+    before = dict(files.PARSERS)
+    try:
+        files.register(".pdf", parser, pages=lambda c: 100)
+        ranged = files.ranges(files.files(spark, str(where)))
+        with_content = {(r["range_no"], r["text"], r["error"]) for r in files.elements(ranged).collect()}
+        calls.write_text("")
+        files.elements(ranged, tasks=16).write.parquet(f"{tmp_path}/parsed")
+        parsed = spark.read.parquet(f"{tmp_path}/parsed")
+        assert {(r["range_no"], r["text"], r["error"]) for r in parsed.collect()} == with_content == {(0, "%PDF one", None), (1, None, "torn page"), (2, "%PDF one", None), (3, "%PDF one", None)}
+        made = [line.split() for line in calls.read_text().splitlines()]
+        assert sorted(int(a) for a, _ in made) == [1, 26, 51, 76] and len({t for _, t in made}) > 1
+        broken.unlink()
+        calls.write_text("")
+        again = files.retried(parsed, ranged, tasks=16)
+        assert {(r["range_no"], r["text"], r["error"]) for r in again.collect()} == {(i, "%PDF one", None) for i in range(4)}
+        assert [line.split()[0] for line in calls.read_text().splitlines()] == ["26"]
+        found = ranged.withColumn("content_hash", F.lit("0" * 64))
+        assert {r["error"].rsplit("/", 1)[1] for r in files.elements(found, tasks=2).collect()} == {"a.pdf has changed since it was listed"}
+        counts = ingest.Counts()
+        ingest.ingest(Store(spark, f"file://{tmp_path}/s"), "c", files.files(spark, str(where)), embed.hashing(4), counts=counts, tasks=4)
+        assert counts.values["elements"] == 4 and counts.values["failed_ranges"] == 0
+    finally:
+        files.PARSERS.clear()
+        files.PARSERS.update(before)
+
+
 def test_language_models_by_name(spark):
     docs = spark.createDataFrame([(1, "one"), (2, "bad")], "doc_id int, text string")
 
