@@ -56,6 +56,21 @@ def packed_sections(parts: list[list[str]], most: int = 5000, combine: int = 0)
     return out
 
 
+def combined(sizes: list[int], most: int = 5000, combine: int = 200) -> list[int]:
+    """For each section of a document, given by its characters, the number of the group that it is in: a section shorter than
+    ``combine`` joins the group before it, if both fit; two more characters part them."""
+    groups: list[int] = []
+    held = 0
+    for n in sizes:
+        if groups and n < combine and held + 2 + n <= most:
+            groups.append(groups[-1])
+            held += 2 + n
+        else:
+            groups.append(groups[-1] + 1 if groups else 0)
+            held = n
+    return groups
+
+
 def sections(elements: DataFrame, most: int = 5000, combine: int = 0, id: str = "page_id") -> DataFrame:
     """(id, chunk_index, text): chunks of at most ``most`` characters.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siltstone.chunking.budget import Count, fit, words
+from siltstone.chunking.sections import combined
 from siltstone.chunking.tables import linear
 from siltstone.config import CodecConfig
 from siltstone.errors import ValidationError
@@ -29,10 +30,11 @@ def skipped(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return incoming.join(existing.select("content_hash"), "content_hash", "left_semi")
 
 
-def chunks(elements: DataFrame, budget: int = 256, least: int = 20, overlap: int = 32, count: Count = words) -> DataFrame:
+def chunks(elements: DataFrame, budget: int = 256, least: int = 20, overlap: int = 32, count: Count = words, most: int = 5000, combine: int = 0) -> DataFrame:
     """(content_hash, chunk_index, total_chunks, text, tables, images) of each file's elements.
 
-    A title starts a section; a table's lines stand in the text where it stood, its HTML beside it.
+    A title starts a section; a table's lines stand in the text where it stood, its HTML beside it. With ``combine``, a
+    section of fewer characters joins the one before it, if both fit in ``most`` (``sections.combined``).
     """
     cols = ["content_hash", "chunk_index", "total_chunks", "text", "tables", "images"]
 
@@ -50,7 +52,14 @@ def chunks(elements: DataFrame, budget: int = 256, least: int = 20, overlap: int
                 images.append(image)
             else:
                 lines.append(text)
-        out = [c for s in sections for c in fit([("\n".join(filter(None, s[0])), s[1], s[2])], count, budget, least, overlap)]
+        whole: list[tuple[list[str], list[str], list[str]]] = []
+        for group, own in zip(combined([len("\n".join(filter(None, s[0]))) for s in sections], most, combine), sections, strict=True):
+            if group == len(whole):
+                whole.append(own)
+            else:
+                for a, b in zip(whole[-1], own, strict=True):
+                    a += b
+        out = [c for s in whole for c in fit([("\n".join(filter(None, s[0])), s[1], s[2])], count, budget, least, overlap)]
         rows = [(pdf["content_hash"].iloc[0], i, len(out), *c) for i, c in enumerate(out)]
         return pd.DataFrame(rows, columns=cols)
 
@@ -114,12 +123,12 @@ class Counts:
         return {k: v for o in self._taken for k, v in o.get.items()}
 
 
-def ingest(store: Store, name: str, found: DataFrame, embedder: embed.Embedder, force: bool = False, budget: int = 256, codec: quantize.Codec | None = None, refused: DataFrame | None = None, counts: Counts | None = None, tasks: int | None = None) -> DataFrame:
+def ingest(store: Store, name: str, found: DataFrame, embedder: embed.Embedder, force: bool = False, budget: int = 256, codec: quantize.Codec | None = None, refused: DataFrame | None = None, counts: Counts | None = None, tasks: int | None = None, combine: int = 200) -> DataFrame:
     """Ingests files (``files.files``) into a collection; returns (source_filename, content_hash, chunks, status).
 
     ``counts`` has afterwards: elements, failed_ranges (ranges of pages that could not be parsed), chunks, and truncated (chunks
     over the embedder's limit of tokens), counted as they were written. ``tasks``: how many share the ranges of pages
-    (``files.elements``).
+    (``files.elements``). ``combine``: sections of fewer characters join the one before them.
     ``refused`` (``files.refused``): files that were left out, which are told of in the report. Content that is there is not parsed again, unless ``force``: then its rows are replaced in one step.
     """
     store.ensure(name, embedder.dimension)
@@ -128,7 +137,7 @@ def ingest(store: Store, name: str, found: DataFrame, embedder: embed.Embedder,
     counts = counts or Counts()
     failed = F.count_if(F.col("error").isNotNull())
     parsed = written(counts.of(files.elements(files.ranges(fresh), tasks), elements=F.count("kind"), failed_ranges=failed))
-    made = written(counts.of(chunks(parsed, budget), chunks=F.count("*"), truncated=F.count_if(word_count(F.col("text")) > embedder.max_tokens)))
+    made = written(counts.of(chunks(parsed, budget, combine=combine), chunks=F.count("*"), truncated=F.count_if(word_count(F.col("text")) > embedder.max_tokens)))
     # The report is written before the rows are, and is of what was there until then.
     report = found.select("source_filename", "content_hash").join(known, "content_hash", "left").join(made.groupBy("content_hash").agg(F.count("*").alias("chunks")), "content_hash", "left").join(failures(parsed), "content_hash", "left")
     n = F.coalesce("chunks", F.lit(0))

@@ -4,9 +4,12 @@ import os
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.chunking import sections
+from siltstone.functions.text import truncated_share
 from siltstone.plans.queries import QUERIES
+from siltstone.sources import ingest
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
@@ -95,3 +98,28 @@ def test_fit_chunks(spark):
         assert set(kept) == set(words) and not Counter(words) - Counter(kept), key
         for a, b in zip(rows, rows[1:], strict=False):  # small ones stand apart only where they do not fit
             assert len(b["text"].split()) >= 20 or len(a["text"].split()) + len(b["text"].split()) > 128
+
+
+def test_short_sections_join_the_one_before():
+    assert sections.combined([50, 10, 300, 10, 10, 250], 320, 200) == [0, 0, 1, 1, 2, 3]
+    assert sections.combined([5, 5, 5], 5000, 0) == [0, 1, 2] and sections.combined([], 5000, 200) == []
+    assert sections.combined([100, 98], 200, 99) == [0, 0] and sections.combined([100, 99], 200, 100) == [0, 1]
+
+
+def test_files_with_many_titles_make_few_chunks(spark):
+    rows = [("h", 0, p, kind, text, None) for p, (kind, text) in enumerate([("title", "One"), ("text", "a b"), ("title", "Two"), ("table", "<table><tr><td>k</td></tr><tr><td>v</td></tr></table>"), ("title", "Three"), ("text", "w " * 150), ("title", "Four"), ("image", "aW1n")])]
+    rows = [(*r[:4], None if r[3] == "image" else r[4], r[4] if r[3] == "image" else None, None) for r in rows]
+    e = spark.createDataFrame(rows, "content_hash string, range_no int, pos int, kind string, text string, image string, error string")
+    apart = ingest.chunks(e, 256, 0).orderBy("chunk_index").collect()
+    assert len(apart) == 4 and [r["tables"] != [] for r in apart] == [False, True, False, False]
+    joined = ingest.chunks(e, 256, 0, combine=200).orderBy("chunk_index").collect()
+    assert [r["text"].split("\n")[0] for r in joined] == ["One", "Three"] and {r["total_chunks"] for r in joined} == {2}
+    assert len(joined[0]["tables"]) == 1 and "v" in joined[0]["text"] and joined[1]["images"] == ["aW1n"] and "Four" in joined[1]["text"]
+
+
+def test_raw_text_and_share_of_truncation(spark):
+    e = spark.createDataFrame([(1, 1, "b"), (1, 0, "a"), (2, 0, "c")], "page_id int, pos int, text string")
+    assert {tuple(r) for r in sections.raw_text(e).collect()} == {(1, "a\nb"), (2, "c")}
+    d = spark.createDataFrame([(100, ), (400, ), (200, )], "n int")
+    got = [r["s"] for r in d.select("n", truncated_share(F.col("n"), 200).alias("s")).orderBy("n").collect()]
+    assert got == [0, 0, 50]
