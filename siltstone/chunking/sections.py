@@ -26,6 +26,16 @@ def html_elements(pages: DataFrame, id: str = "page_id", html: str = "html") ->
     return pages.select(id, html).mapInPandas(run, f"{id} {pages.schema[id].dataType.simpleString()}, pos int, kind string, text string")
 
 
+def line_elements(docs: DataFrame, id: str = "doc_id", text: str = "text", most: int = 8) -> DataFrame:
+    """(id, pos, kind, text): the lines of plain texts as they are, without blank ones; those of at most ``most`` words are titles.
+
+    A null text has no lines.
+    """
+    lines = docs.select(id, F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "text"))
+    n = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    return lines.where(n > 0).select(id, "pos", F.when(n <= most, "title").otherwise("text").alias("kind"), "text")
+
+
 def numbered(elements: DataFrame, id: str = "page_id") -> DataFrame:
     """Elements with the number of their section: every title starts one."""
     w = Window.partitionBy(id).orderBy("pos")

@@ -18,6 +18,7 @@ from siltstone.functions import validate
 from siltstone.functions import vectors as V
 from siltstone.operators import bm25, dense, embed, evaluate, fusion, hybrid, ivf, postings, quantize, rerank
 from siltstone.operators.filters import filtered
+from siltstone.plans import oracles
 from siltstone.plans.scratch import folder
 from siltstone.sources import golden, ingest
 from siltstone.sources.collections import Store
@@ -441,7 +442,7 @@ def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.size("s").cast("long").alias("n"), F.coalesce(F.array_max(F.transform("s", F.char_length)), F.lit(0)).cast("long").alias("longest"))
 
 
-@query()
+@query(oracles.split("SELECT doc_id, text FROM documents", "doc_id", 256, 32))
 def budget_split(spark: SparkSession, sf: str) -> DataFrame:
     return budget.split(read(spark, sf, "documents"), 256, 32)
 
@@ -454,6 +455,25 @@ def fit_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return budget.fitted(rows, ["page_id", "section"], "pos", 128, 20, 16)
 
 
+_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents"
+
+
+@query(oracles.fitted(_LINES, "doc_id", "line", 128, 20, 16))
+def fit_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of each document, too long ones split and short ones joined to what comes before."""
+    none = F.array().cast("array<string>")
+    lines = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    return budget.fitted(lines.withColumns({"tables": none, "images": none}), ["doc_id"], "line", 128, 20, 16).select("doc_id", "chunk_index", "text")
+
+
+_ELEMENTS = rf"""SELECT doc_id, line AS pos, CASE WHEN n <= 8 THEN 'title' ELSE 'text' END AS kind, text FROM (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM ({_LINES})) WHERE n > 0"""
+
+
+@query(oracles.sections(_ELEMENTS, "doc_id", 1000, 200))
+def line_sections(spark: SparkSession, sf: str) -> DataFrame:
+    return sections.sections(sections.line_elements(read(spark, sf, "documents")), 1000, 200, id="doc_id")
+
+
 @query()
 def title_sections(spark: SparkSession, sf: str) -> DataFrame:
     return sections.sections(sections.html_elements(read(spark, sf, "pages")), 5000, 200)
