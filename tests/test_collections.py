@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 
 import pytest
@@ -137,3 +138,15 @@ def test_passages_are_found_where_they_are_contained(spark):
     d = spark.createDataFrame([(1, "x a b c d e f g h i j k"), (2, "xa b c d e f g h i jz"), (3, "q a b"), (4, None), (5, "")], "item int, text string")
     p = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b"), (3, "zz"), (4, " b c ")], "qid int, passage string")
     assert sorted(map(tuple, evaluate.containing(d, p).collect())) == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (4, 1), (4, 2)]
+
+
+def test_short_passages_are_found_inside_words_without_a_nested_loop(spark):
+    r = random.Random(9)
+    piece = lambda n: "".join(r.choice("abé \t\n") for _ in range(n))
+    texts = [(i, piece(r.randint(0, 60))) for i in range(120)] + [(500, None), (501, "x" * 5000 + "needles" + "y" * 5000)]
+    asked = [(i, piece(r.randint(0, 12))) for i in range(150)] + [(900, None), (901, ""), (902, " \t"), (903, "needles"), (904, "xneedlesy"), (905, "needless")]
+    d, p = spark.createDataFrame(texts, "item int, text string"), spark.createDataFrame(asked, "qid int, passage string")
+    found = evaluate.containing(d, p)
+    assert {tuple(x) for x in found.collect()} == {(q, i) for q, s in asked if s and s.strip() for i, t in texts if t and s in t}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and not any("Join Inner" in line and " = " not in line for line in plan.splitlines())
