@@ -97,9 +97,9 @@ def chunked(docs: DataFrame, prompt: str, complete: Complete | str, max_chars: i
 
     A text over ``max_chars`` goes section by section if ``sections`` (id, chunk_index, text) are given, and
     else is cut. A call that fails is a row with its error, as callers see a CompletionError. ``complete`` may be the
-    name of a registered model.
+    name of a registered model, and a null text is not asked for.
     """
-    whole = docs.select(id, F.lit(0).alias("part"), F.col(text).alias("t"))
+    whole = docs.where(F.col(text).isNotNull()).select(id, F.lit(0).alias("part"), F.col(text).alias("t"))
     if sections is not None:
         long = whole.where(F.char_length("t") > max_chars).select(id)
         whole = whole.where(F.char_length("t") <= max_chars).unionByName(sections.join(long, id, "left_semi").select(id, F.col("chunk_index").alias("part"), F.col("text").alias("t")))

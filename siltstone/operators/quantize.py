@@ -122,8 +122,8 @@ def search(rows: DataFrame, query: list[float], k: int = 10, config: CodecConfig
 
 
 def exported(codes: DataFrame) -> DataFrame:
-    """Codes as base64 text."""
-    return codes.withColumn("codes", F.base64("codes"))
+    """Codes as base64 text, on one line each."""
+    return codes.withColumn("codes", F.regexp_replace(F.base64("codes"), r"\s", ""))
 
 
 def imported(codes: DataFrame) -> DataFrame:

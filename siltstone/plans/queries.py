@@ -6,6 +6,7 @@ Scores are ranked at nine places and shown at six. ``embeddings.vec_id`` is pair
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -128,6 +129,14 @@ def distance_to_score(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("id", "space", F.round(V.score_of(F.col("d"), F.col("space")), 6).alias("score"))
 
 
+@query("""SELECT doc_id, round(CASE WHEN embedding IS NULL THEN 1 ELSE list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) END, 6) AS score
+FROM documents LEFT JOIN embeddings ON doc_id = vec_id""")
+def missing_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that have no vector have no distance either, which counts as the score 1."""
+    d = documents(spark, sf).withColumn("d", F.when(F.col("embedding").isNotNull(), 1 - V.cosine(F.col("embedding"), V.literal(one_vector(spark, sf)))))
+    return d.select(F.col("id").alias("doc_id"), F.round(V.score_of(F.col("d"), F.lit("cosine")), 6).alias("score"))
+
+
 # ---- keyword search -----------------------------------------------------------------------------
 
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]{{2,}}')"
@@ -351,6 +360,15 @@ def codec_encode(spark: SparkSession, sf: str) -> DataFrame:
     return shown(d.withColumn("codes", F.array_join(F.transform("codes", lambda x: x.cast("string")), ",")), "vmin", "scale")
 
 
+@query(f"""WITH {_CODES} SELECT id, to_base64(unhex(array_to_string(list_transform(codes, lambda c: printf('%02X', c)), ''))) AS codes, true AS same FROM cd""")
+def codec_base64(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes as text, and whether reading the text gives the codes back."""
+    codes = quantize.encoded(vectors(spark, sf), _CODEC).select("id", "codes")
+    text = quantize.exported(codes)
+    back = quantize.imported(text).select("id", F.col("codes").alias("back"))
+    return text.join(back, "id").join(codes.withColumnRenamed("codes", "own"), "id").select("id", "codes", (F.col("back") == F.col("own")).alias("same"))
+
+
 @query(f"""WITH {_CODES} SELECT id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(codes[i] * sc + lo - y[i], 2)))), 6) AS error FROM cd JOIN rot USING (id)""")
 def codec_error(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf)
@@ -466,6 +484,11 @@ def fit_lines(spark: SparkSession, sf: str) -> DataFrame:
     return budget.fitted(lines.withColumns({"tables": none, "images": none}), ["doc_id"], "line", 128, 20, 16).select("doc_id", "chunk_index", "text")
 
 
+@query(r"""SELECT doc_id, string_agg(text, chr(10) ORDER BY line) AS text FROM (%s) WHERE regexp_matches(text, '[^\x20\x09-\x0D]') GROUP BY doc_id""" % _LINES)
+def plain_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return sections.raw_text(sections.line_elements(read(spark, sf, "documents")), id="doc_id")
+
+
 _ELEMENTS = rf"""SELECT doc_id, line AS pos, CASE WHEN n <= 8 THEN 'title' ELSE 'text' END AS kind, text FROM (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM ({_LINES})) WHERE n > 0"""
 
 
@@ -501,6 +524,23 @@ def llm_records(spark: SparkSession, sf: str) -> DataFrame:
     return got.select(parts[0].cast("long").alias("conv_id"), parts[1].cast("long").alias("turn"), "text", F.regexp_replace("metadata", '": "', '":"').alias("metadata"))
 
 
+def _last_words(system: str, user: str) -> str:
+    """A stand-in for a language model: an object with a list of one record, of the end of the text and its length."""
+    text = user.split("\nThe text:\n", 1)[1]
+    return "```json\n" + json.dumps({"chunks": [{"text": text[-40:], "chars": len(text)}]}) + "\n```"
+
+
+@query(f"""WITH parts AS (SELECT doc_id, 0 AS part, text AS t FROM documents WHERE length(text) <= 4000 UNION ALL
+SELECT doc_id, chunk_index, text FROM ({oracles.split("SELECT doc_id, text FROM documents WHERE length(text) > 4000", "doc_id", 256, 0)})),
+ends AS (SELECT doc_id, part, length(t) AS n, regexp_replace(regexp_replace(right(t, 40), '^[{oracles.SPACE}]+', ''), '[{oracles.SPACE}]+$', '') AS own FROM (SELECT doc_id, part, left(t, 4000) AS t FROM parts))
+SELECT doc_id, part, 0 AS answer_index, own AS text, '{{"llm_chars": ' || n || '}}' AS metadata FROM ends""")
+def long_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of each text by a stand-in for a language model; texts over its limit go piece by piece."""
+    d = read(spark, sf, "documents").select("doc_id", "text")
+    own = budget.split(d.where(F.char_length("text") > 4000), 256, 0).select("doc_id", "chunk_index", "text")
+    return records.chunked(d, "Cut it.", _last_words, 4000, sections=own).where("error is null").drop("error")
+
+
 @query("SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM conversations")
 def strip_code_fence(spark: SparkSession, sf: str) -> DataFrame:
     c = read(spark, sf, "conversations")
@@ -670,6 +710,26 @@ def truncation_count(spark: SparkSession, sf: str) -> DataFrame:
     return embed.truncations(read(spark, sf, "documents"), 256)
 
 
+@query("""SELECT doc_id, round(CASE WHEN n > 256 THEN 100 * (1 - 256 / n::DOUBLE) ELSE 0 END, 6) AS share FROM (SELECT doc_id, coalesce(len(regexp_extract_all(text, '\\S+')), 0) AS n FROM documents)""")
+def truncated_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Percent of each text's words that a model of 256 does not see."""
+    return read(spark, sf, "documents").select("doc_id", F.round(T.truncated_share(T.word_count(F.col("text")), 256), 6).alias("share"))
+
+
+@query("""SELECT doc_id, text IN (SELECT text FROM documents WHERE lang = 'en' AND text IS NOT NULL) AS known FROM documents""")
+def known_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of English texts are known; which of all rows get one of these, the others are embedded."""
+    d = read(spark, sf, "documents").select("doc_id", "text", "lang")
+    pair = lambda a, b: F.array(F.lit(a), F.lit(b)).cast("array<float>")
+    got = embed.embedded(d, embed.Embedder(2, column=lambda c: pair(1.0, 0.0)), d.where("lang = 'en'").select("text", pair(0.0, 1.0).alias("embedding")))
+    return got.select("doc_id", (F.col("embedding")[1] == 1).alias("known"))
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name, lower(regexp_extract(url, '(\.[^./\\]+)$', 1)) AS extension FROM pages""")
+def page_names(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "pages").select("page_id", T.basename(F.col("url")).alias("name"), T.extension(F.col("url")).alias("extension"))
+
+
 @query("SELECT sha256(text) AS id FROM documents WHERE trim(text) <> '' GROUP BY 1")
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """The documents as a stream into a collection: each content once."""

@@ -1,10 +1,12 @@
+import json
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from siltstone.chunking import sections
 from siltstone.chunking.budget import fit, pieces, words
-from siltstone.chunking.records import chunk_of, records, unfenced
+from siltstone.chunking.records import chunk_of, chunked, records, unfenced
 from siltstone.chunking.tables import linear
 from siltstone.errors import CompletionError
 
@@ -88,3 +90,9 @@ def test_html_elements_keep_all_text(spark):
     got = [(r["kind"], r["text"]) for r in sections.html_elements(spark.createDataFrame([(1, page)], "page_id int, html string")).orderBy("pos").collect()]
     assert [t for k, t in got if k != "table"] == ["T", "loose", "a & b", "c", "H x", "one", "two", "tail"]
     assert [k for k, _ in got if k != "text"] == ["title", "table"]
+
+
+def test_null_texts_are_not_asked_for(spark):
+    d = spark.createDataFrame([(1, "abc"), (2, None), (3, "")], "doc_id int, text string")
+    got = chunked(d, "p", lambda system, user: json.dumps({"text": user.split("\n")[-1] or "none"})).collect()
+    assert sorted((r["doc_id"], r["text"], r["error"]) for r in got) == [(1, "abc", None), (3, "none", None)]

@@ -1,3 +1,5 @@
+import base64
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -101,3 +103,11 @@ def test_top_k_is_checked(spark):
     for k in (0, 101, True):
         with pytest.raises(validate.ValidationError):
             hybrid.search(d, d.select(F.col("id").alias("qid"), F.col("text").alias("query"), "embedding"), k)
+
+
+def test_codes_as_text_have_no_line_breaks(spark):
+    long = bytes(range(256)) * 2
+    d = spark.createDataFrame([(1, bytearray(long)), (2, bytearray()), (3, None)], "id int, codes binary")
+    text = exported(d)
+    assert {r["id"]: r["codes"] for r in text.collect()} == {1: base64.b64encode(long).decode(), 2: "", 3: None}
+    assert {r["id"]: r["codes"] for r in imported(text).collect()} == {1: long, 2: b"", 3: None}
