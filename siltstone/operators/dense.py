@@ -50,6 +50,46 @@ def search(rows: DataFrame, query: list[float], k: int = 10, filters: Mapping[st
     return out if min_score is None else out.where(F.col("score") >= min_score)
 
 
+class Best:
+    """Of each query the k best rows that a task has met; of equal scores those with the smaller ids."""
+
+    def __init__(self, k: int, least: float = -np.inf):
+        """Only scores above ``least`` count."""
+        self.k, self.least = k, least
+        self.held: list[pa.Table] = []  # of each query k rows or more, cut to k from time to time
+
+    def add(self, s: np.ndarray, own: pa.Array, queries: np.ndarray | None = None) -> None:
+        """Scores of queries (their numbers, else all in order) by rows, and the rows' ids."""
+        k, rows = self.k, s.shape[1]
+        take = s > self.least
+        if rows > k:  # each query's k best of the batch
+            edge = np.partition(s, rows - k, axis=1)[:, rows - k, None]
+            take &= s >= edge
+            crowded = np.flatnonzero(take.sum(axis=1) > k)
+            order = np.asarray(own.to_pandas().rank(method="first").astype(int)) if len(crowded) else None
+            for i in crowded:
+                tied = np.flatnonzero(s[i] == edge[i])
+                room = k - int((s[i] > edge[i]).sum())
+                take[i, tied[np.argsort(order[tied])[room:]]] = False
+        q_at, r_at = np.nonzero(take)
+        self.held.append(pa.table({"q": pa.array(q_at if queries is None else queries[q_at]), "id": own.take(pa.array(r_at)), "score": pa.array(s[q_at, r_at])}))
+        if len(self.held) >= 16:
+            self.held = [self._cut()]
+
+    def _cut(self) -> pa.Table:
+        t = pa.concat_tables(self.held).sort_by([("q", "ascending"), ("score", "descending"), ("id", "ascending")])
+        at = np.asarray(t.column("q"))
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        place = np.arange(len(at)) - np.repeat(first, np.diff([*first, len(at)]))
+        return t.filter(pa.array(place < self.k)).combine_chunks()
+
+    def rows(self, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+        """(qid, id, score), given the queries' ids by their numbers."""
+        if self.held:
+            best = self._cut()
+            yield from pa.table({"qid": ids.take(best.column("q").combine_chunks()), "id": best.column("id"), "score": best.column("score")}).combine_chunks().to_batches()
+
+
 def search_batch(rows: DataFrame, queries: DataFrame, k: int = 10, id: str = "id", vector: str = "embedding", qid: str = "qid", query: str = "embedding") -> DataFrame:
     """(qid, id, score, rank): the k nearest rows of every query.
 
@@ -77,40 +117,15 @@ def search_batch(rows: DataFrame, queries: DataFrame, k: int = 10, id: str = "id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, ids = shared.value
-        held: list[pa.Table] = []  # of each query k rows or more, cut to k from time to time
+        best = Best(k)
         step = max(1, MAX_PRODUCTS // max(1, len(unit)))
         for b in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             if not len(unit):
                 continue
             x = np.asarray(b.column("v").flatten()).reshape(b.num_rows, -1)
             n = np.sqrt((x * x).sum(axis=1))
-            s = np.round(unit @ (x / np.where(n > 0, n, 1.0)[:, None]).T, DIGITS)
-            own = b.column("id")
-            at = np.arange(b.num_rows)
-            order = np.asarray(own.to_pandas().rank(method="first").astype(int)) if b.num_rows > k else at
-            if b.num_rows > k:  # each query's k best of the batch; of equal scores those with the smaller ids
-                edge = np.partition(s, b.num_rows - k, axis=1)[:, b.num_rows - k, None]
-                take = s >= edge
-                for i in np.flatnonzero(take.sum(axis=1) > k):
-                    tied = np.flatnonzero(s[i] == edge[i])
-                    room = k - int((s[i] > edge[i]).sum())
-                    take[i, tied[np.argsort(order[tied])[room:]]] = False
-            else:
-                take = np.ones_like(s, bool)
-            q_at, r_at = np.nonzero(take)
-            held.append(pa.table({"q": pa.array(q_at), "id": own.take(pa.array(r_at)), "score": pa.array(s[q_at, r_at])}))
-            if len(held) >= 16:
-                held = [cut(held)]
-        if held:
-            best = cut(held)
-            yield from pa.table({"qid": ids.take(best.column("q").combine_chunks()), "id": best.column("id"), "score": best.column("score")}).combine_chunks().to_batches()
-
-    def cut(held: list[pa.Table]) -> pa.Table:
-        t = pa.concat_tables(held).sort_by([("q", "ascending"), ("score", "descending"), ("id", "ascending")])
-        at = np.asarray(t.column("q"))
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        place = np.arange(len(at)) - np.repeat(first, np.diff([*first, len(at)]))
-        return t.filter(pa.array(place < k)).combine_chunks()
+            best.add(np.round(unit @ (x / np.where(n > 0, n, 1.0)[:, None]).T, DIGITS), b.column("id"))
+        yield from best.rows(ids)
 
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     found = src.mapInArrow(run, f"qid {kind(queries, qid)}, id {kind(src, 'id')}, score double")
