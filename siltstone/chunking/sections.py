@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.chunking import markup
+from siltstone.functions.runs import in_groups, text_runs
 
 
 def html_elements(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
@@ -18,12 +19,15 @@ def html_elements(pages: DataFrame, id: str = "page_id", html: str = "html") ->
     text; only real tags are taken away, and references are characters.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [(i, pos, kind, text) for i, page in zip(b[id], b[html], strict=True) for pos, (kind, text) in enumerate(markup.elements(page))]
-            yield pd.DataFrame(found, columns=[id, "pos", "kind", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_runs(batches, html):
+            made = [markup.elements(page) for page in b.column(html).to_pylist()]
+            found = [(i, pos, kind, text) for i, own in enumerate(made) for pos, (kind, text) in enumerate(own)]
+            at, *columns = zip(*found, strict=True) if found else [()] * 4
+            kinds = (pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(id).take(pa.array(at, pa.int64())), *map(pa.array, columns, kinds)], names=[id, "pos", "kind", "text"])
 
-    return pages.select(id, html).mapInPandas(run, f"{id} {pages.schema[id].dataType.simpleString()}, pos int, kind string, text string")
+    return pages.select(id, html).mapInArrow(run, f"{id} {pages.schema[id].dataType.simpleString()}, pos int, kind string, text string")
 
 
 def line_elements(docs: DataFrame, id: str = "doc_id", text: str = "text", most: int = 8) -> DataFrame:
@@ -87,12 +91,15 @@ def sections(elements: DataFrame, most: int = 5000, combine: int = 0, id: str =
     With ``combine``, a section shorter than that joins the one before it, if both fit.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = packed_sections([part["text"].tolist() for _, part in pdf.sort_values("pos").groupby("section", sort=True)], most, combine)
-        return pd.DataFrame({id: pdf[id].iloc[0], "chunk_index": range(len(out)), "text": out})
+    def one(own: list[tuple]) -> list[tuple]:
+        parts: list[list[str]] = [[]]  # every title starts one
+        for kind, t in own:
+            if kind == "title":
+                parts.append([])
+            parts[-1].append(t)
+        return list(enumerate(packed_sections([p for p in parts if p], most, combine)))
 
-    kind = elements.schema[id].dataType.simpleString()
-    return numbered(elements, id).groupBy(id).applyInPandas(one, f"{id} {kind}, chunk_index int, text string")
+    return in_groups(elements, [id], "pos", one, ["kind", "text"], "chunk_index int, text string")
 
 
 def raw_text(elements: DataFrame, id: str = "page_id") -> DataFrame:

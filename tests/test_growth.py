@@ -58,3 +58,37 @@ def test_the_index_scores_shards_in_place(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(postings, "MAX_TOKENS", 50)  # long texts end a shard early
     postings.build(docs, f"file://{tmp_path}/b", id="doc_id", shard=16)
     assert found(postings.Index(spark, {"b": f"file://{tmp_path}/b"}).search(q, 5)) == plain(docs, q)
+
+
+def test_groups_go_through_python_as_a_stream(spark):
+    from siltstone.chunking import budget, sections
+
+    none = F.array().cast("array<string>")
+    rows = spark.range(3000).select((F.col("id") % 700).alias("doc_id"), F.col("id").alias("line"), F.concat_ws(" ", F.lit("word"), F.col("id")).alias("text"), none.alias("tables"), none.alias("images"))
+    got = budget.fitted(rows, ["doc_id"], "line", 8, 3, 0)
+    assert "MapInArrow" in plan_of(got) and "FlatMapGroups" not in plan_of(got)  # no call for each group
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # groups that lie in several batches
+    try:
+        made = {(r["doc_id"], r["chunk_index"]): r["text"] for r in got.collect()}
+        cut = sections.sections(rows.select("doc_id", F.col("line").alias("pos"), F.when(F.col("line") < 700, "title").otherwise("text").alias("kind"), "text"), 20, id="doc_id")
+        assert "FlatMapGroups" not in plan_of(cut)
+        parts = {(r["doc_id"], r["chunk_index"]): r["text"] for r in cut.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want, packed = {}, {}
+    for d in range(700):
+        own = [f"word {i}" for i in range(d, 3000, 700)]
+        want |= {(d, i): c[0] for i, c in enumerate(budget.fit([(t, [], []) for t in own], budget.words, 8, 3, 0))}
+        packed |= {(d, i): t for i, t in enumerate(sections.packed_sections([own], 20))}
+    assert made == want and parts == packed
+
+
+def test_texts_go_through_python_by_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    from siltstone.functions import runs
+
+    b = pa.RecordBatch.from_pydict({"t": ["aaaa", None, "bb", "c" * 50, "", "dd"]})
+    got = [r.column("t").to_pylist() for r in runs.text_runs(iter([b]), "t", 6)]
+    assert got == [["aaaa", None, "bb"], ["c" * 50], ["", "dd"]]
