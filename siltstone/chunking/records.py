@@ -8,10 +8,12 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.errors import CompletionError, UnsupportedProvider, told
+from siltstone.functions.runs import text_runs
 
 Complete = Callable[[str, str], str]
 #: Makes, once for each task, a completion.
@@ -106,17 +108,20 @@ def chunked(docs: DataFrame, prompt: str, complete: Complete | str, max_chars: i
     src = whole.withColumn("t", F.left("t", F.lit(max_chars)))
     make = provider(complete) if isinstance(complete, str) else lambda: complete
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = None
-        for b in batches:
+        for b in text_runs(batches, "t"):
             out = []
-            for i, part, t in zip(b[id], b["part"], b["t"], strict=True):
+            for at, t in enumerate(b.column("t").to_pylist()):
                 try:
                     call = call or make()
                     got = _rows(call(SYSTEM, f"{prompt}\n\nThe text:\n{t}"))
                 except Exception as e:  # the service's own errors become rows
                     got = [(None, None, None, told(CompletionError(str(e))))]
-                out += [(i, part, *r) for r in got]
-            yield pd.DataFrame(out, columns=[id, "part", "answer_index", "text", "metadata", "error"]).astype({"answer_index": "Int32"})
+                out += [(at, *r) for r in got]
+            at, *columns = zip(*out, strict=True) if out else [()] * 5
+            own = [b.column(c).take(pa.array(at, pa.int64())) for c in (id, "part")]
+            kinds = (pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, columns, kinds)], names=[id, "part", "answer_index", "text", "metadata", "error"])
 
-    return src.mapInPandas(run, f"{id} {src.schema[id].dataType.simpleString()}, part int, {_SCHEMA}")
+    return src.mapInArrow(run, f"{id} {src.schema[id].dataType.simpleString()}, part int, {_SCHEMA}")
