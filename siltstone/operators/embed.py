@@ -3,9 +3,11 @@
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ from siltstone.errors import UnsupportedProvider
 from siltstone.functions.text import tokens, word_count
 
 
+#: Tokens that are counted at once, about; words whose hashes a worker remembers.
+RUN_TOKENS, REMEMBERED = 500_000, 200_000
+
+
 @dataclass(frozen=True)
 class Embedder:
     """``load`` makes, once for each task, a function of a batch of texts to their vectors; or ``column`` is one."""
@@ -37,25 +43,33 @@ class Embedder:
 def hashing(dimension: int = 64) -> Embedder:
     """Signed token hashing, normalised: a deterministic stand-in, not a semantic model."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, int] = {}
 
-        def vector(own) -> list[float]:  # noqa: ANN001
-            v = np.zeros(dimension)
-            for t in own:
-                h = known.get(t)
-                if h is None:
-                    h = int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
-                    if len(known) < 1_000_000:
-                        known[t] = h
-                v[h // 2 % dimension] += 1.0 - 2.0 * (h % 2)
-            size = float(np.sqrt(v @ v))
-            return (v / size if size > 0 else v).tolist()
+        def hashed(word: str) -> int:
+            h = known.get(word)
+            if h is None:
+                h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+                if len(known) < REMEMBERED:
+                    known[word] = h
+            return h
+
+        def vectors(toks: pa.ListArray) -> np.ndarray:
+            doc = np.repeat(np.arange(len(toks)), np.asarray(toks.value_lengths()))
+            own = toks.flatten().dictionary_encode()
+            h = np.fromiter(map(hashed, own.dictionary.to_pylist()), np.int64, len(own.dictionary))[np.asarray(own.indices)]
+            v = np.bincount(doc * dimension + h // 2 % dimension, 1.0 - 2.0 * (h % 2), len(toks) * dimension).reshape(len(toks), dimension)
+            size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            return (v / np.where(size > 0, size, 1.0)).astype(np.float32)
 
         for s in batches:
-            yield s.map(vector)
+            # Runs bounded by tokens, not by rows.
+            cuts = np.flatnonzero(np.diff(np.cumsum(np.asarray(s.value_lengths())) // RUN_TOKENS)) + 1
+            made = [vectors(s.slice(a, b - a)) for a, b in pairwise([0, *cuts.tolist(), len(s)]) if b > a]
+            flat = np.concatenate([np.empty((0, dimension), np.float32), *made]).ravel()
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * dimension, pa.int32()), pa.array(flat))
 
-    each = F.pandas_udf(run, "array<float>")
+    each = F.arrow_udf(run, "array<float>")
     return Embedder(dimension, column=lambda c: each(tokens(c)))
 
 

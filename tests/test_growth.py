@@ -92,3 +92,13 @@ def test_texts_go_through_python_by_bytes(spark, monkeypatch):
     b = pa.RecordBatch.from_pydict({"t": ["aaaa", None, "bb", "c" * 50, "", "dd"]})
     got = [r.column("t").to_pylist() for r in runs.text_runs(iter([b]), "t", 6)]
     assert got == [["aaaa", None, "bb"], ["c" * 50], ["", "dd"]]
+
+
+def test_vectors_of_hashes_by_bounded_runs(spark, monkeypatch):
+    from siltstone.operators import embed
+
+    monkeypatch.setattr(embed, "RUN_TOKENS", 3)
+    monkeypatch.setattr(embed, "REMEMBERED", 2)
+    d = spark.createDataFrame([(1, "one two two"), (2, ""), (3, None), (4, "three four five six seven"), (5, "one two two")], "doc_id int, text string")
+    got = {r["doc_id"]: r["embedding"] for r in embed.embedded(d, embed.hashing(8)).collect()}
+    assert got[3] is None and got[2] == [0.0] * 8 and got[1] == got[5] and abs(sum(x * x for x in got[4]) - 1) < 1e-6
