@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from siltstone import errors
 from siltstone.functions import vectors as V
 from siltstone.functions.validate import check_top_k, check_vector
-from siltstone.operators.dense import DIGITS, MAX_QUERIES, finite, search_batch
+from siltstone.operators.dense import DIGITS, MAX_QUERIES, Best, finite, search_batch
 from siltstone.plans.joins import bounded, first_k, top_k
 from siltstone.sources.collections import Store
 
@@ -68,13 +68,22 @@ def spherical_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 42) ->
 
 
 def nearest_cells(x: np.ndarray, centroids: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cells, cosines) of the ``probes`` nearest centroids of each row, the nearest first; blocks bound what is held."""
+    """(cells, cosines) of the ``probes`` nearest centroids of each row, the nearest first; blocks bound what is held.
+
+    Only where many are asked for are all of a row's cosines sorted.
+    """
     probes = min(probes, len(centroids))
     step = max(1, 4_000_000 // len(centroids))
     cells, scores = [np.empty((0, probes), np.int64)], [np.empty((0, probes))]
     for at in range(0, len(x), step):
         s = x[at : at + step] @ centroids.T
-        order = np.argsort(-s, axis=1, kind="stable")[:, :probes]
+        if probes == 1:
+            order = s.argmax(axis=1)[:, None]
+        elif 4 * probes < s.shape[1]:
+            few = np.sort(np.argpartition(-s, probes - 1, axis=1)[:, :probes], axis=1)
+            order = np.take_along_axis(few, np.argsort(-np.take_along_axis(s, few, axis=1), axis=1, kind="stable"), axis=1)
+        else:
+            order = np.argsort(-s, axis=1, kind="stable")[:, :probes]
         cells.append(order)
         scores.append(np.take_along_axis(s, order, axis=1))
     return np.concatenate(cells), np.concatenate(scores)
@@ -210,6 +219,7 @@ class Index:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unit, ids, probing = shared.value
+            best = Best(k)  # of all cells that the task reads
             for b in batches:
                 own = np.asarray(b.column("cell"))
                 x = _unit(np.asarray(b.column("embedding").flatten()).reshape(b.num_rows, -1)) if b.num_rows else None
@@ -217,10 +227,8 @@ class Index:
                     rows, asked = np.flatnonzero(own == cell), np.array(probing.get(int(cell), []), np.int64)
                     for at in range(0, len(asked), max(1, 4_000_000 // max(1, len(rows)))):
                         part = asked[at : at + max(1, 4_000_000 // max(1, len(rows)))]
-                        s = np.round(unit[part] @ x[rows].T, DIGITS)
-                        keep = np.ones_like(s, bool) if len(rows) <= k else s >= np.partition(s, len(rows) - k, axis=1)[:, len(rows) - k, None]
-                        i, j = np.nonzero(keep)
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(part[i])), b.column("id").take(pa.array(rows[j])), pa.array(s[i, j])], names=["qid", "id", "score"])
+                        best.add(np.round(unit[part] @ x[rows].T, DIGITS), b.column("id").take(pa.array(rows)), part)
+            yield from best.rows(ids)
 
         src = self._cells().where(F.col("cell").isin(sorted(by))).select("id", "embedding", "cell")
         kind = lambda df, name: df.schema[name].dataType.simpleString()

@@ -102,3 +102,18 @@ def test_vectors_of_hashes_by_bounded_runs(spark, monkeypatch):
     d = spark.createDataFrame([(1, "one two two"), (2, ""), (3, None), (4, "three four five six seven"), (5, "one two two")], "doc_id int, text string")
     got = {r["doc_id"]: r["embedding"] for r in embed.embedded(d, embed.hashing(8)).collect()}
     assert got[3] is None and got[2] == [0.0] * 8 and got[1] == got[5] and abs(sum(x * x for x in got[4]) - 1) < 1e-6
+
+
+def test_a_task_passes_on_its_best_of_all_cells(spark, tmp_path):
+    from siltstone.operators import ivf
+
+    r = np.random.default_rng(1)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.standard_normal((400, 4)))], "id long, embedding array<double>")
+    index = ivf.Index(f"file://{tmp_path}/i", spark).build(d, cells=20)
+    q = d.where("id < 5").withColumnRenamed("id", "qid")
+    part = index._block(q.select("qid", F.col("embedding").alias("q")), 3, 20)
+    assert part.count() <= 5 * 3 * part.rdd.getNumPartitions()  # not k of every cell
+    s = r.standard_normal((30, 50))
+    for probes in (1, 2, 7, 20, 50):
+        cells, scores = ivf.nearest_cells(s, np.eye(50), probes)
+        assert (cells == np.argsort(-s, axis=1, kind="stable")[:, :probes]).all() and (np.diff(scores, axis=1) <= 0).all()
