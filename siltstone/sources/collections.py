@@ -50,8 +50,8 @@ SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()),
 ])
 COLUMNS = [f.name for f in SCHEMA]
-#: Rows of a file, about.
-ROWS_PER_FILE = 250_000
+#: Rows of a file, about, and bytes of its texts and vectors, about, whatever its rows are.
+ROWS_PER_FILE, BYTES_PER_FILE = 250_000, 128 << 20
 #: Bits of a bitmap row (what bitmap_construct_agg makes), bits of a Bloom filter for each row, and how many an id sets.
 BITS, BLOOM_BITS, BLOOM_HASHES = 32_768, 16, 5
 #: Ids are looked up through Bloom filters if there are at most so many; more are joined.
@@ -367,9 +367,10 @@ class Store:
         part = f"v{head['version'] + 1}-{uuid.uuid4().hex[:8]}"
         at = f"{self.path}/{head['name']}/{part}"
         shaped = written(self._shaped(rows, head))
-        n = shaped.count()
+        # Files are bounded by rows and by bytes, as rows may be long.
+        n, size = shaped.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text") + 4 * F.greatest(F.size("embedding"), F.lit(0))), F.lit(0))).first()
         order = [f"hot_{i}" for i in range(len(head["hot"]))] + ["id"]
-        shaped.repartitionByRange(max(1, -(-n // head["rows_per_file"])), *order).sortWithinPartitions(*order).write.parquet(f"{at}/rows")
+        shaped.repartitionByRange(max(1, -(-n // head["rows_per_file"]), -(-size // BYTES_PER_FILE)), *order).sortWithinPartitions(*order).write.parquet(f"{at}/rows")
         d = self.spark.read.schema(self._schema(head)).parquet(f"{at}/rows").select("id", "seq", *order[:-1], F.col("_metadata.file_name").alias("file"))
         zones = [f(F.col(c)).alias(f"{a}_{c[4:]}") for c in order[:-1] for f, a in ((F.min, "lo"), (F.max, "hi"))]
         files = d.groupBy("file").agg(F.count("*").alias("rows"), F.min("id").alias("id_lo"), F.max("id").alias("id_hi"), F.max("seq").alias("seq"), *zones)

@@ -117,3 +117,14 @@ def test_a_task_passes_on_its_best_of_all_cells(spark, tmp_path):
     for probes in (1, 2, 7, 20, 50):
         cells, scores = ivf.nearest_cells(s, np.eye(50), probes)
         assert (cells == np.argsort(-s, axis=1, kind="stable")[:, :probes]).all() and (np.diff(scores, axis=1) <= 0).all()
+
+
+def test_files_of_a_collection_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    from siltstone.sources import collections
+
+    monkeypatch.setattr(collections, "BYTES_PER_FILE", 10_000)
+    s = collections.Store(spark, f"file://{tmp_path}")
+    s.create("a", 2)
+    s.append("a", spark.range(50).select(F.col("id").cast("string").alias("id"), F.expr("repeat('x ', 500)").alias("text"), F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("embedding")))
+    d = s.table("a")
+    assert d.count() == 50 and len(d.inputFiles()) >= 4
