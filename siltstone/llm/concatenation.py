@@ -30,7 +30,7 @@ LENGTH = 2048
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words told to the tokenizer in one text; words that a worker remembers before it begins anew; text bytes that are split at once, about.
-JOINED, REMEMBERED, RUN = 64, 1_000_000, 8 << 20
+JOINED, REMEMBERED, RUN = 64, 250_000, 2 << 20
 
 
 @cache
