@@ -29,8 +29,8 @@ LENGTH = 2048
 #: The id after each document.
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words told to the tokenizer in one text; words that a worker remembers before it begins anew; text bytes that are split at once, about.
-JOINED, REMEMBERED, RUN = 64, 250_000, 2 << 20
+#: Words told to the tokenizer in one text; words of a generation, of which a worker remembers two; text bytes that are split at once, about.
+JOINED, REMEMBERED, RUN = 64, 200_000, 2 << 20
 
 
 @cache
@@ -50,17 +50,23 @@ class Ids:
     """Ids of runs of texts. The tokenizer never joins what white space parts, so that each distinct word is told to it once.
 
     ``known`` has the number of each word that has been met, ``flat`` the words' ids one after the other, ``ends`` where
-    those of each word end.
+    those of each word end. When they are many, they become the generation before (``old``) and new ones begin: words that
+    are met again pass on from it, so that only those that were not met for a whole generation are told anew.
     """
 
     def __init__(self, path: str | None):
         self.tokenizer = tokenizer(path)
-        self._forget()
+        self._begin()
+        self._age()
 
-    def _forget(self) -> None:
+    def _begin(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
 
+    def _age(self) -> None:
+        self.old = self.known, self.flat, self.ends
+        self._begin()
+
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each word): words are told in joined texts; where an id begins tells its word."""
         lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -75,16 +81,29 @@ class Ids:
         of = np.searchsorted(starts, np.concatenate(at), "right") - 1
         return np.array(ids, np.int32), np.bincount(of, minlength=len(words))
 
+    def _met(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``_encoded`` of words that this generation does not know, those of the one before from there."""
+        known, flat, ends = self.old
+        at = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        told = np.flatnonzero(at < 0)
+        if len(told) == len(words):
+            return self._encoded([w.decode() for w in words])
+        ids, n = self._encoded([words[i].decode() for i in told.tolist()]) if len(told) else (flat[:0], at[:0])
+        sizes, begins = ends[at + 1] - ends[at], ends[at]
+        sizes[told], begins[told] = n, len(flat) + np.cumsum(n) - n
+        place = np.arange(sizes.sum()) + np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
+        return np.concatenate([flat, ids])[place], sizes
+
     def _placed(self, words: pa.Array) -> np.ndarray:
         """The number of each word, once all are known."""
         if len(self.known) > REMEMBERED:
-            self._forget()
+            self._age()
         known, n = self.known, len(self.known)
-        at = np.fromiter(map(known.get, own := words.to_pylist(), repeat(-1)), np.int64, len(own))
+        at = np.fromiter(map(known.get, own := words.to_numpy(zero_copy_only=False).tolist(), repeat(-1)), np.int64, len(own))
         new = np.flatnonzero(at < 0)
         if len(new):
             unmet = [own[i] for i in new.tolist()]
-            ids, sizes = self._encoded([w.decode() for w in unmet])
+            ids, sizes = self._met(unmet)
             known.update(zip(unmet, range(n, n + len(new)), strict=True))
             self.flat, self.ends = np.concatenate([self.flat, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
             at[new] = np.arange(n, n + len(new))

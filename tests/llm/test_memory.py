@@ -18,3 +18,18 @@ def test_a_run_of_texts_is_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100e6
+
+
+def test_words_met_again_are_not_told_again(monkeypatch):
+    """A frequent word stays known while others come and go, and ids are those of whole texts."""
+    monkeypatch.setattr(concatenation, "REMEMBERED", 50)
+    ids, told = concatenation.Ids(None), []
+    encoded = ids._encoded
+    monkeypatch.setattr(ids, "_encoded", lambda words: told.extend(words) or encoded(words))
+    for r in range(12):
+        texts = [f"The café {r}{i}x rare{r}-{i}, again" for i in range(20)]
+        flat, n = ids.of(pa.array([*texts, None]))
+        whole = [[*ids.tokenizer.encode(t, add_special_tokens=False).ids, concatenation.END] for t in [*texts, ""]]
+        assert flat.tolist() == [x for w in whole for x in w] and n.tolist() == list(map(len, whole))
+        assert len(ids.known) <= 50 + 43
+    assert told.count("The") == told.count("café") == told.count("again") == 1
