@@ -22,19 +22,21 @@ def floor(fused: DataFrame, min_score: float) -> DataFrame:
     return fused.withColumn("b_best", best).where(ok).drop("b_best")
 
 
-def search(docs: DataFrame, queries: DataFrame, top_k: int = 10, filters: Mapping[str, Any] | None = None, min_score: float | None = None, config: SearchConfig | None = None, scorer: rerank.Scorer | None = None, metadata: str | None = None, index: postings.Index | None = None) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, top_k: int = 10, filters: Mapping[str, Any] | None = None, min_score: float | None = None, config: SearchConfig | None = None, scorer: rerank.Scorer | None = None, metadata: str | None = None, index: postings.Index | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """(qid, id, rank, rrf, v_rank, b_rank, v_score, b_score [, rerank]): the ``top_k`` best of every query.
 
     docs: (id, text, embedding ...); documents without an embedding take part in the keyword leg. queries:
     (qid, query, embedding). Filters come first, so that keyword statistics are of the filtered set; texts
     are joined only where a reranker needs them. The floor applies before the final cut. ``index``: a keyword index of
-    ``docs`` that is used where there are no filters.
+    ``docs`` that is used where there are no filters. ``vectors``: (id, embedding) where embeddings are in a table of their
+    own, so that they meet the documents' ids and no texts.
     """
     cfg = config or SearchConfig()
     check_top_k(top_k, cfg.max_top_k)
     pool = cfg.candidates(top_k)
     d = filtered(docs, filters, metadata)
-    v = dense.search_batch(d, queries, pool, id="id", vector="embedding", qid="qid", query="embedding")
+    rows = d if vectors is None else d.select("id").join(vectors.select("id", "embedding"), "id")
+    v = dense.search_batch(rows, queries, pool, id="id", vector="embedding", qid="qid", query="embedding")
     b = index.search(queries, pool, cfg.k1, cfg.b) if index is not None and not filters else bm25.search(d, queries, pool, cfg.k1, cfg.b, id="id", text="text", qid="qid", query="query")
     out = fusion.fused(v, b, cfg.rrf_k, (cfg.vector_weight, cfg.bm25_weight))
     if scorer is not None or cfg.rerank:

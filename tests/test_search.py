@@ -111,3 +111,53 @@ def test_codes_as_text_have_no_line_breaks(spark):
     text = exported(d)
     assert {r["id"]: r["codes"] for r in text.collect()} == {1: base64.b64encode(long).decode(), 2: "", 3: None}
     assert {r["id"]: r["codes"] for r in imported(text).collect()} == {1: long, 2: b"", 3: None}
+
+
+def test_tokens_in_python_are_those_of_spark(spark):
+    """Every character up to U+0250 and some beyond, alone, in words and in texts of one kind."""
+    from siltstone.operators import bm25
+
+    chars = [chr(c) for c in [*range(1, 0x250), 0x307, 0x3A3, 0x2014, 0x4E2D, 0x660, 0x1F600, 0x10400, 0x2C65, 0xFFFD]]
+    texts = [None, "", " ", "I\u0130I \u00cf\u00df\u0178", "\u00c9T\u00c9_1\u00d7\u00f72 \u00aa\u00ba \u00b2\u00bd a\u0301b"]
+    texts += [f"Ab{c}{c}C {c} {c}x" for c in chars] + ["".join(chars[i : i + 40]) for i in range(0, len(chars), 40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = bm25.parted(docs)
+    assert rows.where("toks is null").count() > 300  # most go the new way
+    found = rows.mapInArrow(bm25.token_batches, "id long, toks array<string>, dl int").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, bm25.tokenized(docs).collect()))
+
+
+def test_texts_are_not_shuffled_to_meet_vectors(spark, monkeypatch):
+    """The keyword leg reads texts without a join, and a rerank joins those of its pool only, also where small tables are not broadcast."""
+    from siltstone.operators import bm25
+    from siltstone.plans import queries
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    search, seen = bm25.search, []
+    monkeypatch.setattr(bm25, "search", lambda docs, *a, **b: seen.append(plan(docs)) or search(docs, *a, **b))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = plan(queries.QUERIES["hybrid_rerank"](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert seen and not any("Join" in p for p in seen)
+    assert "BroadcastHashJoin [doc_id" in found and "LeftSemi" in found
+
+
+def test_passages_are_found_where_texts_are_read(spark):
+    """Against a plain search, with odd white space, words cut at either end, anchors in common and repeated items."""
+    import itertools
+
+    from siltstone.operators import evaluate
+
+    texts = ["a b c d e f g h i j k", "xa b c d e f g h i jk", "a b c d e f g h X j", "\u00a0a  b\tc d", "a b\u2003c d e", None, "", "b c", "a b c d e f g h i j l a b c d e f g h i j k"]
+    passages = ["a b c d e f g h i j", "a b c d e f g h i j k", "b c d", " b c", "a  b\tc", "c d e f g h i j", "b", "b c", None, "  ", "a b c d e f g h i j l", "z z z", "a b\u2003c"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "item long, text string")
+    asked = spark.createDataFrame([(i, p) for i, p in enumerate(passages)] + [(None, "b c d")], "qid long, passage string")
+    want = {(q, i) for (i, t), (q, p) in itertools.product(enumerate(texts), [*enumerate(passages), (None, "b c d")]) if t is not None and p is not None and p.strip(" ") and p in t}
+    got = list(map(tuple, evaluate.containing(docs, asked).collect()))
+    assert len(got) == len(set(got)) and set(got) == want
+    assert evaluate.containing(docs, asked.where("false")).count() == 0
+    one = evaluate.containing(docs, asked.where("qid = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in one and "Join" not in one  # no row for a run of words, no text meets its candidates again
