@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from siltstone.errors import UnsupportedProvider
 from siltstone.functions.text import tokens
+from siltstone.plans.joins import bounded
+from siltstone.plans.scratch import written
 
 Scorer = Callable[[Column, Column], Column]
 
@@ -44,8 +46,8 @@ def scorer(name: str) -> Scorer:
 
 def reranked(pool: DataFrame, texts: DataFrame, queries: DataFrame, candidates: int, score: Scorer = lexical) -> DataFrame:
     """``pool`` (qid, id, rank ...) cut to ``candidates``, ordered anew by score; unscored rows last, ties as they were."""
-    cut = pool.where(F.col("rank") <= candidates)
-    t = texts.select("id", F.col("text").alias("__text"))
+    cut = written(pool.where(F.col("rank") <= candidates))  # its ids are counted, and only their texts are shuffled
+    t = texts.select("id", F.col("text").alias("__text")).join(bounded(cut.select("id").distinct()), "id", "left_semi")
     q = queries.select("qid", F.col("query").alias("__query"))
     d = cut.join(t, "id", "left").join(q, "qid").withColumn("rerank", score(F.col("__query"), F.col("__text")))
     w = Window.partitionBy("qid").orderBy(F.desc_nulls_last("rerank"), F.col("rank"))
