@@ -2,9 +2,10 @@
 
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 
-from siltstone.llm import concatenation
+from siltstone.llm import concatenation, language
 from siltstone.llm.common import byte_runs
 
 
@@ -33,3 +34,15 @@ def test_words_met_again_are_not_told_again(monkeypatch):
         assert flat.tolist() == [x for w in whole for x in w] and n.tolist() == list(map(len, whole))
         assert len(ids.known) <= 50 + 43
     assert told.count("The") == told.count("café") == told.count("again") == 1
+
+
+def test_hashes_and_orders_are_plain_ones():
+    """Seven bytes of each hash as copied one by one, the stable order by bucket also beyond sixteen bits, words as bytes."""
+    h = language._hashes([b"a", b"", b"\xc3\xa9"] * 400)
+    packed = language._seven(h)
+    assert packed == b"".join(int(x).to_bytes(7, "little") for x in h)
+    assert (language._eight(pa.array([packed[:7], b"", packed[7:]], pa.binary())) == h).all()
+    for buckets in (1, 50, 1 << 16, 1 << 17):
+        bucket = (h % np.uint64(buckets)).astype(np.int64)
+        assert language._order(bucket, buckets).tolist() == sorted(range(len(h)), key=bucket.tolist().__getitem__)
+    assert language._list(pa.array([b"x", b"\xff", b""], pa.binary()).dictionary_encode().dictionary) == [b"x", b"\xff", b""]
