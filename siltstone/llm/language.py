@@ -12,16 +12,18 @@ Random numbers come from hashes of dish and sweep, so that tasks may be run agai
 Nothing is held whole by a task or the driver. A narrow pass encodes the texts in chunks of bounded bytes, dealt by
 their place in the input: a chunk has its distinct words, and its tokens by number. Its distinct words, and its
 distinct pairs of neighbouring words, go to buckets by hash, packed, so that no word makes a bucket larger than another,
-and a bucket adds them up. A pair that occurs once has one table whatever is sampled, so only pairs that occur twice or
-more are rows that the sweeps go through, joined by hash to what the state knows of their two words; with c(w)
-customers in all, a word's tables are c(w) less the customers beyond each dish's tables in those rows. In the end the
-buckets answer the chunks in the order of their questions, and a chunk adds up the scores of its documents.
+and a bucket adds them up. A pair that occurs once has one table whatever is sampled, so the sweeps go through pairs that
+occur twice or more, bucket by bucket; with c(w) customers in all, a word's tables are c(w) less the customers beyond each
+dish's tables in those pairs. A bucket of pairs tells the buckets of words so much for each of its distinct words, packed,
+and is answered what is known of them: what is shuffled is a word for each bucket that has it, not two for each pair. In
+the end the buckets answer the chunks in the order of their questions, and a chunk adds up the scores of its documents.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ FOLDS = 10
 BURN, KEEP = 1, 2
 #: Text bytes of a chunk, and for each bucket of pairs and of words, about.
 CHUNK_BYTES, BUCKET_BYTES, WORD_BUCKET_BYTES = 6 << 20, 4 << 20, 12 << 20
+#: Neighbouring buckets of words that are seated together, so that pairs have fewer of them to tell.
+STATE_BUCKETS = 4
 #: Strengths of the restaurants of preceding words and of the root.
 STRENGTH, ROOT_STRENGTH = 2.0, 10.0
 #: The end of a text as a dish, its start as a context: neither can be a word.
@@ -259,8 +263,8 @@ def _replied(t: pa.Table, ref: np.ndarray, sizes: list[int], **found) -> pa.Tabl
 
 
 def _added_words(asked: DataFrame) -> DataFrame:
-    """(p, chunk, refs, h, c, once): the answers' references; of the bucket's words that occur twice or more the hashes and
-    counts, and how many occur once."""
+    """(p, chunk, refs, h, c, once, many, customers, ends): the answers' references; of the bucket's words that occur twice or
+    more the hashes and counts; how many occur once or more often, the customers of these and among them the ends."""
 
     def work(t: pa.Table) -> pa.Table:
         parts = [x.split(b" ") for x in t.column("words").to_pylist()]
@@ -273,37 +277,25 @@ def _added_words(asked: DataFrame) -> DataFrame:
         again = np.ones(len(h), bool)
         again[np.unique(h, return_index=True)[1]] = False
         h[again] |= np.uint64(1 << 60)
-        return _replied(t, _places(total)[of], list(map(len, parts)), h=h.tobytes(), c=total[often].tobytes(), once=int((total == 1).sum()))
+        c = total[often]
+        found = {"once": (total == 1).sum(), "many": len(c), "customers": c.sum(), "ends": c[h == np.uint64(_hash(_END))].sum()}
+        return _replied(t, _places(total)[of], list(map(len, parts)), h=h.tobytes(), c=c.tobytes(), **{k: int(v) for k, v in found.items()})
 
-    return asked.groupBy("p").applyInArrow(work, "p long, chunk long, refs binary, h binary, c binary, once long")
+    return asked.groupBy("p").applyInArrow(work, "p long, chunk long, refs binary, h binary, c binary, once long, many long, customers long, ends long")
 
 
 def _added_pairs(asked: DataFrame) -> DataFrame:
-    """(p, chunk, refs, u, w, n): the answers' references; of the bucket's pairs that occur twice or more the words and counts."""
+    """(p, chunk, refs, u, w, n, often, twice): the answers' references; of the bucket's pairs that occur twice or more the
+    words and counts, their customers, and how many occur twice."""
 
     def work(t: pa.Table) -> pa.Table:
         u, w = _eight(t.column("u")), _eight(t.column("w"))
         _, first, of = np.unique(_pair(u, w), return_index=True, return_inverse=True)
         total = np.bincount(of, _counts(t), minlength=len(first)).astype(np.int64)
         often = first[total > 1]
-        return _replied(t, _places(total)[of], [len(x) // 7 for x in t.column("u").to_pylist()], u=u[often].tobytes(), w=w[often].tobytes(), n=total[total > 1].tobytes())
+        return _replied(t, _places(total)[of], [len(x) // 7 for x in t.column("u").to_pylist()], u=u[often].tobytes(), w=w[often].tobytes(), n=total[total > 1].tobytes(), often=int(total[total > 1].sum()), twice=int((total == 2).sum()))
 
-    return asked.groupBy("p").applyInArrow(work, "p long, chunk long, refs binary, u binary, w binary, n binary")
-
-
-def _spread(added: DataFrame, columns: list[str]) -> DataFrame:
-    """(p, k, columns ...): a row for each word or pair that occurs twice or more."""
-
-    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for row in b.to_pylist():
-            own = [np.frombuffer(row[c], np.int64) for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own[0]), row["p"])), pa.array(np.arange(len(own[0]), dtype=np.int32)), *map(pa.array, own)], names=["p", "k", *columns])
-
-    return map_rows(added.where("chunk is null").select("p", *columns), run, "p long, k int" + "".join(f", {c} long" for c in columns))
-
-
-#: A pair: its words, customers, tables (one at first), and the tables of the states that are averaged, added up.
-_ROW = "u long, w long, n long, t long, kept long"
+    return asked.groupBy("p").applyInArrow(work, "p long, chunk long, refs binary, u binary, w binary, n binary, often long, twice long")
 
 
 # ---- the state --------------------------------------------------------------------------------
@@ -324,80 +316,143 @@ class Numbers:
         return (customers - self.root_d * tables + self.fresh) / (ROOT_STRENGTH + self.customers)
 
 
-def _restaurants(known: DataFrame, rows: DataFrame) -> DataFrame:
-    """(p, k, h, c, seats, cp, tables): of each word its customers at the root, and the tables of its own restaurant."""
-    less = (F.col("n") - F.col("t")).alias("less")
-    each = rows.select(F.col("u").alias("h"), less, F.lit(0).alias("side")).union(rows.select(F.col("w").alias("h"), less, F.lit(1).alias("side"))).where("less > 0")
-    at = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("less"))), F.lit(0))
-    sums = each.groupBy("h").agg(at(0).alias("own"), at(1).alias("root"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    # No word has fewer than one customer or table: hashes that words share are bounded so.
-    left = lambda c, less: F.greatest(F.least(F.col(c), F.lit(1)), F.col(c) - zero(less))
-    return known.join(sums, "h", "left").select("p", "k", "h", "c", "seats", left("c", "root").alias("cp"), left("seats", "own").alias("tables"))
+def _joined(t: pa.Table, column: str) -> np.ndarray:
+    """The whole numbers of all rows that are not null."""
+    return np.frombuffer(b"".join(x for x in t.column(column).to_pylist() if x), np.int64)
 
 
-def _seated_root(states: DataFrame, numbers: Numbers, salt: int) -> DataFrame:
-    """``states`` with t, the root's tables of each word."""
-    fresh, d = numbers.fresh, numbers.root_d
+def _home(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The state bucket that knows each word; the start of a text is by itself."""
+    return np.where(h == _hash(_START), -1, (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64) // STATE_BUCKETS)
 
-    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        cp = np.asarray(b.column("cp"))
-        t = seat(cp, np.full(len(cp), fresh), d, np.asarray(b.column("h")).view(np.uint64), salt)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t.astype(np.int64))], names=[*b.schema.names, "t"])
 
-    return map_rows(states, run, "p long, k int, h long, c long, seats long, cp long, tables long, t long")
+def _own_words(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words, by state bucket, and which of them each is."""
+    own, of = np.unique(h, return_inverse=True)
+    order = np.argsort(_home(own, buckets), kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return own[order], place[of]
+
 
+#: A bucket's pairs (g is null): their distinct preceding and following words, for each pair which of these it has, its
+#: customers, tables, and the tables of the states that are averaged, added up; or what it tells state bucket g: words,
+#: and the customers beyond the tables in their own restaurant and as dishes.
+_PAIRS = {"p": pa.int64(), "g": pa.int64(), **dict.fromkeys(("hu", "hw", "u", "w", "n", "t", "kept", "own", "root"), pa.binary())}
+_PAIRS_SCHEMA = "p long, g long, hu binary, hw binary, u binary, w binary, n binary, t binary, kept binary, own binary, root binary"
 
-def _likely(rows: DataFrame, state: DataFrame, numbers: Numbers) -> DataFrame:
-    """``rows`` with f, the weight of a new table, and ll, the log-likelihood of their customers."""
-    own = state.select(F.col("h").alias("u"), "seats", (STRENGTH + numbers.d * F.col("tables")).alias("new"))
-    dish = state.select(F.col("h").alias("w"), numbers.root(F.col("cp"), F.col("t")).alias("q"))
-    # A partition of the state is small, so that the rows need not be sorted; hot words are split by adaptive execution.
-    out = rows.join(own.hint("shuffle_hash"), "u").join(dish.hint("shuffle_hash"), "w").withColumn("f", F.col("new") * F.col("q"))
-    return out.withColumn("ll", F.col("n") * F.log10((F.col("n") - numbers.d * F.col("t") + F.col("f")) / (STRENGTH + F.col("seats"))))
 
+def _with_told(p: int, hu: np.ndarray, hw: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, t: np.ndarray, kept: np.ndarray, buckets: int) -> pa.Table:
+    """The row of a bucket's pairs and what it tells."""
+    out = [{"p": p, "hu": hu.tobytes(), "hw": hw.tobytes(), "u": u.tobytes(), "w": w.tobytes(), "n": n.tobytes(), "t": t.tobytes(), "kept": kept.tobytes()}]
+    own, root = (np.bincount(of, n - t, minlength=len(h)).astype(np.int64) for of, h in ((u, hu), (w, hw)))
+    gu, gw = _home(hu, buckets), _home(hw, buckets)
+    homes = np.union1d(gu, gw)
+    cuts = [np.searchsorted(x, homes, side).tolist() for x in (gu, gw) for side in ("left", "right")]
+    for g, a, b, c, e in zip(homes.tolist(), *cuts, strict=True):
+        out.append({"p": p, "g": g, "hu": hu[a:b].tobytes(), "own": own[a:b].tobytes(), "hw": hw[c:e].tobytes(), "root": root[c:e].tobytes()})
+    return pa.Table.from_pylist(out, pa.schema(_PAIRS))
 
-def _sweep(rows: DataFrame, state: DataFrame, numbers: Numbers, salt: int, keep: bool) -> DataFrame:
-    """``rows`` seated anew; the tables that they had are added to what is kept, or not."""
-    src = _likely(rows, state, numbers).select("u", "w", "n", "f", (F.col("kept") + (F.col("t") if keep else 0)).alias("kept"))
+
+def _first(pairs: DataFrame, buckets: int) -> DataFrame:
+    """Each bucket's pairs with one table each, and what it tells."""
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        u, w, n, f = (np.asarray(b.column(c)) for c in ("u", "w", "n", "f"))
-        t = seat(n, f, numbers.d, _pair(u.view(np.uint64), w.view(np.uint64)), salt)
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("u", "w", "n")), pa.array(t.astype(np.int64)), b.column("kept")], names=["u", "w", "n", "t", "kept"])
+        for row in b.to_pylist():
+            u, w, n = (np.frombuffer(row[c], np.int64) for c in ("u", "w", "n"))
+            (hu, u), (hw, w) = _own_words(u, buckets), _own_words(w, buckets)
+            yield from _with_told(row["p"], hu, hw, u, w, n, np.minimum(n, 1), np.zeros(len(n), np.int64), buckets).combine_chunks().to_batches()
 
-    return map_rows(src, run, _ROW)
+    return map_rows(pairs.where("chunk is null").select("p", "u", "w", "n"), run, _PAIRS_SCHEMA)
 
 
-def _answers(added: DataFrame, rows: DataFrame, values: list[str], once: list[float], never: list[float], kind: str) -> DataFrame:
+def _seated(known: DataFrame, pairs: DataFrame, numbers: Numbers, ends: int, salt: int) -> DataFrame:
+    """The restaurants of all words, and the root seated anew.
+
+    By bucket of words s: c, their customers at the root, its tables, the tables and customers of their own restaurants;
+    and sums. By bucket of pairs p (and g): for its preceding words the last two of these, for the following ones those
+    of the root.
+    """
+    fresh, d = numbers.fresh, numbers.root_d
+    packed = ("c", "cp", "t", "tables", "seats")
+    sums = ("customers", "seated", "one", "two")
+    schema = pa.schema({**dict.fromkeys(("s", "p", "g"), pa.int64()), **dict.fromkeys(packed, pa.binary()), **dict.fromkeys(sums, pa.int64())})
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("s")
+        h, c = _joined(left, "h"), _joined(left, "c")
+        seats = np.where(h == _hash(_END), 0, np.where(h == _hash(_START), ends, c))
+        order = np.argsort(h, kind="stable")
+        at = {x: order[np.searchsorted(h[order], _joined(right, x))] for x in ("hu", "hw")}
+        less = {x: np.bincount(at[x], _joined(right, y), minlength=len(h)).astype(np.int64) for x, y in (("hu", "own"), ("hw", "root"))}
+        # No word has fewer than one customer or table: hashes that words share are bounded so.
+        cp, tables = np.maximum(np.minimum(c, 1), c - less["hw"]), np.maximum(np.minimum(seats, 1), seats - less["hu"])
+        t = seat(cp, np.full(len(cp), fresh), d, h.view(np.uint64), salt).astype(np.int64)
+        out, a = [], 0
+        for s, own in zip(left.column("s").to_pylist(), left.column("h").to_pylist(), strict=True):
+            x = slice(a, a := a + len(own) // 8)
+            out.append({"s": s, **{k: v[x].tobytes() for k, v in zip(packed, (c, cp, t, tables, seats), strict=True)}})
+            out[-1] |= {"customers": int(cp[x].sum()), "seated": int(t[x].sum()), "one": int((cp[x] == 1).sum()), "two": int((cp[x] == 2).sum())}
+        i = j = 0
+        for p, g, hu, hw in zip(*(right.column(k).to_pylist() for k in ("p", "g", "hu", "hw")), strict=True):
+            u, w = at["hu"][i : (i := i + len(hu) // 8)], at["hw"][j : (j := j + len(hw) // 8)]
+            out.append({"p": p, "g": g, "cp": cp[w].tobytes(), "t": t[w].tobytes(), "tables": tables[u].tobytes(), "seats": seats[u].tobytes()})
+        return pa.Table.from_pylist(out, schema)
+
+    told = pairs.where("g is not null").select("p", "g", "hu", "hw", "own", "root")
+    kinds = ", ".join([f"{k} long" for k in ("s", "p", "g")] + [f"{k} binary" for k in packed] + [f"{k} long" for k in sums])
+    return known.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(work, kinds)
+
+
+def _answered(pairs: DataFrame, state: DataFrame):
+    """Each bucket's pairs beside what the state answers."""
+    return pairs.where("g is null").groupBy("p").cogroup(state.where("p is not null").select("p", "g", "cp", "t", "tables", "seats").groupBy("p"))
+
+
+def _weights(left: pa.Table, right: pa.Table, numbers: Numbers) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """A bucket's pairs, the weight of a new table of each, and the customers in its restaurant."""
+    row, right = left.to_pylist()[0], right.sort_by("g")
+    own = {k: np.frombuffer(row[k], np.int32 if k in ("u", "w") else np.int64) for k in ("hu", "hw", "u", "w", "n", "t", "kept")}
+    new = STRENGTH + numbers.d * _joined(right, "tables")
+    return own, new[own["u"]] * numbers.root(_joined(right, "cp"), _joined(right, "t"))[own["w"]], _joined(right, "seats")[own["u"]]
+
+
+def _likelihood(pairs: DataFrame, state: DataFrame, numbers: Numbers) -> float:
+    """The log-likelihood of the customers of all pairs."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, f, seats = _weights(left, right, numbers)
+        return pa.table({"ll": [float((own["n"] * np.log10((own["n"] - numbers.d * own["t"] + f) / (STRENGTH + seats))).sum())]})
+
+    return _answered(pairs, state).applyInArrow(work, "ll double").agg(F.sum("ll")).first()[0]
+
+
+def _sweep(pairs: DataFrame, state: DataFrame, numbers: Numbers, salt: int, keep: bool, buckets: int) -> DataFrame:
+    """``pairs`` seated anew; the tables that they had are added to what is kept, or not."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, f, _ = _weights(left, right, numbers)
+        hu, hw, u, w, n = (own[k] for k in ("hu", "hw", "u", "w", "n"))
+        t = seat(n, f, numbers.d, _pair(hu.view(np.uint64)[u], hw.view(np.uint64)[w]), salt).astype(np.int64)
+        return _with_told(left.column("p")[0].as_py(), hu, hw, u, w, n, t, own["kept"] + (own["t"] if keep else 0), buckets)
+
+    return _answered(pairs, state).applyInArrow(work, _PAIRS_SCHEMA)
+
+
+def _answers(added: DataFrame, found: DataFrame, values: Callable[[pa.Table], list[np.ndarray]], once: list[float], never: list[float], kind: str) -> DataFrame:
     """(of, kind, at, m): for each question, by bucket, the ``values`` of what it asks for, as packed floats.
 
-    ``rows``: (p, k ...), k the place in the bucket, or its order.
+    ``values``: of what ``found`` has of a bucket, by the place there.
     """
     rest = np.array([never, once], np.float32)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = np.zeros((right.num_rows + 2, len(values)), np.float32)
-        own[-2:] = rest
-        right = right.sort_by("k")
-        for i, v in enumerate(values):
-            own[:-2, i] = np.asarray(right.column(v))
+        own = np.concatenate([np.column_stack(values(right)).astype(np.float32), rest])
         m = [own[np.frombuffer(x, np.int32)].tobytes() for x in left.column("refs").to_pylist()]
         return pa.table({"of": left.column("chunk"), "kind": pa.array([kind] * len(m), pa.string()), "at": left.column("p"), "m": pa.array(m, pa.binary())})
 
     asked = added.where("chunk is not null").select("p", "chunk", "refs")
-    return asked.groupBy("p").cogroup(rows.select("p", "k", *values).groupBy("p")).applyInArrow(work, "of long, kind string, at long, m binary")
-
-
-def _placed(rows: DataFrame, d: float, buckets: int) -> DataFrame:
-    """(p, k, m): the bucket of each pair, its order there, and what it has beyond its parent's share in all kept states."""
-
-    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        key = _pair(np.asarray(b.column("u")).view(np.uint64), np.asarray(b.column("w")).view(np.uint64))
-        m = KEEP * np.asarray(b.column("n")) - d * (np.asarray(b.column("kept")) + np.asarray(b.column("t")))
-        yield pa.RecordBatch.from_arrays([pa.array((key % np.uint64(buckets)).astype(np.int64)), pa.array((key ^ np.uint64(1 << 63)).view(np.int64)), pa.array(m.astype(np.float32))], names=["p", "k", "m"])
-
-    return map_rows(rows, run, "p long, k long, m float")
+    return asked.groupBy("p").cogroup(found.groupBy("p")).applyInArrow(work, "of long, kind string, at long, m binary")
 
 
 def scored(spark: SparkSession, docs: DataFrame, trace: list[float] | None = None) -> DataFrame:
@@ -412,55 +467,57 @@ def scored(spark: SparkSession, docs: DataFrame, trace: list[float] | None = Non
         size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
         buckets, word_buckets = max(1, -(-size // BUCKET_BYTES)), max(1, -(-size // WORD_BUCKET_BYTES))
         chunks = s.table(_encoded(docs, word_buckets), block=_BLOCK)
-        pairs = s.table(_added_pairs(_asked_pairs(chunks, buckets)), settings=_FEW)
-        rows = s.table(_spread(pairs, ["u", "w", "n"]).select("u", "w", "n", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("kept")), settings=_FEW)
-        words = s.table(_added_words(_asked_words(chunks)))
+        asked = s.table(_added_pairs(_asked_pairs(chunks, buckets)), settings=_FEW)
+        pairs = s.table(_first(asked, word_buckets), settings=_FEW)
+        words = s.table(_added_words(_asked_words(chunks)), settings=_FEW)
         # Words that occur once have one table each; the start of a text is a context that is no dish.
-        known = _spread(words, ["h", "c"]).select("*", F.when(F.col("h") == _hash(_END), 0).otherwise(F.col("c")).alias("seats"))
-        known = s.table(known, settings=_FEW)
-        once = words.agg(F.sum("once")).first()[0] or 0
+        once, n, customers, ends = (x or 0 for x in words.agg(*(F.sum(c) for c in ("once", "many", "customers", "ends"))).first())
         # One training document ends once, and is not among the known words then.
-        n, customers, ends = known.agg(F.count("*"), F.sum("c"), F.max(F.when(F.col("h") == _hash(_END), F.col("c")))).first()
-        total, distinct = (customers or 0) + once, n + once
+        total, distinct = customers + once, n + once
         ends = ends or int(total > 0)
-        begin = spark.range(1).select(F.lit(-1).cast("long").alias("p"), F.lit(0).alias("k"), F.lit(_hash(_START)).alias("h"), F.lit(0).cast("long").alias("c"), F.lit(ends).cast("long").alias("seats"))
-        known = known.unionByName(begin)
-        often, twice = rows.agg(F.sum("n"), F.count_if(F.col("n") == 2)).first()
-        d, values, kept = discount(total - (often or 0), twice), None, []
+        begin = spark.range(1).select(F.lit(-1).cast("long").alias("s"), F.lit(np.int64(_hash(_START)).tobytes()).alias("h"), F.lit(np.int64(0).tobytes()).alias("c"))
+        known = words.where("chunk is null").select(F.col("p").alias("s"), "h", "c").union(begin).withColumn("g", F.floor(F.col("s") / STATE_BUCKETS))
+        often, twice = (x or 0 for x in asked.agg(F.sum("often"), F.sum("twice")).first())
+        d, kept = discount(total - often, twice), []
         # The first state seats one table for each dish of a restaurant; it tells the root's discount.
-        states = s.table(_restaurants(known, rows))
-        one, two = states.agg(F.count_if(F.col("cp") == 1), F.count_if(F.col("cp") == 2)).first()
+        numbers = Numbers(distinct, d, 0.0, 0, distinct)
+        one, two = (x or 0 for x in _seated(known, pairs, numbers, ends, 0).agg(F.sum("one"), F.sum("two")).first())
         numbers = Numbers(distinct, d, discount(once + one, two), 0, distinct)
         for sweep in range(BURN + KEEP + 1):
-            state = s.table(_seated_root(_restaurants(known, rows) if sweep else states, numbers, 7919 * sweep))
-            customers, tables = state.agg(F.sum("cp"), F.sum("t")).first()
+            state = s.table(_seated(known, pairs, numbers, ends, 7919 * sweep))
+            customers, tables = state.agg(F.sum("customers"), F.sum("seated")).first()
             numbers = Numbers(distinct, d, numbers.root_d, (customers or 0) + once, (tables or 0) + once)
             if trace is not None and often:
-                trace.append(_likely(rows, state, numbers).agg(F.sum("ll")).first()[0] / often)
+                trace.append(_likelihood(pairs, state, numbers) / often)
             if sweep > BURN:  # this state's seats are averaged
-                i = len(kept)
-                kept.append(numbers)
-                own = state.select("h", numbers.root(F.col("cp"), F.col("t")).alias(f"q{i}"), ((STRENGTH + d * F.col("tables")) / (STRENGTH + F.col("seats"))).alias(f"b{i}"))
-                new = s.table(state.select("p", "k", "h", "c").join(own, "h") if values is None else values.join(own, "h"))
-                if values is not None:
-                    s.drop(values)
-                values = new
+                kept.append((numbers, state))
             if len(kept) < KEEP:
-                new = s.table(_sweep(rows, state, numbers, 104_729 * (sweep + 1), sweep > BURN))
-                s.drop(rows)
-                rows = new
-            s.drop(state)
-        each = range(KEEP)
-        begin = values.where("p = -1").first()
-        start = np.array([ends, *(x for i in each for x in (0.0, begin[f"b{i}"]))])
-        names = [*(x for i in each for x in (f"q{i}", f"b{i}"))]
-        seen = [x for i in each for x in (kept[i].root(1, 1), (STRENGTH + d) / (STRENGTH + 1))]
-        new = [x for i in each for x in (kept[i].root(0, 0), 1.0)]
-        # Counts are whole numbers, in two parts that floats hold exactly.
-        low, high = F.col("c").bitwiseAND(F.lit(0xFFFFFF)).alias("low"), F.shiftright("c", 24).alias("high")
-        told = _answers(words, values.where("p >= 0").select("p", "k", low, high, *names), ["low", "high", *names], [1.0, 0.0, *seen], [0.0, 0.0, *new], "word")
-        told = s.table(told.union(_answers(pairs, _placed(rows, d, buckets), ["m"], [KEEP * (1 - d)], [0.0], "pair")))
-        for used in (words, pairs, rows, values):
+                new = s.table(_sweep(pairs, state, numbers, 104_729 * (sweep + 1), sweep > BURN, word_buckets))
+                s.drop(pairs)
+                pairs = new
+            if sweep <= BURN:
+                s.drop(state)
+        each = [x for x, _ in kept]
+        beyond = lambda t, seats: (STRENGTH + d * t) / (STRENGTH + seats)
+        begins = [state.where("s = -1").select("tables", "seats").first() for _, state in kept]
+        start = np.array([ends, *(x for b in begins for x in (0.0, beyond(*(int(np.frombuffer(v, np.int64)[0]) for v in b))))])
+        seen = [x for own in each for x in (own.root(1, 1), (STRENGTH + d) / (STRENGTH + 1))]
+        new = [x for own in each for x in (own.root(0, 0), 1.0)]
+
+        def of_words(t: pa.Table) -> list[np.ndarray]:
+            """Counts are whole numbers, in two parts that floats hold exactly."""
+            states = [t.filter(pa.compute.equal(t.column("i"), i)) for i in range(KEEP)]
+            c, own = _joined(states[0], "c"), [{k: _joined(x, k) for k in ("cp", "t", "tables", "seats")} for x in states]
+            return [c & 0xFFFFFF, c >> 24, *(x for one, v in zip(each, own, strict=True) for x in (one.root(v["cp"], v["t"]), beyond(v["tables"], v["seats"])))]
+
+        def of_pairs(t: pa.Table) -> list[np.ndarray]:
+            """What pairs have beyond their parent's share in all kept states."""
+            return [KEEP * _joined(t, "n") - d * (_joined(t, "kept") + _joined(t, "t"))]
+
+        states = [state.where("s >= 0").select(F.col("s").alias("p"), F.lit(i).alias("i"), "c", "cp", "t", "tables", "seats") for i, (_, state) in enumerate(kept)]
+        told = _answers(words, functools.reduce(DataFrame.union, states), of_words, [1.0, 0.0, *seen], [0.0, 0.0, *new], "word")
+        told = s.table(told.union(_answers(asked, pairs.where("g is null").select("p", "n", "t", "kept"), of_pairs, [KEEP * (1 - d)], [0.0], "pair")))
+        for used in (words, asked, pairs, *(state for _, state in kept)):
             s.drop(used)
         log_n = float(np.log10(total + 0.1 * (distinct + 1)))
 

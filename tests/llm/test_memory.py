@@ -1,12 +1,14 @@
 """What a Python worker holds of texts."""
 
+import random
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from siltstone.llm import concatenation, language
-from siltstone.llm.common import byte_runs
+from siltstone.llm.common import Scratch, byte_runs
 
 
 def test_a_run_of_texts_is_small():
@@ -46,3 +48,18 @@ def test_hashes_and_orders_are_plain_ones():
         bucket = (h % np.uint64(buckets)).astype(np.int64)
         assert language._order(bucket, buckets).tolist() == sorted(range(len(h)), key=bucket.tolist().__getitem__)
     assert language._list(pa.array([b"x", b"\xff", b""], pa.binary()).dictionary_encode().dictionary) == [b"x", b"\xff", b""]
+
+
+def test_language_writes_no_row_for_a_pair(spark, monkeypatch):
+    """The sweeps hold pairs of words packed, by bucket: no table has a row for each; more buckets give the same scores."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(r.choices(words, k=200))) for i in range(60)], "doc_id long, text string")
+    rows, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, **k: rows.append((out := table(self, df, **k)).count()) or out)
+    one = {x["doc_id"]: x["score"] for x in language.scored(spark, docs).collect()}
+    assert rows[-1] == len(one) == 60 and max(rows[:-1]) < 60
+    monkeypatch.setattr(language, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(language, "WORD_BUCKET_BYTES", 2000)
+    many = {x["doc_id"]: x["score"] for x in language.scored(spark, docs).collect()}
+    assert many == pytest.approx(one, rel=1e-9)
