@@ -312,7 +312,7 @@ class Numbers:
         return (ROOT_STRENGTH + self.root_d * self.tables) * self.base
 
     def root(self, customers, tables):
-        """Probability of a dish of the root (columns or numbers)."""
+        """Probability of a dish of the root (arrays or numbers)."""
         return (customers - self.root_d * tables + self.fresh) / (ROOT_STRENGTH + self.customers)
 
 
