@@ -10,7 +10,10 @@ Each piece is a boundary record: which ids of which document lie where in which
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import string
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -19,11 +22,12 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, byte_runs, read, tokenized
+from siltstone.llm.common import Scratch, byte_runs, filled, read, tokenized
 
 LENGTH = 2048
 #: The id after each document.
@@ -31,6 +35,24 @@ END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words told to the tokenizer in one text; words of a generation, of which a worker remembers two; text bytes that are split at once, about.
 JOINED, REMEMBERED, RUN = 64, 200_000, 2 << 20
+#: How the public tokenizer parts texts. Only of one that has these rules is it known that case makes no difference, that
+#: letters are parted from marks that follow them, and that a word of letters is not parted.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+#: Added tokens are found before case is dropped; marks of which none is in such a token.
+ADDED = re.compile(r"<\|\w+\|>").fullmatch
+MARKS = set(string.punctuation) - set("<|>_")
+#: A word of letters that neither NFC nor lower case makes longer or shorter.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_MARK, _ASCII_LETTER, _LATIN_LETTER = np.zeros((3, 256), bool)
+_MARK[list(map(ord, MARKS))] = True
+_ASCII_LETTER[list(string.ascii_letters.encode())] = True
+_LATIN_LETTER[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True  # after 0xC3: À to ÿ but × and ÷
+#: Marks at a word's end that are looked through.
+TAIL = 8
 
 
 @cache
@@ -46,16 +68,64 @@ def tokenizer(path: str | None):
     return Tokenizer.from_file(path)
 
 
+@cache
+def quick(path: str | None):
+    """The same model for lower-case words of letters, which need no rules but white space; None if the rules are others."""
+    whole = tokenizer(path)
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    rules = json.loads(whole.to_str())
+    suffix, vocabulary = rules["model"].get("end_of_word_suffix"), whole.get_vocab()
+    if (rules["normalizer"] or {}).get("normalizers") != NORMALIZERS or (rules["pre_tokenizer"] or {}).get("pretokenizers") != PRE_TOKENIZERS:
+        return None
+    if not suffix or not all(c + suffix in vocabulary for c in pre_tokenizers.ByteLevel.alphabet()) or not all(ADDED(t["content"]) for t in rules["added_tokens"]):
+        return None
+    out = Tokenizer(whole.model)
+    out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return out
+
+
+def gathered(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces of ``flat`` that begin at ``begins``, one after the other."""
+    return flat[np.arange(sizes.sum()) + np.repeat(begins - np.cumsum(sizes) + sizes, sizes)]
+
+
+def parted(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(pieces, how many of each word): marks that end a word (binary, not empty) behind a letter are a piece of their own."""
+    _, offsets, data = words.buffers()
+    kind = np.int64 if pa.types.is_large_binary(words.type) else np.int32
+    at = np.frombuffer(offsets, kind)[words.offset : words.offset + len(words) + 1]
+    byte, begin, end = np.frombuffer(data, np.uint8) if len(words) else np.zeros(1, np.uint8), at[:-1], at[1:]
+    tail, own = np.zeros(len(words), kind), np.arange(len(words))
+    for k in range(1, TAIL + 1):
+        own = own[(end[own] - begin[own] > k) & _MARK[byte[end[own] - k]]]
+        tail[own] = k
+    a = np.maximum(end - tail - 1, begin)
+    letter = _ASCII_LETTER[byte[a]] | _LATIN_LETTER[byte[a]] & (a > begin) & (byte[a - 1] == 0xC3)
+    tail = np.where(letter, tail, 0)
+    cuts = np.column_stack([begin, end - tail]).ravel()
+    pieces = pa.Array.from_buffers(words.type, 2 * len(words), [None, pa.py_buffer(np.append(cuts, at[-1:]).astype(kind)), data])
+    return pieces.filter(pa.array(np.column_stack([np.ones(len(tail), bool), tail > 0]).ravel())), 1 + (tail > 0)
+
+
 class Ids:
     """Ids of runs of texts. The tokenizer never joins what white space parts, so that each distinct word is told to it once.
 
+    By the rules of ``quick`` ASCII texts are told in lower case, and marks that end a word are a word of their own.
+
     ``known`` has the number of each word that has been met, ``flat`` the words' ids one after the other, ``ends`` where
     those of each word end. When they are many, they become the generation before (``old``) and new ones begin: words that
     are met again pass on from it, so that only those that were not met for a whole generation are told anew.
     """
 
     def __init__(self, path: str | None):
-        self.tokenizer = tokenizer(path)
+        self.tokenizer, self.quick = tokenizer(path), quick(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
+        if self.quick:
+            suffix = self.tokenizer.model.end_of_word_suffix
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
         self._begin()
         self._age()
 
@@ -68,7 +138,31 @@ class Ids:
         self._begin()
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each word): words are told in joined texts; where an id begins tells its word."""
+        """(ids, number of ids of each word)."""
+        if not self.quick:
+            return self._by_place(words)
+        plain = np.fromiter(map(LETTERS, words), bool, len(words))
+        if plain.all() or not plain.any():
+            return (self._by_word if plain.all() else self._by_place)(words)
+        parts = [np.flatnonzero(plain), np.flatnonzero(~plain)]
+        told = [f([words[i] for i in part.tolist()]) for f, part in zip((self._by_word, self._by_place), parts, strict=True)]
+        order, (ids, n) = np.concatenate(parts), (np.concatenate(x) for x in zip(*told, strict=True))
+        sizes, begins = np.empty_like(n), np.empty_like(n)
+        sizes[order], begins[order] = n, np.cumsum(n) - n
+        return gathered(ids, begins, sizes), sizes
+
+    def _by_word(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``_encoded`` of words of letters: each has one id that ends a word."""
+        ids: list[int] = []
+        texts = [" ".join(words[i : i + JOINED]).lower() for i in range(0, len(words), JOINED)]
+        for i in range(0, len(texts), 256):
+            for e in self.quick.encode_batch_fast(texts[i : i + 256], add_special_tokens=False):
+                ids += e.ids
+        flat = np.array(ids, np.int32)
+        return flat, np.diff(np.flatnonzero(self.last[flat]), prepend=-1)
+
+    def _by_place(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``_encoded`` of any words: they are told in joined texts, and where an id begins tells its word."""
         lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
         starts = np.cumsum(lens) - lens
         ids: list[int] = []
@@ -91,8 +185,7 @@ class Ids:
         ids, n = self._encoded([words[i].decode() for i in told.tolist()]) if len(told) else (flat[:0], at[:0])
         sizes, begins = ends[at + 1] - ends[at], ends[at]
         sizes[told], begins[told] = n, len(flat) + np.cumsum(n) - n
-        place = np.arange(sizes.sum()) + np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
-        return np.concatenate([flat, ids])[place], sizes
+        return gathered(np.concatenate([flat, ids]), begins, sizes), sizes
 
     def _placed(self, words: pa.Array) -> np.ndarray:
         """The number of each word, once all are known."""
@@ -109,17 +202,33 @@ class Ids:
             at[new] = np.arange(n, n + len(new))
         return at
 
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each word begin, how many they are) of the distinct words of a run."""
+        if not self.quick:
+            own = self._placed(words)
+            return self.flat, self.ends[own], self.ends[own + 1] - self.ends[own]
+        pieces, n = parted(words)
+        each = pieces.dictionary_encode()
+        own = self._placed(each.dictionary)[np.asarray(each.indices)]
+        ends = np.concatenate([[0], np.cumsum(self.ends[own + 1] - self.ends[own])])
+        last = np.cumsum(n)
+        return gathered(self.flat, self.ends[own], np.diff(ends)), ends[last - n], ends[last] - ends[last - n]
+
     def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each with its end; number of ids of each text)."""
+        column = filled(column)
+        if self.quick:
+            easy = pc.and_not(pc.string_is_ascii(column), pc.match_substring(column, "<|"))
+            column = pc.if_else(easy, pc.ascii_lower(column), column)
         t = tokenized(column)
-        own = self._placed(t.words)
-        begins, each = self.ends[own][t.ids], (self.ends[own + 1] - self.ends[own])[t.ids]
+        flat, begins, each = self._words(t.words)
+        begins, each = begins[t.ids], each[t.ids]
         total = np.concatenate([[0], np.cumsum(each)])
         counts = total[t.ends] - total[t.starts]
         # Every word's ids, one place later for each text before it, whose end stands between.
         place = np.arange(total[-1]) + np.repeat(begins - total[:-1], each)
         out = np.full(total[-1] + len(counts), END, np.int32)
-        out[np.arange(total[-1]) + np.repeat(np.arange(len(counts)), counts)] = self.flat[place]
+        out[np.arange(total[-1]) + np.repeat(np.arange(len(counts)), counts)] = flat[place]
         return out, counts + 1
 
 
@@ -130,7 +239,10 @@ def ids_of(path: str | None) -> Ids:
 
 
 def tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, part, at, n, ids): ids of each text with its end, ``at`` their place in the stream of the task ``part``."""
+    """(doc_id, part, at, n, ids): ids of each text with its end, ``at`` their place in the stream of the task ``part``.
+
+    ``ids`` are little-endian bytes, two of each id where the vocabulary allows it, else four: Spark copies a document's as one value.
+    """
     src = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +252,20 @@ def tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
                 b = batch.slice(lo, rows)
                 flat, n = ids.of(b.column("text"))
                 ends = np.cumsum(n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(rows, part, np.int32)), pa.array(at + ends - n), pa.array(n), lists], names=["doc_id", "part", "at", "n", "ids"])
+                raw = flat.astype(ids.kind)
+                packed = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((np.concatenate([[0], ends]) * raw.itemsize).astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(rows, part, np.int32)), pa.array(at + ends - n), pa.array(n), packed], names=["doc_id", "part", "at", "n", "ids"])
                 at += int(ends[-1])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, part int, at long, n long, ids array<int>")
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, part int, at long, n long, ids binary")
+
+
+def unpacked(column: pa.Array, n: int) -> np.ndarray:
+    """The ``n`` ids of ``tokens``, as unsigned little-endian words."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[at[column.offset] : at[column.offset + len(column)]]
+    return raw.view("<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
 
 
 def cut(rows: DataFrame, length: int, total: int, with_ids: bool) -> DataFrame:
@@ -156,7 +277,7 @@ def cut(rows: DataFrame, length: int, total: int, with_ids: bool) -> DataFrame:
             if not b.num_rows:
                 continue
             place = np.asarray(b.column("base")) + np.asarray(b.column("at"))
-            n, flat = np.asarray(b.column("n")), np.asarray(b.column("ids").flatten()).astype("<u4")
+            n, flat = np.asarray(b.column("n")), unpacked(b.column("ids"), int(pc.sum(b.column("n")).as_py()))
             pieces = (place + n - 1) // length - place // length + 1
             row = np.repeat(np.arange(len(n)), pieces)
             window = place[row] // length + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
